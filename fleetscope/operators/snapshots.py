@@ -181,3 +181,221 @@ def file_io_deltas(files: DataFrame, *, max_minutes: int | None = 60, min_minute
         F.round(try_ratio("io_stall_write_ms_delta", "num_of_writes_delta", 0.0), 4).alias("avg_write_stall_ms"),
         F.round(F.col("bytes_written_delta") / 1048576.0, 4).alias("mb_written"),
     )
+
+
+def two_sample_report(snapshots: DataFrame, start_ts, end_ts, *, cores: int = 1, server: str = "server_name",
+                      metric: str = "metric", ts: str = "check_ts", value: str = "cum_value",
+                      count: str = "cum_count", signal: str = "cum_signal", digits: int = 4) -> DataFrame:
+    """SD-5: wait report between two samples.
+
+    Instead of joining the snapshot table to itself, both samples are read in
+    one filtered scan and folded with conditional sums per (server, metric);
+    only rows whose count and wait both grew are kept.
+    """
+    s = snapshots.filter(F.col(ts).isin(F.lit(start_ts), F.lit(end_ts)))
+    at_end = F.col(ts) == F.lit(end_ts)
+
+    def diff(c):
+        return (F.sum(F.when(at_end, F.col(c)).otherwise(-F.col(c)))).cast("long")
+
+    g = s.groupBy(server, metric).agg(
+        diff(value).alias("wait_ms"), diff(count).alias("waits"), diff(signal).alias("signal_ms"),
+        F.count(F.lit(1)).alias("__n"))
+    seconds = datediff_boundary("second", F.lit(start_ts), F.lit(end_ts))
+    g = g.filter((F.col("__n") == 2) & (F.col("waits") > 0) & (F.col("wait_ms") > 0))
+    return g.select(
+        server, metric,
+        seconds.alias("seconds_sampled"),
+        F.round(F.col("wait_ms") / 1000.0, digits).alias("wait_seconds"),
+        F.round(try_ratio("wait_ms", "waits", 0.0), digits).alias("avg_ms_per_wait"),
+        F.round(F.col("wait_ms") / 1000.0 / F.lit(cores) / seconds, digits).alias("per_core_per_second"),
+        F.round(F.col("signal_ms") / 1000.0, digits).alias("signal_seconds"),
+        F.round(try_ratio(F.col("signal_ms") * 100.0, "wait_ms", 0.0), digits).alias("pct_signal"),
+        F.col("waits").alias("number_of_waits"),
+    )
+
+
+def drive_stall_ranking(file_deltas: DataFrame, *, server: str = "server_name", n: int | None = None) -> DataFrame:
+    """SD-6: read and write stall per drive, ranked per server; the read and
+    write patterns come from one aggregate and are unpivoted, not re-scanned."""
+    from ..functions.scalar import drive_of
+
+    g = file_deltas.groupBy(server, drive_of("physical_name").alias("drive")).agg(
+        F.sum("io_stall_read_ms").cast("long").alias("read_stall"), F.sum("num_of_reads").cast("long").alias("reads"),
+        F.sum("io_stall_write_ms").cast("long").alias("write_stall"),
+        F.sum("num_of_writes").cast("long").alias("writes"))
+    u = g.select(server, "drive", F.expr(
+        "stack(2, 'READ', read_stall, reads, 'WRITE', write_stall, writes) AS (pattern, stall_ms, ios)"))
+    u = u.withColumn("avg_stall_ms", F.round(try_ratio("stall_ms", "ios", 0.0), 4))
+    w = Window.partitionBy(server, "pattern").orderBy(F.col("avg_stall_ms").desc(), F.col("drive"))
+    u = u.withColumn("stall_rank", F.row_number().over(w).cast("long"))
+    return u if n is None else u.filter(F.col("stall_rank") <= n)
+
+
+def slow_files(file_deltas: DataFrame, *, threshold_ms: float = 100.0, min_stall_ms: int = 1000,
+               server: str = "server_name", ts: str = "check_ts") -> DataFrame:
+    """SD-9: data-file reads (check 11) and log-file writes (check 12) whose
+    average latency in the sample reaches ``threshold_ms``."""
+    from .findings import as_findings
+
+    d = file_deltas
+    reads = d.filter((F.col("type_desc") == "ROWS") & (F.col("num_of_reads") > 0)
+                     & (F.col("io_stall_read_ms") > min_stall_ms)
+                     & (F.floor(F.col("io_stall_read_ms") / F.col("num_of_reads")) >= threshold_ms))
+    writes = d.filter((F.col("type_desc") == "LOG") & (F.col("num_of_writes") > 0)
+                      & (F.col("io_stall_write_ms") > min_stall_ms)
+                      & (F.floor(F.col("io_stall_write_ms") / F.col("num_of_writes")) >= threshold_ms))
+    r = as_findings(reads, check_id=11, priority=50, group="Server Performance", finding="Slow Data File Reads",
+                    details=F.concat(F.lit("File: "), F.col("physical_name"), F.lit("; reads: "),
+                                     F.col("num_of_reads").cast("string")),
+                    value=F.floor(F.col("io_stall_read_ms") / F.col("num_of_reads")), server=server,
+                    database=F.col("database_id").cast("string"), ts=ts)
+    w = as_findings(writes, check_id=12, priority=50, group="Server Performance", finding="Slow Log File Writes",
+                    details=F.concat(F.lit("File: "), F.col("physical_name"), F.lit("; writes: "),
+                                     F.col("num_of_writes").cast("string")),
+                    value=F.floor(F.col("io_stall_write_ms") / F.col("num_of_writes")), server=server,
+                    database=F.col("database_id").cast("string"), ts=ts)
+    return r.unionByName(w)
+
+
+def ratio_alert(deltas: DataFrame, numerator: str, denominator: str, *, min_numerator: float = 75,
+                per_second: float = 10, metric: str = "metric", value: str = "cum_value_delta",
+                server: str = "server_name", ts: str = "check_ts", check_id: int = 15,
+                finding: str = "Compilations/Sec High") -> DataFrame:
+    """SD-10: numerator counter high in absolute terms and either fast
+    (``> per_second`` x elapsed) or above the denominator counter.  The two
+    counters are pivoted side by side per sample with conditional sums."""
+    from .findings import as_findings
+
+    d = deltas.filter(F.col(metric).isin(numerator, denominator))
+    g = d.groupBy(server, ts).agg(
+        F.sum(F.when(F.col(metric) == numerator, F.col(value))).alias("num"),
+        F.sum(F.when(F.col(metric) == denominator, F.col(value))).alias("den"),
+        F.max("elapsed_seconds").alias("secs"))
+    hit = g.filter((F.col("num") > min_numerator) & F.col("den").isNotNull()
+                   & ((F.col("num") > F.lit(per_second) * F.col("secs")) | (F.col("num") > F.col("den"))))
+    return as_findings(hit, check_id=check_id, priority=50, group="Query Problems", finding=finding,
+                       details=F.concat(F.lit("numerator: "), F.col("num").cast("string"), F.lit("; denominator: "),
+                                        F.col("den").cast("string")),
+                       value=F.col("num"), server=server, ts=ts)
+
+
+def counter_alerts(deltas: DataFrame, rules: DataFrame, *, metric: str = "metric", value: str = "cum_value_delta",
+                   server: str = "server_name", ts: str = "check_ts") -> DataFrame:
+    """SD-11: table-driven increment alerts.  ``rules`` has ``metric,
+    threshold, check_id, priority, findings_group, finding``; one equi-join
+    replaces one query per rule."""
+    from .findings import as_findings
+
+    j = deltas.join(rules.withColumnRenamed("metric", "__rule_metric"),
+                    deltas[metric] == F.col("__rule_metric"), "inner").filter(F.col(value) > F.col("threshold"))
+    return as_findings(j, check_id=F.col("check_id"), priority=F.col("priority"), group=F.col("findings_group"),
+                       finding=F.col("finding"),
+                       details=F.concat(F.lit("delta during the sample: "), F.col(value).cast("string")),
+                       value=F.col(value), server=server, ts=ts)
+
+
+def cumulative_share(snapshots: DataFrame, *, server: str = "server_name", metric: str = "metric",
+                     ts: str = "check_ts", value: str = "cum_value", signal: str = "cum_signal",
+                     min_share_pct: float = 0.0) -> DataFrame:
+    """SD-13: since-start report per server from the latest snapshot: hours
+    sampled, wait hours, minutes of wait per hour, share of the server's
+    total, signal share.  Latest value per series via ``max_by`` (no sort),
+    server total via a grouped aggregate joined back (no unpartitioned window)."""
+    last = snapshots.groupBy(server, metric).agg(
+        F.max_by(F.col(value), F.col(ts)).alias("wait_ms"), F.max_by(F.col(signal), F.col(ts)).alias("signal_ms"),
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    tot = last.groupBy(server).agg(F.sum("wait_ms").alias("server_wait_ms"),
+                                   F.min("first_ts").alias("srv_first"), F.max("last_ts").alias("srv_last"))
+    j = last.join(tot, server)
+    hours = datediff_boundary("hour", F.col("srv_first"), F.col("srv_last"))
+    out = j.select(
+        server, metric,
+        hours.alias("hours_sampled"),
+        F.round(F.col("wait_ms") / 3600000.0, 4).alias("wait_hours"),
+        F.round(try_ratio(F.col("wait_ms") / 60000.0, hours), 4).alias("wait_minutes_per_hour"),
+        F.round(try_ratio(F.col("wait_ms") * 100.0, "server_wait_ms", 0.0), 4).alias("pct_of_total"),
+        F.round(try_ratio(F.col("signal_ms") * 100.0, "wait_ms", 0.0), 4).alias("pct_signal"),
+    )
+    return out.filter(F.col("pct_of_total") >= min_share_pct)
+
+
+def point_in_time_summary(snapshots: DataFrame, *, server: str = "server_name", ts: str = "check_ts",
+                          value: str = "cum_value", count: str = "cum_count", signal: str = "cum_signal") -> DataFrame:
+    """SD-14: per server at its latest snapshot: total wait, signal vs
+    resource share, average wait per task."""
+    latest = snapshots.groupBy(server).agg(F.max(ts).alias("__ts"))
+    s = snapshots.join(latest, (snapshots[server] == latest[server]) & (snapshots[ts] == latest["__ts"]), "left_semi")
+    g = s.groupBy(server).agg(F.sum(value).cast("long").alias("wait_ms"), F.sum(count).cast("long").alias("tasks"),
+                              F.sum(signal).cast("long").alias("signal_ms"))
+    return g.select(
+        server, "wait_ms", "tasks", "signal_ms",
+        (F.col("wait_ms") - F.col("signal_ms")).alias("resource_ms"),
+        F.round(try_ratio(F.col("signal_ms") * 100.0, "wait_ms", 0.0), 4).alias("signal_pct"),
+        F.round(try_ratio((F.col("wait_ms") - F.col("signal_ms")) * 100.0, "wait_ms", 0.0), 4).alias("resource_pct"),
+        F.round(try_ratio("wait_ms", "tasks", 0.0), 4).alias("avg_wait_ms"),
+    )
+
+
+def counter_ratio(snapshots: DataFrame, numerator: str, base: str, *, server: str = "server_name",
+                  metric: str = "metric", ts: str = "check_ts", value: str = "cum_value") -> DataFrame:
+    """SD-15: hit ratio = numerator ÷ base x 100 at every snapshot (conditional
+    sums instead of a self-join)."""
+    s = snapshots.filter(F.col(metric).isin(numerator, base))
+    g = s.groupBy(server, ts).agg(F.sum(F.when(F.col(metric) == numerator, F.col(value))).alias("num"),
+                                  F.sum(F.when(F.col(metric) == base, F.col(value))).alias("den"))
+    return g.select(server, ts, F.round(try_ratio(F.col("num") * 100.0, "den"), 4).alias("ratio_pct"))
+
+
+def window_review(deltas: DataFrame, since, until, *, n: int = 5, server: str = "server_name",
+                  metric: str = "metric", ts: str = "check_ts", value: str = "cum_value_delta") -> DataFrame:
+    """SD-16: review of ``[since, until)``: top ``n`` metrics per check time
+    by delta and each metric's rank over the whole window."""
+    d = deltas.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) < F.lit(until)))
+    per_ts = top_per_group(d.select(server, ts, metric, F.col(value).alias("delta")), [server, ts],
+                           [F.col("delta").desc(), F.col(metric)], n, "rank_in_sample")
+    tot = d.groupBy(server, metric).agg(F.sum(value).cast("long").alias("window_total"))
+    w = Window.partitionBy(server).orderBy(F.col("window_total").desc(), F.col(metric))
+    tot = tot.withColumn("rank_in_window", F.rank().over(w).cast("long"))
+    return per_ts.join(tot, [server, metric])
+
+
+PERF_AVERAGE_BULK = 1073874176
+PERF_LARGE_RAW_BASE = 1073939712
+PERF_AVERAGE_FRACTION = 537003264
+PERF_BULK_COUNT = (272696576, 272696320)
+PERF_RAW_COUNT = (65792, 65536)
+
+
+def counter_values_by_type(perf: DataFrame, *, server: str = "server_name", ts: str = "check_ts",
+                           max_minutes: int | None = 60) -> DataFrame:
+    """SD-17: perfmon value by counter type.
+
+    ``perf``: ``server, check_ts, object_name, counter_name, instance_name,
+    cntr_type, cntr_value`` (cumulative).  Deltas first (no reset rule, as in
+    the reference), then one pass decides per type; average-bulk and
+    fraction counters are divided by their "... base" counter via an
+    equi-join on (server, object, instance, stripped name, check time).
+    """
+    d = snapshot_delta(perf, ["object_name", "counter_name", "instance_name"], ["cntr_value"], ts=ts, server=server,
+                       carry=["cntr_type", "cntr_value"], drop_resets=False, max_minutes=max_minutes)
+    t = F.col("cntr_type")
+    name = F.col("counter_name")
+    keycols = [server, "object_name", "instance_name", ts]
+    base = d.filter((t == PERF_LARGE_RAW_BASE) & (F.col("cntr_value_delta") != 0)).select(
+        *keycols, F.trim(F.lower(F.regexp_replace(name, r"(?i)base.*$", ""))).alias("__join"),
+        F.col("cntr_value_delta").alias("__den"))
+    num = d.filter(((t == PERF_AVERAGE_BULK) | (t == PERF_AVERAGE_FRACTION)) & (F.col("cntr_value_delta") != 0)).select(
+        *keycols, "counter_name", "cntr_type", "cntr_value_delta",
+        F.when(t == PERF_AVERAGE_BULK, F.trim(F.lower(F.regexp_replace(name, r"\(.*$", ""))))
+        .otherwise(F.trim(F.lower(name))).alias("__join"))
+    ratio = num.join(base, [*keycols, "__join"]).select(
+        *keycols, "counter_name",
+        F.when(F.col("cntr_type") == PERF_AVERAGE_FRACTION,
+               F.round(F.col("cntr_value_delta") / F.col("__den"), 3))
+        .otherwise(F.round(F.col("cntr_value_delta") / F.col("__den"), 6)).alias("value"))
+    bulk = d.filter(t.isin(*PERF_BULK_COUNT) & (F.col("cntr_value_delta") != 0)).select(
+        *keycols, "counter_name", F.round(try_ratio("cntr_value_delta", "elapsed_seconds"), 6).alias("value"))
+    raw = d.filter(t.isin(*PERF_RAW_COUNT)).select(*keycols, "counter_name", F.col("cntr_value").cast("double")
+                                                    .alias("value"))
+    return ratio.unionByName(bulk).unionByName(raw)

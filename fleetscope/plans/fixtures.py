@@ -225,3 +225,36 @@ def f5_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pk % 11 == 0).alias("is_disabled"),
         F.when(pk % 9 == 0, F.lit(70)).otherwise(F.lit(100)).cast("long").alias("fill_factor"),
     )
+
+
+def f1_perfmon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perfmon-style counters of every counter type, derived from F1."""
+    f = f1_counters(spark, sf_dir, "plain")
+    rows = F.explode(F.array(
+        F.struct(F.concat("metric", F.lit(" total")).alias("counter_name"), F.lit(272696576).alias("cntr_type"),
+                 F.col("cum_value").alias("cntr_value")),
+        F.struct(F.concat("metric", F.lit(" avg (ms)")).alias("counter_name"), F.lit(1073874176).alias("cntr_type"),
+                 F.col("cum_value").alias("cntr_value")),
+        F.struct(F.concat("metric", F.lit(" avg base")).alias("counter_name"), F.lit(1073939712).alias("cntr_type"),
+                 F.col("cum_count").alias("cntr_value")),
+        F.struct(F.concat("metric", F.lit(" ratio")).alias("counter_name"), F.lit(537003264).alias("cntr_type"),
+                 F.col("cum_signal").alias("cntr_value")),
+        F.struct(F.concat("metric", F.lit(" ratio base")).alias("counter_name"), F.lit(1073939712).alias("cntr_type"),
+                 F.col("cum_value").alias("cntr_value")),
+        F.struct(F.concat("metric", F.lit(" current")).alias("counter_name"), F.lit(65792).alias("cntr_type"),
+                 F.col("cum_count").alias("cntr_value")),
+    )).alias("c")
+    return f.select("server_name", "check_ts", F.lit("Fleet:Events").alias("object_name"),
+                    F.lit("_Total").alias("instance_name"), rows).select(
+        "server_name", "check_ts", "object_name", "instance_name", "c.counter_name",
+        F.col("c.cntr_type").cast("long").alias("cntr_type"), F.col("c.cntr_value").cast("long").alias("cntr_value"))
+
+
+def f4_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 as cumulative plan-cache counters (running sums per plan)."""
+    f = f4_query_stats(spark, sf_dir)
+    w = Window.partitionBy("query_id", "plan_id").orderBy("interval_ts").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return f.select("query_id", "plan_id", "interval_ts",
+                    *[F.sum(c).over(w).cast("long").alias(c) for c in ["executions", "cpu", "reads", "writes",
+                                                                          "duration"]])

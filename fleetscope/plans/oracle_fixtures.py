@@ -145,3 +145,27 @@ def f5(name: str = "f5") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
+
+
+def f1_perfmon(name: str = "f1p") -> str:
+    return f1("plain", name + "_src") + f""",
+{name} AS (
+  SELECT server_name, check_ts, 'Fleet:Events' AS object_name, '_Total' AS instance_name,
+         metric || suffix AS counter_name, CAST(cntr_type AS BIGINT) AS cntr_type, CAST(cntr_value AS BIGINT) AS cntr_value
+  FROM (
+    SELECT server_name, check_ts, metric, ' total' AS suffix, 272696576 AS cntr_type, cum_value AS cntr_value FROM {name}_src
+    UNION ALL SELECT server_name, check_ts, metric, ' avg (ms)', 1073874176, cum_value FROM {name}_src
+    UNION ALL SELECT server_name, check_ts, metric, ' avg base', 1073939712, cum_count FROM {name}_src
+    UNION ALL SELECT server_name, check_ts, metric, ' ratio', 537003264, cum_signal FROM {name}_src
+    UNION ALL SELECT server_name, check_ts, metric, ' ratio base', 1073939712, cum_value FROM {name}_src
+    UNION ALL SELECT server_name, check_ts, metric, ' current', 65792, cum_count FROM {name}_src))"""
+
+
+def f4_hourly(name: str = "f4h") -> str:
+    return f"""
+{name} AS (
+  SELECT user_id % 20 AS query_id, user_id % 40 AS plan_id, date_trunc('hour', ts) AS interval_ts,
+         CAST(count(*) AS BIGINT) AS count_executions,
+         sum(CAST(round(value * 100) AS BIGINT)) / count(*) AS avg_duration,
+         sum(floor(CAST(round(value * 100) AS BIGINT) / 4)) / count(*) AS avg_cpu
+  FROM events GROUP BY ALL)"""

@@ -6,6 +6,8 @@ import importlib
 
 PLAN_MODULES = [
     "q_snapshots",
+    "q_snapshots2",
+    "q_querystats",
 ]
 
 
