@@ -23,3 +23,52 @@ def f4_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query text per query id (``part.p_name``)."""
     return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text"))
+
+
+def f2_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        F.lit("srv0").alias("server_name"), (F.col("l_orderkey") + 1).alias("session_id"),
+        F.concat(F.lit("KEY: "), F.col("l_partkey").cast("string")).alias("resource"),
+        F.element_at(F.array(*[F.lit(x) for x in ["S", "X", "U", "IX"]]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+        .alias("request_mode"),
+        F.when(F.col("l_linestatus") == "F", "GRANT").otherwise("WAIT").alias("request_status"))
+
+
+def f2_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(F.lit("srv0").alias("server_name"), (F.col("l_orderkey") + 1).alias("session_id"),
+                     F.concat(F.lit("W_"), F.col("l_returnflag")).alias("wait_type"),
+                     (F.col("l_quantity").cast("long") * 100).alias("wait_duration_ms"))
+
+
+def f2_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        F.lit("srv0").alias("server_name"), (F.col("l_orderkey") % 500 + 1).alias("session_id"),
+        F.concat(F.lit("db"), (F.col("l_suppkey") % 5).cast("string")).alias("database_name"),
+        F.date_trunc("year", "l_shipdate").alias("request_start"), (F.col("l_partkey") % 10).alias("plan_handle"),
+        F.col("l_shipdate").alias("observed_ts"), cents("l_extendedprice").alias("cpu_ms"),
+        F.col("l_quantity").cast("long").alias("reads"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"))
+
+
+def f2_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.groupBy((F.col("l_orderkey") % 100).alias("session_id"), F.lit(0).alias("request_id"),
+                      (F.col("l_linenumber") % 3).alias("node_id"), F.col("l_linenumber").alias("thread_id")).agg(
+        F.sum(F.col("l_quantity").cast("long") * 10).alias("row_count"))
+
+
+def f2_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("node_id"),
+                     F.col("l_quantity").cast("long").alias("estimated_rows"),
+                     F.floor("l_extendedprice").cast("long").alias("actual_rows"))
+
+
+def f2_second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.filter(k % 3 == 0).select(
+        F.lit("srv0").alias("server_name"), (k + 1).alias("session_id"),
+        F.when(k % 5 == 0, F.lit(0)).otherwise(k % 97 + 1).cast("long").alias("blocking_session_id"))

@@ -8,6 +8,7 @@ PLAN_MODULES = [
     "q_snapshots",
     "q_snapshots2",
     "q_querystats",
+    "q_blocking",
 ]
 
 
