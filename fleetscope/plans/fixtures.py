@@ -119,6 +119,15 @@ def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(cents("o_totalprice") * 6 / 10).cast("long").alias("compressed_backup_size"),
         F.col("o_orderpriority").alias("user_name"),
         k.alias("o_orderkey"),
+        F.when(k % 10 == 0, "BULK_LOGGED").when(k % 10 == 1, "SIMPLE").otherwise("FULL").alias("recovery_model"),
+        (k % 7 != 0).alias("has_backup_checksums"),
+        (k % 101 == 0).alias("is_damaged"),
+        (k % 211 == 0).alias("is_password_protected"),
+        (k % 53 == 0).alias("is_snapshot"),
+        (k % 37 == 0).alias("is_readonly"),
+        (k % 41 == 0).alias("is_single_user"),
+        (k % 19 == 0).alias("is_encrypted"),
+        (F.lit(100) + (k % 3) * 10).cast("int").alias("compatibility_level"),
     )
     w = Window.partitionBy("server_name", "database_name").orderBy("backup_finish_date", "backup_set_id")
     rn = F.row_number().over(w).cast("long")
@@ -126,6 +135,8 @@ def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "server_name", "database_name", "type", "backup_start_date", "backup_finish_date", "backup_set_id",
         "backup_size", "compressed_backup_size", "user_name",
         ((rn - 1) * 100).alias("first_lsn"), (rn * 100).alias("last_lsn"),
+        "recovery_model", "has_backup_checksums", "is_damaged", "is_password_protected", "is_snapshot",
+        "is_readonly", "is_single_user", "is_encrypted", "compatibility_level",
     )
 
 

@@ -63,12 +63,19 @@ def f3_backups(name: str = "f3") -> str:
          CAST(epoch(o_orderdate + to_seconds(o_orderkey % 86400)) AS BIGINT) * 1000000000 + o_orderkey AS backup_set_id,
          CAST(round(o_totalprice * 100) AS BIGINT) AS backup_size,
          CAST(floor(CAST(round(o_totalprice * 100) AS BIGINT) * 6 / 10) AS BIGINT) AS compressed_backup_size,
-         o_orderpriority AS user_name
+         o_orderpriority AS user_name,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'BULK_LOGGED' WHEN o_orderkey % 10 = 1 THEN 'SIMPLE' ELSE 'FULL' END AS recovery_model,
+         o_orderkey % 7 <> 0 AS has_backup_checksums, o_orderkey % 101 = 0 AS is_damaged,
+         o_orderkey % 211 = 0 AS is_password_protected, o_orderkey % 53 = 0 AS is_snapshot,
+         o_orderkey % 37 = 0 AS is_readonly, o_orderkey % 41 = 0 AS is_single_user, o_orderkey % 19 = 0 AS is_encrypted,
+         CAST(100 + (o_orderkey % 3) * 10 AS INTEGER) AS compatibility_level
   FROM orders),
 {name} AS (
   SELECT server_name, database_name, type, backup_start_date, backup_finish_date, backup_set_id,
          backup_size, compressed_backup_size, user_name,
-         (row_number() OVER w - 1) * 100 AS first_lsn, row_number() OVER w * 100 AS last_lsn
+         (row_number() OVER w - 1) * 100 AS first_lsn, row_number() OVER w * 100 AS last_lsn,
+         recovery_model, has_backup_checksums, is_damaged, is_password_protected, is_snapshot,
+         is_readonly, is_single_user, is_encrypted, compatibility_level
   FROM {name}_base
   WINDOW w AS (PARTITION BY server_name, database_name ORDER BY backup_finish_date, backup_set_id))"""
 

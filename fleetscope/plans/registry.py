@@ -9,6 +9,7 @@ PLAN_MODULES = [
     "q_snapshots2",
     "q_querystats",
     "q_blocking",
+    "q_backups",
 ]
 
 
