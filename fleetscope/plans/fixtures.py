@@ -11,6 +11,8 @@ timestamps are zone-less.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -235,6 +237,17 @@ def f5_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pk % 7 == 0).alias("is_unique"),
         (pk % 11 == 0).alias("is_disabled"),
         F.when(pk % 9 == 0, F.lit(70)).otherwise(F.lit(100)).cast("long").alias("fill_factor"),
+        F.when(pk % 50 == 0, F.lit(0)).when(pk % 50 == 1, F.lit(1)).otherwise(F.lit(2)).cast("int").alias("index_type"),
+        (pk % 97 == 0).alias("is_hypothetical"),
+        (F.lit(dt.datetime(2001, 6, 1)) - F.make_dt_interval((pk % 30).cast("int"))).cast("timestamp_ntz")
+        .alias("create_ts"),
+        (F.lit(dt.datetime(2001, 6, 1)) - F.make_dt_interval((pk % 30).cast("int") - (pk % 3).cast("int")))
+        .cast("timestamp_ntz").alias("modify_ts"),
+        (n_lines * 1000).alias("row_lock_wait_ms"),
+        (qty * 10).alias("page_lock_wait_ms"),
+        n_lines.alias("lock_count"),
+        F.when(pk % 50 == 0, qty).otherwise(F.lit(0)).cast("long").alias("forwarded_fetches"),
+        (F.col("p_size").cast("long") * 1000).alias("row_count"),
     )
 
 

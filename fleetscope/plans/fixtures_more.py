@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,94 @@ def f2_second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter(k % 3 == 0).select(
         F.lit("srv0").alias("server_name"), (k + 1).alias("session_id"),
         F.when(k % 5 == 0, F.lit(0)).otherwise(k % 97 + 1).cast("long").alias("blocking_session_id"))
+
+
+def _part_use(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    use = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    return p.join(use, p.p_partkey == use.l_partkey, "left").select(
+        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice",
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("qty", F.lit(0)).cast("long").alias("qty"))
+
+
+def f5_missing(spark, sf_dir):
+    pu = _part_use(spark, sf_dir).filter(F.col("p_partkey") % 3 == 0)
+    pk = F.col("p_partkey")
+    return pu.select(pk.alias("missing_id"), F.lit("srv0").alias("server_name"),
+                     F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
+                     F.col("p_brand").alias("table_name"), F.array(F.col("p_type")).alias("equality_columns"),
+                     (F.col("n_lines") * 100).alias("user_seeks"), (pk % 10).alias("user_scans"),
+                     (F.col("p_retailprice") / 10).alias("avg_total_user_cost"),
+                     (pk % 100).cast("double").alias("avg_user_impact"), (pk % 40).alias("age_days"))
+
+
+def f5_identities(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    t = F.element_at(F.array(F.lit("tinyint"), F.lit("smallint"), F.lit("int")), (k % 3 + 1).cast("int"))
+    mx = F.element_at(F.array(F.lit(255), F.lit(32767), F.lit(2147483647)), (k % 3 + 1).cast("int")).cast("long")
+    frac = (F.col("s_acctbal") + 1000) / 11000
+    inc = F.when(k % 5 == 0, F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    last = F.floor(mx * frac).cast("long")
+    return s.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("tbl"), k.cast("string")).alias("table_name"),
+                    t.alias("type_name"), F.lit(1).cast("long").alias("seed_value"), inc.alias("increment_value"),
+                    F.when(inc > 0, last).otherwise(-last).alias("last_value"))
+
+
+def f5_stats(spark, sf_dir):
+    pu = _part_use(spark, sf_dir)
+    pk = F.col("p_partkey")
+    rows = F.col("p_size").cast("long") * 1000
+    base = F.lit(dt.datetime(2001, 6, 1))
+    return pu.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
+                     F.col("p_brand").alias("table_name"), F.concat(F.lit("st_"), pk.cast("string")).alias("stats_name"),
+                     (base - F.make_dt_interval((pk % 30 + (pk % 2) * 60).cast("int"))).cast("timestamp_ntz")
+                     .alias("last_updated"),
+                     rows.alias("rows"), (F.col("qty") * 50).alias("modification_counter"),
+                     F.floor(rows * (pk % 20) / 100).cast("long").alias("rows_sampled"))
+
+
+_TYPES = {"ECONOMY": "varchar", "STANDARD": "int", "PROMO": "nvarchar", "SMALL": "bigint", "LARGE": "datetime",
+          "MEDIUM": "char"}
+
+
+def f5_columns(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    dtype = F.lit("sql_variant")
+    for k, v in _TYPES.items():
+        dtype = F.when(F.col("p_type") == k, F.lit(v)).otherwise(dtype)
+    name = F.regexp_replace("p_name", " ", "_")
+    return p.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
+                    F.col("p_brand").alias("table_name"), pk.alias("column_id"),
+                    F.when(pk % 7 == 0, F.concat(F.lit("is_"), name)).otherwise(F.concat(name, F.lit("_"), pk.cast("string")))
+                    .alias("column_name"), dtype.alias("data_type"),
+                    F.when(dtype.isin("varchar", "nvarchar", "char"), F.col("p_size") * 10).otherwise(F.lit(8)).cast("long")
+                    .alias("max_length"), (pk % 3 != 0).alias("is_nullable"))
+
+
+def f5_fks(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").filter(F.col("p_partkey") % 4 == 0)
+    pk = F.col("p_partkey")
+    return p.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
+                    F.col("p_brand").alias("table_name"), F.concat(F.lit("fk_"), pk.cast("string")).alias("fk_name"),
+                    F.when(pk % 8 == 0, F.col("p_type")).otherwise(F.element_at(F.split("p_name", " "), 2))
+                    .alias("fk_column"))
+
+
+def f5_fragmentation(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    return p.select(F.col("p_brand").alias("table_name"), pk.alias("index_id"),
+                    ((pk % 50) * 1.0).alias("fragmentation_pct"), (F.col("p_size").cast("long") * 100).alias("page_count"))
+
+
+def f5_partitions(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.concat(F.lit("tbl"), (F.col("l_suppkey") % 5).cast("string")).alias("table_name"),
+                   ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("long").alias("partition_number")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    return g.select("table_name", "partition_number",
+                    F.when(F.col("partition_number") % 7 < 3, "PAGE").when(F.col("partition_number") % 7 < 5, "ROW")
+                    .otherwise("NONE").alias("compression"))

@@ -146,7 +146,16 @@ def f5(name: str = "f5") -> str:
          CAST(CASE WHEN p_partkey % 6 = 0 THEN coalesce(qty, 0) * 1000 ELSE coalesce(qty, 0) END AS BIGINT) AS user_updates,
          CAST(p_size AS BIGINT) AS size_mb, p_retailprice AS cost,
          p_partkey % 7 = 0 AS is_unique, p_partkey % 11 = 0 AS is_disabled,
-         CAST(CASE WHEN p_partkey % 9 = 0 THEN 70 ELSE 100 END AS BIGINT) AS fill_factor
+         CAST(CASE WHEN p_partkey % 9 = 0 THEN 70 ELSE 100 END AS BIGINT) AS fill_factor,
+         CAST(CASE WHEN p_partkey % 50 = 0 THEN 0 WHEN p_partkey % 50 = 1 THEN 1 ELSE 2 END AS INTEGER) AS index_type,
+         p_partkey % 97 = 0 AS is_hypothetical,
+         TIMESTAMP '2001-06-01' - to_days(CAST(p_partkey % 30 AS INTEGER)) AS create_ts,
+         TIMESTAMP '2001-06-01' - to_days(CAST(p_partkey % 30 AS INTEGER) - CAST(p_partkey % 3 AS INTEGER)) AS modify_ts,
+         CAST(coalesce(n_lines, 0) * 1000 AS BIGINT) AS row_lock_wait_ms,
+         CAST(coalesce(qty, 0) * 10 AS BIGINT) AS page_lock_wait_ms,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS lock_count,
+         CAST(CASE WHEN p_partkey % 50 = 0 THEN coalesce(qty, 0) ELSE 0 END AS BIGINT) AS forwarded_fetches,
+         CAST(p_size AS BIGINT) * 1000 AS row_count
   FROM part LEFT JOIN {name}_use ON p_partkey = l_partkey)"""
 
 

@@ -10,6 +10,7 @@ PLAN_MODULES = [
     "q_querystats",
     "q_blocking",
     "q_backups",
+    "q_catalog",
 ]
 
 
