@@ -11,6 +11,7 @@ PLAN_MODULES = [
     "q_blocking",
     "q_backups",
     "q_catalog",
+    "q_capacity",
 ]
 
 
