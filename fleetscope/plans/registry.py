@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "q_backups",
     "q_catalog",
     "q_capacity",
+    "q_deadlocks",
 ]
 
 
