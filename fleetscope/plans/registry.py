@@ -13,6 +13,7 @@ PLAN_MODULES = [
     "q_catalog",
     "q_capacity",
     "q_deadlocks",
+    "q_plandocs",
 ]
 
 
