@@ -14,6 +14,7 @@ PLAN_MODULES = [
     "q_capacity",
     "q_deadlocks",
     "q_plandocs",
+    "q_governance",
 ]
 
 
