@@ -15,6 +15,7 @@ PLAN_MODULES = [
     "q_deadlocks",
     "q_plandocs",
     "q_governance",
+    "q_documents",
 ]
 
 
