@@ -144,3 +144,18 @@ def _regex_escape(s: str) -> str:
 def ampm_hour(ts: ColumnOrName) -> Column:
     """Hour of day labelled ``12am``, ``1am`` ... ``12pm`` ... ``11pm``."""
     return F.lower(F.date_format(_c(ts), "ha"))
+
+
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(ts: ColumnOrName) -> Column:
+    """Zone-less wall-clock timestamp -> instant (TIMESTAMP) read as UTC,
+    independent of the session zone (event-time watermarks need TIMESTAMP)."""
+    micros = F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(ts))
+    return F.timestamp_micros(micros)
+
+
+def instant_to_ntz(ts: ColumnOrName) -> Column:
+    """Inverse of :func:`ntz_to_instant`."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), F.expr(_EPOCH_NTZ))

@@ -16,6 +16,7 @@ PLAN_MODULES = [
     "q_plandocs",
     "q_governance",
     "q_documents",
+    "q_streaming",
 ]
 
 
