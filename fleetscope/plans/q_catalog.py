@@ -122,6 +122,12 @@ def _ix_rule_sql() -> str:
     return F5 + sel
 
 
+def ix_findings_cte() -> str:
+    """The IX-4 finding rows as a CTE named ``fnd`` (for the rule-engine queries)."""
+    body = _ix_rule_sql()[len(F5):]
+    return F5 + ", fnd AS (" + body + ")\n"
+
+
 @reg("ix04_index_rule_findings", _ix_rule_sql())
 def q_ix04(spark, sf_dir):
     return ix.index_findings(fx.f5_indexes(spark, sf_dir), as_of="2001-06-01 00:00:00")

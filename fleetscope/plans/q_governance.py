@@ -59,7 +59,7 @@ dflt AS (SELECT name, arg_max(value, (n, -value)) AS default_value
          FROM (SELECT name, value, count(*) AS n FROM f8 GROUP BY ALL) GROUP BY name)"""
 
 
-@reg("dr01_config_drift", "WITH " + F8_SQL + """
+DR01_BODY = """
 , ids AS (SELECT name, dense_rank() OVER (ORDER BY name) + 1000 AS id FROM dflt)
 SELECT server_name, CAST(NULL AS VARCHAR) AS database_name, CAST(NULL AS TIMESTAMP) AS check_ts,
        CAST(ids.id AS INTEGER) AS check_id, CAST(200 AS INTEGER) AS priority, 'Non-Default Server Config' AS findings_group,
@@ -69,7 +69,17 @@ FROM f8 JOIN dflt USING (name) JOIN ids USING (name) WHERE value IS DISTINCT FRO
 UNION ALL
 SELECT server_name, NULL, NULL, 81, 200, 'Non-Active Server Config', 'Config Not Running at Set Value',
        name || ': set ' || CAST(value AS VARCHAR) || ', running ' || CAST(value_in_use AS VARCHAR), CAST(value_in_use AS DOUBLE)
-FROM f8 WHERE value IS DISTINCT FROM value_in_use""")
+FROM f8 WHERE value IS DISTINCT FROM value_in_use"""
+
+
+def dr01_cte() -> str:
+    """DR-1 finding rows as a CTE named ``fnd``."""
+    body = DR01_BODY.replace("\n, ids AS", "ids AS", 1)
+    head, _, sel = body.partition("\nSELECT server_name, CAST(NULL AS VARCHAR) AS database_name")
+    return "WITH " + F8_SQL + ", " + head + ", fnd AS (SELECT server_name, CAST(NULL AS VARCHAR) AS database_name" + sel + ")\n"
+
+
+@reg("dr01_config_drift", "WITH " + F8_SQL + DR01_BODY)
 def q_dr01(spark, sf_dir):
     c = f8_config(spark, sf_dir)
     return dr.config_drift(c, dr.mode_defaults(c))

@@ -17,6 +17,7 @@ PLAN_MODULES = [
     "q_governance",
     "q_documents",
     "q_streaming",
+    "q_relational",
 ]
 
 

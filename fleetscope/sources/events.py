@@ -71,7 +71,8 @@ def read_events(spark: SparkSession, path: str, *, row_tag: str = "event") -> Da
     read by the XML data source with the declared schema."""
     schema = EVENT_SCHEMA if row_tag == "event" else DEADLOCK_SCHEMA
     df = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    no_id = F.lit(None).cast("long").alias("event_id")
     if row_tag == "event":
-        return df.select(F.to_timestamp_ntz("_timestamp").alias("event_ts"),
+        return df.select(no_id, F.to_timestamp_ntz("_timestamp").alias("event_ts"),
                          F.col("data.value.deadlock").alias("deadlock"))
-    return df.select(F.lit(None).cast("timestamp_ntz").alias("event_ts"), F.struct(*df.columns).alias("deadlock"))
+    return df.select(no_id, F.lit(None).cast("timestamp_ntz").alias("event_ts"), F.struct(*df.columns).alias("deadlock"))
