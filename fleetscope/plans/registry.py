@@ -18,6 +18,7 @@ PLAN_MODULES = [
     "q_documents",
     "q_streaming",
     "q_relational",
+    "q_rules_extra",
 ]
 
 
