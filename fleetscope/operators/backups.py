@@ -91,40 +91,48 @@ def with_full_segment(backups: DataFrame) -> DataFrame:
 def recovery_points(backups: DataFrame) -> DataFrame:
     """BK-3 / BK-4: one recovery point per full backup: the log chain that
     follows it up to the next full, the latest diff in that range, and the
-    time and size needed to restore full + diff + logs."""
+    time and size needed to restore full + diff + logs.
+
+    Physical plan: a single exchange on ``(server, database)``; the
+    segment, the segment's last log and chosen diff are windows on that same
+    partitioning and the per-segment totals one aggregate on it -- no
+    self-joins between fulls, diffs and logs."""
     b = with_full_segment(backups.filter(F.col("type").isin("D", "I", "L")))
+    b = b.filter(F.col("seg_full_lsn").isNotNull())
     seg = [*DB, "seg_full_lsn"]
-    fulls = b.filter(F.col("type") == "D").select(
-        *seg, F.col("backup_set_id").alias("full_backup_set_id"),
-        _secs().alias("full_time_seconds"), F.round(F.col("backup_size") / MB, 4).alias("full_size_mb"))
-    rest = b.filter((F.col("type") != "D") & F.col("seg_full_lsn").isNotNull())
-    logs_max = rest.filter(F.col("type") == "L").groupBy(*seg).agg(F.max("last_lsn").alias("log_last_lsn"))
-    diffs = rest.filter(F.col("type") == "I").join(logs_max, seg, "left").filter(
-        F.col("log_last_lsn").isNull() | (F.col("last_lsn") < F.col("log_last_lsn")))
-    best_diff = diffs.groupBy(*seg).agg(F.max_by(F.struct(
-        F.col("last_lsn").alias("diff_last_lsn"), F.col("backup_set_id").alias("diff_backup_set_id"),
-        _secs().alias("diff_time_seconds"), F.round(F.col("backup_size") / MB, 4).alias("diff_size_mb")),
-        F.col("last_lsn")).alias("d")).select(*seg, "d.*")
-    rp = fulls.join(logs_max, seg, "left").join(best_diff, seg, "left")
-    logs = rest.filter(F.col("type") == "L").select(*seg, "first_lsn", "backup_size",
-                                                    _secs().alias("secs"))
+    wseg = Window.partitionBy(*seg)
+    typ, lsn = F.col("type"), F.col("last_lsn")
+    b = b.withColumn("log_last_lsn", F.max(F.when(typ == "L", lsn)).over(wseg))
+    diff_ok = (typ == "I") & (F.col("log_last_lsn").isNull() | (lsn < F.col("log_last_lsn")))
+    b = b.withColumn("diff_last_lsn", F.max(F.when(diff_ok, lsn)).over(wseg))
     after = F.coalesce(F.col("diff_last_lsn"), F.col("seg_full_lsn"))
-    lt = rp.select(*seg, "diff_last_lsn", "log_last_lsn").join(logs, seg).filter(
-        (F.col("first_lsn") >= after) & (F.col("first_lsn") <= F.col("log_last_lsn"))).groupBy(*seg).agg(
-        F.sum("secs").cast("long").alias("log_time_seconds"),
-        F.round(F.sum("backup_size") / MB, 4).alias("log_size_mb"),
-        F.count(F.lit(1)).cast("long").alias("log_backups"))
-    out = rp.join(lt, seg, "left")
+    in_logs = (typ == "L") & (F.col("first_lsn") >= after) & (F.col("first_lsn") <= F.col("log_last_lsn"))
+    secs = _secs()
+    size_mb = F.round(F.col("backup_size") / MB, 4)
+    g = b.groupBy(*seg).agg(
+        F.max_by(F.struct(F.col("backup_set_id").alias("full_backup_set_id"), secs.alias("full_time_seconds"),
+                          size_mb.alias("full_size_mb")), F.when(typ == "D", lsn)).alias("f"),
+        F.max_by(F.struct(F.col("backup_set_id").alias("diff_backup_set_id"), secs.alias("diff_time_seconds"),
+                          size_mb.alias("diff_size_mb")), F.when(diff_ok, lsn)).alias("d"),
+        F.max("diff_last_lsn").alias("diff_last_lsn"), F.max("log_last_lsn").alias("log_last_lsn"),
+        F.count_if(in_logs).cast("long").alias("log_backups"),
+        F.sum(F.when(in_logs, secs)).cast("long").alias("log_time_seconds"),
+        F.round(F.sum(F.when(in_logs, F.col("backup_size"))) / MB, 4).alias("log_size_mb"))
+    has_diff = F.col("diff_last_lsn").isNotNull()
+    out = g.filter(F.col("f").isNotNull()).select(
+        *DB, F.col("seg_full_lsn").alias("full_last_lsn"), "f.full_backup_set_id", "f.full_time_seconds",
+        "f.full_size_mb",
+        F.when(has_diff, F.col("d.diff_backup_set_id")).alias("diff_backup_set_id"), "diff_last_lsn",
+        F.when(has_diff, F.col("d.diff_time_seconds")).alias("diff_time_seconds"),
+        F.when(has_diff, F.col("d.diff_size_mb")).alias("diff_size_mb"), "log_last_lsn",
+        "log_backups", F.coalesce("log_time_seconds", F.lit(0)).cast("long").alias("log_time_seconds"),
+        F.coalesce("log_size_mb", F.lit(0.0)).alias("log_size_mb"))
     return out.select(
-        *DB, F.col("seg_full_lsn").alias("full_last_lsn"), "full_backup_set_id", "full_time_seconds", "full_size_mb",
-        "diff_backup_set_id", "diff_last_lsn", "diff_time_seconds", "diff_size_mb", "log_last_lsn",
-        F.coalesce("log_backups", F.lit(0)).cast("long").alias("log_backups"),
-        F.coalesce("log_time_seconds", F.lit(0)).cast("long").alias("log_time_seconds"),
-        F.coalesce("log_size_mb", F.lit(0.0)).alias("log_size_mb"),
-        F.round(F.col("full_size_mb") + F.coalesce("diff_size_mb", F.lit(0.0)) + F.coalesce("log_size_mb", F.lit(0.0)),
-                4).alias("rto_size_mb"),
-        (F.col("full_time_seconds") + F.coalesce("diff_time_seconds", F.lit(0))
-         + F.coalesce("log_time_seconds", F.lit(0))).cast("long").alias("rto_time_seconds"),
+        "*",
+        F.round(F.col("full_size_mb") + F.coalesce("diff_size_mb", F.lit(0.0)) + F.col("log_size_mb"), 4)
+        .alias("rto_size_mb"),
+        (F.col("full_time_seconds") + F.coalesce("diff_time_seconds", F.lit(0)) + F.col("log_time_seconds"))
+        .cast("long").alias("rto_time_seconds"),
     )
 
 
