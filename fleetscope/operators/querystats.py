@@ -62,11 +62,12 @@ def share_of_total(stats: DataFrame, *, keys: Sequence[str] = ("query_id", "plan
     per minute of its lifetime.  Grand totals come from one scalar subquery
     per metric (a tiny separate aggregate); nothing is cross-joined."""
     p = plan_summary(stats, keys=keys, ts=ts, metrics=metrics)
-    # one scalar subquery returning a struct; every reference reuses it
+    # one scalar subquery returning a struct, projected once as a column
     totals = stats.agg(F.struct(*[F.sum(m).alias(m) for m in metrics]).alias("t")).scalar()
+    p = p.withColumn("__totals", totals)
     cols = [*keys]
     for m in metrics:
-        tot = totals.getField(m)
+        tot = F.col("__totals").getField(m)
         cols.append(F.round(try_ratio(F.col(f"total_{m}") * 100.0, tot, 0.0), digits).alias(f"pct_{m}"))
     minutes = datediff_boundary("minute", F.col("first_seen"), F.col("last_seen"))
     cols.append(F.round(try_ratio("total_executions", minutes, 0.0), digits).alias("executions_per_minute"))

@@ -49,12 +49,12 @@ def f1_counters(spark: SparkSession, sf_dir: str, variant: str = "plain") -> Dat
     )
     hourly = ev.groupBy("server_name", "metric", "h").agg(
         F.sum("cents").alias("v"), F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("cents") / 4)).alias("s"))
-    bounds = ev.agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    pairs = ev.select("server_name", "metric").distinct()
+    # one scalar subquery for both bounds, projected once
+    bounds = ev.agg(F.struct(F.min("h").alias("lo"), F.max("h").alias("hi"))).scalar()
+    pairs = ev.select("server_name", "metric").distinct().withColumn("__b", bounds)
     grid = pairs.select(
         "server_name", "metric",
-        F.explode(F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar(),
-                             F.expr("INTERVAL 1 HOUR"))).alias("h"))
+        F.explode(F.sequence(F.col("__b.lo"), F.col("__b.hi"), F.expr("INTERVAL 1 HOUR"))).alias("h"))
     dense = grid.join(hourly, ["server_name", "metric", "h"], "left").select(
         "server_name", "metric", "h",
         F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n", F.lit(0)).alias("n"),
