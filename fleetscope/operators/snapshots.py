@@ -29,6 +29,30 @@ def snapshot_calendar(df: DataFrame, *, ts: str = "check_ts", server: str = "ser
     return snaps.withColumn("server_prev_ts", F.lag(ts).over(w))
 
 
+def _bucketed_lag(base: DataFrame, part: Sequence[str], ts: str, counters: Sequence[str], bucket: str) -> DataFrame:
+    """``lag`` over ``(series, ts)`` computed without one task per series.
+
+    The window is partitioned by ``(series, time bucket)``, so a hot series
+    (say a third of all rows) is spread over its buckets; the first row of a
+    bucket takes its predecessor from the last row of the previous non-empty
+    bucket, found with a ``lag`` over the small per-(series, bucket) summary
+    and attached by an equi-join on ``(series, bucket)``."""
+    x = base.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
+    w = Window.partitionBy(*part, "__bk").orderBy(ts)
+    x = x.select("*", F.lag(ts).over(w).alias("__lag_ts"), *[F.lag(c).over(w).alias(f"__lag_{c}") for c in counters])
+    last = base.withColumn("__bk", F.date_trunc(bucket, F.col(ts))).groupBy(*part, "__bk").agg(
+        F.max_by(F.struct(F.col(ts).alias("t"), *[F.col(c).alias(c) for c in counters]), F.col(ts)).alias("__last"))
+    wb = Window.partitionBy(*part).orderBy("__bk")
+    prev = last.select(*part, "__bk", F.lag("__last").over(wb).alias("__pl"))
+    j = x.join(prev, [*part, "__bk"], "left")
+    first = F.col("__lag_ts").isNull()
+    return j.select(
+        *[c for c in base.columns],
+        F.when(first, F.col("__pl.t")).otherwise(F.col("__lag_ts")).alias("prev_ts"),
+        *[F.when(first, F.col(f"__pl.{c}")).otherwise(F.col(f"__lag_{c}")).alias(f"__prev_{c}") for c in counters],
+    )
+
+
 def snapshot_delta(
     df: DataFrame,
     keys: Sequence[str],
@@ -42,6 +66,7 @@ def snapshot_delta(
     monotonic: Sequence[str] | None = None,
     drop_resets: bool = True,
     strict: bool = True,
+    bucket: str | None = "day",
 ) -> DataFrame:
     """SD-1: per-counter delta against the previous snapshot.
 
@@ -53,17 +78,24 @@ def snapshot_delta(
       plain per-key ``lag`` would otherwise reach further back.
     * the gap rule counts minute *boundaries* like T-SQL ``DATEDIFF``.
     * ``drop_resets``: rows where any ``monotonic`` counter fell are dropped.
+    * ``bucket``: the ``lag`` runs per ``(series, time bucket)`` with a
+      boundary fix-up (:func:`_bucketed_lag`) so one hot series never lands
+      in a single task; ``None`` uses one window per series.
     """
     monotonic = list(counters) if monotonic is None else list(monotonic)
     part = [server, *keys]
-    w = Window.partitionBy(*part).orderBy(ts)
     cols = [*part, ts, *carry, *counters]
     base = df.select(*dict.fromkeys(cols))
-    out = base.select(
-        "*",
-        F.lag(ts).over(w).alias("prev_ts"),
-        *[F.lag(c).over(w).alias(f"__prev_{c}") for c in counters],
-    ).filter(F.col("prev_ts").isNotNull())
+    if bucket is None:
+        w = Window.partitionBy(*part).orderBy(ts)
+        out = base.select(
+            "*",
+            F.lag(ts).over(w).alias("prev_ts"),
+            *[F.lag(c).over(w).alias(f"__prev_{c}") for c in counters],
+        )
+    else:
+        out = _bucketed_lag(base, part, ts, counters, bucket)
+    out = out.filter(F.col("prev_ts").isNotNull())
     if strict:
         cal = snapshot_calendar(df, ts=ts, server=server)
         out = out.join(cal, [server, ts], "inner").filter(F.col("prev_ts") == F.col("server_prev_ts")).drop(

@@ -123,12 +123,12 @@ def q_sd04_cat(spark, sf_dir):
 SELECT server_name, check_ts, metric, elapsed_seconds, cum_value_delta AS wait_delta,
        CAST(floor(cum_value_delta / 1000) AS BIGINT) AS wait_seconds,
        row_number() OVER (PARTITION BY server_name, check_ts ORDER BY cum_value_delta DESC, metric) AS wait_rank
-FROM d WHERE cum_value_delta > 0.5 * elapsed_seconds * 1000 / 20
+FROM d WHERE cum_value_delta > 0.5 * elapsed_seconds * 0.5
 QUALIFY wait_rank <= 10""")
 def q_sd07(spark, sf_dir):
-    # the fixture's hourly counters are in cents, so the share is scaled to
-    # 1/20 of elapsed time to get a non-trivial answer
-    return sd.significant_waits(_deltas(spark, sf_dir, "plain"), share=0.5, scale=1000.0 / 20)
+    # the fixture counters are cents per hour, so elapsed seconds are scaled
+    # by 0.5 (instead of 1000 ms) to get a non-trivial answer
+    return sd.significant_waits(_deltas(spark, sf_dir, "plain"), share=0.5, scale=0.5)
 
 
 @_register("sd08_poison_waits", ofx.with_(ofx.f1("plain"), _CAL, "d AS (" + _DELTA_SELECT + ")") + """
