@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType, TimestampNTZType
 
+from ..functions.scalar import ntz_to_instant
+
 
 def _minutes(a: pd.Timestamp, b: pd.Timestamp) -> int:
     return int((b.floor("min") - a.floor("min")).total_seconds() // 60)
@@ -98,5 +100,11 @@ def stream_snapshot_delta(stream: DataFrame, keys: Sequence[str], counters: Sequ
         if rows:
             yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 
-    return (stream.withWatermark(ts, watermark).groupBy(*group)
+    # watermarks need an instant: zone-less timestamps are read as UTC
+    if isinstance(stream.schema[ts].dataType, TimestampNTZType):
+        stream = stream.withColumn("__event_time", ntz_to_instant(ts))
+        wcol = "__event_time"
+    else:
+        wcol = ts
+    return (stream.withWatermark(wcol, watermark).groupBy(*group)
             .applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout))

@@ -99,3 +99,33 @@ def test_no_cartesian_in_core_plans(spark):
     for name in ["sd01_snapshot_delta_restart", "bk03_recovery_points", "qs01_share_of_total", "blk01_blocked_with_blocker"]:
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_bucketed_lag_crosses_day_boundary(spark):
+    # 23:50 -> 00:10 is a 20-minute gap across the day bucket
+    rows = [("s", dt.datetime(2024, 1, 1, 23, 50), "a", 10, 1), ("s", dt.datetime(2024, 1, 2, 0, 10), "a", 30, 2),
+            ("s", dt.datetime(2024, 1, 5, 0, 10), "a", 50, 3)]        # after three empty days
+    out = deltas(spark, rows, max_minutes=None)
+    assert out[("a", dt.datetime(2024, 1, 2, 0, 10))].cum_value_delta == 20
+    assert out[("a", dt.datetime(2024, 1, 5, 0, 10))].prev_ts == dt.datetime(2024, 1, 2, 0, 10)
+    plain = deltas(spark, rows, max_minutes=None, bucket=None)
+    assert {k: v.cum_value_delta for k, v in out.items()} == {k: v.cum_value_delta for k, v in plain.items()}
+
+
+def test_rule_engine_single_scan(spark):
+    from fleetscope.operators.rules import Rule, run_rules
+
+    df = spark.createDataFrame([("s", "d", 5), ("s", "e", 50)], "server_name string, database_name string, v long")
+    rules = [Rule(1, 10, "g", "big", "v > 10", "concat('v=', v)", "v"), Rule(2, 20, "g", "any", "v > 0")]
+    out = sorted((r.database_name, r.check_id) for r in run_rules(df, rules).collect())
+    assert out == [("d", 2), ("e", 1), ("e", 2)]
+    plan = run_rules(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_skip_list_null_wildcards(spark):
+    from fleetscope.operators.rules import apply_skip_list
+
+    f = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3)], "database_name string, check_id int")
+    skips = spark.createDataFrame([("a", 1), (None, 3), ("b", None)], "database_name string, check_id int")
+    assert sorted(tuple(r) for r in apply_skip_list(f, skips).collect()) == [("a", 2)]
