@@ -27,7 +27,8 @@ def processes(parsed: DataFrame) -> DataFrame:
     d = F.col("deadlock")
     victims = F.transform(d.getField("victim-list").getField("victimProcess"), lambda v: v["_id"])
     p = parsed.select(*EV, victims.alias("__victims"),
-                      F.explode(d.getField("process-list").getField("process")).alias("p"))
+                      F.explode_outer(d.getField("process-list").getField("process")).alias("p")).filter(
+        F.col("p").isNotNull())  # explode_outer: no inferred filter re-parsing the document below the explode
     return p.select(
         *EV, F.col("p._id").alias("process_id"), F.col("p._spid").alias("spid"),
         F.col("p._waittime").alias("wait_time_ms"), F.col("p._lockMode").alias("lock_mode"),
@@ -57,7 +58,7 @@ def lock_edges(parsed: DataFrame) -> DataFrame:
         return lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("r"))
 
     tagged = [F.transform(F.coalesce(rl.getField(k), empty), tag(k)) for k in LOCK_KINDS]
-    res = parsed.select(*EV, F.explode(F.concat(*tagged)).alias("x"))
+    res = parsed.select(*EV, F.explode_outer(F.concat(*tagged)).alias("x")).filter(F.col("x").isNotNull())
     res = res.select(*EV, F.col("x.kind").alias("lock_kind"), F.col("x.r._objectname").alias("object_name"),
                      F.col("x.r._indexname").alias("index_name"), F.col("x.r._dbid").alias("db_id"),
                      F.col("x.r._mode").alias("resource_mode"),

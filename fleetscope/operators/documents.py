@@ -37,7 +37,7 @@ def order_documents(orders: DataFrame, lines: DataFrame) -> DataFrame:
 def document_lines(docs: DataFrame, *, doc: str = "doc") -> DataFrame:
     """DOC-2: JSON array of line objects to typed rows with line totals."""
     items = F.from_json(F.get_json_object(F.col(doc), "$.items"), LINE_SCHEMA)
-    e = docs.select("order_id", F.explode(items).alias("i"))
+    e = docs.select("order_id", F.explode_outer(items).alias("i")).filter(F.col("i").isNotNull())
     return e.select("order_id", "i.line", "i.part", "i.qty", "i.price_cents",
                     (F.col("i.qty") * F.col("i.price_cents")).alias("line_total_cents"))
 

@@ -114,7 +114,7 @@ def parameter_mismatches(plans: DataFrame, *, xml: str = "plan_xml", keys: Seque
     z = F.arrays_zip(F.xpath(x, F.lit(f"{ref}/@Column")).alias("name"),
                      F.xpath(x, F.lit(f"{ref}/@ParameterCompiledValue")).alias("compiled"),
                      F.xpath(x, F.lit(f"{ref}/@ParameterRuntimeValue")).alias("runtime"))
-    p = plans.select(*keys, F.explode(z).alias("p"))
+    p = plans.select(*keys, F.explode_outer(z).alias("p")).filter(F.col("p").isNotNull())
     return p.select(*keys, F.col("p.name").alias("parameter"), F.col("p.compiled").alias("compiled_value"),
                     F.col("p.runtime").alias("runtime_value")).filter(
         ~F.col("compiled_value").eqNullSafe(F.col("runtime_value")))

@@ -48,7 +48,10 @@ def run_rules(facts: DataFrame, rules: Sequence[Rule], *, server: str | None = "
         (F.col(database).cast("string") if database else F.lit(None).cast("string")).alias("database_name"),
         (F.col(ts).cast("timestamp_ntz") if ts else F.lit(None).cast("timestamp_ntz")).alias("check_ts"),
     ]
-    out = facts.select(*keys, F.explode(F.array_compact(F.array(*items))).alias("f"))
+    # explode_outer + filter: a plain explode lets the optimizer infer a
+    # size() > 0 filter and push it below, evaluating every rule twice
+    out = facts.select(*keys, F.explode_outer(F.array_compact(F.array(*items))).alias("f")).filter(
+        F.col("f").isNotNull())
     return out.select("server_name", "database_name", "check_ts", "f.*").select(*FINDING_COLUMNS)
 
 
