@@ -177,14 +177,17 @@ def wait_by_database(procs: DataFrame) -> DataFrame:
 def special_participants(procs: DataFrame, edges: DataFrame) -> DataFrame:
     """DL-12 checks 14/15/16 as findings: parallel deadlocks (exchange
     events), sleeping/background participants, implicit transactions."""
-    par = edges.filter(F.col("lock_kind") == "exchangeEvent").select("event_id").distinct().join(
-        procs.select("event_id", "database_name").distinct(), "event_id")
-    a = _events_per(par, ["database_name"]).withColumn("check_id", F.lit(14))
-    b = _events_per(procs.filter(F.col("status").isin("sleeping", "background")), ["database_name"]).withColumn(
-        "check_id", F.lit(15))
-    c = _events_per(procs.filter(F.col("transaction_name") == "implicit_transaction"), ["database_name"]).withColumn(
-        "check_id", F.lit(16))
-    u = a.unionByName(b).unionByName(c)
+    # one pass over the processes: three conditional distinct counts, then unpivot
+    par = edges.filter(F.col("lock_kind") == "exchangeEvent").select("event_id").distinct().withColumn(
+        "__par", F.lit(True))
+    p = procs.select("event_id", "database_name", "status", "transaction_name").join(par, "event_id", "left")
+    ev = F.col("event_id")
+    g = p.groupBy("database_name").agg(
+        F.count_distinct(F.when(F.col("__par"), ev)).cast("long").alias("c14"),
+        F.count_distinct(F.when(F.col("status").isin("sleeping", "background"), ev)).cast("long").alias("c15"),
+        F.count_distinct(F.when(F.col("transaction_name") == "implicit_transaction", ev)).cast("long").alias("c16"))
+    u = g.select("database_name", F.expr("stack(3, 14, c14, 15, c15, 16, c16) AS (check_id, deadlocks)")).filter(
+        F.col("deadlocks") > 0)
     names = {14: "Parallel deadlocks", 15: "Sleeping or background queries", 16: "Implicit transactions"}
     finding = F.when(F.col("check_id") == 14, names[14]).when(F.col("check_id") == 15, names[15]).otherwise(names[16])
     return as_findings(u, check_id=F.col("check_id"), priority=100, group="Deadlocks", finding=finding,
