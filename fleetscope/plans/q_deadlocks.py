@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import deadlocks as dl
 from ..sources.events import parse_deadlocks
+from ..streaming.pipelines import scratch_path
 from .fixture_f6 import f6_events
 
 QUERIES: dict = {}
@@ -64,20 +65,38 @@ PROC_COLS = ("event_id, event_ts, process_id, spid, wait_time_ms, lock_mode, sta
 
 
 def parsed(spark, sf_dir):
+    """Events parsed from their XML documents (SRC-3/4), inside the query."""
     return parse_deadlocks(f6_events(spark, sf_dir))
 
 
+_SHREDDED: dict = {}
+
+
+def shredded(spark, sf_dir):
+    """The parsed events written once per session as a parquet table in the
+    shared checkpoint folder -- shred once, report many times -- so the
+    reports below read typed columns instead of re-parsing XML each time."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _SHREDDED.get(key)
+    if path is None:
+        path = scratch_path(spark, "deadlocks-parsed")
+        parsed(spark, sf_dir).write.parquet(path)
+        _SHREDDED[key] = path
+    return spark.read.parquet(path)
+
+
 def procs(spark, sf_dir):
-    return dl.processes(parsed(spark, sf_dir))
+    return dl.processes(shredded(spark, sf_dir))
 
 
 def edges(spark, sf_dir):
-    return dl.lock_edges(parsed(spark, sf_dir))
+    return dl.lock_edges(shredded(spark, sf_dir))
 
 
 @reg("dl01_processes", F6 + f"SELECT {PROC_COLS} FROM f6")
 def q_dl01(spark, sf_dir):
-    return procs(spark, sf_dir).drop("frames")
+    # DL-1 itself shreds straight from the XML documents
+    return dl.processes(parsed(spark, sf_dir)).drop("frames")
 
 
 @reg("dl02_frames", F6 + """
