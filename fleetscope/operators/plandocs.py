@@ -17,44 +17,58 @@ from pyspark.sql import functions as F
 from ..functions.scalar import try_ratio
 
 
-def _op_cost(op: str) -> str:
-    return f"sum(//RelOp[@PhysicalOp='{op}']/@EstimatedTotalSubtreeCost)"
-
-
-# Feature name, kind, XPath.
+# Feature name, kind, XPath (or physical operator name for the
+# ``op_*`` kinds, which are answered from one shared operator list per plan).
 PLAN_FEATURES: list[tuple[str, str, str]] = [
     ("compile_timeout", "boolean", "//StmtSimple[@StatementOptmEarlyAbortReason='TimeOut']"),
     ("compile_memory_limit", "boolean", "//StmtSimple[@StatementOptmEarlyAbortReason='MemoryLimitExceeded']"),
     ("implicit_conversion", "boolean", "//Warnings/PlanAffectingConvert"),
     ("unparameterized", "boolean", "not(//ParameterList)"),
-    ("has_key_lookup", "boolean", "//RelOp[@PhysicalOp='Key Lookup']"),
-    ("has_table_scan", "boolean", "//RelOp[@PhysicalOp='Table Scan']"),
-    ("has_remote_query", "boolean", "//RelOp[@PhysicalOp='Remote Query']"),
+    ("has_key_lookup", "op_exists", "Key Lookup"),
+    ("has_table_scan", "op_exists", "Table Scan"),
+    ("has_remote_query", "op_exists", "Remote Query"),
     ("statement_cost", "double", "sum(//StmtSimple/@StatementSubTreeCost)"),
-    ("key_lookup_cost", "double", _op_cost("Key Lookup")),
-    ("sort_cost", "double", _op_cost("Sort")),
-    ("remote_query_cost", "double", _op_cost("Remote Query")),
-    ("index_spool_cost", "double", _op_cost("Index Spool")),
-    ("table_spool_cost", "double", _op_cost("Table Spool")),
-    ("operator_count", "double", "count(//RelOp)"),
+    ("key_lookup_cost", "op_cost", "Key Lookup"),
+    ("sort_cost", "op_cost", "Sort"),
+    ("remote_query_cost", "op_cost", "Remote Query"),
+    ("index_spool_cost", "op_cost", "Index Spool"),
+    ("table_spool_cost", "op_cost", "Table Spool"),
+    ("operator_count", "op_count", ""),
     ("warning_count", "double", "count(//Warnings)"),
     ("missing_index_count", "double", "count(//MissingIndexGroup)"),
 ]
 
+_OPS = "__ops"
+
 
 def _xp(xml: Column, kind: str, path: str) -> Column:
+    ops = F.col(_OPS)
     if kind == "boolean":
         return F.xpath_boolean(xml, F.lit(path))
     if kind == "double":
         return F.xpath_double(xml, F.lit(path))
+    if kind == "op_exists":
+        return F.exists(ops, lambda o: o["op"] == F.lit(path))
+    if kind == "op_cost":
+        return F.aggregate(ops, F.lit(0.0), lambda acc, o: acc + F.when(o["op"] == F.lit(path), o["cost"])
+                           .otherwise(F.lit(0.0)))
+    if kind == "op_count":
+        return F.size(ops).cast("double")
     return F.xpath_string(xml, F.lit(path))
 
 
 def plan_features(plans: DataFrame, *, xml: str = "plan_xml",
                   features: Sequence[tuple[str, str, str]] = PLAN_FEATURES) -> DataFrame:
-    """QS-8: one column per feature of ``features``."""
+    """QS-8: one column per feature of ``features``.  Every XPath call parses
+    the document again, so all operator-level features share one operator
+    list (two XPath calls: physical operators and their costs, zipped in
+    document order; every ``RelOp`` carries both attributes)."""
     x = F.col(xml)
-    return plans.select(*[c for c in plans.columns if c != xml], *[_xp(x, k, p).alias(n) for n, k, p in features])
+    ops = F.arrays_zip(F.xpath(x, F.lit("//RelOp/@PhysicalOp")).alias("op"),
+                       F.transform(F.xpath(x, F.lit("//RelOp/@EstimatedTotalSubtreeCost")),
+                                   lambda c: c.cast("double")).alias("cost"))
+    base = plans.select("*", ops.alias(_OPS))
+    return base.select(*[c for c in plans.columns if c != xml], *[_xp(x, k, p).alias(n) for n, k, p in features])
 
 
 def operator_cost_flags(features: DataFrame, *, ctp: float = 50.0) -> DataFrame:
