@@ -195,19 +195,20 @@ def special_participants(procs: DataFrame, edges: DataFrame) -> DataFrame:
                        server=None, database="database_name")
 
 
-def incident_report(procs: DataFrame) -> DataFrame:
+def incident_report(procs: DataFrame, *, bucket: str = "hour") -> DataFrame:
     """DL-13: incident number (dense rank of events by time, id) and
     participant ordinal within the incident, victim flag.
 
     The dense rank is computed without a global window: events are ranked
-    inside their day and offset by the number of events on earlier days
-    (a running sum over the small per-day count frame)."""
-    ev = procs.select(*EV).distinct().withColumn("day", F.date_trunc("day", "event_ts"))
-    per_day = ev.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    per_day = per_day.withColumn("offset", F.sum("n").over(
-        Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = ev.withColumn("r", F.dense_rank().over(Window.partitionBy("day").orderBy("event_ts", "event_id")))
-    inc = ranked.join(per_day, "day").select(
+    inside their time ``bucket`` and offset by the number of events in
+    earlier buckets (a running sum over the small per-bucket count frame),
+    so no single task sorts all events."""
+    ev = procs.select(*EV).distinct().withColumn("__bk", F.date_trunc(bucket, "event_ts"))
+    per = ev.groupBy("__bk").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("offset", F.sum("n").over(
+        Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = ev.withColumn("r", F.dense_rank().over(Window.partitionBy("__bk").orderBy("event_ts", "event_id")))
+    inc = ranked.join(per, "__bk").select(
         *EV, (F.coalesce(F.col("offset"), F.lit(0)) + F.col("r")).cast("long").alias("incident"))
     w = Window.partitionBy("event_id").orderBy(F.col("is_victim").desc(), F.col("process_id"))
     p = procs.select(*EV, "process_id", "database_name", "login_name", "is_victim",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts: str, right_ts: str,
-              right_cols: Sequence[str], strict: bool = True) -> DataFrame:
+              right_cols: Sequence[str], strict: bool = True, bucket: str | None = "day") -> DataFrame:
     """JN-8: for each left row the latest right row of the same ``by`` key with
     ``right_ts`` before (``strict``) or at ``left_ts`` -- the ``CROSS APPLY
     (TOP 1 ... ORDER BY ts DESC)`` pattern.  Both sides are unioned and one
@@ -30,11 +30,41 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts:
                      *[F.lit(None).cast(right.schema[c].dataType).alias(f"__r_{c}") for c in rc])
     r_ = right.select(*b, F.col(right_ts).alias("__t"), F.lit(1 if strict else 0).alias("__o"),
                       F.lit(None).cast(ltype).alias("__l"), *[F.col(c).alias(f"__r_{c}") for c in rc])
-    u = l_.unionByName(r_)
-    w = Window.partitionBy(*b).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.last(f"__r_{c}", ignorenulls=True).over(w).alias(c) for c in rc]
-    out = u.select(*b, "__l", *carried).filter(F.col("__l").isNotNull())
-    return out.select(*b, "__l.*", *rc)
+    u = l_.unionByName(r_).withColumn("__rv", F.when(F.col("__l").isNull(), F.struct(*[F.col(f"__r_{c}").alias(c)
+                                                                                      for c in rc])))
+    u = carry_last(u, by=b, ts="__t", tie=["__o"], value="__rv", out="__carried", exclusive=True, bucket=bucket)
+    out = u.filter(F.col("__l").isNotNull())
+    return out.select(*b, "__l.*", *[F.col(f"__carried.{c}").alias(c) for c in rc])
+
+
+def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str,
+               exclusive: bool = False, bucket: str | None = "day") -> DataFrame:
+    """Last non-null ``value`` in ``(ts, tie)`` order within ``by``, up to the
+    current row (or strictly before it with ``exclusive``) -- ``LAST(...
+    IGNORE NULLS)`` over a running frame.
+
+    With a time ``bucket`` the window is partitioned by ``(by, bucket)`` so a
+    hot key (a third of all rows) is spread over its buckets; rows with
+    nothing earlier in their bucket take the value carried out of the
+    previous non-empty buckets, computed on the small per-(key, bucket)
+    summary and attached by an equi-join."""
+    b = list(by)
+    order = [F.col(ts), *[F.col(t) for t in tie]]
+    frame_end = -1 if exclusive else Window.currentRow
+    if bucket is None:
+        w = Window.partitionBy(*b).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    x = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
+    w = Window.partitionBy(*b, "__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+    x = x.withColumn("__local", F.last(value, ignorenulls=True).over(w))
+    # every (key, bucket) present gets a row, so empty buckets inherit below
+    summ = x.groupBy(*b, "__bk").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__bucket_last"))
+    wb = Window.partitionBy(*b).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*b, "__bk", F.last("__bucket_last", ignorenulls=True).over(wb).alias("__before"))
+    j = x.join(summ, [*b, "__bk"], "left")
+    # buckets without any value still need what came before them
+    return j.withColumn(out, F.coalesce(F.col("__local"), F.col("__before"))).drop("__bk", "__local", "__before")
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, by: Sequence[str], point: str, start: str, end: str,
