@@ -55,16 +55,18 @@ def throughput_by_type(backups: DataFrame, *, since=None, digits: int = 4) -> Da
     return out.filter(F.col("full_size_mb_avg").isNotNull())
 
 
-def rpo_gaps(backups: DataFrame) -> DataFrame:
+def rpo_gaps(backups: DataFrame, *, bucket: str | None = "day") -> DataFrame:
     """BK-2: gap to the previous backup of the same database (any type).
 
     The previous backup is the one with the latest earlier finish *and* a
     smaller set id; ordering by ``(finish, id)`` makes that the ``lag`` row
     whenever ids rise with finish time, which backup history guarantees."""
-    w = Window.partitionBy(*DB).orderBy("backup_finish_date", "backup_set_id")
-    b = backups.select(*DB, "backup_set_id", "backup_finish_date",
-                       F.lag("backup_set_id").over(w).alias("prior_backup_set_id"),
-                       F.lag("backup_finish_date").over(w).alias("prior_finish_date"))
+    from .relational import bucketed_lag
+
+    b = bucketed_lag(backups.select(*DB, "backup_set_id", "backup_finish_date"), by=DB, ts="backup_finish_date",
+                     tie=["backup_set_id"], cols=["backup_set_id"], bucket=bucket, prefix="__p_")
+    b = b.select(*DB, "backup_set_id", "backup_finish_date", F.col("__p_backup_set_id").alias("prior_backup_set_id"),
+                 F.col("__p_backup_finish_date").alias("prior_finish_date"))
     b = b.filter(F.col("prior_backup_set_id").isNotNull())
     return b.withColumn("gap_seconds", datediff_boundary("second", F.col("prior_finish_date"),
                                                            F.col("backup_finish_date")))

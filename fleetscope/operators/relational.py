@@ -37,6 +37,32 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts:
     return out.select(*b, "__l.*", *[F.col(f"__carried.{c}").alias(c) for c in rc])
 
 
+def bucketed_lag(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str] = (), cols: Sequence[str] = (),
+                 bucket: str | None = "day", prefix: str = "prev_") -> DataFrame:
+    """``lag`` of ``ts`` and ``cols`` over ``(ts, tie)`` order within ``by``
+    (columns ``prev_<name>``), without one task per key: the window runs per
+    ``(by, time bucket)`` and the first row of a bucket takes the last row of
+    the previous non-empty bucket (``lag`` over the small per-bucket summary,
+    attached by an equi-join)."""
+    b = list(by)
+    names = [ts, *cols]
+    order = [F.col(ts), *[F.col(t) for t in tie]]
+    if bucket is None:
+        w = Window.partitionBy(*b).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(w).alias(f"{prefix}{c}") for c in names])
+    x = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
+    w = Window.partitionBy(*b, "__bk").orderBy(*order)
+    x = x.select("*", *[F.lag(c).over(w).alias(f"__lag_{c}") for c in names])
+    last = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts))).groupBy(*b, "__bk").agg(
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in names]), F.struct(*order)).alias("__last"))
+    wb = Window.partitionBy(*b).orderBy("__bk")
+    prev = last.select(*b, "__bk", F.lag("__last").over(wb).alias("__pl"))
+    j = x.join(prev, [*b, "__bk"], "left")
+    first = F.col(f"__lag_{ts}").isNull()
+    return j.select(*df.columns, *[F.when(first, F.col(f"__pl.{c}")).otherwise(F.col(f"__lag_{c}"))
+                                   .alias(f"{prefix}{c}") for c in names])
+
+
 def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str,
                exclusive: bool = False, bucket: str | None = "day") -> DataFrame:
     """Last non-null ``value`` in ``(ts, tie)`` order within ``by``, up to the

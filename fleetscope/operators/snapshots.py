@@ -5,11 +5,12 @@ is the difference to the *immediately previous* snapshot of the same
 server; it is only meaningful when the gap is short and the counter did not
 fall (which means the server restarted and the counters were reset).
 
-Physical plan: one ``lag`` window over ``(server, keys)`` ordered by time --
-a single exchange on the series key, so a hot server is spread over its
-keys -- plus an equi-join to the per-server snapshot calendar (distinct
-``(server, ts)``, small, AQE broadcasts it when it measures small).  This
-replaces the reference's theta self-join on ``CheckDate``.
+Physical plan: one ``lag`` window over ``(server, keys, day)`` ordered by
+time -- a hot server is spread over its keys and a hot series over its days,
+with the first row of a day patched from the previous day's last row -- plus
+an equi-join to the per-server snapshot calendar (distinct ``(server, ts)``,
+small; AQE broadcasts it when it measures small).  This replaces the
+reference's theta self-join on ``CheckDate``.
 """
 
 from __future__ import annotations
@@ -22,35 +23,26 @@ from pyspark.sql import functions as F
 from ..functions.scalar import datediff_boundary, try_ratio
 
 
-def snapshot_calendar(df: DataFrame, *, ts: str = "check_ts", server: str = "server_name") -> DataFrame:
-    """Distinct snapshot times per server with the server's previous time."""
+def snapshot_calendar(df: DataFrame, *, ts: str = "check_ts", server: str = "server_name",
+                      bucket: str | None = "day") -> DataFrame:
+    """Distinct snapshot times per server with the server's previous time
+    (time-bucketed ``lag``, so a server with most snapshots is not one task)."""
+    from .relational import bucketed_lag
+
     snaps = df.select(server, ts).distinct()
-    w = Window.partitionBy(server).orderBy(ts)
-    return snaps.withColumn("server_prev_ts", F.lag(ts).over(w))
+    return bucketed_lag(snaps, by=[server], ts=ts, bucket=bucket, prefix="__cal_").withColumnRenamed(
+        f"__cal_{ts}", "server_prev_ts")
 
 
 def _bucketed_lag(base: DataFrame, part: Sequence[str], ts: str, counters: Sequence[str], bucket: str) -> DataFrame:
-    """``lag`` over ``(series, ts)`` computed without one task per series.
-
-    The window is partitioned by ``(series, time bucket)``, so a hot series
-    (say a third of all rows) is spread over its buckets; the first row of a
-    bucket takes its predecessor from the last row of the previous non-empty
-    bucket, found with a ``lag`` over the small per-(series, bucket) summary
-    and attached by an equi-join on ``(series, bucket)``."""
-    x = base.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
-    w = Window.partitionBy(*part, "__bk").orderBy(ts)
-    x = x.select("*", F.lag(ts).over(w).alias("__lag_ts"), *[F.lag(c).over(w).alias(f"__lag_{c}") for c in counters])
-    last = base.withColumn("__bk", F.date_trunc(bucket, F.col(ts))).groupBy(*part, "__bk").agg(
-        F.max_by(F.struct(F.col(ts).alias("t"), *[F.col(c).alias(c) for c in counters]), F.col(ts)).alias("__last"))
-    wb = Window.partitionBy(*part).orderBy("__bk")
-    prev = last.select(*part, "__bk", F.lag("__last").over(wb).alias("__pl"))
-    j = x.join(prev, [*part, "__bk"], "left")
-    first = F.col("__lag_ts").isNull()
-    return j.select(
-        *[c for c in base.columns],
-        F.when(first, F.col("__pl.t")).otherwise(F.col("__lag_ts")).alias("prev_ts"),
-        *[F.when(first, F.col(f"__pl.{c}")).otherwise(F.col(f"__lag_{c}")).alias(f"__prev_{c}") for c in counters],
-    )
+    """``lag`` over ``(series, ts)`` computed without one task per series:
+    the window runs per ``(series, time bucket)`` and the first row of a
+    bucket takes its predecessor from the previous non-empty bucket (see
+    :func:`fleetscope.operators.relational.bucketed_lag`)."""
+    from .relational import bucketed_lag
+
+    x = bucketed_lag(base, by=part, ts=ts, cols=counters, bucket=bucket, prefix="__prev_")
+    return x.withColumnRenamed(f"__prev_{ts}", "prev_ts")
 
 
 def snapshot_delta(
