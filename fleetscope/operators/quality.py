@@ -84,3 +84,27 @@ def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
                            F.coalesce("string_bytes", F.lit(0)).cast("long").alias("string_bytes"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def objects_exist(requests: DataFrame, objects: DataFrame, *, name: str = "object_name",
+                  type_col: str = "object_type") -> DataFrame:
+    """§2.17 ``check_object_exists``: each requested ``(name, type)`` with an
+    ``exists`` flag; a NULL requested type matches any type (two equi
+    semi-joins, no OR join)."""
+    typed = requests.filter(F.col(type_col).isNotNull())
+    untyped = requests.filter(F.col(type_col).isNull())
+    obj = objects.select(name, type_col).distinct()
+    a = typed.join(obj.withColumn("__hit", F.lit(True)), [name, type_col], "left")
+    b = untyped.join(obj.select(name).distinct().withColumn("__hit", F.lit(True)), [name], "left")
+    return a.unionByName(b).withColumn("exists", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def procedure_info(procedures: DataFrame, parameters: DataFrame, stats: DataFrame) -> DataFrame:
+    """§2.17 ``get_stored_proc_info``: procedure, create/modify dates, execution
+    count (from the statistics table) and parameter count (left joins on the
+    procedure key after aggregating each side)."""
+    p = parameters.groupBy("object_id").agg(F.count(F.lit(1)).cast("long").alias("parameter_count"))
+    s = stats.groupBy("object_id").agg(F.sum("execution_count").cast("long").alias("execute_count"))
+    return procedures.join(p, "object_id", "left").join(s, "object_id", "left").select(
+        "object_id", "procedure_name", "create_date", "modify_date", "execute_count",
+        F.coalesce("parameter_count", F.lit(0)).cast("long").alias("parameter_count"))

@@ -19,6 +19,7 @@ PLAN_MODULES = [
     "q_streaming",
     "q_relational",
     "q_rules_extra",
+    "q_functions",
 ]
 
 

@@ -57,3 +57,19 @@ def test_stream_equals_batch_in_two_batch_sizes(spark):
             "cum_value_delta", "cum_count_delta").collect()}
         assert got == batch
     assert os.path.isdir(spark.sparkContext.getCheckpointDir().replace("file:", ""))
+
+
+def test_objects_exist_and_procedure_info(spark):
+    from fleetscope.operators.quality import objects_exist, procedure_info
+
+    objs = spark.createDataFrame([("t1", "U"), ("v1", "V")], "object_name string, object_type string")
+    req = spark.createDataFrame([("t1", "U"), ("t1", "V"), ("v1", None), ("x", None)],
+                                "object_name string, object_type string")
+    got = {(r.object_name, r.object_type): r.exists for r in objects_exist(req, objs).collect()}
+    assert got == {("t1", "U"): True, ("t1", "V"): False, ("v1", None): True, ("x", None): False}
+    procs = spark.createDataFrame([(1, "p1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))],
+                                  "object_id long, procedure_name string, create_date timestamp_ntz, modify_date timestamp_ntz")
+    params = spark.createDataFrame([(1, 1), (1, 2)], "object_id long, parameter_id long")
+    stats = spark.createDataFrame([(1, 5), (1, 7)], "object_id long, execution_count long")
+    r = procedure_info(procs, params, stats).collect()[0]
+    assert (r.execute_count, r.parameter_count) == (12, 2)
