@@ -129,3 +129,20 @@ def test_skip_list_null_wildcards(spark):
     f = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 3)], "database_name string, check_id int")
     skips = spark.createDataFrame([("a", 1), (None, 3), ("b", None)], "database_name string, check_id int")
     assert sorted(tuple(r) for r in apply_skip_list(f, skips).collect()) == [("a", 2)]
+
+
+def test_malformed_xml_and_json_are_tolerated(spark):
+    from fleetscope.operators.deadlocks import processes
+    from fleetscope.operators.documents import json_paths
+    from fleetscope.sources.events import parse_deadlocks
+
+    good = ('<deadlock><victim-list><victimProcess id="p1"/></victim-list><process-list>'
+            '<process id="p1" spid="51" waittime="10"/><process id="p2" spid="52" waittime="20"/>'
+            '</process-list><resource-list/></deadlock>')
+    rows = [(1, T0, good), (2, T0, "<deadlock><process-list><process id="), (3, T0, "not xml at all")]
+    df = spark.createDataFrame(rows, "event_id long, event_ts timestamp_ntz, event_xml string")
+    got = sorted((r.event_id, r.process_id, r.is_victim) for r in processes(parse_deadlocks(df)).collect())
+    assert got == [(1, "p1", True), (1, "p2", False)]
+    j = spark.createDataFrame([('{"k": 5}',), ("{bad json",), (None,)], "props string")
+    out = sorted((r.k is None, r.k) for r in json_paths(j, doc="props", paths={"k": ("$.k", "long")}).collect())
+    assert out == [(False, 5), (True, None), (True, None)]
