@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.scalar import statement_text
 
@@ -100,5 +100,3 @@ def split_rows(df: DataFrame, *, col: str, sep: str, key: Sequence[str]) -> Data
 
     return explode_list(df.select(*key, col), col, out="item", sep=sep).drop(col)
 
-
-STRING_ARRAY = ArrayType(StringType())

@@ -50,7 +50,7 @@ def orphaned_files(files: DataFrame, databases: DataFrame, *, key: Sequence[str]
     return files.join(databases.select(*key), list(key), "left_anti")
 
 
-def index_size_estimate(indexes: DataFrame, widths: Mapping[str, int] | None = None, *, default_width: int = 8) -> DataFrame:
+def index_size_estimate(indexes: DataFrame, *, default_width: int = 8) -> DataFrame:
     """DQ-5: index size estimate = rows x (key width + row overhead) from the
     real row count (the reference counts one dummy row)."""
     width = F.aggregate(F.transform("keys", lambda k: F.length(k) + F.lit(default_width)), F.lit(0),
