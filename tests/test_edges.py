@@ -146,3 +146,23 @@ def test_malformed_xml_and_json_are_tolerated(spark):
     j = spark.createDataFrame([('{"k": 5}',), ("{bad json",), (None,)], "props string")
     out = sorted((r.k is None, r.k) for r in json_paths(j, doc="props", paths={"k": ("$.k", "long")}).collect())
     assert out == [(False, 5), (True, None), (True, None)]
+
+
+def test_time_window_is_pushed_into_the_scan(spark):
+    from fleetscope.sources.tables import read_snapshots
+
+    df = read_snapshots(spark, "/root/testdata/sf0.001/events.parquet", since=dt.datetime(2024, 1, 10),
+                        until=dt.datetime(2024, 1, 17), ts="ts").select("ts", "value")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,value:double>" in plan
+
+
+def test_rule_engine_reads_the_fact_table_once(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["ix15_descriptive_catalog_rules"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # one scan of part: the seven rules add none, and the unused usage join from
+    # lineitem is pruned away by the optimizer
+    assert plan.count("FileScan parquet") == 1
