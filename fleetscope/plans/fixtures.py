@@ -2,7 +2,7 @@
 
 Each builder maps the generic test tables onto one telemetry shape (see
 FIXTURES.md).  The same projection is written once more in DuckDB SQL in
-:mod:`fleetscope.plans.oracle` so the oracle runs on identical input.
+:mod:`fleetscope.plans.oracle_fixtures` so the oracle runs on identical input.
 Operators never see these names; they receive plain DataFrames.
 
 Rules: no randomness, no ``now()``, money and counters in integer cents,
@@ -99,9 +99,6 @@ def f2_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- F3
-_TYPE = {"F": "D", "P": "I", "O": "L"}
-
-
 def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backup history: about a third each of full (D), diff (I), log (L)."""
     o = _t(spark, sf_dir, "orders")
