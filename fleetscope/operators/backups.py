@@ -5,10 +5,10 @@ L log), backup_start_date, backup_finish_date, backup_set_id, backup_size,
 compressed_backup_size, user_name, first_lsn, last_lsn`` plus option flags.
 
 Chain questions ("which full does this log belong to", "latest full before
-this time") are as-of lookups.  They are answered with one window per
-database carrying the last full forward (``last(..., ignorenulls)`` over a
-running frame, streamed without buffering the partition) and then equi-joins
-on ``(server, database, segment)`` -- never a theta join.
+this time") are as-of lookups.  They are answered by carrying the last full
+forward (``last(..., ignorenulls)`` over a running frame, per database and
+LSN range so one busy database is not one task) and then aggregates and
+equi-joins on ``(server, database, segment)`` -- never a theta join.
 """
 
 from __future__ import annotations
@@ -80,14 +80,19 @@ def rpo_worst(backups: DataFrame) -> DataFrame:
         "rpo_worst_minutes", F.round(F.col("gap_seconds") / 60.0, 4))
 
 
-def with_full_segment(backups: DataFrame) -> DataFrame:
-    """JN-8 as-of: attach the latest full backup at or before each row's
-    ``first_lsn`` (``seg_full_lsn``) by carrying the last full forward."""
-    w = Window.partitionBy(*DB).orderBy("last_lsn", "backup_set_id").rowsBetween(Window.unboundedPreceding,
-                                                                                 Window.currentRow)
+def with_full_segment(backups: DataFrame, *, rows_per_range: int | None = 1_000_000) -> DataFrame:
+    """JN-8 as-of: attach the latest full backup at or before each row in LSN
+    order (``seg_full_lsn``) by carrying the last full forward.  The carry
+    runs per ``(database, LSN range)`` with ranges sized from each database's
+    own LSN span and row count (:func:`~fleetscope.operators.relational.carry_last`),
+    so a database holding most of the history is not one task."""
+    from .relational import carry_last
+
     is_full = F.col("type") == "D"
-    return backups.withColumn("seg_full_lsn", F.when(is_full, F.col("last_lsn")).otherwise(
-        F.last(F.when(is_full, F.col("last_lsn")), ignorenulls=True).over(w)))
+    b = backups.withColumn("__full_lsn", F.when(is_full, F.col("last_lsn")))
+    b = carry_last(b, by=DB, ts="last_lsn", tie=["backup_set_id"], value="__full_lsn", out="seg_full_lsn",
+                   bucket=rows_per_range)
+    return b.drop("__full_lsn")
 
 
 def recovery_points(backups: DataFrame) -> DataFrame:
@@ -95,18 +100,20 @@ def recovery_points(backups: DataFrame) -> DataFrame:
     follows it up to the next full, the latest diff in that range, and the
     time and size needed to restore full + diff + logs.
 
-    Physical plan: a single exchange on ``(server, database)``; the
-    segment, the segment's last log and chosen diff are windows on that same
-    partitioning and the per-segment totals one aggregate on it -- no
-    self-joins between fulls, diffs and logs."""
+    Physical plan: rows are assigned to their full's segment by a
+    range-bucketed carry-forward; the segment's last log and its chosen diff
+    are small per-segment aggregates joined back on the segment key, and the
+    totals one more aggregate -- no self-joins between fulls, diffs and logs,
+    and no window that would hold a whole (possibly huge) segment in a task."""
     b = with_full_segment(backups.filter(F.col("type").isin("D", "I", "L")))
     b = b.filter(F.col("seg_full_lsn").isNotNull())
     seg = [*DB, "seg_full_lsn"]
-    wseg = Window.partitionBy(*seg)
     typ, lsn = F.col("type"), F.col("last_lsn")
-    b = b.withColumn("log_last_lsn", F.max(F.when(typ == "L", lsn)).over(wseg))
+    last_log = b.filter(typ == "L").groupBy(*seg).agg(F.max("last_lsn").alias("log_last_lsn"))
+    b = b.join(last_log, seg, "left")
     diff_ok = (typ == "I") & (F.col("log_last_lsn").isNull() | (lsn < F.col("log_last_lsn")))
-    b = b.withColumn("diff_last_lsn", F.max(F.when(diff_ok, lsn)).over(wseg))
+    best_diff = b.filter(diff_ok).groupBy(*seg).agg(F.max("last_lsn").alias("diff_last_lsn"))
+    b = b.join(best_diff, seg, "left")
     after = F.coalesce(F.col("diff_last_lsn"), F.col("seg_full_lsn"))
     in_logs = (typ == "L") & (F.col("first_lsn") >= after) & (F.col("first_lsn") <= F.col("log_last_lsn"))
     secs = _secs()

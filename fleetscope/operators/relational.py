@@ -64,12 +64,13 @@ def bucketed_lag(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str
 
 
 def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str], value: str, out: str,
-               exclusive: bool = False, bucket: str | None = "day") -> DataFrame:
+               exclusive: bool = False, bucket: str | int | None = "day") -> DataFrame:
     """Last non-null ``value`` in ``(ts, tie)`` order within ``by``, up to the
     current row (or strictly before it with ``exclusive``) -- ``LAST(...
     IGNORE NULLS)`` over a running frame.
 
-    With a time ``bucket`` the window is partitioned by ``(by, bucket)`` so a
+    With a time ``bucket`` (or, for a numeric order column, an integer target
+    of rows per range) the window is partitioned by ``(by, bucket)`` so a
     hot key (a third of all rows) is spread over its buckets; rows with
     nothing earlier in their bucket take the value carried out of the
     previous non-empty buckets, computed on the small per-(key, bucket)
@@ -80,7 +81,17 @@ def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str],
     if bucket is None:
         w = Window.partitionBy(*b).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    x = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
+    if isinstance(bucket, int):
+        # numeric order (e.g. log sequence numbers): equal-width ranges per key,
+        # sized from the key's own min/max/count so a range holds ~``bucket`` rows
+        st = df.groupBy(*b).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"), F.count(F.lit(1)).alias("__n"))
+        st = st.select(*b, "__lo", F.greatest((F.col("__hi") - F.col("__lo")).cast("double")
+                                              / F.greatest(F.ceil(F.col("__n") / F.lit(bucket)), F.lit(1)),
+                                              F.lit(1.0)).alias("__width"))
+        x = df.join(st, b, "left").withColumn(
+            "__bk", F.floor((F.col(ts) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
+    else:
+        x = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
     w = Window.partitionBy(*b, "__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
     x = x.withColumn("__local", F.last(value, ignorenulls=True).over(w))
     # every (key, bucket) present gets a row, so empty buckets inherit below
