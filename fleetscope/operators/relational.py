@@ -146,9 +146,13 @@ def middle_tile_mean(df: DataFrame, *, keys: Sequence[str], value: str, order_ti
 
 
 def first_last_seen(df: DataFrame, *, key: str, ts: str) -> DataFrame:
-    """WN-8: first and last time each key was seen, kept on every row."""
-    w = Window.partitionBy(key)
-    return df.select("*", F.min(ts).over(w).alias("first_seen"), F.max(ts).over(w).alias("last_seen"))
+    """WN-8: first and last time each key was seen, kept on every row.
+
+    ``MIN/MAX OVER (PARTITION BY key)`` would buffer a hot key's rows in one
+    task; a partially aggregated ``groupBy`` joined back on the key (one row
+    per key, AQE broadcasts or splits a skewed side) gives the same result."""
+    g = df.groupBy(key).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+    return df.join(g, df[key].eqNullSafe(g[key]), "left").drop(g[key])
 
 
 def optional_filters(df: DataFrame, params: Mapping[str, object]) -> DataFrame:
