@@ -166,3 +166,20 @@ def test_rule_engine_reads_the_fact_table_once(spark):
     # one scan of part: the seven rules add none, and the unused usage join from
     # lineitem is pruned away by the optimizer
     assert plan.count("FileScan parquet") == 1
+
+
+def test_middle_tile_matches_ntile_for_any_range_size(spark):
+    from pyspark.sql import Window
+
+    from fleetscope.operators.relational import middle_tile_mean
+
+    rows = [(k, float((i * 37) % 11), i) for k in range(1, 9) for i in range(k)]
+    df = spark.createDataFrame(rows, "k long, v double, t long")
+    w = Window.partitionBy("k").orderBy("v", "t")
+    ref = df.withColumn("tile", F.ntile(3).over(w)).filter("tile = 2").groupBy("k").agg(
+        F.round(F.avg("v"), 4).alias("m"), F.count("*").alias("c"))
+    want = {(r.k, r.m, r.c) for r in ref.collect()}
+    for n in (1, 2, 1000):
+        got = {(r.k, r.middle_mean, r.middle_rows)
+               for r in middle_tile_mean(df, keys=["k"], value="v", order_tie="t", rows_per_range=n).collect()}
+        assert got == want
