@@ -195,15 +195,22 @@ def special_participants(procs: DataFrame, edges: DataFrame) -> DataFrame:
                        server=None, database="database_name")
 
 
-def incident_report(procs: DataFrame, *, bucket: str = "hour") -> DataFrame:
+def incident_report(procs: DataFrame, *, ranges: int = 256) -> DataFrame:
     """DL-13: incident number (dense rank of events by time, id) and
     participant ordinal within the incident, victim flag.
 
-    The dense rank is computed without a global window: events are ranked
-    inside their time ``bucket`` and offset by the number of events in
-    earlier buckets (a running sum over the small per-bucket count frame),
-    so no single task sorts all events."""
-    ev = procs.select(*EV).distinct().withColumn("__bk", F.date_trunc(bucket, "event_ts"))
+    The dense rank is computed without a global window: the event-time axis
+    is cut at approximate quantiles (one ``percentile_approx`` aggregate, a
+    scalar subquery), so a burst of deadlocks is spread over several ranges;
+    events are ranked inside their range and offset by the number of events
+    in lower ranges (a running sum over the small per-range counts)."""
+    ev = procs.select(*EV).distinct()
+    t = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("event_ts"))
+    ev = ev.withColumn("__t", t)
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = ev.agg(F.percentile_approx("__t", probs, 10000).alias("b")).scalar()
+    ev = ev.withColumn("__b", bounds).withColumn(
+        "__bk", F.size(F.filter(F.col("__b"), lambda b: b < F.col("__t")))).drop("__b")
     per = ev.groupBy("__bk").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("offset", F.sum("n").over(
         Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)))
