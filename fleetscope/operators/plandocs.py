@@ -20,8 +20,8 @@ from ..functions.scalar import try_ratio
 # Feature name, kind, XPath (or physical operator name for the
 # ``op_*`` kinds, which are answered from one shared operator list per plan).
 PLAN_FEATURES: list[tuple[str, str, str]] = [
-    ("compile_timeout", "boolean", "//StmtSimple[@StatementOptmEarlyAbortReason='TimeOut']"),
-    ("compile_memory_limit", "boolean", "//StmtSimple[@StatementOptmEarlyAbortReason='MemoryLimitExceeded']"),
+    ("compile_timeout", "abort_reason", "TimeOut"),
+    ("compile_memory_limit", "abort_reason", "MemoryLimitExceeded"),
     ("implicit_conversion", "boolean", "//Warnings/PlanAffectingConvert"),
     ("unparameterized", "boolean", "not(//ParameterList)"),
     ("has_key_lookup", "op_exists", "Key Lookup"),
@@ -39,6 +39,7 @@ PLAN_FEATURES: list[tuple[str, str, str]] = [
 ]
 
 _OPS = "__ops"
+_ABORTS = "__aborts"
 
 
 def _xp(xml: Column, kind: str, path: str) -> Column:
@@ -54,6 +55,8 @@ def _xp(xml: Column, kind: str, path: str) -> Column:
                            .otherwise(F.lit(0.0)))
     if kind == "op_count":
         return F.size(ops).cast("double")
+    if kind == "abort_reason":
+        return F.array_contains(F.col(_ABORTS), F.lit(path))
     return F.xpath_string(xml, F.lit(path))
 
 
@@ -62,12 +65,14 @@ def plan_features(plans: DataFrame, *, xml: str = "plan_xml",
     """QS-8: one column per feature of ``features``.  Every XPath call parses
     the document again, so all operator-level features share one operator
     list (two XPath calls: physical operators and their costs, zipped in
-    document order; every ``RelOp`` carries both attributes)."""
+    document order; every ``RelOp`` carries both attributes) and both
+    compile-abort flags share one list of abort reasons."""
     x = F.col(xml)
     ops = F.arrays_zip(F.xpath(x, F.lit("//RelOp/@PhysicalOp")).alias("op"),
                        F.transform(F.xpath(x, F.lit("//RelOp/@EstimatedTotalSubtreeCost")),
                                    lambda c: c.cast("double")).alias("cost"))
-    base = plans.select("*", ops.alias(_OPS))
+    aborts = F.xpath(x, F.lit("//StmtSimple/@StatementOptmEarlyAbortReason"))
+    base = plans.select("*", ops.alias(_OPS), aborts.alias(_ABORTS))
     return base.select(*[c for c in plans.columns if c != xml], *[_xp(x, k, p).alias(n) for n, k, p in features])
 
 
