@@ -62,3 +62,16 @@ def test_row_number_in_key_equals_row_number(spark):
     for per_range in (3, 40, 1000):
         got = row_number_in_key(df, by=["k"], order="x", tie=["id"], rows_per_range=per_range)
         assert {(r["id"], r["__rn"]) for r in got.select("id", "__rn").collect()} == want
+
+
+def test_deep_chain_resolves_in_log_rounds_with_checkpoints(spark):
+    from fleetscope.operators.blocking import blocking_chains
+
+    n = 1500
+    rows = [("s", i, i - 1 if i > 1 else 0) for i in range(1, n + 1)]          # one chain 1 <- 2 <- ... <- n
+    rows += [("s", n + 1, n + 2), ("s", n + 2, n + 3), ("s", n + 3, n + 1)]     # a three-node cycle
+    df = spark.createDataFrame(rows, "server_name string, session_id long, blocking_session_id long")
+    out = {r.session_id: r for r in blocking_chains(df).collect()}
+    assert (out[n].root_blocker, out[n].chain_level) == (1, n - 1)
+    assert all(out[i].root_blocker == 1 and out[i].chain_level == i - 1 for i in range(1, n + 1))
+    assert out[n + 1].is_cycle and out[n + 2].is_cycle and out[n + 3].is_cycle
