@@ -73,3 +73,21 @@ def test_objects_exist_and_procedure_info(spark):
     stats = spark.createDataFrame([(1, 5), (1, 7)], "object_id long, execution_count long")
     r = procedure_info(procs, params, stats).collect()[0]
     assert (r.execute_count, r.parameter_count) == (12, 2)
+
+
+def test_stream_drops_rows_behind_the_last_emitted_snapshot(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    on_time = [("s", t0 + dt.timedelta(minutes=30 * i), "a", 10 * i, i) for i in range(21)]   # 0h .. 10h
+    late = [("s", t0 + dt.timedelta(minutes=95), "a", 1000, 1000)]                            # 1:35, arrives last
+    root = scratch_path(spark, "late")
+    first, second = on_time[:11], on_time[11:]
+    for chunk in (first, second, late):
+        spark.createDataFrame(chunk, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    spark.createDataFrame([("~hb", dt.datetime(2100, 1, 1), "~", 0, 0)], SCHEMA).write.mode("append").parquet(
+        f"{root}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = run_available(stream_snapshot_delta(stream, ["metric"], ["cum_value", "cum_count"], watermark="0 seconds"),
+                        spark=spark, name="late-out").filter(F.col("server_name") != "~hb")
+    got = {(r.check_ts, r.cum_value_delta) for r in out.collect()}
+    want = {(t0 + dt.timedelta(minutes=30 * i), 10) for i in range(1, 21)}
+    assert got == want   # the late 1:35 snapshot neither produced a delta nor disturbed its neighbours
