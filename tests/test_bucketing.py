@@ -75,3 +75,12 @@ def test_deep_chain_resolves_in_log_rounds_with_checkpoints(spark):
     assert (out[n].root_blocker, out[n].chain_level) == (1, n - 1)
     assert all(out[i].root_blocker == 1 and out[i].chain_level == i - 1 for i in range(1, n + 1))
     assert out[n + 1].is_cycle and out[n + 2].is_cycle and out[n + 3].is_cycle
+
+
+def test_role_closure_terminates_on_cycles(spark):
+    from fleetscope.operators.security import role_closure
+
+    edges = spark.createDataFrame([("u", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1")], "member string, role string")
+    got = {(r.member, r.role, r.depth) for r in role_closure(edges).collect()}
+    assert ("u", "r3", 3) in got and ("r1", "r1", 3) in got
+    assert len({(m, r) for m, r, _ in got}) == len(got)      # each pair once, at its shortest depth
