@@ -84,3 +84,19 @@ def test_role_closure_terminates_on_cycles(spark):
     got = {(r.member, r.role, r.depth) for r in role_closure(edges).collect()}
     assert ("u", "r3", 3) in got and ("r1", "r1", 3) in got
     assert len({(m, r) for m, r, _ in got}) == len(got)      # each pair once, at its shortest depth
+
+
+def test_range_join_matches_brute_force_with_multi_day_intervals(spark):
+    from fleetscope.operators.relational import range_join
+
+    rnd = random.Random(7)
+    pts = [(rnd.choice("ab"), i, T0 + dt.timedelta(hours=rnd.randint(0, 24 * 6))) for i in range(300)]
+    ivs = []
+    for j in range(25):
+        s = T0 + dt.timedelta(hours=rnd.randint(0, 24 * 5))
+        ivs.append((rnd.choice("ab"), j, s, s + dt.timedelta(hours=rnd.randint(1, 80))))
+    p = spark.createDataFrame(pts, "k string, pid long, t timestamp_ntz")
+    iv = spark.createDataFrame(ivs, "k string, iid long, s timestamp_ntz, e timestamp_ntz")
+    got = {(r.pid, r.iid) for r in range_join(p, iv, by=["k"], point="t", start="s", end="e").collect()}
+    want = {(pi, ii) for pk, pi, t in pts for ik, ii, s, e in ivs if pk == ik and s <= t < e}
+    assert got == want
