@@ -100,3 +100,22 @@ def test_range_join_matches_brute_force_with_multi_day_intervals(spark):
     got = {(r.pid, r.iid) for r in range_join(p, iv, by=["k"], point="t", start="s", end="e").collect()}
     want = {(pi, ii) for pk, pi, t in pts for ik, ii, s, e in ivs if pk == ik and s <= t < e}
     assert got == want
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_join_matches_brute_force(spark, strict):
+    from fleetscope.operators.relational import asof_join
+
+    rnd = random.Random(11)
+    left = [(rnd.choice("ab"), i, T0 + dt.timedelta(hours=rnd.randint(0, 24 * 8))) for i in range(200)]
+    right = [(rnd.choice("ab"), 1000 + j, T0 + dt.timedelta(hours=rnd.randint(0, 24 * 8))) for j in range(40)]
+    right += [(k, 2000 + i, t) for k, i, t in left[:10]]           # exact time ties with left rows
+    lf = spark.createDataFrame(left, "k string, lid long, lt timestamp_ntz")
+    rf = spark.createDataFrame(right, "k string, rid long, rt timestamp_ntz")
+    out = asof_join(lf, rf, by=["k"], left_ts="lt", right_ts="rt", right_cols=["rid", "rt"], strict=strict)
+    got = {(r.lid, r.rt) for r in out.collect()}
+    want = set()
+    for k, lid, lt in left:
+        cands = [rt for rk, _, rt in right if rk == k and (rt < lt if strict else rt <= lt)]
+        want.add((lid, max(cands) if cands else None))
+    assert got == want
