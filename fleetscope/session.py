@@ -22,6 +22,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Parquet timestamps in the telemetry are zone-less wall clock values.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # remove checkpoint files of lineage cuts once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
