@@ -27,11 +27,12 @@ LOCAL_DEFAULTS = {
 }
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "fleetscope") -> SparkSession:
+def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "fleetscope",
+                extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in LOCAL_DEFAULTS.items():
+    for k, v in {**LOCAL_DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("FLEETSCOPE_DRIVER_MEMORY", "16g"))
