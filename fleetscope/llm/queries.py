@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import decontaminate, mixing, sharding, simhash, toxicity
+from fleetscope.llm import (decontaminate, embeddings, extract, langid, mixing, pii, sharding, simhash, substrings,
+                            toxicity)
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_query,
     "op2_sharding": sharding.op2_query,
+    "op3_html_extraction": extract.op3_query,
+    "op4_language_id": langid.op4_query,
+    "op5_embedding_dedup": embeddings.op5_query,
     "op6_mixing": mixing.op6_query,
+    "op7_pii": pii.op7_query,
     "op8_simhash": simhash.op8_query,
     "op9_toxicity": toxicity.op9_query,
     "op10_decontaminate": decontaminate.op10_query,
 }
-ORACLE = {"op10_decontaminate": decontaminate.OP10_SQL}
+#: the others learn, draw or search iteratively: tests check them against brute force
+ORACLE = {"op1_substring_dedup": substrings.OP1_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
