@@ -15,8 +15,6 @@ Null or empty pages give an empty text.  A page whose host has no other page in
 lines.  Null URLs form one host of their own.  Repeated rows are kept.  Extra columns are not passed on.
 """
 
-from __future__ import annotations
-
 import html
 import re
 from collections.abc import Iterator
@@ -220,7 +218,6 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch([done(before, now, None)], kind)
 
 
-@F.pandas_udf("host string, path string")
 def _place(urls: pd.Series) -> pd.DataFrame:
     hosts, paths = [], []
     for u in urls:
@@ -238,7 +235,7 @@ def _place(urls: pd.Series) -> pd.DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None) -> DataFrame:
     """Per row: id, url, text."""
     spark = pages.sparkSession
-    at = _place(F.col(url_col))
+    at = F.pandas_udf(_place, "host string, path string")(F.col(url_col))
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("page")).withColumn("_p", at)
     src = src.select("_id", "url", F.col("_p.host").alias("host"), F.col("_p.path").alias("path"), "page")
     parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
