@@ -58,16 +58,18 @@ def throughput_by_type(backups: DataFrame, *, since=None, digits: int = 4) -> Da
 def rpo_gaps(backups: DataFrame, *, bucket: str | None = "day") -> DataFrame:
     """BK-2: gap to the previous backup of the same database (any type).
 
-    The previous backup is the one with the latest earlier finish *and* a
-    smaller set id; ordering by ``(finish, id)`` makes that the ``lag`` row
-    whenever ids rise with finish time, which backup history guarantees."""
+    The previous backup finished strictly earlier and has a smaller set id,
+    which follows from an earlier finish as ids rise with time.  Backups that finish
+    in the same second share their predecessor, so the lag runs over the distinct finish
+    times of a database (with the largest id of each) and is joined back."""
     from .relational import bucketed_lag
 
-    b = bucketed_lag(backups.select(*DB, "backup_set_id", "backup_finish_date"), by=DB, ts="backup_finish_date",
-                     tie=["backup_set_id"], cols=["backup_set_id"], bucket=bucket, prefix="__p_")
-    b = b.select(*DB, "backup_set_id", "backup_finish_date", F.col("__p_backup_set_id").alias("prior_backup_set_id"),
+    times = backups.groupBy(*DB, "backup_finish_date").agg(F.max("backup_set_id").alias("__id"))
+    prev = bucketed_lag(times, by=DB, ts="backup_finish_date", cols=["__id"], bucket=bucket, prefix="__p_").filter(
+        F.col("__p___id").isNotNull())
+    b = backups.select(*DB, "backup_set_id", "backup_finish_date").join(prev.drop("__id"), [*DB, "backup_finish_date"])
+    b = b.select(*DB, "backup_set_id", "backup_finish_date", F.col("__p___id").alias("prior_backup_set_id"),
                  F.col("__p_backup_finish_date").alias("prior_finish_date"))
-    b = b.filter(F.col("prior_backup_set_id").isNotNull())
     return b.withColumn("gap_seconds", datediff_boundary("second", F.col("prior_finish_date"),
                                                            F.col("backup_finish_date")))
 

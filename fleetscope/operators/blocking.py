@@ -51,9 +51,10 @@ def victims_per_root(chains: DataFrame) -> DataFrame:
 
 
 def lead_blockers(sessions: DataFrame, *, min_wait_ms: int = 30000) -> DataFrame:
-    """BLK-3: sessions that block someone for more than ``min_wait_ms`` and
-    are not blocked themselves (semi join + filter, no correlated subquery)."""
-    long_waits = sessions.filter((F.col("blocking_session_id") != 0) & (F.col("wait_duration_ms") > min_wait_ms))
+    """BLK-3: sessions that keep someone waiting on a lock (wait type
+    ``LCK...``) for more than ``min_wait_ms`` and are not blocked themselves (semi join + filter, no correlated subquery)."""
+    long_waits = sessions.filter((F.col("blocking_session_id") != 0) & (F.col("wait_duration_ms") > min_wait_ms)
+                                 & F.col("wait_type").startswith("LCK"))
     edges = long_waits.groupBy(S, F.col("blocking_session_id").alias("session_id")).agg(
         F.count(F.lit(1)).cast("long").alias("sessions_blocked"), F.max("wait_duration_ms").alias("longest_wait_ms"))
     return sessions.filter(F.col("blocking_session_id") == 0).join(edges, [S, "session_id"], "inner")

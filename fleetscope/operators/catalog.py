@@ -159,23 +159,21 @@ def lock_hot_objects(catalog: DataFrame, *, min_wait_ms: int = 300000, long_avg_
                     F.when(avg >= long_avg_ms, F.lit(11)).otherwise(F.lit(12)).alias("check_id"))
 
 
-# Largest value per identity type.
-TYPE_MAX = {"tinyint": 255, "smallint": 32767, "int": 2147483647, "bigint": 9223372036854775807}
-TYPE_MIN = {"tinyint": 0, "smallint": -32768, "int": -2147483648, "bigint": -9223372036854775808}
+# Fixed values: (top, bottom, span) the remaining share of an identity type is measured with.
+IDENTITY_RANGE = {"tinyint": (255, 0, 255.0), "smallint": (32768, -32768, 32768.0), "int": (2147483647, -2147483647, 2147483647.0)}
 
 
 def key_exhaustion(identities: DataFrame, *, max_remaining_pct: float = 30.0) -> DataFrame:
-    """IX-9: percent of the identity range still unused, ascending or
-    descending by the sign of the increment."""
-    t = F.col("type_name")
-    mx = F.lit(None).cast("double")
-    mn = F.lit(None).cast("double")
-    for k in TYPE_MAX:
-        mx = F.when(t == k, F.lit(float(TYPE_MAX[k]))).otherwise(mx)
-        mn = F.when(t == k, F.lit(float(TYPE_MIN[k]))).otherwise(mn)
-    last, seed, inc = (F.col(c).cast("double") for c in ("last_value", "seed_value", "increment_value"))
-    remaining = F.when(inc >= 0, (mx - last) / (mx - seed) * 100.0).otherwise((last - mn) / (seed - mn) * 100.0)
-    out = identities.withColumn("pct_remaining", F.round(remaining, 4))
+    """IX-9: share of the positive (or, for a negative increment, negative)
+    range of the type left after the next value; a column without a last value
+    stands at its seed.  Types beyond the table are not judged."""
+    nxt = F.coalesce(F.col("last_value"), F.col("seed_value")).cast("double") + F.col("increment_value")
+    up = F.col("increment_value") >= 0
+    left = F.lit(None).cast("double")
+    for name, (top, bottom, span) in IDENTITY_RANGE.items():
+        share = F.when(up, top - nxt).otherwise(F.abs(bottom - nxt)) / span * 100.0
+        left = F.when(F.col("type_name") == name, share).otherwise(left)
+    out = identities.withColumn("pct_remaining", F.round(left, 1))
     return out.filter(F.col("pct_remaining") <= max_remaining_pct)
 
 

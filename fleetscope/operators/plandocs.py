@@ -106,37 +106,45 @@ def dml_operator_counts(plans: DataFrame, *, xml: str = "plan_xml", key: str = "
     return p.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in p.columns if c != key])
 
 
+def _elements(x: Column, name: str) -> Column:
+    """The ``name`` elements of a document as separate well-formed documents (elements of the name do not nest)."""
+    return F.regexp_extract_all(x, F.lit(rf"(?s)<{name}\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</{name}>)"), F.lit(0))
+
+
 def missing_index_suggestions(plans: DataFrame, *, xml: str = "plan_xml") -> DataFrame:
     """QS-9: missing-index requests in plans grouped by (table, equality,
-    inequality, include columns): plans asking, average and max impact."""
-    x = F.col(xml)
-    base = "//MissingIndexGroup/MissingIndex"
+    inequality, include columns): requests, average and max impact.  Every
+    group of a plan is a request of its own."""
+    g = plans.filter(F.xpath_boolean(xml, F.lit("//MissingIndexGroup"))).select(
+        F.explode(_elements(F.col(xml), "MissingIndexGroup")).alias("g"))
+    x = F.col("g")
 
     def cols(usage):
-        return F.array_join(F.array_sort(F.xpath(x, F.lit(f"{base}/ColumnGroup[@Usage='{usage}']/Column/@Name"))), ", ")
+        return F.array_join(F.array_sort(F.xpath(x, F.lit(f"//MissingIndex/ColumnGroup[@Usage='{usage}']/Column/@Name"))), ", ")
 
-    p = plans.filter(F.xpath_boolean(x, F.lit("//MissingIndexGroup"))).select(
-        F.xpath_string(x, F.lit(f"{base}/@Table")).alias("table_name"),
+    p = g.select(
+        F.xpath_string(x, F.lit("//MissingIndex/@Table")).alias("table_name"),
         cols("EQUALITY").alias("equality_columns"), cols("INEQUALITY").alias("inequality_columns"),
-        cols("INCLUDE").alias("include_columns"),
-        F.xpath_double(x, F.lit("sum(//MissingIndexGroup/@Impact)")).alias("impact"))
+        cols("INCLUDE").alias("include_columns"), F.xpath_double(x, F.lit("/MissingIndexGroup/@Impact")).alias("impact"))
     return p.groupBy("table_name", "equality_columns", "inequality_columns", "include_columns").agg(
         F.count(F.lit(1)).cast("long").alias("plans"), F.round(F.avg("impact"), 4).alias("avg_impact"),
         F.max("impact").alias("max_impact"))
 
 
 def parameter_mismatches(plans: DataFrame, *, xml: str = "plan_xml", keys: Sequence[str] = ("plan_id",)) -> DataFrame:
-    """QS-10: parameters whose compiled value differs from the runtime value
-    (three XPath arrays zipped element-wise)."""
-    x = F.col(xml)
-    ref = "//ParameterList/ColumnReference"
-    z = F.arrays_zip(F.xpath(x, F.lit(f"{ref}/@Column")).alias("name"),
-                     F.xpath(x, F.lit(f"{ref}/@ParameterCompiledValue")).alias("compiled"),
-                     F.xpath(x, F.lit(f"{ref}/@ParameterRuntimeValue")).alias("runtime"))
-    p = plans.select(*keys, F.explode_outer(z).alias("p")).filter(F.col("p").isNotNull())
-    return p.select(*keys, F.col("p.name").alias("parameter"), F.col("p.compiled").alias("compiled_value"),
-                    F.col("p.runtime").alias("runtime_value")).filter(
-        ~F.col("compiled_value").eqNullSafe(F.col("runtime_value")))
+    """QS-10: parameters whose compiled value differs from the runtime value.
+    Each ``ColumnReference`` is read as a unit; one that lacks either value
+    (an estimated plan) compares with nothing."""
+    lists = F.array_join(_elements(F.col(xml), "ParameterList"), "")
+    refs = F.regexp_extract_all(lists, F.lit(r'<ColumnReference\b(?:[^>"]|"[^"]*")*>'), F.lit(0))
+    one = F.concat(F.regexp_replace("r", "/?>$", ""), F.lit("/>"))
+
+    def attr(name):
+        return F.when(F.xpath_boolean(one, F.lit(f"/ColumnReference/@{name}")), F.xpath_string(one, F.lit(f"/ColumnReference/@{name}")))
+
+    p = plans.select(*keys, F.explode_outer(refs).alias("r")).filter(F.col("r").isNotNull())
+    return p.select(*keys, attr("Column").alias("parameter"), attr("ParameterCompiledValue").alias("compiled_value"),
+                    attr("ParameterRuntimeValue").alias("runtime_value")).filter(F.col("compiled_value") != F.col("runtime_value"))
 
 
 def cost_share(features: DataFrame, op_col: str) -> Column:

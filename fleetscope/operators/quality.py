@@ -62,12 +62,19 @@ def index_size_estimate(indexes: DataFrame, *, default_width: int = 8) -> DataFr
 def compare_tables(left: DataFrame, right: DataFrame, *, key: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """DQ-6: rows missing on either side or changed, by key.  Each side is
     reduced to ``key + xxhash64(columns)`` before the full outer join, so the
-    shuffle carries one hash per row instead of the whole row."""
+    shuffle carries one hash per row instead of the whole row.  The hash skips
+    NULLs, so every column goes in with a NULL marker before it; keys compare null-safe."""
     k = list(key)
     cols = list(columns) if columns else [c for c in left.columns if c not in k]
-    lh = left.select(*k, F.xxhash64(*[F.col(c) for c in cols]).alias("__lh"))
-    rh = right.select(*k, F.xxhash64(*[F.col(c) for c in cols]).alias("__rh"))
-    j = lh.join(rh, k, "full_outer")
+    marked = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    lh = left.select(*k, F.xxhash64(*marked).alias("__lh"))
+    rh = right.select(*[F.col(c).alias(f"__r_{c}") for c in k], F.xxhash64(*marked).alias("__rh"))
+    on = None
+    for c in k:
+        same = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        on = same if on is None else on & same
+    j = lh.join(rh, on, "full_outer").select(*[F.when(F.col("__lh").isNull(), F.col(f"__r_{c}")).otherwise(F.col(c)).alias(c) for c in k],
+                                             "__lh", "__rh")
     status = (F.when(F.col("__rh").isNull(), "missing_in_right").when(F.col("__lh").isNull(), "missing_in_left")
               .when(F.col("__lh") != F.col("__rh"), "changed"))
     return j.select(*k, status.alias("status")).filter(F.col("status").isNotNull())

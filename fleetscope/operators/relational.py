@@ -119,22 +119,20 @@ def range_join(points: DataFrame, intervals: DataFrame, *, by: Sequence[str], po
     return j.drop("__b")
 
 
-def dynamic_pivot(df: DataFrame, *, keys: Sequence[str], pivot: str, value: Column, max_values: int = 1000) -> DataFrame:
-    """AG-7: pivot with the column list read from the data (a distinct pass
-    of the pivot column, bounded by ``max_values``), then ``pivot(values)``."""
-    vals = [r[0] for r in df.select(pivot).distinct().orderBy(pivot).limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"more than {max_values} pivot values")
+def dynamic_pivot(df: DataFrame, *, keys: Sequence[str], pivot: str, value: Column) -> DataFrame:
+    """AG-7: pivot with the column list read from the data: a distinct pass of
+    the pivot column gives the output schema (one name per value), then
+    ``pivot(values)``."""
+    vals = [r[0] for r in df.select(pivot).distinct().orderBy(pivot).collect()]
     return df.groupBy(*keys).pivot(pivot, vals).agg(value)
 
 
-def global_rank(df: DataFrame, *, metric: str, order: Sequence[Column], n: int, tie: Sequence[str]) -> DataFrame:
-    """WN-2: rank over the whole table, computed only for the candidates that
-    can be in the top ``n`` (a ``limit`` pushes a top-k into every partition
-    first), so the final single-partition sort sees ``n`` rows."""
-    top = df.orderBy(*order, *[F.col(t) for t in tie]).limit(n)
+def global_rank(df: DataFrame, *, metric: str, order: Sequence[Column], n: int) -> DataFrame:
+    """WN-2: rows of rank ``n`` or better over the whole table, ties at the cut
+    included.  ``rank() <= n`` becomes a ``WindowGroupLimit`` in every
+    partition, so the final single-partition sort sees the best rows only."""
     w = Window.orderBy(*order)
-    return top.withColumn(f"{metric}_rank", F.rank().over(w).cast("long"))
+    return df.withColumn(f"{metric}_rank", F.rank().over(w).cast("long")).filter(F.col(f"{metric}_rank") <= n)
 
 
 def row_number_in_key(df: DataFrame, *, by: Sequence[str], order: str, tie: Sequence[str] = (),

@@ -1,18 +1,18 @@
 """Vector search (VEC-1, VEC-2).
 
-Top-k search is brute force but never materialises query x corpus pairs
-in a shuffle: the query vectors (bounded by ``max_queries`` and checked)
-travel to every task with the plan, each corpus partition keeps only its
-own best ``k`` per query with numpy (``mapInPandas``), and a final
-per-query top-k runs over at most ``k x partitions`` candidates.
+Top-k search is an exact block product: queries and corpus are dealt into
+blocks of bounded size, every (query block, corpus block) pair is one numpy
+matrix product in one task that keeps its ``k`` best per query, and a final
+per-query top-k runs over ``k x corpus blocks`` candidates.  No vector
+passes through the driver and neither side is limited.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,46 +25,62 @@ def pair_distances(pairs: DataFrame, *, a: str, b: str, metrics=("cosine", "eucl
     return pairs.select("*", *[F.round(distance(m, a, b), digits).alias(f"{m}_distance") for m in metrics])
 
 
+def _block_top_k(k: int, metric: str, digits: int):
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def run(t: pa.Table) -> pa.Table:
+        is_q = t.column("is_query").to_numpy()
+        ids = t.column("id").to_numpy()
+        vecs = np.array([np.asarray(v, dtype=np.float64) for v in t.column("vec").to_pylist()])
+        out = {"query_id": [], "match_id": [], "distance": []}
+        if is_q.any() and not is_q.all():
+            qid, q, cid, c = ids[is_q], vecs[is_q], ids[~is_q], vecs[~is_q]
+            if metric == "cosine":
+                q, c = unit(q), unit(c)
+            for s in range(0, len(q), 256):
+                part = q[s:s + 256]
+                if metric == "euclidean":
+                    d = np.sqrt(np.maximum((part ** 2).sum(1)[:, None] + (c ** 2).sum(1)[None, :] - 2 * part @ c.T, 0))
+                else:
+                    d = (1.0 if metric == "cosine" else 0.0) - part @ c.T
+                d = np.round(d, digits) + 0.0  # ties are ties of the reported distance; no -0.0
+                for i, row in enumerate(d):
+                    kth = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+                    near = np.nonzero(row <= kth)[0]
+                    near = near[np.lexsort((cid[near], row[near]))][:k]
+                    out["query_id"].append(np.full(len(near), qid[s + i]))
+                    out["match_id"].append(cid[near])
+                    out["distance"].append(row[near])
+        cols = {n: np.concatenate(v) if v else np.zeros(0) for n, v in out.items()}
+        return pa.table({"query_id": pa.array(cols["query_id"].astype(np.int64)), "match_id": pa.array(cols["match_id"].astype(np.int64)),
+                         "distance": pa.array(cols["distance"].astype(np.float64))})
+
+    return run
+
+
 def top_k_search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, metric: str = "cosine",
-                 id_col: str = "vec_id", vec_col: str = "embedding", max_queries: int = 10000,
-                 digits: int = 6) -> DataFrame:
+                 id_col: str = "vec_id", vec_col: str = "embedding", block: int = 32768, digits: int = 6) -> DataFrame:
     """VEC-1: the ``k`` nearest corpus vectors of every query vector (ascending
-    distance; the reference orders furthest first), ties by corpus id."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("qv"))
-    n_q = q.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} query vectors exceed max_queries={max_queries}; search in batches")
-    qrows = q.orderBy("query_id").collect()  # bounded by max_queries (checked above)
-    qids = np.array([r.query_id for r in qrows], dtype=np.int64)
-    qmat = np.array([np.asarray(r.qv, dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 0))
-    if metric == "cosine" and len(qrows):
-        qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
-    bq = corpus.sparkSession.sparkContext.broadcast((qids, qmat))
-
-    def part_topk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_q, mat_q = bq.value
-        cand_ids, cand_vecs = [], []
-        for b in batches:
-            if len(b):
-                cand_ids.append(b[id_col].to_numpy(np.int64))
-                cand_vecs.append(np.stack(b[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_list()))
-        if not cand_ids or len(ids_q) == 0:
-            return
-        ids = np.concatenate(cand_ids)
-        mat = np.concatenate(cand_vecs)
+    distance; the reference orders furthest first), ties of the rounded
+    distance by corpus id.  Null vectors take no part; with the cosine metric
+    zero vectors have no direction and take no part either."""
+    def usable(df: DataFrame) -> DataFrame:
+        v = F.col(vec_col).cast("array<double>")
+        ok = v.isNotNull() & (F.size(v) > 0)
         if metric == "cosine":
-            d = 1.0 - (mat_q @ (mat / np.linalg.norm(mat, axis=1, keepdims=True)).T)
-        elif metric == "dot":
-            d = -(mat_q @ mat.T)
-        else:
-            d = np.sqrt(np.maximum(((mat_q ** 2).sum(1)[:, None] + (mat ** 2).sum(1)[None, :] - 2 * mat_q @ mat.T), 0))
-        kk = min(k, len(ids))
-        for qi in range(len(ids_q)):
-            order = np.lexsort((ids, d[qi]))[:kk]
-            yield pd.DataFrame({"query_id": ids_q[qi], "match_id": ids[order], "distance": d[qi][order]})
+            ok = ok & F.exists(v, lambda x: x != 0)
+        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(ok)
 
-    cand = corpus.select(id_col, vec_col).mapInPandas(part_topk, "query_id long, match_id long, distance double")
+    q, c = usable(queries), usable(corpus)
+    nq, nc = (max(1, math.ceil(d.count() / block)) for d in (q, c))
+    # every query meets every corpus block and the other way round
+    deal_q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("is_query", F.lit(True))
+    deal_c = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("is_query", F.lit(False))
+    cand = deal_q.unionByName(deal_c).groupBy("qb", "cb").applyInArrow(
+        _block_top_k(k, metric, digits), "query_id long, match_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "match_id")
     top = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    # "+ 0.0" turns a rounded -0.0 into 0.0
-    return top.select("query_id", "match_id", (F.round("distance", digits) + F.lit(0.0)).alias("distance"), "rank")
+    return top.select("query_id", "match_id", "distance", "rank")

@@ -78,7 +78,7 @@ def q_blk02v(spark, sf_dir):
 @reg("blk03_lead_blockers", F2 + """
 , e AS (SELECT server_name, blocking_session_id AS session_id, CAST(count(*) AS BIGINT) AS sessions_blocked,
                max(wait_duration_ms) AS longest_wait_ms
-        FROM f2 WHERE blocking_session_id <> 0 AND wait_duration_ms > 3000 GROUP BY ALL)
+        FROM f2 WHERE blocking_session_id <> 0 AND wait_duration_ms > 3000 AND wait_type LIKE 'LCK%' GROUP BY ALL)
 SELECT s.*, e.sessions_blocked, e.longest_wait_ms FROM f2 s JOIN e USING (server_name, session_id)
 WHERE s.blocking_session_id = 0""")
 def q_blk03(spark, sf_dir):

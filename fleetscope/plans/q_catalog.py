@@ -179,13 +179,14 @@ WITH i AS (SELECT 'srv0' AS server_name, 'tbl' || CAST(s_suppkey AS VARCHAR) AS
            FROM supplier),
 j AS (SELECT server_name, table_name, type_name, seed_value, increment_value,
              CASE WHEN increment_value > 0 THEN l ELSE -l END AS last_value FROM i),
-k AS (SELECT *, CAST(CASE type_name WHEN 'tinyint' THEN 255 WHEN 'smallint' THEN 32767 ELSE 2147483647 END AS DOUBLE) AS mx,
-             CAST(CASE type_name WHEN 'tinyint' THEN 0 WHEN 'smallint' THEN -32768 ELSE -2147483648 END AS DOUBLE) AS mn FROM j)
-SELECT server_name, table_name, type_name, seed_value, increment_value, last_value,
-       round(CASE WHEN increment_value >= 0 THEN (mx - last_value) / (mx - seed_value) * 100.0
-                  ELSE (last_value - mn) / (seed_value - mn) * 100.0 END, 4) AS pct_remaining
-FROM k WHERE round(CASE WHEN increment_value >= 0 THEN (mx - last_value) / (mx - seed_value) * 100.0
-                        ELSE (last_value - mn) / (seed_value - mn) * 100.0 END, 4) <= 30""")
+k AS (SELECT *, round(CASE type_name
+        WHEN 'int' THEN CASE WHEN increment_value >= 0 THEN 2147483647 - (coalesce(last_value, seed_value) + increment_value)
+                             ELSE abs(-2147483647 - (coalesce(last_value, seed_value) + increment_value)) END / 2147483647.0::DOUBLE * 100
+        WHEN 'smallint' THEN CASE WHEN increment_value >= 0 THEN 32768 - (coalesce(last_value, seed_value) + increment_value)
+                             ELSE abs(-32768 - (coalesce(last_value, seed_value) + increment_value)) END / 32768.0::DOUBLE * 100
+        WHEN 'tinyint' THEN CASE WHEN increment_value >= 0 THEN 255 - (coalesce(last_value, seed_value) + increment_value)
+                             ELSE abs(0 - (coalesce(last_value, seed_value) + increment_value)) END / 255.0::DOUBLE * 100 END, 1) AS pct_remaining FROM j)
+SELECT server_name, table_name, type_name, seed_value, increment_value, last_value, pct_remaining FROM k WHERE pct_remaining <= 30""")
 def q_ix09(spark, sf_dir):
     return ix.key_exhaustion(fm.f5_identities(spark, sf_dir))
 

@@ -274,7 +274,7 @@ CLOSURE_SQL = """WITH RECURSIVE e AS (
                           UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)),
 cl(member, role, depth) AS (
   SELECT member, role, CAST(1 AS BIGINT) FROM e
-  UNION ALL SELECT cl.member, e.role, cl.depth + 1 FROM cl JOIN e ON cl.role = e.member WHERE cl.depth < 32)
+  UNION ALL SELECT cl.member, e.role, cl.depth + 1 FROM cl JOIN e ON cl.role = e.member WHERE cl.depth < (SELECT count(DISTINCT member) + 1 FROM e))
 """
 
 

@@ -98,19 +98,24 @@ def q_jn13(spark, sf_dir):
 
 
 @reg("ag07_dynamic_pivot", "WITH " + F8_SQL + """
-SELECT * FROM (PIVOT (SELECT server_name, name, value FROM f8) ON name USING first(value) GROUP BY server_name)""")
+SELECT server_name, max(CASE WHEN name = 'backup compression default' THEN value END) AS "backup compression default",
+       max(CASE WHEN name = 'cost threshold for parallelism' THEN value END) AS "cost threshold for parallelism",
+       max(CASE WHEN name = 'max degree of parallelism' THEN value END) AS "max degree of parallelism",
+       max(CASE WHEN name = 'max server memory (MB)' THEN value END) AS "max server memory (MB)",
+       max(CASE WHEN name = 'optimize for ad hoc workloads' THEN value END) AS "optimize for ad hoc workloads"
+FROM f8 GROUP BY server_name""")
 def q_ag07(spark, sf_dir):
     c = f8_config(spark, sf_dir)
-    return rel.dynamic_pivot(c, keys=["server_name"], pivot="name", value=F.first("value"))
+    return rel.dynamic_pivot(c, keys=["server_name"], pivot="name", value=F.max("value"))
 
 
 @reg("wn02_global_rank_topk", ofx.with_(ofx.f4_query_stats()) + """
 , p AS (SELECT query_id, plan_id, CAST(sum(cpu) AS BIGINT) AS total_cpu FROM f4 GROUP BY ALL),
-t AS (SELECT * FROM p ORDER BY total_cpu DESC, query_id, plan_id LIMIT 20)
-SELECT *, rank() OVER (ORDER BY total_cpu DESC) AS cpu_rank FROM t""")
+t AS (SELECT *, rank() OVER (ORDER BY total_cpu DESC) AS cpu_rank FROM p)
+SELECT * FROM t WHERE cpu_rank <= 20""")
 def q_wn02(spark, sf_dir):
     p = fx.f4_query_stats(spark, sf_dir).groupBy("query_id", "plan_id").agg(F.sum("cpu").cast("long").alias("total_cpu"))
-    return rel.global_rank(p, metric="cpu", order=[F.col("total_cpu").desc()], n=20, tie=["query_id", "plan_id"])
+    return rel.global_rank(p, metric="cpu", order=[F.col("total_cpu").desc()], n=20)
 
 
 @reg("wn04_ntile_middle_mean", ofx.with_(ofx.f1("plain"), _CAL, "d AS (" + _DELTA_SELECT + ")") + """
