@@ -5,7 +5,7 @@ words is one window).  A window is a set of two-word shingles; as the whole wind
 occur, the required prefix under the order "rarest shingle in the corpus first" is one
 shingle.  Documents emit their shingles, only prefix shingles join, length and position
 bounds drop windows that would stick out of the document, and the surviving candidates are
-verified word by word.  Shingle frequencies are counted over all documents; a window with a
+verified word by word.  The join key is a 64-bit hash of the shingle.  Shingle frequencies are counted over all documents; a window with a
 shingle that no document has cannot occur and is dropped before the join.
 
 The benchmark side is broadcast only if its measured size is within ``broadcast_bytes``;
@@ -14,7 +14,8 @@ beyond it the same join runs as a shuffle of (shingle, document, position).
 Null text or an empty text has no words (no hit).  Rows that repeat an id are judged row by
 row (by id and text); a null id is kept.  Extra columns are ignored.  Ties between equally
 rare shingles go to the smaller shingle, then the smaller offset.  Null item texts have no
-window, so such items never occur; an empty benchmark hits nothing.
+window, so such items never occur; the windows of an item with a null id hit words but are not
+listed; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -31,20 +32,19 @@ BREAK_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 32 << 20
 
 
-def _norm(w: Column) -> Column:
-    # translate() is slow, lower() also folds letters beyond ASCII: use the former only where it matters
-    return F.when(F.lower(w) == w, w).otherwise(F.translate(w, UPPER, LOWER))
+def fold(text: Column) -> Column:
+    """A-Z to lower case, other letters as they are."""
+    return F.translate(text, UPPER, LOWER)
 
 
-def raw_words(text: Column) -> Column:
-    """Words before folding A-Z."""
+def words_of(text: Column) -> Column:
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(BREAKS))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BREAK_RE))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(fold(t), BREAK_RE))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """One row per distinct window: win (array of words), len, items (array of ids)."""
-    w = items.select(F.col(id_col).alias("item"), F.transform(raw_words(F.col(text_col)), _norm).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     return (
         w.withColumn("s", F.explode(starts))
@@ -54,19 +54,25 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     )
 
 
-def _shingles(words: str, pos: str, last: bool) -> Column:
-    """The two-word shingle at 0-based ``pos`` (one word alone if ``last``)."""
-    first = _norm(F.get(F.col(words), F.col(pos)))
-    return first if last else F.concat(first, F.lit(" "), _norm(F.get(F.col(words), F.col(pos) + 1)))
+def _emit(docs: DataFrame, single: bool) -> list[DataFrame]:
+    """Frames (columns of docs, pos, sh): a 64-bit hash of every two-word shingle, and of every word if ``single``.
 
-
-def _emit(docs: DataFrame, single: bool) -> DataFrame:
-    """(columns of docs, pos, sh) for every shingle of every document."""
-    out = docs.where(F.size("words") > 1).select("*", F.posexplode("words").alias("pos", "_w")).where(
-        F.col("pos") < F.size("words") - 1).withColumn("sh", _shingles("words", "pos", False)).drop("_w")
+    An outer generator and a filter on its position, so that no filter on the word array is
+    pushed below (which would split the text once more).  The frames are joined one by one: the word
+    array must stay a variable of one code-generated stage, never be copied into the generated rows.
+    """
+    at = docs.select("*", F.posexplode_outer("words").alias("pos", "_w"))
+    pair = F.xxhash64("_w", F.get("words", F.col("pos") + 1))
+    out = [at.where(F.col("pos") < F.size("words") - 1).withColumn("sh", pair).drop("_w")]
     if single:
-        one = docs.select("*", F.posexplode("words").alias("pos", "_w")).withColumn("sh", _norm(F.col("_w"))).drop("_w")
-        out = out.unionByName(one)
+        out.append(at.where("pos IS NOT NULL").withColumn("sh", F.xxhash64("_w")).drop("_w"))
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
@@ -80,10 +86,11 @@ def window_hits(docs: DataFrame, wins: DataFrame, broadcast_bytes: int = BROADCA
     hint = F.broadcast if small else (lambda d: d)
     single = bool(size["one"])
     offs = wins.withColumn("off", F.explode(F.sequence(F.lit(0), F.greatest(F.col("len") - 2, F.lit(0))))).select(
-        "win", "off", F.when(F.col("len") == 1, F.get("win", F.lit(0)))
-        .otherwise(F.concat(F.get("win", F.col("off")), F.lit(" "), F.get("win", F.col("off") + 1))).alias("sh"))
+        "win", "off", F.when(F.col("len") == 1, F.xxhash64(F.get("win", F.lit(0))))
+        .otherwise(F.xxhash64(F.get("win", F.col("off")), F.get("win", F.col("off") + 1))).alias("sh"))
     vocab = offs.select("sh").distinct()
-    freq = _emit(docs.select("words"), single).select("sh").join(hint(vocab), "sh", "left_semi").groupBy("sh").agg(F.count("*").alias("n"))
+    seen = _union([f.select("sh").join(hint(vocab), "sh", "left_semi") for f in _emit(docs.select("words"), single)])
+    freq = seen.groupBy("sh").agg(F.count("*").alias("n"))
     freq = cut(freq)
     prefix = (
         offs.join(hint(freq), "sh", "left")
@@ -94,17 +101,18 @@ def window_hits(docs: DataFrame, wins: DataFrame, broadcast_bytes: int = BROADCA
     prefix = cut(prefix)
     start = F.col("pos") - F.col("off")
     inside = (start >= 0) & (start + F.col("len") <= F.size("words"))
-    same = F.transform(F.slice("words", start + 1, F.col("len")), _norm) == F.col("win")
+    same = F.slice("words", start + 1, F.col("len")) == F.col("win")
     if small:
-        found = _emit(docs, single).join(F.broadcast(prefix), "sh").where(inside & same)
-    else:
-        slim = _emit(docs.withColumn("n", F.size("words")), single).drop("words")
-        near = slim.join(prefix, "sh").where((start >= 0) & (start + F.col("len") <= F.col("n")))
-        on = None
-        for k in keys:
-            c = near[k].eqNullSafe(docs[k])
-            on = c if on is None else on & c
-        found = near.join(docs, on).drop(*[near[k] for k in keys]).where(same)
+        return _union([f.join(F.broadcast(prefix), "sh").where(inside & same).select(*keys, start.alias("start"), "len", "items")
+                       for f in _emit(docs, single)])
+    slim = _union([f.drop("words") for f in _emit(docs.withColumn("n", F.size("words")), single)])
+    near = slim.join(prefix, "sh").where((start >= 0) & (start + F.col("len") <= F.col("n")))
+    near = near.select(*[F.col(k).alias(f"_{k}") for k in keys], "pos", "off", "win", "len", "items")
+    on = None
+    for k in keys:
+        c = near[f"_{k}"].eqNullSafe(docs[k])
+        on = c if on is None else on & c
+    found = near.join(docs, on).where(same)
     return found.select(*keys, start.alias("start"), "len", "items")
 
 
@@ -116,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A word inside any occurrence of a window is hit; a document is contaminated if it has a
     hit and at least one word in ``hit_share`` is hit.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), raw_words(F.col(text_col)).alias("words"))
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), words_of(F.col(text_col)).alias("words"))
     wins = item_windows(items, item_id, item_text, window)
     hits = window_hits(base, wins, broadcast_bytes)
     per = hits.groupBy("_id", "_th").agg(
