@@ -23,24 +23,31 @@ from .rules import Rule, run_rules
 TBL = ["server_name", "database_name", "table_name"]
 
 
+def _comparable(catalog: DataFrame) -> DataFrame:
+    """Enabled, real clustered and nonclustered indexes that are no primary key."""
+    return catalog.filter(F.col("index_type").isin(1, 2) & ~F.col("is_hypothetical") & ~F.col("is_disabled") & ~F.col("is_primary_key"))
+
+
 def exact_duplicates(catalog: DataFrame) -> DataFrame:
     """IX-1: indexes whose key list equals another index's on the same table
-    (group by the key array, keep groups of 2+, semi-join back)."""
-    dup = catalog.groupBy(*TBL, "keys").agg(F.count(F.lit(1)).cast("long").alias("duplicate_count")).filter(
+    (group by the key array, keep groups of 2+, semi-join back); see ``_comparable``."""
+    c = _comparable(catalog)
+    dup = c.groupBy(*TBL, "keys").agg(F.count(F.lit(1)).cast("long").alias("duplicate_count")).filter(
         F.col("duplicate_count") > 1)
-    return catalog.select(*TBL, "index_id", "index_name", "keys").join(dup, [*TBL, "keys"], "inner")
+    return c.select(*TBL, "index_id", "index_name", "keys").join(dup, [*TBL, "keys"], "inner")
 
 
 def approximate_duplicates(catalog: DataFrame) -> DataFrame:
     """IX-2 / WN-9: indexes sharing the leading key column with a sibling
-    whose full key list differs (windowed counts; no pairs are emitted)."""
-    lead = F.element_at("keys", 1)
-    w_lead = Window.partitionBy(*TBL, lead)
-    w_keys = Window.partitionBy(*TBL, "keys")
-    c = catalog.select(*TBL, "index_id", "index_name", "keys", lead.alias("leading_key"),
-                       F.count(F.lit(1)).over(w_lead).cast("long").alias("siblings"),
-                       F.count(F.lit(1)).over(w_keys).cast("long").alias("same_keys"))
-    return c.filter((F.col("siblings") > 1) & (F.col("siblings") > F.col("same_keys")))
+    whose full key list differs.  The counts per key list are aggregated
+    first and those per leading key from them; both are joined back (one small row per
+    group), so no group's rows are buffered in one task and no pairs are emitted."""
+    c = _comparable(catalog).select(*TBL, "index_id", "index_name", "keys", F.element_at("keys", 1).alias("leading_key"))
+    same = c.groupBy(*TBL, "leading_key", "keys").agg(F.count(F.lit(1)).cast("long").alias("same_keys"))
+    lead = same.groupBy(*TBL, "leading_key").agg(F.sum("same_keys").cast("long").alias("siblings"))
+    out = c.join(same.drop("leading_key"), [*TBL, "keys"]).join(lead, [*TBL, "leading_key"])
+    return out.filter((F.col("siblings") > 1) & (F.col("siblings") > F.col("same_keys"))).select(
+        *TBL, "index_id", "index_name", "keys", "leading_key", "siblings", "same_keys")
 
 
 def table_index_findings(catalog: DataFrame, *, many: int = 10, unused_pct: float = 5.0, wide: int = 7,

@@ -60,17 +60,17 @@ def resolve_roots(edges: DataFrame, *, node: str, parent: str, group: Sequence[s
     rounds = 0
     while unresolved > 0 and rounds < max_rounds:
         rounds += 1
-        a = state.alias("a")
+        # resolved rows stay out of the join: with one lead blocker nearly all of them share that ancestor
+        open_rows, resolved = state.filter(~F.col("done")), state.filter(F.col("done"))
+        a = open_rows.alias("a")
         b = state.select(*g, F.col("node").alias("b_node"), F.col("anc").alias("b_anc"),
                          F.col("dist").alias("b_dist"), F.col("done").alias("b_done"))
         cond = [F.col("a.anc") == F.col("b_node")] + [F.col(f"a.{c}") == b[c] for c in g]
         j = a.join(b, cond, "left")
-        nxt = j.select(
-            *[F.col(f"a.{c}").alias(c) for c in g], F.col("a.node").alias("node"),
-            F.when(F.col("a.done"), F.col("a.anc")).otherwise(F.col("b_anc")).alias("anc"),
-            F.when(F.col("a.done"), F.col("a.dist")).otherwise(F.col("a.dist") + F.col("b_dist")).alias("dist"),
-            F.when(F.col("a.done"), F.lit(True)).otherwise(F.coalesce(F.col("b_done"), F.lit(False))).alias("done"),
-        )
+        nxt = resolved.unionByName(j.select(
+            *[F.col(f"a.{c}").alias(c) for c in g], F.col("a.node").alias("node"), F.col("b_anc").alias("anc"),
+            (F.col("a.dist") + F.col("b_dist")).alias("dist"), F.coalesce(F.col("b_done"), F.lit(False)).alias("done"),
+        ))
         nxt = nxt.checkpoint() if rounds % checkpoint_every == 0 else nxt.persist()
         now = nxt.filter(~F.col("done")).count()
         state.unpersist()

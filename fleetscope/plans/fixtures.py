@@ -236,6 +236,7 @@ def f5_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pk % 9 == 0, F.lit(70)).otherwise(F.lit(100)).cast("long").alias("fill_factor"),
         F.when(pk % 50 == 0, F.lit(0)).when(pk % 50 == 1, F.lit(1)).otherwise(F.lit(2)).cast("int").alias("index_type"),
         (pk % 97 == 0).alias("is_hypothetical"),
+        (pk % 21 == 0).alias("is_primary_key"),
         (F.lit(dt.datetime(2001, 6, 1)) - F.make_dt_interval((pk % 30).cast("int"))).cast("timestamp_ntz")
         .alias("create_ts"),
         (F.lit(dt.datetime(2001, 6, 1)) - F.make_dt_interval((pk % 30).cast("int") - (pk % 3).cast("int")))

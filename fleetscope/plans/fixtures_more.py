@@ -71,8 +71,9 @@ def f2_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f2_second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _t(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    return o.filter(k % 3 == 0).select(
-        F.lit("srv0").alias("server_name"), (k + 1).alias("session_id"),
+    # a second view of twice the session id: every other session of the first source has a row here
+    return o.select(
+        F.lit("srv0").alias("server_name"), (k * 2 + 1).alias("session_id"),
         F.when(k % 5 == 0, F.lit(0)).otherwise(k % 97 + 1).cast("long").alias("blocking_session_id"))
 
 
@@ -86,7 +87,7 @@ def _part_use(spark, sf_dir):
 
 
 def f5_missing(spark, sf_dir):
-    pu = _part_use(spark, sf_dir).filter(F.col("p_partkey") % 3 == 0)
+    pu = _part_use(spark, sf_dir)
     pk = F.col("p_partkey")
     return pu.select(pk.alias("missing_id"), F.lit("srv0").alias("server_name"),
                      F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
@@ -142,7 +143,7 @@ def f5_columns(spark, sf_dir):
 
 
 def f5_fks(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").filter(F.col("p_partkey") % 4 == 0)
+    p = _t(spark, sf_dir, "part")
     pk = F.col("p_partkey")
     return p.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
                     F.col("p_brand").alias("table_name"), F.concat(F.lit("fk_"), pk.cast("string")).alias("fk_name"),

@@ -148,7 +148,7 @@ def f5(name: str = "f5") -> str:
          p_partkey % 7 = 0 AS is_unique, p_partkey % 11 = 0 AS is_disabled,
          CAST(CASE WHEN p_partkey % 9 = 0 THEN 70 ELSE 100 END AS BIGINT) AS fill_factor,
          CAST(CASE WHEN p_partkey % 50 = 0 THEN 0 WHEN p_partkey % 50 = 1 THEN 1 ELSE 2 END AS INTEGER) AS index_type,
-         p_partkey % 97 = 0 AS is_hypothetical,
+         p_partkey % 97 = 0 AS is_hypothetical, p_partkey % 21 = 0 AS is_primary_key,
          TIMESTAMP '2001-06-01' - to_days(CAST(p_partkey % 30 AS INTEGER)) AS create_ts,
          TIMESTAMP '2001-06-01' - to_days(CAST(p_partkey % 30 AS INTEGER) - CAST(p_partkey % 3 AS INTEGER)) AS modify_ts,
          CAST(coalesce(n_lines, 0) * 1000 AS BIGINT) AS row_lock_wait_ms,

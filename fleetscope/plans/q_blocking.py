@@ -86,9 +86,9 @@ def q_blk03(spark, sf_dir):
 
 
 @reg("blk04_reconcile_blocker", F2 + """
-, b AS (SELECT 'srv0' AS server_name, o_orderkey + 1 AS session_id,
+, b AS (SELECT 'srv0' AS server_name, o_orderkey * 2 + 1 AS session_id,
                CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey % 97 + 1 END AS BIGINT) AS blocking_session_id
-        FROM orders WHERE o_orderkey % 3 = 0)
+        FROM orders)
 SELECT r.server_name, r.session_id,
        CASE WHEN r.blocking_session_id <> 0 AND b.session_id IS NULL THEN r.blocking_session_id
             WHEN r.blocking_session_id <> 0 AND r.session_id <> b.blocking_session_id THEN b.blocking_session_id

@@ -38,10 +38,12 @@ def _f(cid, pr, grp, fnd):
 
 @reg("ix01_exact_duplicates", F5 + """
 , d AS (SELECT server_name, database_name, table_name, keys, CAST(count(*) AS BIGINT) AS duplicate_count
-        FROM f5 GROUP BY ALL HAVING count(*) > 1)
+        FROM f5 WHERE index_type IN (1, 2) AND NOT is_hypothetical AND NOT is_disabled AND NOT is_primary_key
+        GROUP BY ALL HAVING count(*) > 1)
 SELECT f5.server_name, f5.database_name, f5.table_name, index_id, index_name, f5.keys, duplicate_count
 FROM f5 JOIN d ON f5.server_name = d.server_name AND f5.database_name = d.database_name
-     AND f5.table_name = d.table_name AND f5.keys = d.keys""")
+     AND f5.table_name = d.table_name AND f5.keys = d.keys
+WHERE index_type IN (1, 2) AND NOT is_hypothetical AND NOT is_disabled AND NOT is_primary_key""")
 def q_ix01(spark, sf_dir):
     return ix.exact_duplicates(fx.f5_indexes(spark, sf_dir))
 
@@ -49,7 +51,8 @@ def q_ix01(spark, sf_dir):
 @reg("ix02_approximate_duplicates", F5 + """
 , c AS (SELECT server_name, database_name, table_name, index_id, index_name, keys, keys[1] AS leading_key,
                count(*) OVER (PARTITION BY server_name, database_name, table_name, keys[1]) AS siblings,
-               count(*) OVER (PARTITION BY server_name, database_name, table_name, keys) AS same_keys FROM f5)
+               count(*) OVER (PARTITION BY server_name, database_name, table_name, keys) AS same_keys FROM f5
+      WHERE index_type IN (1, 2) AND NOT is_hypothetical AND NOT is_disabled AND NOT is_primary_key)
 SELECT * FROM c WHERE siblings > 1 AND siblings > same_keys""")
 def q_ix02(spark, sf_dir):
     return ix.approximate_duplicates(fx.f5_indexes(spark, sf_dir))
@@ -138,7 +141,7 @@ mi AS (SELECT p_partkey AS missing_id, 'srv0' AS server_name, 'db' || CAST(p_par
               p_brand AS table_name, [p_type] AS equality_columns, n_lines * 100 AS user_seeks, p_partkey % 10 AS user_scans,
               p_retailprice / 10 AS avg_total_user_cost, CAST(p_partkey % 100 AS DOUBLE) AS avg_user_impact,
               p_partkey % 40 AS age_days
-       FROM pu WHERE p_partkey % 3 = 0)"""
+       FROM pu)"""
 
 
 @reg("ix06_missing_index_benefit", "WITH " + MISSING_SQL + """
@@ -260,7 +263,7 @@ def q_ix11(spark, sf_dir):
 , fk AS (SELECT 'srv0' AS server_name, 'db' || CAST(p_partkey % 3 AS VARCHAR) AS database_name, p_brand AS table_name,
                 'fk_' || CAST(p_partkey AS VARCHAR) AS fk_name,
                 CASE WHEN p_partkey % 8 = 0 THEN p_type ELSE string_split(p_name, ' ')[2] END AS fk_column
-         FROM part WHERE p_partkey % 4 = 0)
+         FROM part)
 SELECT * FROM fk WHERE NOT EXISTS (SELECT 1 FROM f5 WHERE f5.server_name = fk.server_name
                                    AND f5.database_name = fk.database_name AND f5.table_name = fk.table_name
                                    AND f5.keys[1] = fk.fk_column)""")

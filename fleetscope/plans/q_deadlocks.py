@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import deadlocks as dl
-from ..sources.events import parse_deadlocks
+from ..sources.events import parse_deadlocks, shred_events
 from ..streaming.pipelines import scratch_path
 from .fixture_f6 import f6_events
 
@@ -69,28 +69,19 @@ def parsed(spark, sf_dir):
     return parse_deadlocks(f6_events(spark, sf_dir))
 
 
-_SHREDDED: dict = {}
-
-
-def shredded(spark, sf_dir):
-    """The parsed events written once per session as a parquet table in the
-    shared checkpoint folder -- shred once, report many times -- so the
-    reports below read typed columns instead of re-parsing XML each time."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _SHREDDED.get(key)
-    if path is None:
-        path = scratch_path(spark, "deadlocks-parsed")
-        parsed(spark, sf_dir).write.parquet(path)
-        _SHREDDED[key] = path
-    return spark.read.parquet(path)
-
-
 def procs(spark, sf_dir):
-    return dl.processes(shredded(spark, sf_dir))
+    return dl.processes(parsed(spark, sf_dir))
 
 
 def edges(spark, sf_dir):
-    return dl.lock_edges(shredded(spark, sf_dir))
+    return dl.lock_edges(parsed(spark, sf_dir))
+
+
+def both(spark, sf_dir):
+    """Processes and edges from one parse: the events are shredded into a fresh
+    folder under the shared checkpoint folder; nothing is kept for other queries."""
+    ev = shred_events(parsed(spark, sf_dir), scratch_path(spark, "deadlocks-parsed"))
+    return dl.processes(ev), dl.lock_edges(ev)
 
 
 @reg("dl01_processes", F6 + f"SELECT {PROC_COLS} FROM f6")
@@ -170,8 +161,7 @@ def q_dl08(spark, sf_dir):
 SELECT object_name, string_agg(mode || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY mode, n) AS lock_modes
 FROM g GROUP BY object_name""")
 def q_dl09(spark, sf_dir):
-    p = procs(spark, sf_dir)
-    return dl.lock_mode_breakdown(p, edges(spark, sf_dir))
+    return dl.lock_mode_breakdown(*both(spark, sf_dir))
 
 
 @reg("dl10_proc_counts", F6 + """
@@ -197,7 +187,7 @@ g AS (SELECT object_name, CAST(sum(wait_time_ms) AS BIGINT) AS total_wait_ms,
 SELECT *, printf('%dd %02d:%02d:%02d', total_wait_ms // 1000 // 86400, (total_wait_ms // 1000 % 86400) // 3600,
                  (total_wait_ms // 1000 % 3600) // 60, total_wait_ms // 1000 % 60) AS total_wait FROM g""")
 def q_dl11(spark, sf_dir):
-    return dl.wait_by_object(procs(spark, sf_dir), edges(spark, sf_dir))
+    return dl.wait_by_object(*both(spark, sf_dir))
 
 
 @reg("dl11_wait_by_database", F6 + """
@@ -223,7 +213,7 @@ SELECT CAST(NULL AS VARCHAR) AS server_name, database_name, CAST(NULL AS TIMESTA
                      ELSE 'Implicit transactions' END AS finding,
        CAST(deadlocks AS VARCHAR) || ' deadlocks' AS details, CAST(deadlocks AS DOUBLE) AS value FROM u""")
 def q_dl12(spark, sf_dir):
-    return dl.special_participants(procs(spark, sf_dir), edges(spark, sf_dir))
+    return dl.special_participants(*both(spark, sf_dir))
 
 
 @reg("dl13_incident_report", F6 + """

@@ -296,13 +296,14 @@ def q_sec03(spark, sf_dir):
 
 
 @reg("sec04_orphaned_users", """
-SELECT c_name AS user_name, c_custkey AS user_id FROM customer u WHERE c_custkey % 3 = 0
-  AND NOT EXISTS (SELECT 1 FROM customer l WHERE l.c_custkey % 4 <> 0 AND l.c_name = u.c_name)""")
+SELECT c_name AS user_name, c_custkey AS user_id FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM events WHERE 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') = c_name)""")
 def q_sec04(spark, sf_dir):
     c = fx._t(spark, sf_dir, "customer")
-    users = c.filter(F.col("c_custkey") % 3 == 0).select(F.col("c_name").alias("user_name"),
-                                                         F.col("c_custkey").alias("user_id"))
-    logins = c.filter(F.col("c_custkey") % 4 != 0).select(F.col("c_name").alias("login_name"))
+    users = c.select(F.col("c_name").alias("user_name"), F.col("c_custkey").alias("user_id"))
+    # a login exists for everyone who is seen in the event log
+    logins = fx._t(spark, sf_dir, "events").select(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("login_name")).distinct()
     return sec.orphaned_users(users, logins)
 
 
@@ -350,8 +351,11 @@ def q_dq02(spark, sf_dir):
 
 
 @reg("dq03_column_listing", """
-SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position, data_type, is_nullable
-FROM information_schema.columns WHERE table_name = 'customer'""")
+SELECT table_name, column_name, CAST(ordinal_position AS INTEGER) AS ordinal_position, data_type, is_nullable,
+       CAST(CASE column_name WHEN 'c_custkey' THEN k WHEN 'c_name' THEN n WHEN 'c_nationkey' THEN t WHEN 'c_acctbal' THEN b
+                             ELSE o END AS BIGINT) AS non_null_rows
+FROM information_schema.columns, (SELECT count(c_custkey) AS k, count(c_name) AS n, count(c_nationkey) AS t, count(c_acctbal) AS b,
+       count(*) AS o FROM customer) WHERE table_name = 'customer'""")
 def q_dq03(spark, sf_dir):
     return dq.column_listing(spark, fx._t(spark, sf_dir, "customer"), table="customer")
 

@@ -14,7 +14,7 @@ from ..operators import drift as dr
 from ..operators import relational as rel
 from ..operators import rules as rl
 from ..sinks.history import render_lines, report_lines
-from ..sources.events import EVENT_SCHEMA, read_events
+from ..sources.events import DEADLOCK_SCHEMA, EVENT_SCHEMA, read_events
 from ..sources.tables import read_snapshots, union_sources
 from ..streaming.pipelines import scratch_path
 from . import fixtures as fx
@@ -40,14 +40,14 @@ def reg(name, sql=None):
 
 
 @reg("jn02_unused_left_join", """
-SELECT p_partkey, p_name, CAST(coalesce(u.n, 0) AS BIGINT) AS uses
-FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey) u ON p_partkey = u.l_partkey
+SELECT d.doc_id, source, CAST(coalesce(u.n, 0) AS BIGINT) AS uses
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) u ON d.doc_id = u.doc_id
 WHERE u.n IS NULL OR u.n = 0""")
 def q_jn02(spark, sf_dir):
-    p = fx._t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    u = fx._t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
-    j = p.join(u, "p_partkey", "left").filter(F.col("n").isNull() | (F.col("n") == 0))
-    return j.select("p_partkey", "p_name", F.coalesce("n", F.lit(0)).cast("long").alias("uses"))
+    d = fx._t(spark, sf_dir, "documents").select("doc_id", "source")
+    u = fx._t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    j = d.join(u, "doc_id", "left").filter(F.col("n").isNull() | (F.col("n") == 0))
+    return j.select("doc_id", "source", F.coalesce("n", F.lit(0)).cast("long").alias("uses"))
 
 
 @reg("jn03_hinted_hash_join", """
@@ -161,15 +161,21 @@ def q_src01(spark, sf_dir):
 
 
 @reg("src02_xml_event_files", F6_SQL + f"""
-SELECT {PROC_COLS.replace('event_id, ', 'CAST(NULL AS BIGINT) AS event_id, ')} FROM f6 WHERE event_id % 2 = 1""")
+SELECT {PROC_COLS.replace('event_id, event_ts, ', 'CAST(NULL AS BIGINT) AS event_id, CASE WHEN event_id % 2 = 1 THEN event_ts END AS event_ts, ')} FROM f6""")
 def q_src02(spark, sf_dir):
     root = scratch_path(spark, "src02")
-    # event files are XML documents (root element wrapping the events): the
-    # rendered events are parsed and written back through the XML writer
-    ev = f6_events(spark, sf_dir).filter(F.col("event_id") % 2 == 1)
-    ev.select(F.from_xml("event_xml", EVENT_SCHEMA).alias("e")).select("e.*").write.format("xml") \
-        .option("rootTag", "events").option("rowTag", "event").save(root)
-    return dl.processes(read_events(spark, root, row_tag="event")).drop("frames")
+    # event files are XML documents (a root element wrapping the rows): the rendered
+    # documents are parsed and written back through the XML writer, wrapped events and
+    # bare deadlocks (which carry no timestamp) in files of their own
+    docs = f6_events(spark, sf_dir).select("event_xml", F.ltrim("event_xml").startswith("<deadlock").alias("bare"))
+    out = None
+    for tag, schema in (("event", EVENT_SCHEMA), ("deadlock", DEADLOCK_SCHEMA)):
+        part = docs.filter(F.col("bare") if tag == "deadlock" else ~F.col("bare"))
+        part.select(F.from_xml("event_xml", schema).alias("e")).select("e.*").write.format("xml") \
+            .option("rootTag", f"{tag}s").option("rowTag", tag).save(f"{root}/{tag}")
+        got = dl.processes(read_events(spark, f"{root}/{tag}", row_tag=tag)).drop("frames")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @reg("src05_union_sources", ofx.with_(ofx.f3_backups()) + """

@@ -66,6 +66,13 @@ def parse_deadlocks(df: DataFrame, *, xml: str = "event_xml", ts: str | None = "
     return out
 
 
+def shred_events(events: DataFrame, path: str) -> DataFrame:
+    """Parsed events written to ``path`` (a folder of the caller's) and read
+    back: reports that use several typed inputs parse each document once."""
+    events.write.parquet(path)
+    return events.sparkSession.read.parquet(path)
+
+
 def read_events(spark: SparkSession, path: str, *, row_tag: str = "event") -> DataFrame:
     """SRC-2: event files of XML events, one record per ``row_tag`` element,
     read by the XML data source with the declared schema."""
