@@ -36,7 +36,11 @@ def processes(parsed: DataFrame) -> DataFrame:
         F.col("p._hostname").alias("host_name"), F.col("p._loginname").alias("login_name"),
         F.col("p._isolationlevel").alias("isolation_level"), F.col("p._currentdbname").alias("database_name"),
         F.col("p._logused").alias("log_used"), F.col("p._transactionname").alias("transaction_name"),
-        F.col("p.inputbuf").alias("input_buffer"),
+        F.col("p.inputbuf").alias("input_buffer"), F.col("p._waitresource").alias("wait_resource"),
+        F.col("p._priority").alias("priority"), F.col("p._trancount").alias("transaction_count"),
+        F.to_timestamp_ntz("p._lastbatchstarted").alias("last_batch_started"),
+        F.to_timestamp_ntz("p._lastbatchcompleted").alias("last_batch_completed"),
+        F.col("p._clientoption1").alias("client_option_1"), F.col("p._clientoption2").alias("client_option_2"),
         F.coalesce(F.array_contains("__victims", F.col("p._id")), F.lit(False)).alias("is_victim"),
         F.col("p.executionStack.frame").alias("frames"))
 
@@ -99,10 +103,11 @@ def totals_by_database(procs: DataFrame) -> DataFrame:
     return _events_per(procs, ["database_name"])
 
 
-def selects_by_database(procs: DataFrame) -> DataFrame:
-    """DL-6 check 2: deadlocks involving a SELECT, per database."""
-    return _events_per(procs.filter(F.lower(F.ltrim("input_buffer")).startswith("select")), ["database_name"],
-                       "select_deadlocks")
+def selects_by_database(edges: DataFrame) -> DataFrame:
+    """DL-6 check 2: deadlocks with a reading lock (resource or owner mode S
+    or IS) per database of the locked object."""
+    reads = label_objects(edges).filter(F.col("resource_mode").isin("S", "IS") | F.col("owner_mode").isin("S", "IS"))
+    return _events_per(reads.withColumnRenamed("object_database", "database_name"), ["database_name"], "select_deadlocks")
 
 
 def totals_by_object(edges: DataFrame) -> DataFrame:
@@ -125,27 +130,28 @@ def by_login_app_host(procs: DataFrame) -> DataFrame:
 def process_objects(procs: DataFrame, edges: DataFrame) -> DataFrame:
     """JN-10: processes with the objects they own or wait on -- two equi joins
     unioned and de-duplicated, never an OR join."""
-    p = procs.select("event_id", "process_id", "lock_mode", "wait_time_ms", "database_name")
+    p = procs.select("event_id", "process_id", "wait_resource", "wait_time_ms", "database_name")
     e = edges.select("event_id", "object_name", "owner_id", "waiter_id")
     a = p.join(e.withColumnRenamed("owner_id", "process_id").drop("waiter_id"), ["event_id", "process_id"])
     b = p.join(e.withColumnRenamed("waiter_id", "process_id").drop("owner_id"), ["event_id", "process_id"])
     return a.unionByName(b).dropDuplicates(["event_id", "process_id", "object_name"])
 
 
-def lock_mode_breakdown(procs: DataFrame, edges: DataFrame) -> DataFrame:
-    """DL-9 check 7: per object ``"mode: n, mode: n"`` (deadlocks per lock
-    mode, mode = text before any colon), sorted by mode."""
-    po = process_objects(procs, edges).withColumn("mode", F.split("lock_mode", ":").getItem(0))
-    g = po.groupBy("object_name", "mode").agg(F.count_distinct("event_id").cast("long").alias("n"))
-    s = g.groupBy("object_name").agg(F.sort_array(F.collect_list(F.struct("mode", "n"))).alias("l"))
-    return s.select("object_name", F.array_join(F.transform(
-        "l", lambda x: F.concat(x["mode"], F.lit(": "), x["n"].cast("string"))), ", ").alias("lock_modes"))
+def lock_type_breakdown(procs: DataFrame, edges: DataFrame) -> DataFrame:
+    """DL-9 check 7: per database and object ``"n TYPE, n TYPE"``: deadlocks per
+    lock type (the wait resource up to its colon), sorted by type."""
+    kind = F.split("wait_resource", ":").getItem(0)
+    po = process_objects(procs, edges).filter(F.col("object_name").isNotNull()).withColumn("lock_type", kind)
+    g = po.groupBy("database_name", "object_name", "lock_type").agg(F.count_distinct("event_id").cast("long").alias("n"))
+    s = g.groupBy("database_name", "object_name").agg(F.sort_array(F.collect_list(F.struct("lock_type", "n"))).alias("l"))
+    return s.select("database_name", "object_name", F.array_join(F.transform(
+        "l", lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["lock_type"])), ", ").alias("lock_types"))
 
 
 def proc_counts(frame_rows: DataFrame) -> DataFrame:
-    """DL-10 check 9: deadlocks per stored procedure (unknown frames skipped)."""
-    f = frame_rows.filter(F.col("proc_name") != "unknown")
-    return _events_per(f, ["database_name", "proc_name"])
+    """DL-10 check 9: deadlocks per procedure of the stack (ad hoc frames
+    skipped; frames of unknown name are kept)."""
+    return _events_per(frame_rows.filter(F.col("proc_name") != "adhoc"), ["database_name", "proc_name"])
 
 
 def agent_job_counts(procs: DataFrame) -> DataFrame:
@@ -174,25 +180,26 @@ def wait_by_database(procs: DataFrame) -> DataFrame:
     return g.withColumn("total_wait", ms_to_dhms("total_wait_ms"))
 
 
+# Check id and title of the totals.
+TOTALS = [(14, "Total parallel deadlocks"), (15, "Total deadlocks involving sleeping sessions"),
+          (15, "Total deadlocks involving background processes"), (14, "Total implicit transaction deadlocks")]
+
+
 def special_participants(procs: DataFrame, edges: DataFrame) -> DataFrame:
-    """DL-12 checks 14/15/16 as findings: parallel deadlocks (exchange
-    events), sleeping/background participants, implicit transactions."""
-    # one pass over the processes: three conditional distinct counts, then unpivot
-    par = edges.filter(F.col("lock_kind") == "exchangeEvent").select("event_id").distinct().withColumn(
-        "__par", F.lit(True))
-    p = procs.select("event_id", "database_name", "status", "transaction_name").join(par, "event_id", "left")
+    """DL-12 checks 14/15: four totals over all deadlocks as findings: parallel
+    (exchange events), with sleeping sessions, with background processes, in implicit transactions."""
     ev = F.col("event_id")
-    g = p.groupBy("database_name").agg(
-        F.count_distinct(F.when(F.col("__par"), ev)).cast("long").alias("c14"),
-        F.count_distinct(F.when(F.col("status").isin("sleeping", "background"), ev)).cast("long").alias("c15"),
-        F.count_distinct(F.when(F.col("transaction_name") == "implicit_transaction", ev)).cast("long").alias("c16"))
-    u = g.select("database_name", F.expr("stack(3, 14, c14, 15, c15, 16, c16) AS (check_id, deadlocks)")).filter(
-        F.col("deadlocks") > 0)
-    names = {14: "Parallel deadlocks", 15: "Sleeping or background queries", 16: "Implicit transactions"}
-    finding = F.when(F.col("check_id") == 14, names[14]).when(F.col("check_id") == 15, names[15]).otherwise(names[16])
-    return as_findings(u, check_id=F.col("check_id"), priority=100, group="Deadlocks", finding=finding,
+    p = procs.agg(F.count_distinct(F.when(F.col("status") == "sleeping", ev)).cast("long").alias("c1"),
+                  F.count_distinct(F.when(F.col("status") == "background", ev)).cast("long").alias("c2"),
+                  F.count_distinct(F.when(F.col("transaction_name") == "implicit_transaction", ev)).cast("long").alias("c3"))
+    par = edges.filter(F.col("lock_kind") == "exchangeEvent").agg(F.count_distinct("event_id").cast("long").alias("c0"))
+    one = par.crossJoin(p)  # two one-row aggregates
+    rows = F.array(*[F.struct(F.lit(i).alias("check_id"), F.lit(t).alias("finding"), F.col(f"c{k}").alias("deadlocks"))
+                     for k, (i, t) in enumerate(TOTALS)])
+    u = one.select(F.explode(rows).alias("r")).select("r.*").filter(F.col("deadlocks") > 0)
+    return as_findings(u, check_id=F.col("check_id"), priority=100, group="Deadlocks", finding=F.col("finding"),
                        details=F.concat(F.col("deadlocks").cast("string"), F.lit(" deadlocks")), value=F.col("deadlocks"),
-                       server=None, database="database_name")
+                       server=None, database=None)
 
 
 def incident_report(procs: DataFrame, *, bucket: str = "hour") -> DataFrame:

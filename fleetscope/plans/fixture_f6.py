@@ -21,6 +21,9 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+WAIT_RESOURCES = ["KEY", "PAGE", "OBJECT", "RID", "ROWGROUP", "APPLICATION"]
+
+
 def f6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -56,7 +59,11 @@ def f6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("transaction_name"),
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("SELECT * FROM tbl"), tbl))
         .otherwise(F.concat(F.lit("UPDATE tbl"), tbl, F.lit(" SET x = 1"))).alias("input_buffer"),
-        F.concat(db, F.lit(".dbo.usp_proc"), (F.col("l_partkey") % 20).cast("string")).alias("proc_name"),
+        F.when(F.col("l_partkey") % 10 == 3, "adhoc").otherwise(
+            F.concat(db, F.lit(".dbo.usp_proc"), (F.col("l_partkey") % 20).cast("string"))).alias("proc_name"),
+        F.concat(F.element_at(F.array(*[F.lit(x) for x in WAIT_RESOURCES]), (i % 6 + 1).cast("int")), F.lit(": "),
+                 (F.col("o_custkey") % 50).cast("string"), F.lit(":"), F.col("l_partkey").cast("string")).alias("wait_resource"),
+        (i % 3 - 1).alias("priority"), (i % 4).alias("transaction_count"),
         F.col("l_linenumber").cast("long").alias("proc_line"),
         (i == n).alias("is_victim"),
         kind.alias("lock_kind"),
@@ -73,11 +80,14 @@ def f6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = f6_lines(spark, sf_dir)
     proc = F.format_string(
         '<process id="%s" spid="%d" waittime="%d" lockMode="%s" status="%s" clientapp="%s" hostname="%s" '
-        'loginname="%s" isolationlevel="%s" currentdbname="%s" logused="%d" transactionname="%s">'
+        'loginname="%s" isolationlevel="%s" currentdbname="%s" logused="%d" transactionname="%s" waitresource="%s" '
+        'priority="%d" trancount="%d" lastbatchstarted="%s" lastbatchcompleted="%s" clientoption1="%d" clientoption2="%d">'
         '<executionStack><frame procname="%s" line="%d"/><frame procname="unknown" line="1"/></executionStack>'
         '<inputbuf>%s</inputbuf></process>',
         "process_id", "spid", "wait_time_ms", "lock_mode", "status", "client_app", "host_name", "login_name",
-        "isolation_level", "database_name", "log_used", "transaction_name", "proc_name", "proc_line", "input_buffer")
+        "isolation_level", "database_name", "log_used", "transaction_name", "wait_resource", "priority", "transaction_count",
+        F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.col("spid") * 2, F.col("spid") * 3, "proc_name", "proc_line", "input_buffer")
     idx = F.when(F.col("index_name").isNull(), F.lit("")).otherwise(
         F.concat(F.lit(' indexname="'), F.col("index_name"), F.lit('"')))
     res = F.concat(

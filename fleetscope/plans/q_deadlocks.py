@@ -42,7 +42,13 @@ f6 AS (
          CASE WHEN l_partkey % 9 = 0 THEN 'implicit_transaction' ELSE 'user_transaction' END AS transaction_name,
          CASE WHEN l_returnflag = 'R' THEN 'SELECT * FROM tbl' || CAST(l_suppkey % 10 AS VARCHAR)
               ELSE 'UPDATE tbl' || CAST(l_suppkey % 10 AS VARCHAR) || ' SET x = 1' END AS input_buffer,
-         'db' || CAST(o_custkey % 50 AS VARCHAR) || '.dbo.usp_proc' || CAST(l_partkey % 20 AS VARCHAR) AS proc_name,
+         CASE WHEN l_partkey % 10 = 3 THEN 'adhoc'
+              ELSE 'db' || CAST(o_custkey % 50 AS VARCHAR) || '.dbo.usp_proc' || CAST(l_partkey % 20 AS VARCHAR) END AS proc_name,
+         (['KEY', 'PAGE', 'OBJECT', 'RID', 'ROWGROUP', 'APPLICATION'])[i % 6 + 1] || ': ' || CAST(o_custkey % 50 AS VARCHAR) || ':'
+           || CAST(l_partkey AS VARCHAR) AS wait_resource,
+         i % 3 - 1 AS priority, i % 4 AS transaction_count, o_orderdate + to_seconds(l_orderkey % 86400) AS last_batch_started,
+         o_orderdate + to_seconds(l_orderkey % 86400) AS last_batch_completed, (i + 50) * 2 AS client_option_1,
+         (i + 50) * 3 AS client_option_2,
          CAST(l_linenumber AS BIGINT) AS proc_line, i = n AS is_victim,
          (['keylock', 'pagelock', 'objectlock', 'ridlock', 'rowgrouplock', 'exchangeEvent'])[i % 6 + 1] AS lock_kind,
          'db' || CAST(o_custkey % 50 AS VARCHAR) || '.dbo.tbl' || CAST(l_suppkey % 10 AS VARCHAR) AS object_name,
@@ -52,16 +58,17 @@ f6 AS (
   FROM f6l WHERE n >= 2),
 edges AS (SELECT event_id, event_ts, lock_kind, object_name, index_name, db_id, lock_mode AS resource_mode,
                  process_id AS owner_id, lock_mode AS owner_mode, waiter_id, 'U' AS waiter_mode FROM f6),
-po AS (SELECT DISTINCT event_id, process_id, object_name, lock_mode, wait_time_ms, database_name FROM (
-         SELECT f6.event_id, f6.process_id, e.object_name, f6.lock_mode, f6.wait_time_ms, f6.database_name
+po AS (SELECT DISTINCT event_id, process_id, object_name, wait_resource, wait_time_ms, database_name FROM (
+         SELECT f6.event_id, f6.process_id, e.object_name, f6.wait_resource, f6.wait_time_ms, f6.database_name
          FROM f6 JOIN edges e ON f6.event_id = e.event_id AND f6.process_id = e.owner_id
          UNION ALL
-         SELECT f6.event_id, f6.process_id, e.object_name, f6.lock_mode, f6.wait_time_ms, f6.database_name
+         SELECT f6.event_id, f6.process_id, e.object_name, f6.wait_resource, f6.wait_time_ms, f6.database_name
          FROM f6 JOIN edges e ON f6.event_id = e.event_id AND f6.process_id = e.waiter_id))
 """
 
 PROC_COLS = ("event_id, event_ts, process_id, spid, wait_time_ms, lock_mode, status, client_app, host_name, login_name, "
-             "isolation_level, database_name, log_used, transaction_name, input_buffer, is_victim")
+             "isolation_level, database_name, log_used, transaction_name, input_buffer, wait_resource, priority, transaction_count, "
+             "last_batch_started, last_batch_completed, client_option_1, client_option_2, is_victim")
 
 
 def parsed(spark, sf_dir):
@@ -128,10 +135,10 @@ def q_dl06a(spark, sf_dir):
 
 
 @reg("dl06_select_deadlocks_by_database", F6 + """
-SELECT database_name, CAST(count(DISTINCT event_id) AS BIGINT) AS select_deadlocks FROM f6
-WHERE starts_with(lower(ltrim(input_buffer)), 'select') GROUP BY ALL""")
+SELECT split_part(object_name, '.', 1) AS database_name, CAST(count(DISTINCT event_id) AS BIGINT) AS select_deadlocks FROM edges
+WHERE resource_mode IN ('S', 'IS') OR owner_mode IN ('S', 'IS') GROUP BY ALL""")
 def q_dl06b(spark, sf_dir):
-    return dl.selects_by_database(procs(spark, sf_dir))
+    return dl.selects_by_database(edges(spark, sf_dir))
 
 
 @reg("dl06_deadlocks_by_object", F6 + ", lab AS (" + _LABEL + """)
@@ -156,16 +163,18 @@ def q_dl08(spark, sf_dir):
 
 
 @reg("dl09_lock_mode_breakdown", F6 + """
-, g AS (SELECT object_name, split_part(lock_mode, ':', 1) AS mode, CAST(count(DISTINCT event_id) AS BIGINT) AS n
+, g AS (SELECT database_name, object_name, split_part(wait_resource, ':', 1) AS kind, CAST(count(DISTINCT event_id) AS BIGINT) AS n
         FROM po GROUP BY ALL)
-SELECT object_name, string_agg(mode || ': ' || CAST(n AS VARCHAR), ', ' ORDER BY mode, n) AS lock_modes
-FROM g GROUP BY object_name""")
+SELECT database_name, object_name, string_agg(CAST(n AS VARCHAR) || ' ' || kind, ', ' ORDER BY kind, n) AS lock_types
+FROM g GROUP BY database_name, object_name""")
 def q_dl09(spark, sf_dir):
-    return dl.lock_mode_breakdown(*both(spark, sf_dir))
+    return dl.lock_type_breakdown(*both(spark, sf_dir))
 
 
 @reg("dl10_proc_counts", F6 + """
-SELECT database_name, proc_name, CAST(count(DISTINCT event_id) AS BIGINT) AS deadlocks FROM f6 GROUP BY ALL""")
+, fr AS (SELECT event_id, database_name, proc_name FROM f6 UNION ALL SELECT event_id, database_name, 'unknown' FROM f6)
+SELECT database_name, proc_name, CAST(count(DISTINCT event_id) AS BIGINT) AS deadlocks FROM fr
+WHERE proc_name <> 'adhoc' GROUP BY ALL""")
 def q_dl10(spark, sf_dir):
     return dl.proc_counts(dl.frames(procs(spark, sf_dir)))
 
@@ -200,18 +209,14 @@ def q_dl11b(spark, sf_dir):
 
 
 @reg("dl12_special_participants", F6 + """
-, par AS (SELECT DISTINCT p.event_id, p.database_name FROM f6 p
-          WHERE p.event_id IN (SELECT event_id FROM edges WHERE lock_kind = 'exchangeEvent')),
-u AS (SELECT database_name, CAST(count(DISTINCT event_id) AS BIGINT) AS deadlocks, 14 AS check_id FROM par GROUP BY ALL
-      UNION ALL
-      SELECT database_name, CAST(count(DISTINCT event_id) AS BIGINT), 15 FROM f6 WHERE status IN ('sleeping', 'background') GROUP BY ALL
-      UNION ALL
-      SELECT database_name, CAST(count(DISTINCT event_id) AS BIGINT), 16 FROM f6 WHERE transaction_name = 'implicit_transaction' GROUP BY ALL)
-SELECT CAST(NULL AS VARCHAR) AS server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts,
-       CAST(check_id AS INTEGER) AS check_id, CAST(100 AS INTEGER) AS priority, 'Deadlocks' AS findings_group,
-       CASE check_id WHEN 14 THEN 'Parallel deadlocks' WHEN 15 THEN 'Sleeping or background queries'
-                     ELSE 'Implicit transactions' END AS finding,
-       CAST(deadlocks AS VARCHAR) || ' deadlocks' AS details, CAST(deadlocks AS DOUBLE) AS value FROM u""")
+, u AS (SELECT 14 AS check_id, 'Total parallel deadlocks' AS finding, count(DISTINCT event_id) AS n FROM edges WHERE lock_kind = 'exchangeEvent'
+        UNION ALL SELECT 15, 'Total deadlocks involving sleeping sessions', count(DISTINCT event_id) FROM f6 WHERE status = 'sleeping'
+        UNION ALL SELECT 15, 'Total deadlocks involving background processes', count(DISTINCT event_id) FROM f6 WHERE status = 'background'
+        UNION ALL SELECT 14, 'Total implicit transaction deadlocks', count(DISTINCT event_id) FROM f6
+                  WHERE transaction_name = 'implicit_transaction')
+SELECT CAST(NULL AS VARCHAR) AS server_name, CAST(NULL AS VARCHAR) AS database_name, CAST(NULL AS TIMESTAMP) AS check_ts,
+       CAST(check_id AS INTEGER) AS check_id, CAST(100 AS INTEGER) AS priority, 'Deadlocks' AS findings_group, finding,
+       CAST(n AS VARCHAR) || ' deadlocks' AS details, CAST(n AS DOUBLE) AS value FROM u WHERE n > 0""")
 def q_dl12(spark, sf_dir):
     return dl.special_participants(*both(spark, sf_dir))
 

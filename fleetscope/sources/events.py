@@ -23,7 +23,9 @@ PROCESS = _s(
     ("_id", StringType()), ("_spid", LongType()), ("_waittime", LongType()), ("_lockMode", StringType()),
     ("_status", StringType()), ("_clientapp", StringType()), ("_hostname", StringType()),
     ("_loginname", StringType()), ("_isolationlevel", StringType()), ("_currentdbname", StringType()),
-    ("_logused", LongType()), ("_transactionname", StringType()),
+    ("_logused", LongType()), ("_transactionname", StringType()), ("_waitresource", StringType()),
+    ("_priority", LongType()), ("_trancount", LongType()), ("_lastbatchstarted", StringType()),
+    ("_lastbatchcompleted", StringType()), ("_clientoption1", LongType()), ("_clientoption2", LongType()),
     ("executionStack", _s(("frame", ArrayType(FRAME)))), ("inputbuf", StringType()),
 )
 PARTY = _s(("_id", StringType()), ("_mode", StringType()))
