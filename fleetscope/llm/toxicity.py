@@ -1,8 +1,8 @@
 """Toxicity score: a weighted lexicon matched by Aho-Corasick after folding.
 
-Folding lower-cases, strips Latin accents from nothing (accents carry meaning in the learned
-terms), maps look-alike letters of other scripts and full-width forms to Latin, and undoes digit and
-sign substitutions inside words (``1d10t``).  The lexicon holds word beginnings (so that
+Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin, and
+undoes digit and sign substitutions inside words (``1d10t``).  Accents stay: the terms of other
+languages carry them.  The lexicon holds word beginnings (so that
 inflected forms match), each with a weight; a word beginning inside an exception phrase does not
 count.  The score is a logistic function of the summed weights, normalised by text length.
 
@@ -120,7 +120,8 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         share = F.when(F.col("y") == y, F.lit(min(1.0, sample / c))).otherwise(share)
     u = F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     picked = lab.where(u < share)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(picked, "_id").select("_id", "_text", "y")
+    # about 2 * sample ids, whatever the size of the tables: broadcast, so that no text is shuffled
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "y")
 
 
 def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
