@@ -35,7 +35,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LONGEST = 14
+LONGEST = 18
 WINDOW = 48
 
 _DIGIT = re.compile(r"[0-9]")
@@ -110,7 +110,7 @@ def windows(t: str) -> list[tuple[int, int]]:
     return out
 
 
-N_FEATURES = 30
+N_FEATURES = 34
 
 
 def span_features(s: str, left: str, right: str) -> np.ndarray:
@@ -138,10 +138,14 @@ def span_features(s: str, left: str, right: str) -> np.ndarray:
     f[23] = all(len(g) == 4 for g in groups) and len(groups) > 2
     f[24] = s[0].isspace() or s[-1].isspace()
     f[25] = left.isalnum() or left in "@._%+-"
-    f[26] = right.isalnum() or right == "@"
+    f[26] = right[0].isalnum() or right[0] == "@"
     f[27] = not (s[0].isalnum() or s[0] in "+(")
     f[28] = not s[-1].isalnum()
     f[29] = len(re.sub(r"[0-9A-Za-z().+ @\[\]_%-]", "", s)) > 0
+    f[30] = s.count(" ") > 3
+    f[31] = bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
+    f[32] = bool(re.search(r"[^\W\d_] [^\W\d_]", s))
+    f[33] = len(right) > 1 and right[0] in ".-" and right[1].isalnum()
     return f
 
 
@@ -161,7 +165,7 @@ def candidates(t: str) -> tuple[list[int], dict[tuple[int, int], np.ndarray]]:
             nd = digits[j] - digits[i]
             if 7 <= nd <= 19 or ats[j] > ats[i] or (nd >= 4 and j - i >= 7):
                 s, e = bounds[i], bounds[j]
-                out[i, j] = span_features(t[s:e], t[s - 1] if s else " ", t[e] if e < len(t) else " ")
+                out[i, j] = span_features(t[s:e], t[s - 1] if s else " ", t[e:e + 2] or " ")
     return bounds, out
 
 
@@ -243,6 +247,18 @@ def respell(s: str, kind: int, rng: np.random.Generator) -> str:
     return s.replace(" ", ["-", ".", " "][rng.integers(3)])
 
 
+def respelled(t: str, spans: list[tuple[int, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]] | None:
+    """The window with one of its spans spelled another way, and all spans at their new places."""
+    if not spans:
+        return None
+    x, y, k = spans[int(rng.integers(len(spans)))]
+    new = respell(t[x:y], k, rng)
+    if new == t[x:y] or any(p < y and x < q for p, q, _ in spans if (p, q) != (x, y)):
+        return None
+    by = len(new) - (y - x)
+    return t[:x] + new + t[y:], [(p, q + by, z) if (p, q) == (x, y) else (p + by, q + by, z) if p >= y else (p, q, z) for p, q, z in spans]
+
+
 def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, gold = [], []
@@ -254,12 +270,10 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 inside = [(x - s, y - s, k) for x, y, k in spans if s <= x and y <= e]
                 text.append(t[s:e])
                 gold.append([v for g in inside for v in g])
-                if len(inside) == 1:
-                    x, y, k = inside[0]
-                    new = respell(t[s:e][x:y], k, rng)
-                    if new != t[s:e][x:y]:
-                        text.append(t[s:e][:x] + new + t[s:e][y:])
-                        gold.append([x, x + len(new), k])
+                other = respelled(t[s:e], inside, rng)
+                if other:
+                    text.append(other[0])
+                    gold.append([v for g in other[1] for v in g])
         yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(gold, pa.list_(pa.int32()))], ["t", "gold"])
 
 
