@@ -19,7 +19,7 @@ from fleetscope.session import ensure_checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half; trained on the labels of the documents given."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").where("_score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as the mix takes."""
     plan = mixing.mix(docs, mixing.word_count(F.col("text")), max_repeat=3).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
