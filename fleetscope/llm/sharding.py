@@ -32,97 +32,114 @@ OVERHEAD = 16
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
-def _histogram(rows: DataFrame, cuts: np.ndarray) -> dict[str, np.ndarray]:
-    """Exact bytes, rows, smallest and largest key of the rows between the sorted ``cuts``.
+def _histogram(rows: DataFrame, cuts: dict[int, np.ndarray]) -> dict[int, dict[str, np.ndarray]]:
+    """Exact bytes, rows, smallest and largest key of the rows between the sorted cuts of each lane.
 
-    Interval i holds cuts[i-1] <= k < cuts[i]; the first and last are open.
+    ``rows``: lane, k, size.  Interval i holds cuts[i-1] <= k < cuts[i]; the first and last are open.
     """
-    m = len(cuts) + 1
-
     def run(batches):
-        size, n = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        low, top = np.full(m, HIGH), np.full(m, LOW)
+        acc = {g: (np.zeros(len(c) + 1, np.int64), np.zeros(len(c) + 1, np.int64), np.full(len(c) + 1, HIGH), np.full(len(c) + 1, LOW))
+               for g, c in cuts.items()}
         for b in batches:
-            k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-            i = np.searchsorted(cuts, k, side="right")
-            np.add.at(size, i, s)
-            np.add.at(n, i, 1)
-            np.minimum.at(low, i, k)
-            np.maximum.at(top, i, k)
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, size[at], n[at], low[at], top[at])],
-                                         ["i", "size", "n", "low", "top"])
-
-    got = rows.mapInArrow(run, "i long, size long, n long, low long, top long").groupBy("i").agg(
+            lane, key, size = (c.to_numpy() for c in b.columns)
+            for g in np.unique(lane):
+                if g in acc:
+                    own = lane == g
+                    k, (total, n, low, top) = key[own], acc[g]
+                    i = np.searchsorted(cuts[g], k, side="right")
+                    np.add.at(total, i, size[own])
+                    np.add.at(n, i, 1)
+                    np.minimum.at(low, i, k)
+                    np.maximum.at(top, i, k)
+        for g, cols in acc.items():
+            at = np.nonzero(cols[1])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, np.int32)), *(pa.array(x) for x in (at, *(c[at] for c in cols)))],
+                                             ["lane", "i", "size", "n", "low", "top"])
+
+    got = rows.mapInArrow(run, "lane int, i long, size long, n long, low long, top long").groupBy("lane", "i").agg(
         F.sum("size").alias("size"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("top").alias("top")).collect()
-    out = {"size": np.zeros(m, np.int64), "n": np.zeros(m, np.int64), "low": np.full(m, HIGH), "top": np.full(m, LOW)}
+    out = {g: {"size": np.zeros(len(c) + 1, np.int64), "n": np.zeros(len(c) + 1, np.int64), "low": np.full(len(c) + 1, HIGH),
+               "top": np.full(len(c) + 1, LOW)} for g, c in cuts.items()}
     for r in got:
-        for c, a in out.items():
-            a[r["i"]] = r[c]
+        for c, x in out[r["lane"]].items():
+            x[r["i"]] = r[c]
     return out
 
 
-def _search(rows: DataFrame, goals: list[float], tol: float, total: int, probes: int) -> list[tuple[int, int, int, int]]:
-    """For each goal (boundary, bytes below it, bytes below it and its key, rows of its key).
+def _search(rows: DataFrame, goals: list[tuple[int, float]], tol: float, totals: dict[int, int], probes: int) -> list[tuple[int, int, int, int]]:
+    """For each goal (lane, bytes): boundary, bytes below it, bytes below it and its key, rows of its key.
 
-    The second and third are equal where a boundary within ``tol`` was found.
+    The second and third are equal where a boundary within ``tol`` was found.  All goals of
+    all lanes are refined by one pass over the rows per round.
     """
-    lo = [(LOW, 0)] * len(goals)  # bytes below lo <= goal
-    hi = [(HIGH, total)] * len(goals)
+    lo = [(LOW, 0) for _ in goals]  # bytes below lo <= goal
+    hi = [(HIGH, totals[g]) for g, _ in goals]
     found: dict[int, tuple[int, int, int, int]] = {}
     while len(found) < len(goals):
-        cuts = set()
-        for g, goal in enumerate(goals):
-            if g in found:
+        cuts: dict[int, set[int]] = {}
+        for x, (lane, goal) in enumerate(goals):
+            if x in found:
                 continue
-            (a, ca), (b, cb) = lo[g], hi[g]
+            (a, ca), (b, cb) = lo[x], hi[x]
             # keys are hashes: probe around the proportional place and at even steps
             mid = a + int((b - a) * min(max((goal - ca) / max(1, cb - ca), 0.0), 1.0))
             half = max(2, probes // 2)
             step = max(1, (b - a) >> 12)
-            cuts.update(min(max(mid + (i - half // 2) * step, a + 1), b) for i in range(half))
-            cuts.update(a + 1 + (b - a - 1) * i // half for i in range(half))
-        arr = np.array(sorted(cuts), np.int64)
-        h = _histogram(rows, arr)
-        upto = np.cumsum(h["size"])
-        for g, goal in enumerate(goals):
-            if g in found:
+            mine = cuts.setdefault(lane, set())
+            mine.update((a, b))  # so that what the next round sees of this goal never grows
+            mine.update(min(max(mid + (i - half // 2) * step, a + 1), b) for i in range(half))
+            mine.update(a + 1 + (b - a - 1) * i // half for i in range(half))
+        arrs = {g: np.array(sorted(c), np.int64) for g, c in cuts.items()}
+        hist = _histogram(rows, arrs)
+        for x, (lane, goal) in enumerate(goals):
+            if x in found:
                 continue
-            below = upto[:-1]
-            best = int(np.abs(below - goal).argmin())
-            if abs(int(below[best]) - goal) <= tol:
-                found[g] = (int(arr[best]), int(below[best]), int(below[best]), 0)
+            h, arr = hist[lane], arrs[lane]
+            upto = np.cumsum(h["size"])
+            best = int(np.abs(upto[:-1] - goal).argmin())
+            if abs(int(upto[best]) - goal) <= tol:
+                found[x] = (int(arr[best]), int(upto[best]), int(upto[best]), 0)
                 continue
             i = int(np.searchsorted(upto, goal, side="right"))  # the goal lies inside interval i
             low, top, before = int(h["low"][i]), int(h["top"][i]), int(upto[i] - h["size"][i])
             if low == top:  # one key holds all of it
-                found[g] = (low, before, int(upto[i]), int(h["n"][i]))
+                found[x] = (low, before, int(upto[i]), int(h["n"][i]))
             else:
-                lo[g], hi[g] = (low, before), (top + 1, int(upto[i]))
-    return [found[g] for g in range(len(goals))]
+                lo[x], hi[x] = (low, before), (top + 1, int(upto[i]))
+    return [found[x] for x in range(len(goals))]
+
 
+def splitters(rows: DataFrame, shards: int, tolerance: float, whole: float = 0.01, probes: int = 64) -> list[tuple[int, int]]:
+    """Boundaries (k1, k2), ascending; rows (k1, k2, size).  A row belongs to the shard of the boundaries <= its key.
 
-def splitters(rows: DataFrame, shards: int, tolerance: float, probes: int = 64) -> list[tuple[int, int]]:
-    """Boundaries (k1, k2), ascending; rows (k1, k2, size).  A row belongs to the shard of the boundaries <= its key."""
+    A group of one key k1 of at most ``whole`` of a shard is not cut: the boundary takes its nearer side.
+    """
     total = rows.agg(F.sum("size")).first()[0] or 0
     if not total:
         return []
     goals = [total * (i + 1) / shards for i in range(shards - 1)]
     tol = tolerance * total / shards
-    first = _search(rows.select("k1", "size"), goals, tol, total, probes)
+    lane0 = rows.select(F.lit(0).alias("lane"), F.col("k1").alias("k"), "size")
+    first = _search(lane0, [(0, g) for g in goals], tol, {0: total}, probes)
     out: list[tuple[int, int]] = []
-    heavy: dict[int, list[int]] = {}
-    for g, (k, below, upto, n) in enumerate(first):
-        # a key whose rows are heavier than the tolerance: the nearer side of a single row, else a cut inside the group
-        out.append((k if n < 2 and goals[g] - below <= upto - goals[g] else k + (n == 1), LOW))
-        if n > 1:
-            heavy.setdefault(k, []).append(g)
-    for k, gs in heavy.items():  # at most shards - 1 keys
-        _, below, upto, _ = first[gs[0]]
-        inside = cut(rows.where(F.col("k1") == k).select("k2", "size"))
-        for g, (k2, at, most, _) in zip(gs, _search(inside, [goals[g] - below for g in gs], tol, upto - below, probes), strict=True):
+    inner: list[int] = []
+    for x, (k, below, upto, n) in enumerate(first):
+        if n > 1 and upto - below > whole * total / shards:
+            inner.append(x)
+        # a boundary that was found has n = 0; otherwise the nearer side of the key's rows
+        out.append((k + (n > 0 and goals[x] - below > upto - goals[x]), LOW))
+    if inner:
+        heavy = sorted({first[x][0] for x in inner})  # at most shards - 1 keys
+        lane_of = {k: i for i, k in enumerate(heavy)}
+        lane = F.lit(None).cast("int")
+        for k, i in lane_of.items():
+            lane = F.when(F.col("k1") == k, F.lit(i)).otherwise(lane)
+        inside = cut(rows.where(F.col("k1").isin(heavy)).select(lane.alias("lane"), F.col("k2").alias("k"), "size"))
+        totals = {lane_of[first[x][0]]: first[x][2] - first[x][1] for x in inner}
+        want = [(lane_of[first[x][0]], goals[x] - first[x][1]) for x in inner]
+        for x, (_, goal), (k2, at, most, n) in zip(inner, want, _search(inside, want, tol, totals, probes), strict=True):
             # rows with the very same key stay together: take the nearer side
-            out[g] = (k, k2 if goals[g] - below - at <= most - (goals[g] - below) else k2 + 1)
+            out[x] = (first[x][0], k2 + (n > 0 and goal - at > most - goal))
     return sorted(out)
 
 
@@ -149,7 +166,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     k1, k2 = F.xxhash64(F.coalesce(text_col, F.lit(""))), F.xxhash64(F.col(id_col), F.lit(2))
     keys = cut(docs.select(k1.alias("k1"), k2.alias("k2"), size.alias("size")))
     n = keys.count()
-    bounds = splitters(keys, shards, tolerance, probes)
+    bounds = splitters(keys, shards, tolerance, probes=probes)
     of = shard_of(bounds)
     # a shard is dealt over ``salts`` tasks, by the id, so that neither its rows nor copies meet in one
     salts = max(1, math.ceil(n / shards / rows_per_task))
