@@ -39,32 +39,40 @@ def reg(name, sql=None):
 HEARTBEAT = "~heartbeat"
 
 
-def _stage_files(df, spark, name: str, chunks: int, chunk_key, heartbeat=None) -> str:
-    """Write ``df`` as ``chunks`` files (in chunk order, so files arrive out
-    of event-time order) plus an optional heartbeat row that pushes the
-    watermark past all data; returns the input folder."""
-    root = sp.scratch_path(spark, name)
+def _stage_files(df, path: str, chunks: int, chunk_key) -> None:
+    """Write ``df`` as ``chunks`` groups of files, one group after the other."""
     for i in range(chunks):
-        df.filter(chunk_key == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    if heartbeat is not None:
-        heartbeat.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return f"{root}/in"
+        df.filter(chunk_key == i).write.mode("append").parquet(path)
 
 
 @reg("str01_streaming_snapshot_delta", _delta_sql("restart"))
 def q_str01(spark, sf_dir):
-    snaps = fx.f1_counters(spark, sf_dir, "restart")
-    hb = spark.createDataFrame([(HEARTBEAT, dt.datetime(2100, 1, 1), HEARTBEAT, 0, 0, 0)], snaps.schema)
-    path = _stage_files(snaps, spark, "str01", 3, F.abs(F.xxhash64("check_ts")) % 3, hb)
-    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = stream_snapshot_delta(stream, ["metric"], COUNTERS, watermark="40 days")
+    # A row arrives with the rows of its own or of the next day (out of event-time order), five days
+    # to a group of files.  A watermark of a week covers both, so no state holds more than that.
+    snaps = fx.f1_counters(spark, sf_dir, "restart").persist()
+    span = snaps.agg(F.to_date(F.min("check_ts")).alias("a"), F.to_date(F.max("check_ts")).alias("b")).first()
+    group = F.floor((F.datediff(F.to_date("check_ts"), F.lit(span["a"])) + F.abs(F.xxhash64("check_ts")) % 2) / 5)
+    path = sp.scratch_path(spark, "str01") + "/in"
+    _stage_files(snaps, path, ((span["b"] - span["a"]).days + 1) // 5 + 1, group)
+    spark.createDataFrame([(HEARTBEAT, dt.datetime(2100, 1, 1), HEARTBEAT, 0, 0, 0)], snaps.schema).write.mode("append").parquet(path)
+    snaps.unpersist()
+    stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 16).parquet(path)
+    out = stream_snapshot_delta(stream, ["metric"], COUNTERS, watermark="7 days")
     res = sp.run_available(out, spark=spark, name="str01-out")
     return res.filter(F.col("server_name") != HEARTBEAT)
 
 
-def _events_stream(spark, sf_dir):
+def _events_stream(spark, sf_dir, flush: bool = False):
+    """The events as a stream; with ``flush`` a last row far ahead moves the
+    watermark past all data, so that the last windows are emitted too."""
     schema = fx._t(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if not flush:
+        return stream
+    path = sp.scratch_path(spark, "heartbeat") + "/in"
+    beat = {"ts": dt.datetime(2100, 1, 1)}
+    spark.createDataFrame([tuple(beat.get(f.name) for f in schema.fields)], schema).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(schema).parquet(path))
 
 
 @reg("str02_tumbling_rates", """
@@ -72,9 +80,9 @@ WITH g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type,
                   round(sum(value), 4) AS total_value FROM events GROUP BY ALL)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, total_value,
        round(events / 3600, 6) AS events_per_sec
-FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+FROM g""")
 def q_str02(spark, sf_dir):
-    out = sp.windowed_rates(_events_stream(spark, sf_dir), size="1 hour", watermark="10 minutes")
+    out = sp.windowed_rates(_events_stream(spark, sf_dir, flush=True), size="1 hour", watermark="10 minutes")
     return sp.run_available(out, spark=spark, name="str02")
 
 
@@ -85,9 +93,9 @@ g AS (SELECT window_start, event_type, CAST(count(*) AS BIGINT) AS events, round
       FROM s GROUP BY ALL)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, events, total_value,
        round(events / 3600, 6) AS events_per_sec
-FROM g WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+FROM g""")
 def q_str02s(spark, sf_dir):
-    out = sp.windowed_rates(_events_stream(spark, sf_dir), size="1 hour", slide="15 minutes", watermark="10 minutes")
+    out = sp.windowed_rates(_events_stream(spark, sf_dir, flush=True), size="1 hour", slide="15 minutes", watermark="10 minutes")
     return sp.run_available(out, spark=spark, name="str02s")
 
 
@@ -108,12 +116,18 @@ def q_str03(spark, sf_dir):
 
 @reg("str04_deadlock_stream_dedup", F6_SQL + f"SELECT {PROC_COLS} FROM f6")
 def q_str04(spark, sf_dir):
-    ev = f6_events(spark, sf_dir)
+    # events arrive year by year, each year followed by replays of a part of it; state older than the
+    # watermark leaves, and a replay that is older still is late and dropped
     root = sp.scratch_path(spark, "str04")
-    ev.write.mode("append").parquet(f"{root}/in")
-    ev.filter(F.col("event_id") % 3 == 0).write.mode("append").parquet(f"{root}/in")   # replayed events
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    uniq = sp.dedup_events(stream, watermark="3650 days")
+    f6_events(spark, sf_dir).withColumn("year", F.year("event_ts")).write.partitionBy("year").parquet(f"{root}/years")
+    years = spark.read.parquet(f"{root}/years")
+    ev = years.drop("year")
+    for y in sorted(r["year"] for r in years.select("year").distinct().collect()):
+        one = years.filter(F.col("year") == y).drop("year")
+        one.write.mode("append").parquet(f"{root}/in")
+        one.filter(F.col("event_id") % 3 == 0).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    uniq = sp.dedup_events(stream, watermark="366 days")
     out = dl.processes(parse_deadlocks(uniq)).drop("frames")
     return sp.run_available(out, spark=spark, name="str04-out")
 
@@ -124,9 +138,9 @@ g AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30
              OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
 s AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
              CAST(count(*) AS BIGINT) AS events FROM g GROUP BY user_id, sid)
-SELECT * FROM s WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+SELECT * FROM s""")
 def q_str05(spark, sf_dir):
-    out = sp.activity_sessions(_events_stream(spark, sf_dir), gap="30 minutes", watermark="1 hour")
+    out = sp.activity_sessions(_events_stream(spark, sf_dir, flush=True), gap="30 minutes", watermark="1 hour")
     return sp.run_available(out, spark=spark, name="str05")
 
 

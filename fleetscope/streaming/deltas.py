@@ -23,14 +23,6 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType, Time
 from ..functions.scalar import ntz_to_instant
 
 
-def _minutes(a: pd.Timestamp, b: pd.Timestamp) -> int:
-    return int((b.floor("min") - a.floor("min")).total_seconds() // 60)
-
-
-def _seconds(a: pd.Timestamp, b: pd.Timestamp) -> int:
-    return int((b.floor("s") - a.floor("s")).total_seconds())
-
-
 def stream_snapshot_delta(stream: DataFrame, keys: Sequence[str], counters: Sequence[str], *, ts: str = "check_ts",
                           server: str = "server_name", watermark: str = "2 hours", min_minutes: int = 1,
                           max_minutes: int = 60) -> DataFrame:
@@ -47,6 +39,13 @@ def stream_snapshot_delta(stream: DataFrame, keys: Sequence[str], counters: Sequ
         StructField("pend_ts", ArrayType(TimestampNTZType())), StructField("pend_vals", ArrayType(ArrayType(LongType()))),
         StructField("late", LongType())])
 
+    # nested, so that workers get them with the state function and need not import this package
+    def _minutes(a, b):
+        return int((b.floor("min") - a.floor("min")).total_seconds() // 60)
+
+    def _seconds(a, b):
+        return int((b.floor("s") - a.floor("s")).total_seconds())
+
     def emit(key, last_ts, last_vals, rows):
         out = []
         for t, vals in rows:
