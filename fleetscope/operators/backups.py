@@ -188,34 +188,38 @@ def size_trend(backups: DataFrame, as_of, *, months: int = 12) -> DataFrame:
     return p.select(*DB, *[F.col(str(v)).alias(f"m{abs(v)}" if v else "m0") for v in values])
 
 
-# Backup-history rule ids, priorities and names (rules 1-12).
+# Backup-history rule ids, priorities and names (rules 2-12 are counted per database).
 BACKUP_RULES = [
-    (1, 50, "Non-Agent backups taken", "backups by someone other than the usual user"),
-    (2, 50, "Compatibility level changing", "more than 2 compatibility levels"),
-    (3, 50, "Password backups", "password-protected backups"),
-    (4, 50, "Snapshot backups", "snapshot backups"),
-    (5, 50, "Read only state backups", "backups while read only"),
-    (6, 50, "Single user mode backups", "backups in single user mode"),
-    (7, 50, "No CHECKSUMS", "backups without checksums"),
-    (8, 50, "Damaged backups", "damaged backups"),
-    (9, 50, "Encrypted backups", "encrypted backups"),
-    (10, 50, "Bulk logged backups", "backups in bulk-logged recovery"),
-    (11, 50, "Recovery model switched", "more than one recovery model"),
+    (2, 100, "Compatibility level changing", "compatibility levels"),
+    (3, 100, "Password backups", "password-protected backups"),
+    (4, 100, "Snapshot backups", "snapshot backups"),
+    (5, 100, "Read only state backups", "backups while read only"),
+    (6, 100, "Single user mode backups", "backups in single user mode"),
+    (7, 100, "No CHECKSUMS", "backups without checksums"),
+    (8, 100, "Damaged backups", "damaged backups"),
+    (9, 100, "Encrypted backups", "encrypted backups"),
+    (10, 100, "Bulk logged backups", "backups in bulk-logged recovery"),
+    (11, 100, "Recovery model switched", "recovery models"),
+    (12, 100, "Uncompressed backups", "uncompressed full backups in the last 30 days"),
 ]
 
 
-def backup_rule_findings(backups: DataFrame, *, check_ts=None) -> DataFrame:
-    """BK-7: backup-history rules in one scan: every rule is a conditional
-    count in a single aggregate per database, unpivoted to findings where
-    the count is positive."""
-    usual = backups.groupBy(*DB, "user_name").agg(F.count(F.lit(1)).alias("n"))
-    wm = Window.partitionBy(*DB).orderBy(F.col("n").desc(), F.col("user_name"))
-    usual = usual.withColumn("__r", F.row_number().over(wm)).filter(F.col("__r") == 1).select(
-        *DB, F.col("user_name").alias("usual_user"))
-    b = backups.join(usual, DB, "left")
+def backup_rule_findings(backups: DataFrame, as_of, *, check_ts=None) -> DataFrame:
+    """BK-7: backup-history rules.  Rules 2-12 are conditional counts in a
+    single aggregate per database, unpivoted to findings.  Rule 1 counts, per
+    database and user, backups by anyone but an agent account and the one
+    user who takes most backups of all (the first by name on a tie)."""
+    by_user = backups.groupBy(*DB, "user_name").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    most = by_user.groupBy("user_name").agg(F.sum("n").alias("all")).agg(
+        F.min(F.struct((-F.col("all")).alias("minus"), "user_name"))["user_name"].alias("usual_user"))
+    others = by_user.filter((F.col("n") > 1) & ~F.upper("user_name").contains("AGENT")).join(
+        most, F.col("user_name") == F.col("usual_user"), "left_anti")
+    one = others.select(*DB, F.lit(1).alias("check_id"), F.lit(100).alias("priority"), F.lit("Non-Agent backups taken").alias("finding"),
+                        F.concat(F.lit("backups by "), F.col("user_name")).alias("descr"), "n")
+    levels, models = F.count_distinct("compatibility_level"), F.count_distinct("recovery_model")
+    recent = F.col("backup_finish_date") >= F.lit(as_of) - F.make_dt_interval(F.lit(30))
     cnt = {
-        1: F.count_if(F.col("user_name") != F.col("usual_user")),
-        2: F.count_distinct("compatibility_level") - F.lit(2),
+        2: F.when(levels > 2, levels),
         3: F.count_if("is_password_protected"),
         4: F.count_if("is_snapshot"),
         5: F.count_if("is_readonly"),
@@ -224,12 +228,13 @@ def backup_rule_findings(backups: DataFrame, *, check_ts=None) -> DataFrame:
         8: F.count_if("is_damaged"),
         9: F.count_if("is_encrypted"),
         10: F.count_if(F.col("recovery_model") == "BULK_LOGGED"),
-        11: F.count_distinct("recovery_model") - F.lit(1),
+        11: F.when(models > 1, models),
+        12: F.count_if((F.col("type") == "D") & (F.col("backup_size") == F.col("compressed_backup_size")) & recent),
     }
-    g = b.groupBy(*DB).agg(*[v.cast("long").alias(f"r{k}") for k, v in cnt.items()])
+    g = backups.groupBy(*DB).agg(*[v.cast("long").alias(f"r{k}") for k, v in cnt.items()])
     stack = ", ".join(f"{rid}, {pr}, '{name}', '{desc}', r{rid}" for rid, pr, name, desc in BACKUP_RULES)
     u = g.select(*DB, F.expr(f"stack({len(BACKUP_RULES)}, {stack}) AS (check_id, priority, finding, descr, n)"))
-    u = u.filter(F.col("n") > 0)
+    u = u.filter(F.col("n") > 0).unionByName(one)
     return as_findings(u, check_id=F.col("check_id"), priority=F.col("priority"), group="Backup",
                        finding=F.col("finding"),
                        details=F.concat(F.col("n").cast("string"), F.lit(" "), F.col("descr")),

@@ -134,17 +134,24 @@ def multiple_plans(stats: DataFrame, *, min_plans: int = 2, query: str = "query_
 
 
 def cache_age_histogram(stats: DataFrame, as_of, *, windows_hours: Sequence[int] = (24, 4, 1),
-                        plan_keys: Sequence[str] = ("query_id", "plan_id"), ts: str = "interval_ts",
+                        query: str = "query_id", plan: str = "plan_id", ts: str = "interval_ts",
                         executions: str = "executions") -> DataFrame:
-    """QS-6: share of plans created within each window before ``as_of`` and
-    the share of single-use plans, in one aggregate over per-plan rows."""
-    p = stats.groupBy(*plan_keys).agg(F.min(ts).alias("created"), F.sum(executions).alias("execs"))
-    aggs = [F.count(F.lit(1)).cast("long").alias("plans")]
-    for h in windows_hours:
-        recent = F.col("created") >= F.lit(as_of) - F.make_dt_interval(F.lit(0), F.lit(h))
-        aggs.append(F.round(F.avg(F.when(recent, 100.0).otherwise(0.0)), 4).alias(f"pct_created_{h}h"))
-    aggs.append(F.round(F.avg(F.when(F.col("execs") == 1, 100.0).otherwise(0.0)), 4).alias("pct_single_use"))
-    return p.agg(*aggs)
+    """QS-6: share of plans created within each window before ``as_of`` (hours
+    by boundary: a window of one hour starts at the hour before), of single-use
+    plans, and of duplicate plans (plans beyond the first of their query)."""
+    p = stats.groupBy(query, plan).agg(F.min(ts).alias("created"), F.sum(executions).alias("execs"))
+    hours = datediff_boundary("hour", F.col("created"), F.lit(as_of))
+    flags = [F.sum(F.when(hours <= h, 1).otherwise(0)).alias(f"n{h}") for h in windows_hours]
+    per = p.groupBy(query).agg(F.count(F.lit(1)).cast("long").alias("plans"), F.sum(F.when(F.col("execs") == 1, 1).otherwise(0)).alias("single"),
+                               *flags)
+    total = F.sum("plans")
+
+    def pct(x):
+        return F.round(x * 100.0 / total, 4)
+
+    return per.agg(total.cast("long").alias("plans"), *[pct(F.sum(f"n{h}")).alias(f"pct_created_{h}h") for h in windows_hours],
+                   pct(F.sum("single")).alias("pct_single_use"), pct(F.sum(F.col("plans") - 1)).alias("pct_duplicate_plans"),
+                   F.count_if(F.col("plans") > 1).cast("long").alias("queries_with_duplicates"))
 
 
 def daily_intervals(hourly: DataFrame, *, keys: Sequence[str] = ("query_id", "plan_id"), ts: str = "interval_ts",

@@ -239,23 +239,34 @@ def two_sample_report(snapshots: DataFrame, start_ts, end_ts, *, cores: int = 1,
     )
 
 
-def drive_stall_ranking(file_deltas: DataFrame, *, server: str = "server_name", n: int | None = None) -> DataFrame:
-    """SD-6: read and write stall per drive, ranked per server; the read and
-    write patterns come from one aggregate and are unpivoted, not re-scanned."""
-    from ..functions.scalar import drive_of
-
-    g = file_deltas.groupBy(server, drive_of("physical_name").alias("drive")).agg(
+def stall_ranking(file_deltas: DataFrame, unit: Column, name: str, *, server: str = "server_name", n: int | None = None) -> DataFrame:
+    """SD-6: read and write stall per ``unit`` (file or drive), ranked per
+    server; the read and write patterns come from one aggregate and are
+    unpivoted, not re-scanned."""
+    g = file_deltas.groupBy(server, unit.alias(name)).agg(
         F.sum("io_stall_read_ms").cast("long").alias("read_stall"), F.sum("num_of_reads").cast("long").alias("reads"),
         F.sum("io_stall_write_ms").cast("long").alias("write_stall"),
         F.sum("num_of_writes").cast("long").alias("writes"))
-    u = g.select(server, "drive", F.expr(
+    u = g.select(server, name, F.expr(
         "stack(2, 'READ', read_stall, reads, 'WRITE', write_stall, writes) AS (pattern, stall_ms, ios)"))
     u = u.withColumn("avg_stall_ms", F.round(try_ratio("stall_ms", "ios", 0.0), 4))
-    w = Window.partitionBy(server, "pattern").orderBy(F.col("avg_stall_ms").desc(), F.col("drive"))
+    w = Window.partitionBy(server, "pattern").orderBy(F.col("avg_stall_ms").desc(), F.col(name))
     u = u.withColumn("stall_rank", F.row_number().over(w).cast("long"))
     return u if n is None else u.filter(F.col("stall_rank") <= n)
 
 
+def file_stall_ranking(file_deltas: DataFrame, **kw) -> DataFrame:
+    """SD-6 per file."""
+    return stall_ranking(file_deltas, F.col("physical_name"), "physical_name", **kw)
+
+
+def drive_stall_ranking(file_deltas: DataFrame, **kw) -> DataFrame:
+    """SD-6 per drive."""
+    from ..functions.scalar import drive_of
+
+    return stall_ranking(file_deltas, drive_of("physical_name"), "drive", **kw)
+
+
 def slow_files(file_deltas: DataFrame, *, threshold_ms: float = 100.0, min_stall_ms: int = 1000,
                server: str = "server_name", ts: str = "check_ts") -> DataFrame:
     """SD-9: data-file reads (check 11) and log-file writes (check 12) whose

@@ -115,7 +115,8 @@ def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         # ids rise with finish time, unique by order key
         (epoch_seconds(finish) * F.lit(1000000000) + k).alias("backup_set_id"),
         cents("o_totalprice").alias("backup_size"),
-        F.floor(cents("o_totalprice") * 6 / 10).cast("long").alias("compressed_backup_size"),
+        F.when(k % 17 == 0, cents("o_totalprice")).otherwise(F.floor(cents("o_totalprice") * 6 / 10)).cast("long")
+        .alias("compressed_backup_size"),
         F.col("o_orderpriority").alias("user_name"),
         k.alias("o_orderkey"),
         F.when(k % 10 == 0, "BULK_LOGGED").when(k % 10 == 1, "SIMPLE").otherwise("FULL").alias("recovery_model"),

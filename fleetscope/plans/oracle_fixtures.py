@@ -62,7 +62,8 @@ def f3_backups(name: str = "f3") -> str:
          o_orderdate + to_seconds(o_orderkey % 86400) - to_seconds(o_orderkey % 3600) AS backup_start_date,
          CAST(epoch(o_orderdate + to_seconds(o_orderkey % 86400)) AS BIGINT) * 1000000000 + o_orderkey AS backup_set_id,
          CAST(round(o_totalprice * 100) AS BIGINT) AS backup_size,
-         CAST(floor(CAST(round(o_totalprice * 100) AS BIGINT) * 6 / 10) AS BIGINT) AS compressed_backup_size,
+         CAST(CASE WHEN o_orderkey % 17 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT)
+              ELSE floor(CAST(round(o_totalprice * 100) AS BIGINT) * 6 / 10) END AS BIGINT) AS compressed_backup_size,
          o_orderpriority AS user_name,
          CASE WHEN o_orderkey % 10 = 0 THEN 'BULK_LOGGED' WHEN o_orderkey % 10 = 1 THEN 'SIMPLE' ELSE 'FULL' END AS recovery_model,
          o_orderkey % 7 <> 0 AS has_backup_checksums, o_orderkey % 101 = 0 AS is_damaged,

@@ -153,34 +153,35 @@ def q_bk06(spark, sf_dir):
     return bk.size_trend(fx.f3_backups(spark, sf_dir), AS_OF, months=12)
 
 
-def _rule_sql() -> str:
-    conds = {
-        1: "count_if(user_name <> usual_user)", 2: "count(DISTINCT compatibility_level) - 2",
-        3: "count_if(is_password_protected)", 4: "count_if(is_snapshot)", 5: "count_if(is_readonly)",
-        6: "count_if(is_single_user)", 7: "count_if(NOT has_backup_checksums)", 8: "count_if(is_damaged)",
-        9: "count_if(is_encrypted)", 10: "count_if(recovery_model = 'BULK_LOGGED')",
-        11: "count(DISTINCT recovery_model) - 1",
-    }
-    aggs = ", ".join(f"CAST({c} AS BIGINT) AS r{k}" for k, c in conds.items())
-    unions = "\nUNION ALL ".join(
-        f"SELECT server_name, database_name, {rid} AS check_id, {pr} AS priority, '{name}' AS finding, "
-        f"'{desc}' AS descr, r{rid} AS n FROM g" for rid, pr, name, desc in bk.BACKUP_RULES)
-    return F3 + f"""
-, uc AS (SELECT server_name, database_name, user_name, count(*) AS n FROM f3 GROUP BY server_name, database_name, user_name),
-u AS (SELECT server_name, database_name, user_name AS usual_user FROM uc
-      QUALIFY row_number() OVER (PARTITION BY server_name, database_name ORDER BY n DESC, user_name) = 1),
-b AS (SELECT f3.*, u.usual_user FROM f3 LEFT JOIN u USING (server_name, database_name)),
-g AS (SELECT server_name, database_name, {aggs} FROM b GROUP BY ALL),
-x AS ({unions})
-SELECT server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts, CAST(check_id AS INTEGER) AS check_id,
-       CAST(priority AS INTEGER) AS priority, 'Backup' AS findings_group, finding,
-       CAST(n AS VARCHAR) || ' ' || descr AS details, CAST(n AS DOUBLE) AS value
-FROM x WHERE n > 0"""
-
-
-@reg("bk07_backup_rules", _rule_sql())
+@reg("bk07_backup_rules", F3 + """
+, per_user AS (SELECT server_name, database_name, user_name, count(*) AS n FROM f3 GROUP BY ALL),
+common AS (SELECT user_name FROM f3 GROUP BY user_name ORDER BY count(*) DESC, user_name LIMIT 1),
+x AS (
+  SELECT server_name, database_name, 1 AS id, 'Non-Agent backups taken' AS finding, n, 'backups by ' || user_name AS descr FROM per_user
+  WHERE user_name NOT LIKE '%Agent%' AND user_name NOT LIKE '%AGENT%' AND n > 1
+    AND NOT EXISTS (SELECT 1 FROM common WHERE common.user_name = per_user.user_name)
+  UNION ALL SELECT server_name, database_name, 2, 'Compatibility level changing', count(DISTINCT compatibility_level), 'compatibility levels'
+  FROM f3 GROUP BY ALL HAVING count(DISTINCT compatibility_level) > 2
+  UNION ALL SELECT server_name, database_name, 3, 'Password backups', count(*), 'password-protected backups' FROM f3
+  WHERE is_password_protected GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 4, 'Snapshot backups', count(*), 'snapshot backups' FROM f3 WHERE is_snapshot GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 5, 'Read only state backups', count(*), 'backups while read only' FROM f3 WHERE is_readonly GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 6, 'Single user mode backups', count(*), 'backups in single user mode' FROM f3
+  WHERE is_single_user GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 7, 'No CHECKSUMS', count(*), 'backups without checksums' FROM f3
+  WHERE NOT has_backup_checksums GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 8, 'Damaged backups', count(*), 'damaged backups' FROM f3 WHERE is_damaged GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 9, 'Encrypted backups', count(*), 'encrypted backups' FROM f3 WHERE is_encrypted GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 10, 'Bulk logged backups', count(*), 'backups in bulk-logged recovery' FROM f3
+  WHERE recovery_model = 'BULK_LOGGED' GROUP BY ALL
+  UNION ALL SELECT server_name, database_name, 11, 'Recovery model switched', count(DISTINCT recovery_model), 'recovery models'
+  FROM f3 GROUP BY ALL HAVING count(DISTINCT recovery_model) > 1
+  UNION ALL SELECT server_name, database_name, 12, 'Uncompressed backups', count(*), 'uncompressed full backups in the last 30 days' FROM f3
+  WHERE type = 'D' AND backup_size = compressed_backup_size AND backup_finish_date >= TIMESTAMP '2001-06-15' - INTERVAL 30 DAY GROUP BY ALL)
+SELECT server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts, CAST(id AS INTEGER) AS check_id, CAST(100 AS INTEGER) AS priority,
+       'Backup' AS findings_group, finding, CAST(n AS VARCHAR) || ' ' || descr AS details, CAST(n AS DOUBLE) AS value FROM x""")
 def q_bk07(spark, sf_dir):
-    return bk.backup_rule_findings(fx.f3_backups(spark, sf_dir))
+    return bk.backup_rule_findings(fx.f3_backups(spark, sf_dir), AS_OF)
 
 
 @reg("bk08_big_diffs_and_logs", F3 + """

@@ -87,13 +87,17 @@ AS_OF = dt.datetime(2001, 12, 1)
 
 
 @reg("qs06_cache_age_histogram", ofx.with_(ofx.f4_query_stats()) + """
-, p AS (SELECT query_id, plan_id, min(interval_ts) AS created, sum(executions) AS execs FROM f4 GROUP BY ALL)
+, p AS (SELECT query_id, plan_id, min(interval_ts) AS created, sum(executions) AS execs FROM f4 GROUP BY ALL),
+q AS (SELECT query_id, count(*) AS n FROM p GROUP BY ALL),
+h AS (SELECT *, date_diff('hour', created, TIMESTAMP '2001-12-01') AS age FROM p)
 SELECT CAST(count(*) AS BIGINT) AS plans,
-       round(avg(CASE WHEN created >= TIMESTAMP '2001-12-01' - INTERVAL 2160 HOUR THEN 100.0 ELSE 0.0 END), 4) AS pct_created_2160h,
-       round(avg(CASE WHEN created >= TIMESTAMP '2001-12-01' - INTERVAL 8760 HOUR THEN 100.0 ELSE 0.0 END), 4) AS pct_created_8760h,
-       round(avg(CASE WHEN created >= TIMESTAMP '2001-12-01' - INTERVAL 26280 HOUR THEN 100.0 ELSE 0.0 END), 4) AS pct_created_26280h,
-       round(avg(CASE WHEN execs = 1 THEN 100.0 ELSE 0.0 END), 4) AS pct_single_use
-FROM p""")
+       round(count_if(age <= 2160) * 100.0 / count(*), 4) AS pct_created_2160h,
+       round(count_if(age <= 8760) * 100.0 / count(*), 4) AS pct_created_8760h,
+       round(count_if(age <= 26280) * 100.0 / count(*), 4) AS pct_created_26280h,
+       round(count_if(execs = 1) * 100.0 / count(*), 4) AS pct_single_use,
+       round((SELECT sum(n - 1) FROM q) * 100.0 / count(*), 4) AS pct_duplicate_plans,
+       CAST((SELECT count(*) FROM q WHERE n > 1) AS BIGINT) AS queries_with_duplicates
+FROM h""")
 def q_qs06(spark, sf_dir):
     return qs.cache_age_histogram(fx.f4_query_stats(spark, sf_dir), AS_OF, windows_hours=(2160, 8760, 26280))
 

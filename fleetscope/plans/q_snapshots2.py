@@ -72,6 +72,21 @@ def q_sd06(spark, sf_dir):
     return sd.drive_stall_ranking(file_deltas(spark, sf_dir))
 
 
+@reg("sd06_file_stall_ranking", ofx.with_(ofx.f3_files(), _FILE_SQL) + """,
+g AS (SELECT server_name, physical_name,
+             CAST(sum(io_stall_read_ms) AS BIGINT) AS rs, CAST(sum(num_of_reads) AS BIGINT) AS r,
+             CAST(sum(io_stall_write_ms) AS BIGINT) AS ws, CAST(sum(num_of_writes) AS BIGINT) AS w
+      FROM fd GROUP BY ALL),
+u AS (SELECT server_name, physical_name, 'READ' AS pattern, rs AS stall_ms, r AS ios FROM g
+      UNION ALL SELECT server_name, physical_name, 'WRITE', ws, w FROM g)
+SELECT *, round(CASE WHEN ios = 0 THEN 0 ELSE stall_ms / ios END, 4) AS avg_stall_ms,
+       row_number() OVER (PARTITION BY server_name, pattern
+                          ORDER BY round(CASE WHEN ios = 0 THEN 0 ELSE stall_ms / ios END, 4) DESC, physical_name) AS stall_rank
+FROM u QUALIFY stall_rank <= 5""")
+def q_sd06f(spark, sf_dir):
+    return sd.file_stall_ranking(file_deltas(spark, sf_dir), n=5)
+
+
 _FINDING_COLS = "server_name, database_name, check_ts, check_id, priority, findings_group, finding, details, value"
 
 
