@@ -75,18 +75,16 @@ def config_changes(before: DataFrame, after: DataFrame, *, keys: Sequence[str] =
 
 def version_support(servers: DataFrame, builds: DataFrame, lifecycle: DataFrame, as_of) -> DataFrame:
     """DR-4 / JN-8: each server's build matched as-of to the latest known
-    build at or below it on the same major version (union + ``last``
-    ignoring nulls over one window per major), then the support dates of
-    the major version.  ``builds``: ``major, build, cu_name``; ``lifecycle``:
-    ``major, product, mainstream_end, extended_end``."""
-    s = servers.select("server_name", "major", "build", F.lit(None).cast("string").alias("cu_name"),
-                       F.lit(0).alias("__src"))
-    b = builds.select(F.lit(None).cast("string").alias("server_name"), "major", "build", "cu_name",
-                      F.lit(1).alias("__src"))
-    u = s.unionByName(b)
-    w = Window.partitionBy("major").orderBy("build", F.col("__src").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("matched_cu", F.last("cu_name", ignorenulls=True).over(w))
-    m = u.filter(F.col("__src") == 0).join(lifecycle, "major", "left")
+    build at or below it on the same major version, then the support dates
+    of the major version.  The build catalogue becomes intervals (a build up to the next
+    one of its major), so servers join it by major and range and are never sorted
+    together.  ``builds``: ``major, build, cu_name``; ``lifecycle``: ``major,
+    product, mainstream_end, extended_end``."""
+    spans = builds.select(F.col("major").alias("__m"), F.col("build").alias("__from"), F.col("cu_name").alias("matched_cu"),
+                          F.lead("build").over(Window.partitionBy("major").orderBy("build")).alias("__to"))
+    s = servers.select("server_name", "major", "build")
+    inside = (F.col("build") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("build") < F.col("__to")))
+    m = s.join(spans, (F.col("major") == F.col("__m")) & inside, "left").join(lifecycle, "major", "left")
     return m.select("server_name", "major", "build", F.coalesce("matched_cu", F.lit("unknown build")).alias("cu_name"),
                     "product", "mainstream_end", "extended_end",
                     (F.col("extended_end") < F.lit(as_of)).alias("out_of_support"),

@@ -414,23 +414,21 @@ def counter_values_by_type(perf: DataFrame, *, server: str = "server_name", ts:
     """
     d = snapshot_delta(perf, ["object_name", "counter_name", "instance_name"], ["cntr_value"], ts=ts, server=server,
                        carry=["cntr_type", "cntr_value"], drop_resets=False, max_minutes=max_minutes)
-    t = F.col("cntr_type")
-    name = F.col("counter_name")
-    keycols = [server, "object_name", "instance_name", ts]
-    base = d.filter((t == PERF_LARGE_RAW_BASE) & (F.col("cntr_value_delta") != 0)).select(
-        *keycols, F.trim(F.lower(F.regexp_replace(name, r"(?i)base.*$", ""))).alias("__join"),
-        F.col("cntr_value_delta").alias("__den"))
-    num = d.filter(((t == PERF_AVERAGE_BULK) | (t == PERF_AVERAGE_FRACTION)) & (F.col("cntr_value_delta") != 0)).select(
-        *keycols, "counter_name", "cntr_type", "cntr_value_delta",
-        F.when(t == PERF_AVERAGE_BULK, F.trim(F.lower(F.regexp_replace(name, r"\(.*$", ""))))
-        .otherwise(F.trim(F.lower(name))).alias("__join"))
-    ratio = num.join(base, [*keycols, "__join"]).select(
-        *keycols, "counter_name",
-        F.when(F.col("cntr_type") == PERF_AVERAGE_FRACTION,
-               F.round(F.col("cntr_value_delta") / F.col("__den"), 3))
-        .otherwise(F.round(F.col("cntr_value_delta") / F.col("__den"), 6)).alias("value"))
-    bulk = d.filter(t.isin(*PERF_BULK_COUNT) & (F.col("cntr_value_delta") != 0)).select(
-        *keycols, "counter_name", F.round(try_ratio("cntr_value_delta", "elapsed_seconds"), 6).alias("value"))
-    raw = d.filter(t.isin(*PERF_RAW_COUNT)).select(*keycols, "counter_name", F.col("cntr_value").cast("double")
-                                                    .alias("value"))
-    return ratio.unionByName(bulk).unionByName(raw)
+    t, delta = F.col("cntr_type"), F.col("cntr_value_delta")
+    name = F.lower(F.col("counter_name"))
+    stripped = F.trim(F.when(t == PERF_LARGE_RAW_BASE, F.regexp_replace(name, "base.*$", "")).when(
+        t == PERF_AVERAGE_BULK, F.regexp_replace(name, r"\(.*$", "")).otherwise(name))
+    # one pass: a counter meets its base in the group of the stripped name (a few rows)
+    row = F.struct("counter_name", "cntr_type", "cntr_value", "cntr_value_delta", "elapsed_seconds")
+    g = d.groupBy(server, "object_name", "instance_name", ts, stripped.alias("__join")).agg(
+        F.max(F.when((t == PERF_LARGE_RAW_BASE) & (delta != 0), delta)).alias("__den"),
+        F.collect_list(F.when(t != PERF_LARGE_RAW_BASE, row)).alias("__rows"))
+    u = g.select(server, "object_name", "instance_name", ts, "__den", F.explode("__rows").alias("r"))
+    kind, change = F.col("r.cntr_type"), F.col("r.cntr_value_delta")
+    ratio = F.when(change != 0, change / F.col("__den"))
+    value = (F.when(kind == PERF_AVERAGE_FRACTION, F.round(ratio, 3))
+             .when(kind == PERF_AVERAGE_BULK, F.round(ratio, 6))
+             .when(kind.isin(*PERF_BULK_COUNT) & (change != 0), F.round(try_ratio("r.cntr_value_delta", "r.elapsed_seconds"), 6))
+             .when(kind.isin(*PERF_RAW_COUNT), F.col("r.cntr_value").cast("double")))
+    return u.select(server, "object_name", "instance_name", ts, F.col("r.counter_name").alias("counter_name"), value.alias("value")).filter(
+        F.col("value").isNotNull())

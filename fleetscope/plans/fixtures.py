@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import row_number_in_key
+
 from ..sources.tables import read_table
 
 
@@ -129,8 +131,10 @@ def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 19 == 0).alias("is_encrypted"),
         (F.lit(100) + (k % 3) * 10).cast("int").alias("compatibility_level"),
     )
-    w = Window.partitionBy("server_name", "database_name").orderBy("backup_finish_date", "backup_set_id")
-    rn = F.row_number().over(w).cast("long")
+    # ids rise with the finish time, so the row number comes from value ranges of the id: no
+    # database's history is sorted whole in one task
+    base = row_number_in_key(base, by=["server_name", "database_name"], order="backup_set_id")
+    rn = F.col("__rn")
     return base.select(
         "server_name", "database_name", "type", "backup_start_date", "backup_finish_date", "backup_set_id",
         "backup_size", "compressed_backup_size", "user_name",

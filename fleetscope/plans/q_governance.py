@@ -156,22 +156,35 @@ LIFECYCLE = [
 VERSION_AS_OF = dt.datetime(2025, 6, 1)
 
 
+# Released builds of each major version (first release, service packs, cumulative updates).
+BUILDS = {
+    11: [(2100, "RTM"), (3000, "SP1"), (5058, "SP2"), (6020, "SP3"), (7001, "SP4")],
+    12: [(2000, "RTM"), (4100, "SP1"), (5000, "SP2"), (6024, "SP3")],
+    13: [(1601, "RTM"), (2149, "RTM CU1"), (2164, "RTM CU2"), (2186, "RTM CU3"), (2193, "RTM CU4"), (2197, "RTM CU5"), (2204, "RTM CU6"),
+         (2210, "RTM CU7"), (2213, "RTM CU8"), (2216, "RTM CU9"), (4001, "SP1"), (5026, "SP2"), (6300, "SP3")],
+    14: [(1000, "RTM"), (3006, "CU1"), (3008, "CU2"), (3015, "CU3"), (3022, "CU4"), (3023, "CU5"), (3025, "CU6"), (3026, "CU7"), (3029, "CU8"),
+         (3030, "CU9"), (3037, "CU10"), (3038, "CU11"), (3045, "CU12"), (3048, "CU13"), (3076, "CU14"), (3162, "CU15"), (3223, "CU16"),
+         (3238, "CU17"), (3257, "CU18"), (3294, "CU20"), (3335, "CU21"), (3356, "CU22"), (3381, "CU23"), (3391, "CU24"), (3401, "CU25"),
+         (3411, "CU26"), (3421, "CU27"), (3430, "CU28"), (3436, "CU29"), (3451, "CU30"), (3456, "CU31")],
+    15: [(2000, "RTM"), (4003, "CU1"), (4013, "CU2"), (4023, "CU3"), (4033, "CU4"), (4043, "CU5"), (4053, "CU6"), (4063, "CU7"), (4073, "CU8"),
+         (4102, "CU9"), (4123, "CU10"), (4138, "CU11"), (4153, "CU12"), (4178, "CU13"), (4188, "CU14"), (4198, "CU15"), (4223, "CU16"),
+         (4249, "CU17"), (4261, "CU18"), (4298, "CU19"), (4312, "CU20"), (4316, "CU21"), (4322, "CU22"), (4335, "CU23"), (4345, "CU24"),
+         (4355, "CU25"), (4365, "CU26"), (4375, "CU27"), (4385, "CU28"), (4405, "CU29"), (4415, "CU30"), (4420, "CU31"), (4430, "CU32")],
+    16: [(1000, "RTM"), (4003, "CU1"), (4015, "CU2"), (4025, "CU3"), (4035, "CU4"), (4045, "CU5"), (4055, "CU6"), (4065, "CU7"), (4075, "CU8"),
+         (4085, "CU9"), (4095, "CU10"), (4105, "CU11"), (4115, "CU12"), (4125, "CU13"), (4135, "CU14"), (4145, "CU15"), (4165, "CU16"),
+         (4175, "CU17"), (4185, "CU18"), (4195, "CU19"), (4205, "CU20"), (4215, "CU21"), (4225, "CU22")],
+}
+
+
 def build_catalog(spark):
-    """Known builds by rule: cumulative update ``n`` of every major version
-    at build ``1000 + 120 n`` (``n = 0`` is RTM)."""
-    r = spark.range(0, 21).withColumnRenamed("id", "n")
-    majors = spark.range(11, 17).withColumnRenamed("id", "major")
-    return majors.join(r, how="cross").select(
-        F.col("major").cast("int").alias("major"), (F.lit(1000) + F.col("n") * 120).cast("long").alias("build"),
-        F.when(F.col("n") == 0, F.lit("RTM")).otherwise(F.concat(F.lit("CU"), F.col("n").cast("string"))).alias("cu_name"))
+    """The released builds as a table (a caller with a longer list passes its own)."""
+    return spark.createDataFrame([(m, b, n) for m, rows in BUILDS.items() for b, n in rows], "major int, build long, cu_name string")
 
 
 @reg("dr04_version_support", """
 WITH s AS (SELECT 'srv' || CAST(s_suppkey AS VARCHAR) AS server_name, CAST(11 + s_suppkey % 6 AS INTEGER) AS major,
-                  CAST(1000 + (s_suppkey * 37) % 2500 AS BIGINT) AS build FROM supplier),
-b AS (SELECT CAST(m AS INTEGER) AS major, CAST(1000 + n * 120 AS BIGINT) AS build,
-             CASE WHEN n = 0 THEN 'RTM' ELSE 'CU' || CAST(n AS VARCHAR) END AS cu_name
-      FROM range(11, 17) t(m), range(0, 21) u(n)),
+                  CAST(1000 + (s_suppkey * 37) % 5500 AS BIGINT) AS build FROM supplier),
+b(major, build, cu_name) AS (VALUES """ + ", ".join(f"({m}, {b}, '{n}')" for m, rows in BUILDS.items() for b, n in rows) + """),
 l(major, product, mainstream_end, extended_end) AS (VALUES """ + ", ".join(
     f"({m}, '{p}', TIMESTAMP '{a:%Y-%m-%d}', TIMESTAMP '{e:%Y-%m-%d}')" for m, p, a, e in LIFECYCLE) + """),
 m AS (SELECT s.*, b.cu_name FROM s ASOF LEFT JOIN b ON s.major = b.major AND s.build >= b.build)
@@ -182,7 +195,7 @@ def q_dr04(spark, sf_dir):
     s = fx._t(spark, sf_dir, "supplier")
     servers = s.select(F.concat(F.lit("srv"), F.col("s_suppkey").cast("string")).alias("server_name"),
                        (11 + F.col("s_suppkey") % 6).cast("int").alias("major"),
-                       (1000 + (F.col("s_suppkey") * 37) % 2500).cast("long").alias("build"))
+                       (1000 + (F.col("s_suppkey") * 37) % 5500).cast("long").alias("build"))
     life = spark.createDataFrame(LIFECYCLE, "major int, product string, mainstream_end timestamp_ntz, "
                                             "extended_end timestamp_ntz")
     return dr.version_support(servers, build_catalog(spark), F.broadcast(life), VERSION_AS_OF)
