@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import band, datediff_boundary, try_ratio
-from .findings import as_findings
+from .findings import FINDING_COLUMNS, as_findings
 from .rules import Rule, run_rules
 
 TBL = ["server_name", "database_name", "table_name"]
@@ -50,38 +50,42 @@ def approximate_duplicates(catalog: DataFrame) -> DataFrame:
         *TBL, "index_id", "index_name", "keys", "leading_key", "siblings", "same_keys")
 
 
-def table_index_findings(catalog: DataFrame, *, many: int = 10, unused_pct: float = 5.0, wide: int = 7,
+def table_index_findings(catalog: DataFrame, as_of, *, many: int = 10, unused_pct: float = 5.0, wide: int = 7,
                          includes_pct: float = 3.0) -> DataFrame:
-    """IX-3: per table: many NC indexes, more than ``unused_pct`` % unused,
-    wide indexes, few includes.  One aggregate, then the rule engine."""
+    """IX-3: per table many NC indexes, wide indexes, few includes (one
+    aggregate, then the rule engine); over the whole server at least ``unused_pct`` % of the
+    non-unique NC indexes unused, new (7 days) and changed (2 days) ones left out."""
     nc = catalog.filter(F.col("index_type") == 2)
     reads = F.col("user_seeks") + F.col("user_scans") + F.col("user_lookups")
     g = nc.groupBy(*TBL).agg(
         F.count(F.lit(1)).cast("long").alias("nc_indexes"),
-        F.count_if(reads == 0).cast("long").alias("unused"),
         F.count_if(F.size("keys") + F.size("includes") >= wide).cast("long").alias("wide"),
         F.count_if(F.size("includes") > 0).cast("long").alias("with_includes"))
     rules = [
         Rule(20, 100, "Over-Indexing", "Many NC Indexes on a Single Table", f"nc_indexes >= {many}",
              "concat(nc_indexes, ' NC indexes on ', table_name)", "nc_indexes"),
-        Rule(21, 150, "Over-Indexing", "More Than 5 Percent NC Indexes Are Unused",
-             f"unused * 100.0 / nc_indexes > {unused_pct}", "concat(unused, ' of ', nc_indexes, ' unused')",
-             "round(unused * 100.0 / nc_indexes, 4)"),
         Rule(23, 150, "Over-Indexing", "Approximate: Wide Indexes (7 or More Columns)", "wide > 0",
              "concat(wide, ' wide indexes on ', table_name)", "wide"),
         Rule(31, 250, "Omitted Index Features", "Few Indexes Use Includes",
              f"with_includes * 100.0 / nc_indexes < {includes_pct}",
              "concat(with_includes, ' of ', nc_indexes, ' use includes')", "with_includes"),
     ]
-    return run_rules(g, rules)
+    settled = nc.filter(~F.col("is_unique") & (F.col("create_ts") < F.lit(as_of) - F.make_dt_interval(F.lit(7)))
+                        & (F.col("modify_ts") < F.lit(as_of) - F.make_dt_interval(F.lit(2))))
+    s = settled.groupBy("server_name").agg(F.count_if(reads == 0).alias("unused"), F.count(F.lit(1)).alias("n")).filter(
+        F.col("unused") * 100.0 / F.col("n") >= unused_pct)
+    overall = as_findings(s, check_id=21, priority=150, group="Over-Indexing", finding="More Than 5 Percent NC Indexes Are Unused",
+                          details=F.concat(F.col("unused").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" unused")),
+                          value=F.round(F.col("unused") * 100.0 / F.col("n"), 4))
+    return run_rules(g, rules).select(*FINDING_COLUMNS).unionByName(overall)
 
 
-def usage_rules(*, high_writes: int = 10000, read_cap: int = 10000, ratio: int = 10) -> list[Rule]:
+def usage_rules(*, high_writes: int = 10000, read_cap: int = 10000, ratio: int = 10, uptime_days: float = 1.0) -> list[Rule]:
     """IX-4 / IX-5 / IX-12 / IX-13 row rules over the index catalog."""
     reads = "(user_seeks + user_scans + user_lookups)"
     nc = "index_type = 2 AND NOT is_unique"
     return [
-        Rule(22, 100, "Over-Indexing", "Unused NC Index with High Writes",
+        Rule(22, 10, "Over-Indexing", "Unused NC Index with High Writes",
              f"{nc} AND {reads} = 0 AND user_updates >= {high_writes}",
              "concat('Reads: 0, Writes: ', user_updates, ' on ', index_name)", "user_updates"),
         Rule(29, 150, "Over-Indexing", "Unused NC Index with Low Writes",
@@ -101,7 +105,7 @@ def usage_rules(*, high_writes: int = 10000, read_cap: int = 10000, ratio: int =
         Rule(24, 100, "Over-Indexing", "Wide Clustered Index (>3 columns)",
              "index_type = 1 AND size(keys) > 3", "concat(size(keys), ' key columns')", "size(keys)"),
         Rule(43, 100, "Indexes Worth Reviewing", "Heap with Forwarded Fetches",
-             "index_type = 0 AND forwarded_fetches > 0", "concat(forwarded_fetches, ' forwarded fetches')",
+             f"index_type = 0 AND forwarded_fetches / {uptime_days}D > 1000", "concat(forwarded_fetches, ' forwarded fetches')",
              "forwarded_fetches"),
         Rule(44, 100, "Indexes Worth Reviewing", "Large Active Heap",
              f"index_type = 0 AND {reads} > 0 AND row_count >= 100000", "concat(row_count, ' rows')", "row_count"),
@@ -195,12 +199,12 @@ def statistics_findings(stats: DataFrame, as_of, *, stale_days: int = 30, mod_pc
     pct = F.col("rows_sampled") * 100.0 / F.col("rows")
     low = ((F.col("rows") >= 10000) & (F.col("rows") < 1000000) & (pct < 10)) | ((F.col("rows") >= 1000000) & (pct < 1))
     s = stats.select("*", days.alias("days_since_update"), F.round(pct, 4).alias("pct_sampled"))
-    a = as_findings(s.filter(stale), check_id=90, priority=150, group="Statistics Warnings",
+    a = as_findings(s.filter(stale), check_id=90, priority=90, group="Statistics Warnings",
                     finding="Statistics Not Updated Recently",
                     details=F.concat(F.col("stats_name"), F.lit(": "), F.col("days_since_update").cast("string"),
                                      F.lit(" days")), value=F.col("modification_counter"),
                     database="database_name")
-    b = as_findings(s.filter(low), check_id=91, priority=150, group="Statistics Warnings", finding="Low Sampling Rates",
+    b = as_findings(s.filter(low), check_id=91, priority=90, group="Statistics Warnings", finding="Low Sampling Rates",
                     details=F.col("stats_name"), value=F.col("pct_sampled"), database="database_name")
     return a.unionByName(b)
 
@@ -229,10 +233,10 @@ def column_ratio_findings(columns: DataFrame, *, wide_cols: int = 35, wide_bytes
     rules = [
         Rule(25, 200, "Over-Indexing", "High Ratio of Nulls", "cols > 3 AND cols - nullable_cols < 2",
              "concat(nullable_cols, ' of ', cols, ' columns nullable')", "nullable_cols"),
-        Rule(27, 200, "Over-Indexing", "High Ratio of Strings", "cols > 3 AND string_cols * 1.0 / cols > 0.75",
+        Rule(27, 200, "Over-Indexing", "High Ratio of Strings", "cols > 3 AND cols - string_cols < 2",
              "concat(string_cols, ' of ', cols, ' columns are strings')", "string_cols"),
-        Rule(26, 200, "Over-Indexing", "Wide Tables: 35+ cols or > 2000 non-LOB bytes",
-             f"cols >= {wide_cols} OR row_bytes > {wide_bytes}", "concat(cols, ' columns, ', row_bytes, ' bytes')",
+        Rule(26, 150, "Over-Indexing", "Wide Tables: 35+ cols or > 2000 non-LOB bytes",
+             f"cols >= {wide_cols} OR row_bytes >= {wide_bytes}", "concat(cols, ' columns, ', row_bytes, ' bytes')",
              "row_bytes"),
     ]
     return run_rules(g, rules)

@@ -60,7 +60,6 @@ def q_ix02(spark, sf_dir):
 
 @reg("ix03_table_index_findings", F5 + f"""
 , g AS (SELECT server_name, database_name, table_name, CAST(count(*) AS BIGINT) AS nc_indexes,
-               CAST(count_if(user_seeks + user_scans + user_lookups = 0) AS BIGINT) AS unused,
                CAST(count_if(len(keys) + len(includes) >= 4) AS BIGINT) AS wide,
                CAST(count_if(len(includes) > 0) AS BIGINT) AS with_includes
         FROM f5 WHERE index_type = 2 GROUP BY ALL)
@@ -68,9 +67,11 @@ SELECT server_name, database_name, {_f(20, 100, 'Over-Indexing', 'Many NC Indexe
        CAST(nc_indexes AS VARCHAR) || ' NC indexes on ' || table_name AS details, CAST(nc_indexes AS DOUBLE) AS value
 FROM g WHERE nc_indexes >= 10
 UNION ALL
-SELECT server_name, database_name, {_f(21, 150, 'Over-Indexing', 'More Than 5 Percent NC Indexes Are Unused')},
-       CAST(unused AS VARCHAR) || ' of ' || CAST(nc_indexes AS VARCHAR) || ' unused', round(unused * 100.0 / nc_indexes, 4)
-FROM g WHERE unused * 100.0 / nc_indexes > 5
+SELECT server_name, NULL, {_f(21, 150, 'Over-Indexing', 'More Than 5 Percent NC Indexes Are Unused')},
+       CAST(unused AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || ' unused', round(unused * 100.0 / n, 4)
+FROM (SELECT server_name, count_if(user_seeks + user_scans + user_lookups = 0) AS unused, count(*) AS n FROM f5
+      WHERE index_type = 2 AND NOT is_unique AND create_ts < TIMESTAMP '2001-06-01' - INTERVAL 7 DAY
+        AND modify_ts < TIMESTAMP '2001-06-01' - INTERVAL 2 DAY GROUP BY ALL) WHERE unused * 100.0 / n >= 5
 UNION ALL
 SELECT server_name, database_name, {_f(23, 150, 'Over-Indexing', 'Approximate: Wide Indexes (7 or More Columns)')},
        CAST(wide AS VARCHAR) || ' wide indexes on ' || table_name, CAST(wide AS DOUBLE)
@@ -80,7 +81,7 @@ SELECT server_name, database_name, {_f(31, 250, 'Omitted Index Features', 'Few I
        CAST(with_includes AS VARCHAR) || ' of ' || CAST(nc_indexes AS VARCHAR) || ' use includes', CAST(with_includes AS DOUBLE)
 FROM g WHERE with_includes * 100.0 / nc_indexes < 25""")
 def q_ix03(spark, sf_dir):
-    return ix.table_index_findings(fx.f5_indexes(spark, sf_dir), wide=4, includes_pct=25.0)
+    return ix.table_index_findings(fx.f5_indexes(spark, sf_dir), dt.datetime(2001, 6, 1), wide=4, includes_pct=25.0)
 
 
 _R = "(user_seeks + user_scans + user_lookups)"
@@ -89,7 +90,7 @@ _NC = "index_type = 2 AND NOT is_unique"
 
 def _ix_rule_sql() -> str:
     parts = [
-        (22, 100, "Over-Indexing", "Unused NC Index with High Writes", f"{_NC} AND {_R} = 0 AND user_updates >= 10000",
+        (22, 10, "Over-Indexing", "Unused NC Index with High Writes", f"{_NC} AND {_R} = 0 AND user_updates >= 10000",
          "'Reads: 0, Writes: ' || CAST(user_updates AS VARCHAR) || ' on ' || index_name", "user_updates"),
         (29, 150, "Over-Indexing", "Unused NC Index with Low Writes", f"{_NC} AND {_R} = 0 AND user_updates < 10000",
          "'Reads: 0, Writes: ' || CAST(user_updates AS VARCHAR) || ' on ' || index_name", "user_updates"),
@@ -104,7 +105,7 @@ def _ix_rule_sql() -> str:
         (28, 100, "Over-Indexing", "Non-Unique Clustered Index", "index_type = 1 AND NOT is_unique", "index_name", "NULL"),
         (24, 100, "Over-Indexing", "Wide Clustered Index (>3 columns)", "index_type = 1 AND len(keys) > 3",
          "CAST(len(keys) AS VARCHAR) || ' key columns'", "len(keys)"),
-        (43, 100, "Indexes Worth Reviewing", "Heap with Forwarded Fetches", "index_type = 0 AND forwarded_fetches > 0",
+        (43, 100, "Indexes Worth Reviewing", "Heap with Forwarded Fetches", "index_type = 0 AND forwarded_fetches / 0.5 > 1000",
          "CAST(forwarded_fetches AS VARCHAR) || ' forwarded fetches'", "forwarded_fetches"),
         (44, 100, "Indexes Worth Reviewing", "Large Active Heap", f"index_type = 0 AND {_R} > 0 AND row_count >= 100000",
          "CAST(row_count AS VARCHAR) || ' rows'", "row_count"),
@@ -133,7 +134,7 @@ def ix_findings_cte() -> str:
 
 @reg("ix04_index_rule_findings", _ix_rule_sql())
 def q_ix04(spark, sf_dir):
-    return ix.index_findings(fx.f5_indexes(spark, sf_dir), as_of="2001-06-01 00:00:00")
+    return ix.index_findings(fx.f5_indexes(spark, sf_dir), as_of="2001-06-01 00:00:00", uptime_days=0.5)
 
 
 MISSING_SQL = PART_USE + """,
@@ -207,11 +208,11 @@ AS_OF = dt.datetime(2001, 6, 1)
 @reg("ix10_statistics_findings", "WITH " + STATS_SQL + f"""
 , s AS (SELECT *, date_diff('day', last_updated, TIMESTAMP '2001-06-01') AS days_since_update,
                round(rows_sampled * 100.0 / rows, 4) AS pct_sampled FROM st)
-SELECT server_name, database_name, {_f(90, 150, 'Statistics Warnings', 'Statistics Not Updated Recently')},
+SELECT server_name, database_name, {_f(90, 90, 'Statistics Warnings', 'Statistics Not Updated Recently')},
        stats_name || ': ' || CAST(days_since_update AS VARCHAR) || ' days' AS details, CAST(modification_counter AS DOUBLE) AS value
 FROM s WHERE days_since_update >= 30 AND modification_counter * 100.0 >= rows * 10.0 AND rows >= 10000
 UNION ALL
-SELECT server_name, database_name, {_f(91, 150, 'Statistics Warnings', 'Low Sampling Rates')}, stats_name, pct_sampled
+SELECT server_name, database_name, {_f(91, 90, 'Statistics Warnings', 'Low Sampling Rates')}, stats_name, pct_sampled
 FROM s WHERE (rows >= 10000 AND rows < 1000000 AND rows_sampled * 100.0 / rows < 10)
           OR (rows >= 1000000 AND rows_sampled * 100.0 / rows < 1)""")
 def q_ix10(spark, sf_dir):
@@ -250,11 +251,11 @@ SELECT server_name, database_name, {_f(25, 200, 'Over-Indexing', 'High Ratio of
 UNION ALL
 SELECT server_name, database_name, {_f(27, 200, 'Over-Indexing', 'High Ratio of Strings')},
        CAST(string_cols AS VARCHAR) || ' of ' || CAST(cols AS VARCHAR) || ' columns are strings', CAST(string_cols AS DOUBLE)
-FROM g WHERE cols > 3 AND string_cols * 1.0 / cols > 0.75
+FROM g WHERE cols > 3 AND cols - string_cols < 2
 UNION ALL
-SELECT server_name, database_name, {_f(26, 200, 'Over-Indexing', 'Wide Tables: 35+ cols or > 2000 non-LOB bytes')},
+SELECT server_name, database_name, {_f(26, 150, 'Over-Indexing', 'Wide Tables: 35+ cols or > 2000 non-LOB bytes')},
        CAST(cols AS VARCHAR) || ' columns, ' || CAST(row_bytes AS VARCHAR) || ' bytes', CAST(row_bytes AS DOUBLE)
-FROM g WHERE cols >= 35 OR row_bytes > 2000""")
+FROM g WHERE cols >= 35 OR row_bytes >= 2000""")
 def q_ix11(spark, sf_dir):
     return ix.column_ratio_findings(fm.f5_columns(spark, sf_dir))
 

@@ -197,7 +197,7 @@ SKIPS = [("db0", 22), (None, 41), ("db2", None)]
 
 
 def _ix_findings(spark, sf_dir):
-    return ix.index_findings(fx.f5_indexes(spark, sf_dir), as_of="2001-06-01 00:00:00")
+    return ix.index_findings(fx.f5_indexes(spark, sf_dir), as_of="2001-06-01 00:00:00", uptime_days=0.5)
 
 
 @reg("rl02_skip_list", ix_findings_cte() + """
