@@ -80,26 +80,44 @@ DEFAULT_FLAGS = dict(execution_threshold=1000, sniffing_pct=30, sniffing_reads=1
 
 def query_flags(plans: DataFrame, *, execution_threshold: float = 1000, sniffing_pct: float = 30,
                 sniffing_reads: float = 100000, long_running_ms: float = 300 * 1000, low_cpu_ms: float = 500.0,
-                cost_col: str | None = None, low_cost: float = 10.0, high_cpu_ms: float = 5000.0) -> DataFrame:
-    """QS-2: query-level warning flags from a :func:`plan_summary` frame
-    (with ``executions_per_minute`` joined in when known).  Flags whose
-    inputs are absent are left out."""
-    cols = plans.columns
+                cost_col: str | None = None, low_cost: float = 10.0, high_cpu_ms: float = 5000.0, cost_threshold: float = 5.0,
+                near_pct: float = 10.0, grant_pct: float = 10.0, min_grant_kb: float = 1024.0, spill_mb: float = 499.0) -> DataFrame:
+    """QS-2: query-level warning flags from a :func:`plan_summary` frame.
+
+    Optional inputs (flags without their inputs are left out):
+    ``executions_per_minute``; ``min_cpu, max_cpu``; ``min_rows, max_rows,
+    avg_rows`` (returned rows); ``max_duration``; the plan cost (``cost_col``)
+    with ``is_parallel``; ``pct_grant_used, min_grant_kb``; ``avg_spills``
+    (pages); ``estimated_rows``."""
+    cols = set(plans.columns)
     avg_reads, avg_cpu, avg_dur = F.col("avg_reads"), F.col("avg_cpu"), F.col("avg_duration")
     execs = F.col("total_executions")
+    lo, hi = 1.0 - sniffing_pct / 100.0, 1.0 + sniffing_pct / 100.0
     flags = {}
     if "executions_per_minute" in cols:
         flags["frequent_execution"] = F.col("executions_per_minute") > execution_threshold
-    if "min_cpu" in cols:
-        lo, hi = 1.0 - sniffing_pct / 100.0, 1.0 + sniffing_pct / 100.0
-        flags["parameter_sniffing"] = (execs > 3) & (avg_reads > sniffing_reads) & (
-            (F.col("min_cpu") < F.lit(lo) * avg_cpu) | (F.col("max_cpu") > F.lit(hi) * avg_cpu))
-        flags["long_running"] = (avg_dur > long_running_ms) | (F.col("max_cpu") > long_running_ms)
-    else:
-        flags["long_running"] = avg_dur > long_running_ms
+    spread, slow = F.lit(False), avg_dur > long_running_ms
+    for low, high, mean in (("min_cpu", "max_cpu", "avg_cpu"), ("min_rows", "max_rows", "avg_rows")):
+        if {low, high, mean} <= cols:
+            spread = spread | (F.col(low) < F.lit(lo) * F.col(mean)) | (F.col(high) > F.lit(hi) * F.col(mean))
+            flags["parameter_sniffing"] = (execs > 3) & (avg_reads > sniffing_reads) & spread
+    for c in ("max_cpu", "max_duration"):
+        if c in cols:
+            slow = slow | (F.col(c) > long_running_ms)
+    flags["long_running"] = slow
     flags["long_running_low_cpu"] = (avg_dur > avg_cpu * 4) & (avg_cpu < low_cpu_ms)
     if cost_col:
-        flags["low_cost_high_cpu"] = (F.col(cost_col) <= low_cost) & (avg_cpu > high_cpu_ms)
+        cost = F.col(cost_col)
+        flags["low_cost_high_cpu"] = (cost <= low_cost) & (avg_cpu > high_cpu_ms)
+        if "is_parallel" in cols:
+            flags["near_parallel"] = ~F.col("is_parallel") & cost.between(cost_threshold * (1 - near_pct / 100.0), cost_threshold)
+    if {"pct_grant_used", "min_grant_kb"} <= cols:
+        flags["unused_grant"] = (F.col("pct_grant_used") <= grant_pct) & (F.col("min_grant_kb") > min_grant_kb)
+    if "avg_spills" in cols:
+        flags["big_spills"] = F.col("avg_spills") / 128.0 > spill_mb
+    if {"estimated_rows", "avg_rows"} <= cols:
+        est, rows = F.col("estimated_rows"), F.col("avg_rows")
+        flags["bad_estimate"] = (rows > 0) & ((est * 1000 < rows) | (est > rows * 1000))
     return plans.select("*", *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()])
 
 

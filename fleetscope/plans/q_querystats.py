@@ -51,28 +51,53 @@ def q_qs01(spark, sf_dir):
     return qs.share_of_total(fx.f4_query_stats(spark, sf_dir))
 
 
+_FLAGS = ["frequent_execution", "parameter_sniffing", "long_running", "long_running_low_cpu", "low_cost_high_cpu", "near_parallel",
+          "unused_grant", "big_spills", "bad_estimate"]
+
+
 @reg("qs02_query_flags_and_warnings", ofx.with_(ofx.f4_query_stats(), _PLAN_SQL) + """
-, e AS (SELECT *, round(CASE WHEN date_diff('minute', first_seen, last_seen) = 0 THEN 0
-                        ELSE total_executions / date_diff('minute', first_seen, last_seen) END, 4) AS executions_per_minute
-        FROM pa),
+, r AS (SELECT query_id, plan_id, min(n_rows) AS min_rows, max(n_rows) AS max_rows, avg(n_rows) AS avg_rows, max(duration) AS max_duration
+        FROM f4 GROUP BY ALL),
+e AS (SELECT pa.*, r.* EXCLUDE (query_id, plan_id),
+             round(CASE WHEN date_diff('minute', first_seen, last_seen) = 0 THEN 0
+                        ELSE total_executions / date_diff('minute', first_seen, last_seen) END, 4) AS executions_per_minute,
+             CAST(query_id % 60 AS DOUBLE) / 10 AS plan_cost
+      FROM pa JOIN r USING (query_id, plan_id)),
 f AS (SELECT query_id, plan_id,
              coalesce(executions_per_minute > 0.001, false) AS frequent_execution,
-             coalesce(total_executions > 3 AND avg_reads > 0 AND (min_cpu < 0.7 * avg_cpu OR max_cpu > 1.3 * avg_cpu), false) AS parameter_sniffing,
-             coalesce(avg_duration > 300000 OR max_cpu > 300000, false) AS long_running,
-             coalesce(avg_duration > avg_cpu * 4 AND avg_cpu < 500, false) AS long_running_low_cpu
+             coalesce(total_executions > 3 AND avg_reads > 0 AND (min_cpu < 0.7 * avg_cpu OR max_cpu > 1.3 * avg_cpu
+                      OR min_rows < 0.7 * avg_rows OR max_rows > 1.3 * avg_rows), false) AS parameter_sniffing,
+             coalesce(avg_duration > 300000 OR max_cpu > 300000 OR max_duration > 300000, false) AS long_running,
+             coalesce(avg_duration > avg_cpu * 4 AND avg_cpu < 500, false) AS long_running_low_cpu,
+             coalesce(plan_cost <= 10 AND avg_cpu > 5000, false) AS low_cost_high_cpu,
+             plan_id % 2 <> 0 AND plan_cost BETWEEN 4.5 AND 5.0 AS near_parallel,
+             query_id % 100 <= 10 AND plan_id * 100 > 1024 AS unused_grant,
+             coalesce(avg_reads / 128.0 > 0.0005, false) AS big_spills,
+             avg_rows > 0 AND ((query_id % 7) * 1000 * 1000 < avg_rows OR (query_id % 7) * 1000 > avg_rows * 1000) AS bad_estimate
       FROM e)
 SELECT *, concat_ws(', ', CASE WHEN frequent_execution THEN 'Frequent Execution' END,
                           CASE WHEN parameter_sniffing THEN 'Parameter Sniffing' END,
                           CASE WHEN long_running THEN 'Long Running Query' END,
-                          CASE WHEN long_running_low_cpu THEN 'Long Running With Low CPU' END) AS warnings
+                          CASE WHEN long_running_low_cpu THEN 'Long Running With Low CPU' END,
+                          CASE WHEN low_cost_high_cpu THEN 'Low Cost Query With High CPU' END,
+                          CASE WHEN near_parallel THEN 'Nearly Parallel' END,
+                          CASE WHEN unused_grant THEN 'Unused Memory Grant' END,
+                          CASE WHEN big_spills THEN 'Big Spills' END,
+                          CASE WHEN bad_estimate THEN 'Row Estimate Mismatch' END) AS warnings
 FROM f""")
 def q_qs02(spark, sf_dir):
-    p = qs.plan_summary(fx.f4_query_stats(spark, sf_dir))
-    p = p.withColumn("executions_per_minute", F.round(
-        try_ratio("total_executions", datediff_boundary("minute", F.col("first_seen"), F.col("last_seen")), 0.0), 4))
-    f = qs.warning_string(qs.query_flags(p, execution_threshold=0.001, sniffing_reads=0))
-    return f.select("query_id", "plan_id", "frequent_execution", "parameter_sniffing", "long_running",
-                    "long_running_low_cpu", "warnings")
+    f4 = fx.f4_query_stats(spark, sf_dir)
+    r = f4.groupBy("query_id", "plan_id").agg(F.min("n_rows").alias("min_rows"), F.max("n_rows").alias("max_rows"),
+                                              F.avg("n_rows").alias("avg_rows"), F.max("duration").alias("max_duration"))
+    p = qs.plan_summary(f4).join(r, ["query_id", "plan_id"])
+    p = p.withColumns({
+        "executions_per_minute": F.round(try_ratio("total_executions", datediff_boundary(
+            "minute", F.col("first_seen"), F.col("last_seen")), 0.0), 4),
+        "plan_cost": (F.col("query_id") % 60).cast("double") / 10, "is_parallel": F.col("plan_id") % 2 == 0,
+        "pct_grant_used": F.col("query_id") % 100, "min_grant_kb": F.col("plan_id") * 100, "avg_spills": F.col("avg_reads"),
+        "estimated_rows": (F.col("query_id") % 7) * 1000})
+    f = qs.warning_string(qs.query_flags(p, execution_threshold=0.001, sniffing_reads=0, cost_col="plan_cost", spill_mb=0.0005))
+    return f.select("query_id", "plan_id", *_FLAGS, "warnings")
 
 
 @reg("qs05_multiple_plans", ofx.with_(ofx.f4_query_stats()) + """
