@@ -15,28 +15,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import datediff_boundary, try_ratio
+from .defaults import CONFIG_DEFAULTS, DATABASE_DEFAULTS
 from .findings import as_findings
 
 
+def config_defaults(spark) -> DataFrame:
+    """``name, default_value, check_id``: the vendor's server defaults."""
+    return spark.createDataFrame(CONFIG_DEFAULTS, "name string, default_value long, check_id int")
+
+
+def database_defaults(spark) -> DataFrame:
+    """``option, expected_value, check_id, priority, finding``: the vendor's database defaults."""
+    return spark.createDataFrame(DATABASE_DEFAULTS, "option string, expected_value string, check_id int, priority int, finding string")
+
+
 def mode_defaults(config: DataFrame, *, name: str = "name", value: str = "value") -> DataFrame:
-    """Most common value per option across the fleet (ties -> smallest value):
-    a data-derived default when no vendor default table is given."""
+    """Most common value per option across the fleet (ties -> smallest value),
+    to find servers that differ from the rest."""
     c = config.groupBy(name, value).agg(F.count(F.lit(1)).alias("n"))
     best = c.groupBy(name).agg(F.max_by(F.col(value), F.struct(F.col("n"), -F.col(value))).alias("default_value"))
     return best
 
 
-def config_drift(config: DataFrame, defaults: DataFrame, *, first_check_id: int = 1000) -> DataFrame:
-    """DR-1: options whose configured value differs from the default
-    (finding per option) and options whose configured value is not the
-    running value (rule 81)."""
-    j = config.join(defaults, "name", "inner")
-    ids = defaults.select("name", (F.dense_rank().over(Window.orderBy("name")) + first_check_id).alias("__id"))
-    j = j.join(ids, "name")
-    nd = j.filter(~F.col("value").eqNullSafe(F.col("default_value")))
-    a = as_findings(nd, check_id=F.col("__id"), priority=200, group="Non-Default Server Config", finding=F.col("name"),
-                    details=F.concat(F.lit("value "), F.col("value").cast("string"), F.lit(", default "),
-                                     F.col("default_value").cast("string")), value=F.col("value"))
+def config_drift(config: DataFrame, defaults: DataFrame) -> DataFrame:
+    """DR-1: options whose running value is none of their defaults (one finding
+    per option, with the option's own check id) and options whose configured
+    value is not the running value (rule 81).  ``defaults``: ``name,
+    default_value, check_id``; an option may have several rows."""
+    d = defaults.groupBy("name").agg(F.collect_set("default_value").alias("__ok"), F.min("default_value").alias("default_value"),
+                                     F.min("check_id").alias("check_id"))
+    nd = config.join(d, "name").filter(F.col("value_in_use").isNull() | ~F.array_contains("__ok", F.col("value_in_use")))
+    a = as_findings(nd, check_id=F.col("check_id"), priority=200, group="Non-Default Server Config", finding=F.col("name"),
+                    details=F.concat(F.lit("running "), F.col("value_in_use").cast("string"), F.lit(", default "),
+                                     F.col("default_value").cast("string")), value=F.col("value_in_use"))
     ni = config.filter(~F.col("value").eqNullSafe(F.col("value_in_use")))
     b = as_findings(ni, check_id=81, priority=200, group="Non-Active Server Config",
                     finding="Config Not Running at Set Value",
@@ -49,13 +60,13 @@ def option_drift(options: DataFrame, expected: DataFrame, *, keys: Sequence[str]
                  option_cols: Sequence[str] | None = None) -> DataFrame:
     """DR-2 / AG-9: wide database-option rows unpivoted to ``(option,
     value)`` in one pass and compared with ``expected(option,
-    expected_value, check_id, finding)``."""
+    expected_value, check_id, priority, finding)``."""
     k = list(keys)
     cols = list(option_cols) if option_cols else [c for c in options.columns if c not in k]
     long = options.select(*k, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         k, cols, "option", "value")
     j = long.join(expected, "option", "inner").filter(~F.col("value").eqNullSafe(F.col("expected_value")))
-    return as_findings(j, check_id=F.col("check_id"), priority=200, group="Non-Default Database Config",
+    return as_findings(j, check_id=F.col("check_id"), priority=F.col("priority"), group="Non-Default Database Config",
                        finding=F.col("finding"), details=F.concat(F.col("option"), F.lit(" = "), F.col("value")),
                        database="database_name")
 

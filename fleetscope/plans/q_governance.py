@@ -55,17 +55,16 @@ F8_SQL = """f8 AS (
            CAST(s_suppkey % 2 AS BIGINT) FROM supplier
     UNION ALL SELECT 'srv' || CAST(s_suppkey AS VARCHAR), s_suppkey, 'backup compression default',
            CAST(s_nationkey % 2 AS BIGINT) FROM supplier)),
-dflt AS (SELECT name, arg_max(value, (n, -value)) AS default_value
-         FROM (SELECT name, value, count(*) AS n FROM f8 GROUP BY ALL) GROUP BY name)"""
+dflt(name, default_value, id) AS (VALUES ('backup compression default', 0, 1073), ('cost threshold for parallelism', 5, 1012),
+      ('max degree of parallelism', 0, 1029), ('max server memory (MB)', 2147483647, 1031), ('optimize for ad hoc workloads', 0, 1041))"""
 
 
 DR01_BODY = """
-, ids AS (SELECT name, dense_rank() OVER (ORDER BY name) + 1000 AS id FROM dflt)
 SELECT server_name, CAST(NULL AS VARCHAR) AS database_name, CAST(NULL AS TIMESTAMP) AS check_ts,
-       CAST(ids.id AS INTEGER) AS check_id, CAST(200 AS INTEGER) AS priority, 'Non-Default Server Config' AS findings_group,
-       f8.name AS finding, 'value ' || CAST(value AS VARCHAR) || ', default ' || CAST(default_value AS VARCHAR) AS details,
-       CAST(value AS DOUBLE) AS value
-FROM f8 JOIN dflt USING (name) JOIN ids USING (name) WHERE value IS DISTINCT FROM default_value
+       CAST(id AS INTEGER) AS check_id, CAST(200 AS INTEGER) AS priority, 'Non-Default Server Config' AS findings_group,
+       f8.name AS finding, 'running ' || CAST(value_in_use AS VARCHAR) || ', default ' || CAST(default_value AS VARCHAR) AS details,
+       CAST(value_in_use AS DOUBLE) AS value
+FROM f8 JOIN dflt USING (name) WHERE value_in_use IS DISTINCT FROM default_value
 UNION ALL
 SELECT server_name, NULL, NULL, 81, 200, 'Non-Active Server Config', 'Config Not Running at Set Value',
        name || ': set ' || CAST(value AS VARCHAR) || ', running ' || CAST(value_in_use AS VARCHAR), CAST(value_in_use AS DOUBLE)
@@ -74,22 +73,20 @@ FROM f8 WHERE value IS DISTINCT FROM value_in_use"""
 
 def dr01_cte() -> str:
     """DR-1 finding rows as a CTE named ``fnd``."""
-    body = DR01_BODY.replace("\n, ids AS", "ids AS", 1)
-    head, _, sel = body.partition("\nSELECT server_name, CAST(NULL AS VARCHAR) AS database_name")
-    return "WITH " + F8_SQL + ", " + head + ", fnd AS (SELECT server_name, CAST(NULL AS VARCHAR) AS database_name" + sel + ")\n"
+    return "WITH " + F8_SQL + ", fnd AS (" + DR01_BODY.strip() + ")\n"
 
 
 @reg("dr01_config_drift", "WITH " + F8_SQL + DR01_BODY)
 def q_dr01(spark, sf_dir):
     c = f8_config(spark, sf_dir)
-    return dr.config_drift(c, dr.mode_defaults(c))
+    return dr.config_drift(c, dr.config_defaults(spark))
 
 
-# Fixed test expectations: option, expected value, check id, finding.
-EXPECTED_OPTIONS = [("is_auto_close", "false", 12, "Auto-Close Enabled"),
-                    ("is_auto_shrink", "false", 13, "Auto-Shrink Enabled"),
-                    ("page_verify", "CHECKSUM", 14, "Page Verification Not Optimal"),
-                    ("compatibility_level", "130", 62, "Old Compatibility Level")]
+# database options of the fixture: every option is off its default in one database of (5 + its position)
+DB_OPTIONS = ["is_supplemental_logging_enabled", "snapshot_isolation_state", "is_auto_create_stats_incremental_on", "is_ansi_null_default_on",
+              "is_recursive_triggers_on", "is_trustworthy_on", "is_broker_enabled", "is_honor_broker_priority_on", "is_parameterization_forced",
+              "is_query_store_on", "is_cdc_enabled", "containment", "target_recovery_time_in_seconds", "delayed_durability",
+              "is_memory_optimized_elevate_to_snapshot_on", "is_accelerated_database_recovery_on"]
 
 
 def db_options(spark, sf_dir):
@@ -97,28 +94,27 @@ def db_options(spark, sf_dir):
     d = F.col("c_custkey") % 50
     return c.select(F.concat(F.lit("srv"), (F.col("c_custkey") % 2).cast("string")).alias("server_name"),
                     F.concat(F.lit("db"), d.cast("string")).alias("database_name"),
-                    (d % 7 == 0).alias("is_auto_close"), (d % 11 == 0).alias("is_auto_shrink"),
-                    F.when(d % 5 == 0, "NONE").otherwise("CHECKSUM").alias("page_verify"),
-                    (100 + (d % 4) * 10).cast("int").alias("compatibility_level")).distinct()
+                    *[F.when(d % (5 + i) == 0, "1").otherwise("0").alias(o) for i, o in enumerate(DB_OPTIONS)]).distinct()
 
 
 @reg("dr02_database_option_drift", """
-WITH o AS (SELECT DISTINCT 'srv' || CAST(c_custkey % 2 AS VARCHAR) AS server_name,
-                  'db' || CAST(c_custkey % 50 AS VARCHAR) AS database_name,
-                  CAST((c_custkey % 50) % 7 = 0 AS VARCHAR) AS is_auto_close,
-                  CAST((c_custkey % 50) % 11 = 0 AS VARCHAR) AS is_auto_shrink,
-                  CASE WHEN (c_custkey % 50) % 5 = 0 THEN 'NONE' ELSE 'CHECKSUM' END AS page_verify,
-                  CAST(100 + ((c_custkey % 50) % 4) * 10 AS VARCHAR) AS compatibility_level FROM customer),
-u AS (UNPIVOT o ON is_auto_close, is_auto_shrink, page_verify, compatibility_level INTO NAME option VALUE value),
-e(option, expected_value, check_id, finding) AS (VALUES """ + ", ".join(
-    f"('{a}', '{b}', {c}, '{d}')" for a, b, c, d in EXPECTED_OPTIONS) + """)
-SELECT server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts, CAST(check_id AS INTEGER) AS check_id,
-       CAST(200 AS INTEGER) AS priority, 'Non-Default Database Config' AS findings_group, finding,
-       u.option || ' = ' || value AS details, CAST(NULL AS DOUBLE) AS value
-FROM u JOIN e ON u.option = e.option WHERE value IS DISTINCT FROM expected_value""")
+WITH o AS (SELECT DISTINCT c_custkey % 2 AS s, c_custkey % 50 AS d FROM customer),
+e(option, position, check_id, finding) AS (VALUES
+  ('is_supplemental_logging_enabled', 0, 131, 'Supplemental Logging Enabled'), ('snapshot_isolation_state', 1, 132, 'Snapshot Isolation Enabled'),
+  ('is_auto_create_stats_incremental_on', 2, 134, 'Auto Create Stats Incremental Enabled'),
+  ('is_ansi_null_default_on', 3, 135, 'ANSI NULL Default Enabled'), ('is_recursive_triggers_on', 4, 136, 'Recursive Triggers Enabled'),
+  ('is_trustworthy_on', 5, 137, 'Trustworthy Enabled'), ('is_broker_enabled', 6, 230, 'Broker Enabled'),
+  ('is_honor_broker_priority_on', 7, 231, 'Honor Broker Priority Enabled'), ('is_parameterization_forced', 8, 138, 'Forced Parameterization Enabled'),
+  ('is_query_store_on', 9, 139, 'Query Store Enabled'), ('is_cdc_enabled', 10, 140, 'Change Data Capture Enabled'),
+  ('containment', 11, 141, 'Containment Enabled'), ('target_recovery_time_in_seconds', 12, 142, 'Target Recovery Time Changed'),
+  ('delayed_durability', 13, 143, 'Delayed Durability Enabled'), ('is_memory_optimized_elevate_to_snapshot_on', 14, 144, 'Memory Optimized Enabled'),
+  ('is_accelerated_database_recovery_on', 15, 145, 'Acclerated Database Recovery Enabled'))
+SELECT 'srv' || CAST(s AS VARCHAR) AS server_name, 'db' || CAST(d AS VARCHAR) AS database_name, CAST(NULL AS TIMESTAMP) AS check_ts,
+       CAST(check_id AS INTEGER) AS check_id, CAST(210 AS INTEGER) AS priority, 'Non-Default Database Config' AS findings_group, finding,
+       option || ' = 1' AS details, CAST(NULL AS DOUBLE) AS value
+FROM o, e WHERE d % (5 + position) = 0""")
 def q_dr02(spark, sf_dir):
-    exp = spark.createDataFrame(EXPECTED_OPTIONS, "option string, expected_value string, check_id int, finding string")
-    return dr.option_drift(db_options(spark, sf_dir), F.broadcast(exp))
+    return dr.option_drift(db_options(spark, sf_dir), dr.database_defaults(spark))
 
 
 def f8_after(spark, sf_dir):

@@ -222,7 +222,7 @@ def q_rl04(spark, sf_dir):
 
 def _dr01(spark, sf_dir):
     c = f8_config(spark, sf_dir)
-    return dr.config_drift(c, dr.mode_defaults(c))
+    return dr.config_drift(c, dr.config_defaults(spark))
 
 
 @reg("snk03_markdown_report", dr01_cte() + """
