@@ -40,21 +40,30 @@ _CMD = ("CASE program_name WHEN '1-URGENT' THEN 'KILLED/ROLLBACK' WHEN '2-HIGH'
         "WHEN '3-MEDIUM' THEN 'DBCC CHECKDB' ELSE 'SELECT' END")
 
 
-def _sql_rules(rules, table, extra_cols="") -> str:
-    parts = []
-    for r in rules:
-        det = r.details
-        # Spark concat(...) with implicit casts -> DuckDB concat(...) casts the same way
-        parts.append(f"SELECT server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts, "
-                     f"CAST({r.check_id} AS INTEGER) AS check_id, CAST({r.priority} AS INTEGER) AS priority, "
-                     f"'{r.findings_group}' AS findings_group, '{r.finding}' AS finding, CAST({det} AS VARCHAR) AS details, "
-                     f"CAST({r.value} AS DOUBLE) AS value FROM {table} WHERE {r.predicate}")
-    return "\nUNION ALL ".join(parts)
+_FINDING = ("SELECT server_name, database_name, CAST(NULL AS TIMESTAMP) AS check_ts, CAST({0} AS INTEGER) AS check_id, "
+            "CAST({1} AS INTEGER) AS priority, '{2}' AS findings_group, '{3}' AS finding, CAST({5} AS VARCHAR) AS details, "
+            "CAST({6} AS DOUBLE) AS value FROM {7} WHERE {4}")
+
+
+def _findings(table: str, *rows) -> str:
+    """(id, priority, group, finding, predicate, details, value) rows as SQL."""
+    return "\nUNION ALL ".join(_FINDING.format(*r, table) for r in rows)
 
 
 @reg("blk08_session_rules", ofx.with_(ofx.f2()) + f"""
 , s AS (SELECT *, {_CMD} AS command, session_id % 11 = 0 AS implicit_transactions FROM f2)
-""" + _sql_rules(SESSION_RULES, "s"))
+""" + _findings(
+    "s",
+    (1, 1, "Maintenance Tasks Running", "Backup Running", "starts_with(command, 'BACKUP')",
+     "'session ' || session_id || ' running ' || command", "wait_duration_ms"),
+    (2, 1, "Maintenance Tasks Running", "DBCC CHECK* Running", "starts_with(command, 'DBCC')",
+     "'session ' || session_id || ' running ' || command", "wait_duration_ms"),
+    (8, 50, "Query Problems", "Sleeping Query with Open Transactions", "status = 'sleeping' AND open_tran_count >= 1",
+     "'session ' || session_id || ' has ' || open_tran_count || ' open transactions'", "open_tran_count"),
+    (9, 1, "Query Problems", "Query Rolling Back", "command = 'KILLED/ROLLBACK'", "'session ' || session_id || ' is rolling back'",
+     "wait_duration_ms"),
+    (37, 50, "Query Problems", "Implicit Transactions", "implicit_transactions AND open_tran_count >= 1",
+     "'session ' || session_id || ' uses implicit transactions'", "open_tran_count")))
 def q_blk08(spark, sf_dir):
     s = fx.f2_sessions(spark, sf_dir).select("*", F.expr(_CMD).alias("command"),
                                              (F.col("session_id") % 11 == 0).alias("implicit_transactions"))
@@ -80,7 +89,15 @@ _KIND = ("CASE WHEN keys[1] = 'LARGE' THEN 'COLUMNSTORE' WHEN keys[1] = 'SMALL'
 @reg("ix15_descriptive_catalog_rules", ofx.with_(ofx.f5()) + f"""
 , c AS (SELECT *, {_KIND} AS index_kind, index_id % 13 = 0 AS is_compressed, index_id % 17 = 0 AS is_partitioned,
                index_id % 34 <> 17 AS is_aligned, index_id % 19 = 0 AS optimize_sequential_key FROM f5)
-""" + _sql_rules(CATALOG_RULES, "c"))
+""" + _findings(
+    "c",
+    (60, 250, "Abnormal Design Pattern", "XML Index", "index_kind = 'XML'", "index_name", "NULL"),
+    (61, 250, "Abnormal Design Pattern", "Columnstore Index", "index_kind = 'COLUMNSTORE'", "index_name", "NULL"),
+    (62, 250, "Abnormal Design Pattern", "Spatial Index", "index_kind = 'SPATIAL'", "index_name", "NULL"),
+    (63, 250, "Abnormal Design Pattern", "Compressed Index", "index_id % 13 = 0", "index_name", "NULL"),
+    (64, 250, "Abnormal Design Pattern", "Partitioned Index", "index_id % 17 = 0", "index_name", "NULL"),
+    (65, 250, "Abnormal Design Pattern", "Non-Aligned Index on a Partitioned Table", "index_id % 17 = 0 AND index_id % 34 = 17", "index_name", "NULL"),
+    (121, 200, "Specialized Indexes", "Optimized For Sequential Keys", "index_id % 19 = 0", "index_name", "NULL")))
 def q_ix15(spark, sf_dir):
     f = fx.f5_indexes(spark, sf_dir)
     lead = F.element_at("keys", 1)

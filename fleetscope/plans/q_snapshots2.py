@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import snapshots as sd
+from ..operators.waits import is_benign, wait_category
 from . import fixtures as fx
 from . import oracle_fixtures as ofx
 from .q_snapshots import _CAL, _DELTA_SELECT, _FILE_SQL, _deltas, file_deltas
@@ -227,3 +228,27 @@ SELECT server_name, object_name, instance_name, check_ts, counter_name, CAST(cnt
 FROM d WHERE cntr_type IN (65792, 65536)""")
 def q_sd17(spark, sf_dir):
     return sd.counter_values_by_type(fx.f1_perfmon(spark, sf_dir))
+
+
+# wait types of the fixture, dealt to the events by id
+_WAITS = ["LCK_M_S", "LCK_M_X", "PAGEIOLATCH_SH", "PAGELATCH_UP", "LATCH_EX", "CXPACKET", "SOS_SCHEDULER_YIELD", "WRITELOG", "LOGBUFFER",
+          "ASYNC_NETWORK_IO", "RESOURCE_SEMAPHORE", "THREADPOOL", "HADR_SYNC_COMMIT", "HADR_WORK_QUEUE", "PREEMPTIVE_OS_GETPROCADDRESS",
+          "CLR_AUTO_EVENT", "BROKER_TASK_STOP", "WAITFOR", "DTC_STATE", "BACKUPIO", "SLEEP_TASK", "SQLTRACE_FILE_BUFFER", "NEW_KIND"]
+
+
+@reg("sd04_wait_category_rules", """
+WITH n(i, wait_type, category, benign) AS (VALUES (0, 'LCK_M_S', 'Lock', false), (1, 'LCK_M_X', 'Lock', false),
+  (2, 'PAGEIOLATCH_SH', 'Buffer IO', false), (3, 'PAGELATCH_UP', 'Buffer Latch', false), (4, 'LATCH_EX', 'Latch', false),
+  (5, 'CXPACKET', 'Parallelism', false), (6, 'SOS_SCHEDULER_YIELD', 'CPU', false), (7, 'WRITELOG', 'Tran Log IO', false),
+  (8, 'LOGBUFFER', 'Tran Log IO', false), (9, 'ASYNC_NETWORK_IO', 'Network IO', false), (10, 'RESOURCE_SEMAPHORE', 'Memory', false),
+  (11, 'THREADPOOL', 'Worker Thread', false), (12, 'HADR_SYNC_COMMIT', 'Replication', false), (13, 'HADR_WORK_QUEUE', 'Replication', true),
+  (14, 'PREEMPTIVE_OS_GETPROCADDRESS', 'Preemptive', false), (15, 'CLR_AUTO_EVENT', 'SQL CLR', true), (16, 'BROKER_TASK_STOP', 'Service Broker', true),
+  (17, 'WAITFOR', 'User Wait', true), (18, 'DTC_STATE', 'Transaction', false), (19, 'BACKUPIO', 'Other Disk IO', false),
+  (20, 'SLEEP_TASK', 'Idle', true), (21, 'SQLTRACE_FILE_BUFFER', 'Tracing', false), (22, 'NEW_KIND', 'Other', false))
+SELECT category, benign AS ignorable, CAST(count(*) AS BIGINT) AS waits, round(sum(value), 4) AS total_wait
+FROM events JOIN n ON event_id % 23 = i GROUP BY ALL""")
+def q_sd04c(spark, sf_dir):
+    wait = F.element_at(F.array(*[F.lit(w) for w in _WAITS]), (F.col("event_id") % len(_WAITS) + 1).cast("int"))
+    e = fx._t(spark, sf_dir, "events").select(wait.alias("wait_type"), "value")
+    return e.groupBy(wait_category(F.col("wait_type")).alias("category"), is_benign(F.col("wait_type")).alias("ignorable")).agg(
+        F.count(F.lit(1)).cast("long").alias("waits"), F.round(F.sum("value"), 4).alias("total_wait"))
