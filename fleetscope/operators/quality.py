@@ -96,6 +96,14 @@ def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def deprecated_references(texts: DataFrame, patterns: Sequence[str], *, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
+    """DQ-7: rows whose text mentions each deprecated feature (a plain
+    substring), counted in one pass over the texts and turned into rows."""
+    g = texts.groupBy(*group).agg(*[F.count_if(F.contains(F.col(text), F.lit(p))).cast("long").alias(f"p{i}") for i, p in enumerate(patterns)])
+    rows = F.array(*[F.struct(F.lit(p).alias("feature"), F.col(f"p{i}").alias("reference_count")) for i, p in enumerate(patterns)])
+    return g.select(*group, F.explode(rows).alias("r")).select(*group, "r.*").filter(F.col("reference_count") > 0)
+
+
 def objects_exist(requests: DataFrame, objects: DataFrame, *, name: str = "object_name",
                   type_col: str = "object_type") -> DataFrame:
     """§2.17 ``check_object_exists``: each requested ``(name, type)`` with an

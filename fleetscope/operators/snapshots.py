@@ -395,6 +395,21 @@ def window_review(deltas: DataFrame, since, until, *, n: int = 5, server: str =
     return per_ts.join(tot, [server, metric])
 
 
+def findings_review(findings: DataFrame, since, until, *, max_priority: int = 50, ts: str = "check_ts") -> DataFrame:
+    """SD-16: findings of ``[since, until]`` up to ``max_priority``, counted per
+    server, priority, group and finding with their first and last occurrence."""
+    f = findings.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) <= F.lit(until)) & F.col("priority").between(1, max_priority)
+                        & (F.col("check_id") > -1))
+    return f.groupBy("server_name", "priority", "findings_group", "finding").agg(
+        F.count(F.lit(1)).cast("long").alias("total_occurrences"), F.min(ts).alias("first_occurrence"), F.max(ts).alias("last_occurrence"))
+
+
+def files_review(file_deltas: DataFrame, since, until, *, n: int = 5, server: str = "server_name", ts: str = "check_ts") -> DataFrame:
+    """SD-16: the ``n`` files of each server with the slowest reads and with the
+    slowest writes in ``[since, until]``."""
+    return file_stall_ranking(file_deltas.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) <= F.lit(until))), server=server, n=n)
+
+
 PERF_AVERAGE_BULK = 1073874176
 PERF_LARGE_RAW_BASE = 1073939712
 PERF_AVERAGE_FRACTION = 537003264

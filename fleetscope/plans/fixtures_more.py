@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .fixtures import _t, cents
 
 
+# the other averages of an interval
+HOURLY_METRICS = ["avg_logical_io_reads", "avg_logical_io_writes", "avg_physical_io_reads", "avg_query_max_used_memory", "avg_rowcount",
+                  "avg_clr_time", "avg_log_bytes_used", "avg_tempdb_space_used", "avg_num_physical_io_reads"]
+
+
 def f4_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly query-store intervals from ``events``: plan = user % 40,
     query = user % 20 (each plan belongs to one query)."""
@@ -17,9 +22,11 @@ def f4_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cents("value")
     g = ev.groupBy((F.col("user_id") % 20).alias("query_id"), (F.col("user_id") % 40).alias("plan_id"),
                    F.date_trunc("hour", "ts").alias("interval_ts")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(c).alias("dur"), F.sum(F.floor(c / 4)).alias("cpu"))
+        F.count(F.lit(1)).alias("n"), F.sum(c).alias("dur"), F.sum(F.floor(c / 4)).alias("cpu"),
+        *[F.sum(c % (7 + 4 * i)).alias(m) for i, m in enumerate(HOURLY_METRICS)])
     return g.select("query_id", "plan_id", "interval_ts", F.col("n").cast("long").alias("count_executions"),
-                    (F.col("dur") / F.col("n")).alias("avg_duration"), (F.col("cpu") / F.col("n")).alias("avg_cpu"))
+                    (F.col("dur") / F.col("n")).alias("avg_duration"), (F.col("cpu") / F.col("n")).alias("avg_cpu"),
+                    *[(F.col(m) / F.col("n")).alias(m) for m in HOURLY_METRICS])
 
 
 def f4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

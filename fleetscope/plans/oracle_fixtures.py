@@ -184,5 +184,14 @@ def f4_hourly(name: str = "f4h") -> str:
   SELECT user_id % 20 AS query_id, user_id % 40 AS plan_id, date_trunc('hour', ts) AS interval_ts,
          CAST(count(*) AS BIGINT) AS count_executions,
          sum(CAST(round(value * 100) AS BIGINT)) / count(*) AS avg_duration,
-         sum(floor(CAST(round(value * 100) AS BIGINT) / 4)) / count(*) AS avg_cpu
+         sum(floor(CAST(round(value * 100) AS BIGINT) / 4)) / count(*) AS avg_cpu,
+         sum(CAST(round(value * 100) AS BIGINT) % 7) / count(*) AS avg_logical_io_reads,
+         sum(CAST(round(value * 100) AS BIGINT) % 11) / count(*) AS avg_logical_io_writes,
+         sum(CAST(round(value * 100) AS BIGINT) % 15) / count(*) AS avg_physical_io_reads,
+         sum(CAST(round(value * 100) AS BIGINT) % 19) / count(*) AS avg_query_max_used_memory,
+         sum(CAST(round(value * 100) AS BIGINT) % 23) / count(*) AS avg_rowcount,
+         sum(CAST(round(value * 100) AS BIGINT) % 27) / count(*) AS avg_clr_time,
+         sum(CAST(round(value * 100) AS BIGINT) % 31) / count(*) AS avg_log_bytes_used,
+         sum(CAST(round(value * 100) AS BIGINT) % 35) / count(*) AS avg_tempdb_space_used,
+         sum(CAST(round(value * 100) AS BIGINT) % 39) / count(*) AS avg_num_physical_io_reads
   FROM events GROUP BY ALL)"""

@@ -426,3 +426,12 @@ def _inv_sql() -> str:
 @reg("dq07_inventory", _inv_sql())
 def q_dq07(spark, sf_dir):
     return dq.inventory({t: fx._t(spark, sf_dir, t) for t in INV_TABLES})
+
+
+@reg("dq07_deprecated_references", """
+SELECT source, feature, CAST(count(*) AS BIGINT) AS reference_count
+FROM documents, (VALUES ('password='), ('token ='), ('Licensed under'), ('Public License')) f(feature)
+WHERE contains(text, feature) GROUP BY ALL""")
+def q_dq07b(spark, sf_dir):
+    return dq.deprecated_references(fx._t(spark, sf_dir, "documents"), ["password=", "token =", "Licensed under", "Public License"],
+                                    group=["source"])

@@ -160,7 +160,8 @@ def q_qs17(spark, sf_dir):
 @reg("qs12_top_plans_in_worst_intervals", ofx.with_(ofx.f4_hourly()) + """
 , u AS (SELECT query_id, plan_id, date_trunc('day', interval_ts) AS interval_start, 'avg_duration' AS metric,
                avg_duration * count_executions AS total FROM f4h
-        UNION ALL SELECT query_id, plan_id, date_trunc('day', interval_ts), 'avg_cpu', avg_cpu * count_executions FROM f4h),
+        """ + " ".join(f"UNION ALL SELECT query_id, plan_id, date_trunc('day', interval_ts), '{m}', {m} * count_executions FROM f4h"
+                         for m in ["avg_cpu", *fm.HOURLY_METRICS]) + """),
 g AS (SELECT metric, interval_start, round(sum(total), 4) AS total FROM u GROUP BY ALL),
 worst AS (SELECT metric, interval_start FROM g
           QUALIFY row_number() OVER (PARTITION BY metric ORDER BY total DESC, interval_start DESC) = 1),
@@ -169,7 +170,8 @@ pl AS (SELECT u.metric, query_id, plan_id, round(sum(total), 4) AS total FROM u
 top AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY metric ORDER BY total DESC, query_id, plan_id) <= 3)
 SELECT query_id, plan_id, list_sort(list_distinct(list(metric))) AS metrics FROM top GROUP BY ALL""")
 def q_qs12(spark, sf_dir):
-    return qs.top_plans_in_worst_intervals(fm.f4_hourly(spark, sf_dir), n=3)
+    return qs.top_plans_in_worst_intervals(fm.f4_hourly(spark, sf_dir), n=3,
+                                            avg_metrics=["avg_duration", "avg_cpu", *fm.HOURLY_METRICS])
 
 
 @reg("qs13_plan_regressions", ofx.with_(ofx.f4_query_stats()) + """

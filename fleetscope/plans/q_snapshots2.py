@@ -108,6 +108,45 @@ def q_sd09(spark, sf_dir):
     return sd.slow_files(file_deltas(spark, sf_dir), threshold_ms=40)
 
 
+_SLOW_SQL = ofx.with_(ofx.f3_files(), _FILE_SQL) + """, slow AS (
+SELECT server_name, CAST(database_id AS VARCHAR) AS database_name, check_ts, 11 AS check_id, 50 AS priority,
+       'Server Performance' AS findings_group, 'Slow Data File Reads' AS finding,
+       'File: ' || physical_name || '; reads: ' || CAST(num_of_reads AS VARCHAR) AS details,
+       CAST(floor(io_stall_read_ms / num_of_reads) AS DOUBLE) AS value
+FROM fd WHERE type_desc = 'ROWS' AND num_of_reads > 0 AND io_stall_read_ms > 1000
+  AND floor(io_stall_read_ms / num_of_reads) >= 40
+UNION ALL
+SELECT server_name, CAST(database_id AS VARCHAR), check_ts, 12, 50, 'Server Performance', 'Slow Log File Writes',
+       'File: ' || physical_name || '; writes: ' || CAST(num_of_writes AS VARCHAR),
+       CAST(floor(io_stall_write_ms / num_of_writes) AS DOUBLE)
+FROM fd WHERE type_desc = 'LOG' AND num_of_writes > 0 AND io_stall_write_ms > 1000
+  AND floor(io_stall_write_ms / num_of_writes) >= 40)"""
+
+
+@reg("sd16_findings_review", _SLOW_SQL + """
+SELECT server_name, priority, findings_group, finding, CAST(count(*) AS BIGINT) AS total_occurrences, min(check_ts) AS first_occurrence,
+       max(check_ts) AS last_occurrence
+FROM slow WHERE check_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' AND priority BETWEEN 1 AND 50 GROUP BY ALL""")
+def q_sd16b(spark, sf_dir):
+    return sd.findings_review(q_sd09(spark, sf_dir), dt.datetime(1996, 1, 1), dt.datetime(1999, 12, 31))
+
+
+@reg("sd16_files_review", ofx.with_(ofx.f3_files(), _FILE_SQL) + """,
+g AS (SELECT server_name, physical_name,
+             CAST(sum(io_stall_read_ms) AS BIGINT) AS rs, CAST(sum(num_of_reads) AS BIGINT) AS r,
+             CAST(sum(io_stall_write_ms) AS BIGINT) AS ws, CAST(sum(num_of_writes) AS BIGINT) AS w
+      FROM fd WHERE check_ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31' GROUP BY ALL),
+u AS (SELECT server_name, physical_name, 'READ' AS pattern, rs AS stall_ms, r AS ios FROM g
+      UNION ALL SELECT server_name, physical_name, 'WRITE', ws, w FROM g)
+SELECT *, round(CASE WHEN ios = 0 THEN 0 ELSE stall_ms / ios END, 4) AS avg_stall_ms,
+       row_number() OVER (PARTITION BY server_name, pattern
+                          ORDER BY round(CASE WHEN ios = 0 THEN 0 ELSE stall_ms / ios END, 4) DESC, physical_name) AS stall_rank
+FROM u QUALIFY stall_rank <= 3""")
+def q_sd16c(spark, sf_dir):
+    return sd.files_review(file_deltas(spark, sf_dir), dt.datetime(1996, 1, 1), dt.datetime(1999, 12, 31), n=3)
+
+
+
 @reg("sd10_ratio_alert", D_PLAIN + """
 , g AS (SELECT server_name, check_ts, sum(CASE WHEN metric = 'click' THEN cum_value_delta END) AS num,
                sum(CASE WHEN metric = 'view' THEN cum_value_delta END) AS den, max(elapsed_seconds) AS secs
