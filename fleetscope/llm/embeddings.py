@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import components, cut, local_roots
 
 
+#: up to so many cells (16 bytes each) are broadcast
+FEW_CELLS = 100_000
+
+
 def e8_roots() -> np.ndarray:
     """The 240 shortest vectors of the lattice."""
     whole = []
@@ -93,7 +97,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _entries(tables: int, probes: int, scale: float):
+def _entries(tables: int, probes: int, scale: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for start in range(0, big.num_rows, 1024):
@@ -106,7 +110,7 @@ def _entries(tables: int, probes: int, scale: float):
                     label = part.column(1).to_numpy().astype(np.int64)
                     home, near = cells(_unit(raw), label + (int(dim) << 32), tables, probes, scale)
                     n = len(raw)
-                    payload = pa.array([r.tobytes() for r in raw], pa.binary())
+                    payload = pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())
                     homes = pa.array([r.tobytes() for r in home], pa.binary())
                     for t in range(tables):
                         for p in range(-1, probes):
@@ -143,7 +147,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _compare(threshold: float, tables: int):
+def _compare(threshold: float, tables: int, kind: str):
     names = ["kind", "a", "b", "n"]
 
     def group(cell_t, home, cid, label, mult, vec, homes, blk):
@@ -202,7 +206,7 @@ def _compare(threshold: float, tables: int):
                 hs = tab.column("homes").slice(s, e - s).to_pylist()
                 for size in {len(r) for r in raw}:
                     at = [k for k, r in enumerate(raw) if len(r) == size]
-                    vec = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), -1)
+                    vec = np.frombuffer(b"".join(raw[k] for k in at), kind).astype(np.float64).reshape(len(at), -1)
                     homes = np.frombuffer(b"".join(hs[k] for k in at), np.int64).reshape(len(at), tables)
                     k = np.array(at) + s
                     out += group(t[s], home[k], cid[k], label[k], mult[k], vec, homes, blk[k] if pair[s] >= 0 else None)
@@ -216,6 +220,8 @@ def _compare(threshold: float, tables: int):
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                  threshold: float = 0.93, tables: int = 6, probes: int = 2, scale: float = 0.7, block: int = 4096) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
+    # vectors travel as they are stored; all arithmetic is in double precision
+    kind = "f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "f8"
     vec = F.col(vec_col).cast("array<double>")
     fine = F.coalesce(
         F.col(label_col).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -226,18 +232,19 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = cut(rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(
         F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("mult"), F.min("_id").alias("low")))
     sent = classes.select("cid", "label", "vec", "mult").mapInArrow(
-        _entries(tables, probes, scale), "cell long, t tinyint, home boolean, cid long, label long, mult long, vec binary, homes binary")
-    # cells with more than one block of vectors
-    big = sent.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select(
-        F.col("cell").alias("_c"), F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    dealt = sent.join(big, F.col("cell") == F.col("_c"), "left").drop("_c")
+        _entries(tables, probes, scale, kind), "cell long, t tinyint, home boolean, cid long, label long, mult long, vec binary, homes binary")
+    # cells with more than one block of vectors: usually few, then sent along with the tasks; otherwise joined by a shuffle
+    big = cut(sent.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block).select(
+        F.col("cell").alias("_c"), F.ceil(F.col("n") / block).cast("int").alias("nb")))
+    few = big.count() <= FEW_CELLS
+    dealt = sent.join(F.broadcast(big) if few else big, F.col("cell") == F.col("_c"), "left").drop("_c")
     blk = F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid", F.lit(3)), F.col("nb"))).cast("int")
     dealt = dealt.withColumn("blk", blk)
     # the pair (x, y) of blocks, x <= y, has the number x * nb + y
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda y: F.least(F.col("blk"), y) * F.col("nb") + F.greatest(F.col("blk"), y))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(-1))).otherwise(pairs))).drop("nb")
     found = dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(
-        _compare(threshold, tables), "kind tinyint, a long, b long, n long")
+        _compare(threshold, tables, kind), "kind tinyint, a long, b long, n long")
     found = cut(found)
     links = found.where("kind = 0").select("a", "n").unionByName(
         found.where("kind = 2").distinct().select("a", "n")).groupBy("a").agg(F.sum("n").alias("links"))
