@@ -2,7 +2,7 @@
 
 Pages are ordered by host and URL path with one range exchange; neighbours of the same host are
 paired, and each page takes the neighbour with the longer common path.  Pages become lines (one a
-block).  The lines of a pair are aligned by longest common subsequence and shared lines, the
+block) before the exchange.  The lines of a pair are aligned by longest common subsequence and shared lines, the
 furniture that the host repeats from page to page, are deleted.
 
 Structure decides where the page states it: menus, headers, footers, sidebars, notices, adverts, forms,
@@ -20,7 +20,6 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,8 +189,38 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _place(url: str | None) -> tuple[str, str]:
+    try:
+        parts = urlsplit(url or "")
+        return (parts.hostname or "").removeprefix("www."), f"{parts.path}?{parts.query}"
+    except ValueError:
+        return "", url or ""
+
+
+def _to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as lines (joined by line ends, which no line holds; compressed for the exchange) and their flags, with host and path."""
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        host, path, text, flags = [], [], [], []
+        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            place = _place(url)
+            lines = lines_of(page)
+            host.append(place[0])
+            path.append(place[1])
+            text.append(small.compress("\n".join(t for t, _, _ in lines).encode("utf-8", "replace")))
+            flags.append(bytes(k + 2 * h for _, k, h in lines))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.binary()), pa.array(flags, pa.binary())],
+            ["_id", "url", "host", "path", "text", "flags"])
+
+
 def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages in order of host and path; each meets the page before and after it of the same host."""
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor()
     before = now = None
 
     def done(prev, cur, nxt):
@@ -206,8 +235,9 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, kind = [], None
     for b in batches:
         kind = b.column(0).type
-        for key, url, host, path, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            nxt = {"id": key, "url": url, "host": host, "path": path, "lines": lines_of(page)}
+        for key, url, host, path, text, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lines = [(t, bool(f & 1), bool(f & 2)) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)] if flags else []
+            nxt = {"id": key, "url": url, "host": host, "path": path, "lines": lines}
             if now is not None:
                 rows.append(done(before, now, nxt))
             before, now = now, nxt
@@ -218,29 +248,15 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch([done(before, now, None)], kind)
 
 
-def _place(urls: pd.Series) -> pd.DataFrame:
-    hosts, paths = [], []
-    for u in urls:
-        try:
-            parts = urlsplit(u or "")
-            host = (parts.hostname or "").removeprefix("www.")
-            path = f"{parts.path}?{parts.query}"
-        except ValueError:
-            host, path = "", u or ""
-        hosts.append(host)
-        paths.append(path)
-    return pd.DataFrame({"host": hosts, "path": paths})
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None) -> DataFrame:
     """Per row: id, url, text."""
     spark = pages.sparkSession
-    at = F.pandas_udf(_place, "host string, path string")(F.col(url_col))
-    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("page")).withColumn("_p", at)
-    src = src.select("_id", "url", F.col("_p.host").alias("host"), F.col("_p.path").alias("path"), "page")
+    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("page"))
+    kind = src.schema[0].dataType.simpleString()
+    src = src.mapInArrow(_to_lines, f"_id {kind}, url string, host string, path string, text binary, flags binary")
     parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = src.repartitionByRange(parts, "host", "path", "_id").sortWithinPartitions("host", "path", "_id")
-    out = dealt.mapInArrow(_pair, f"_id {src.schema[0].dataType.simpleString()}, url string, text string")
+    out = dealt.mapInArrow(_pair, f"_id {kind}, url string, text string")
     return out.select(F.col("_id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
