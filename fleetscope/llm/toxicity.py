@@ -44,7 +44,8 @@ LOOKALIKE = dict(zip(
 LEET = dict(zip("013457@$!", "oieastasi", strict=True))
 
 _WORD = re.compile(r"[^\W_]+")
-_LEETED = re.compile(r"[^\W_]*(?:[^\W\d_][0134578@$!]|[0134578@$!][^\W\d_])[\w@$!]*")
+_LEETED = re.compile(r"[^\W_]*(?:[^\W\d_][013457]|[013457][^\W\d_])[^\W_]*")
+_SIGNS = re.compile(r"(?<=\w)[@$!]+(?=\w)")
 _SKIP = re.compile("[­​-‏⁠﻿]")
 
 
@@ -61,13 +62,14 @@ def fold(text: str | None) -> str:
 
 
 _LEET_TABLE = {ord(k): v for k, v in LEET.items()}
-_HAS_LEET = re.compile(r"[0134578@$!]")
+_HAS_LEET = re.compile(r"[013457@$!]")
 
 
 def unleet(t: str) -> str:
-    """Substitutes digits and signs in words that mix them with letters; other words stay."""
+    """Substitutes digits in words that mix them with letters, and signs inside words; others (a shout's ``!!``) stay."""
     if not _HAS_LEET.search(t):
         return t
+    t = _SIGNS.sub(lambda m: m[0].translate(_LEET_TABLE), t)
     return _LEETED.sub(lambda m: m[0].translate(_LEET_TABLE), t)
 
 
@@ -120,8 +122,10 @@ def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
         share = F.when(F.col("y") == y, F.lit(min(1.0, sample / c))).otherwise(share)
     u = F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     picked = lab.where(u < share)
-    # about 2 * sample ids, whatever the size of the tables: broadcast, so that no text is shuffled
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_text", "y")
+    # about 2 * sample ids, whatever the size of the tables: broadcast, so that only the texts of the sample
+    # are shuffled; copies of one text count once, or their other words would look like terms
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
+        F.broadcast(picked), "_id").dropDuplicates(["_text", "y"]).select("_id", "_text", "y")
 
 
 def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = rows.select("_text", "y").mapInArrow(_count_prefixes, "term string, pos long, neg long")
         odds = F.log(((F.col("pos") + 0.05) / (n_pos + 0.1)) / ((F.col("neg") + 0.05) / (n_neg + 0.1)))
         best = (counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-                .where(F.col("pos") >= max(least, n_pos // 500)).withColumn("w", odds).where("w > 2.5")
+                .where(F.col("pos") >= max(least, n_pos // 100)).withColumn("w", odds).where("w > 2.5")
                 .orderBy(F.desc(F.col("w") * F.sqrt("pos")), "term").limit(max_terms).collect())
         terms |= {r["term"]: round(float(r["w"]), 4) for r in best}
     beta = [-4.0, 1.6, 1.0, 1.0]
