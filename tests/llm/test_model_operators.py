@@ -106,6 +106,7 @@ def test_toxicity_folding_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0})
     assert lex.score("such an 1d10t and іdіоt")[1] == 2
     assert lex.score("ｉｄｉｏｔ")[1] == 1
+    assert lex.score("an id!ot, tr@sh")[1] == 2 and toxicity.unleet("lo!! this$$$ 2nd 1990") == "lo!! this$$$ 2nd 1990"
     assert lex.score("put it in the trash can, trash it")[1] == 1
     assert lex.score("notidiot 4 2010 a1") [1] == 0
     assert lex.score(None) == (0.0, 0, 0)
