@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import datediff_boundary
 from .findings import as_findings
+from .relational import row_number_in_key
 
 DB = ["server_name", "database_name"]
 MB = 1048576.0
@@ -303,8 +304,9 @@ def restore_sequence(backups: DataFrame, stop_at) -> DataFrame:
                  *DB, F.col("diff_id").alias("backup_set_id"), F.lit("I").alias("type"),
                  F.col("from_lsn").alias("last_lsn")))
              .unionByName(logs.select(*DB, "backup_set_id", "type", "last_lsn")))
-    w = Window.partitionBy(*DB).orderBy("last_lsn", "backup_set_id")
-    return steps.withColumn("step", F.row_number().over(w).cast("long"))
+    # numbered by value ranges of the log sequence number: a long chain is not sorted in one task
+    numbered = row_number_in_key(steps, by=DB, order="last_lsn", tie=["backup_set_id"])
+    return numbered.withColumn("step", F.col("__rn").cast("long")).drop("__rn", "__n")
 
 
 def replica_lag(replicas: DataFrame, *, max_lag_seconds: int = 60, group: str = "database_name") -> DataFrame:
