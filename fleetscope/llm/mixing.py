@@ -146,7 +146,7 @@ def _fly(seed: int, last: bool):
 
 
 def mix(docs: DataFrame, size: Column, weight_of=None, id_col: str = "doc_id", source_col: str = "source",
-        total: float | None = None, max_repeat: int = 3, block: int = 16384, reserve: int = 512, seed: int = 6) -> DataFrame:
+        total: float | None = None, max_repeat: int = 3, block: int = 4096, reserve: int = 512, seed: int = 6) -> DataFrame:
     """(id, source, size, source_size, target, copies) per document row.
 
     ``weight_of(i, source)`` gives the weight of the i-th source in code point order (null
