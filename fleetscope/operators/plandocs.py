@@ -36,6 +36,23 @@ PLAN_FEATURES: list[tuple[str, str, str]] = [
     ("operator_count", "op_count", ""),
     ("warning_count", "double", "count(//Warnings)"),
     ("missing_index_count", "double", "count(//MissingIndexGroup)"),
+    ("has_hash_match", "op_exists", "Hash Match"),
+    ("has_merge_join", "op_exists", "Merge Join"),
+    ("has_adaptive_join", "op_exists", "Adaptive Join"),
+    ("has_table_valued_function", "op_exists", "Table-valued function"),
+    ("has_index_spool", "op_exists", "Index Spool"),
+    ("has_table_spool", "op_exists", "Table Spool"),
+    ("has_columnstore_scan", "op_exists", "Columnstore Index Scan"),
+    ("is_trivial", "mentions", 'StatementOptmLevel="TRIVIAL"'),
+    ("is_forced_serial", "mentions", "NonParallelPlanReason="),
+    ("is_parallel", "mentions", 'Parallel="1"'),
+    ("is_cursor", "mentions", "<CursorPlan"),
+    ("has_scalar_function", "mentions", "<UserDefinedFunction"),
+    ("has_table_variable", "mentions", 'Table="[@'),
+    ("is_many_to_many", "mentions", 'ManyToMany="1"'),
+    ("no_join_predicate", "mentions", 'NoJoinPredicate="1"'),
+    ("spills_to_tempdb", "mentions", "<SpillToTempDb"),
+    ("no_column_statistics", "mentions", "<ColumnsWithNoStatistics"),
 ]
 
 _OPS = "__ops"
@@ -55,6 +72,8 @@ def _xp(xml: Column, kind: str, path: str) -> Column:
                            .otherwise(F.lit(0.0)))
     if kind == "op_count":
         return F.size(ops).cast("double")
+    if kind == "mentions":  # an attribute or element as the server writes it: no parse
+        return F.contains(xml, F.lit(path))
     if kind == "abort_reason":
         return F.array_contains(F.col(_ABORTS), F.lit(path))
     return F.xpath_string(xml, F.lit(path))

@@ -14,6 +14,11 @@ OPS = ["Key Lookup", "Sort", "Table Scan", "Index Scan", "Clustered Index Seek",
 NS = "http://schemas.microsoft.com/sqlserver/2004/07/showplan"
 
 
+# elements inside an operator, one in so many parts
+INNER = [(41, '<UserDefinedFunction FunctionName="f"/>'), (43, '<Object Table="[@t]"/>'), (47, '<Merge ManyToMany="1"/>'),
+         (53, '<SpillToTempDb SpillLevel="1"/>'), (59, '<ColumnsWithNoStatistics/>'), (61, '<JoinWarning NoJoinPredicate="1"/>')]
+
+
 def plan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _t(spark, sf_dir, "lineitem")
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -21,8 +26,10 @@ def plan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.floor(F.col("l_extendedprice") / 1000).cast("long")
     warn = F.when(F.col("l_partkey") % 11 == 0, F.lit('<Warnings><PlanAffectingConvert ConvertIssue="Seek Plan"/>'
                                                       '</Warnings>')).otherwise(F.lit(""))
-    relop = F.concat(F.lit('<RelOp PhysicalOp="'), op, F.lit('" EstimatedTotalSubtreeCost="'), cost.cast("string"),
-                     F.lit('">'), warn, F.lit("</RelOp>"))
+    pk = F.col("l_partkey")
+    more = F.concat(*[F.when(pk % m == 0, F.lit(text)).otherwise(F.lit("")) for m, text in INNER])
+    relop = F.concat(F.lit('<RelOp PhysicalOp="'), op, F.lit('" EstimatedTotalSubtreeCost="'), cost.cast("string"), F.lit('"'),
+                     F.when(pk % 37 == 0, F.lit(' Parallel="1"')).otherwise(F.lit("")), F.lit(">"), warn, more, F.lit("</RelOp>"))
     g = li.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
                                              relop.alias("x")))).alias("ops"),
@@ -46,7 +53,10 @@ def plan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
               '</ParameterList>'))).otherwise(F.lit(""))
     doc = F.concat(
         F.lit(f'<ShowPlanXML xmlns="{NS}"><BatchSequence><Batch><Statements><StmtSimple StatementSubTreeCost="'),
-        (F.col("cost") + 1).cast("string"), F.lit('"'), abort, F.lit("><QueryPlan>"), missing, params,
+        (F.col("cost") + 1).cast("string"), F.lit('"'), abort,
+        F.when(k % 19 == 0, F.lit(' StatementOptmLevel="TRIVIAL"')).otherwise(F.lit("")),
+        F.when(k % 23 == 0, F.lit(' NonParallelPlanReason="MaxDOPSetToOne"')).otherwise(F.lit("")), F.lit(">"),
+        F.when(k % 29 == 0, F.lit("<CursorPlan/>")).otherwise(F.lit("")), F.lit("<QueryPlan>"), missing, params,
         F.array_join(F.transform("ops", lambda x: x["x"]), ""),
         F.lit("</QueryPlan></StmtSimple></Statements></Batch></BatchSequence></ShowPlanXML>"))
     return j.select(k.alias("plan_id"), F.concat(F.lit("qh"), (c % 100).cast("string")).alias("query_hash"),

@@ -21,7 +21,7 @@ def reg(name, sql=None):
 _OPS = "[" + ", ".join(f"'{o}'" for o in OPS) + "]"
 PL = f"""WITH pl AS (
   SELECT l_orderkey, ({_OPS})[l_partkey % 12 + 1] AS op, CAST(floor(l_extendedprice / 1000) AS BIGINT) AS cost,
-         l_partkey % 11 = 0 AS warn FROM lineitem),
+         l_partkey % 11 = 0 AS warn, l_partkey FROM lineitem),
 p AS (
   SELECT o_orderkey AS plan_id, 'qh' || CAST(o_custkey % 100 AS VARCHAR) AS query_hash, o_custkey, o_orderpriority,
          o_orderkey % 13 = 0 AS compile_timeout, o_orderkey % 13 <> 0 AND o_orderkey % 17 = 0 AS compile_memory_limit,
@@ -35,12 +35,23 @@ p AS (
          CAST(sum(CASE WHEN op = 'Index Spool' THEN cost ELSE 0 END) AS DOUBLE) AS index_spool_cost,
          CAST(sum(CASE WHEN op = 'Table Spool' THEN cost ELSE 0 END) AS DOUBLE) AS table_spool_cost,
          CAST(count(*) AS DOUBLE) AS operator_count, CAST(count_if(warn) AS DOUBLE) AS warning_count,
-         CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS missing_index_count
+         CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS missing_index_count,
+         bool_or(op = 'Hash Match') AS has_hash_match, bool_or(op = 'Merge Join') AS has_merge_join,
+         bool_or(op = 'Adaptive Join') AS has_adaptive_join, bool_or(op = 'Table-valued function') AS has_table_valued_function,
+         bool_or(op = 'Index Spool') AS has_index_spool, bool_or(op = 'Table Spool') AS has_table_spool,
+         bool_or(op = 'Columnstore Index Scan') AS has_columnstore_scan,
+         o_orderkey % 19 = 0 AS is_trivial, o_orderkey % 23 = 0 AS is_forced_serial, bool_or(l_partkey % 37 = 0) AS is_parallel,
+         o_orderkey % 29 = 0 AS is_cursor, bool_or(l_partkey % 41 = 0) AS has_scalar_function, bool_or(l_partkey % 43 = 0) AS has_table_variable,
+         bool_or(l_partkey % 47 = 0) AS is_many_to_many, bool_or(l_partkey % 61 = 0) AS no_join_predicate,
+         bool_or(l_partkey % 53 = 0) AS spills_to_tempdb, bool_or(l_partkey % 59 = 0) AS no_column_statistics
   FROM pl JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority)
 """
 FEATS = ("plan_id, query_hash, compile_timeout, compile_memory_limit, implicit_conversion, unparameterized, "
          "has_key_lookup, has_table_scan, has_remote_query, statement_cost, key_lookup_cost, sort_cost, "
-         "remote_query_cost, index_spool_cost, table_spool_cost, operator_count, warning_count, missing_index_count")
+         "remote_query_cost, index_spool_cost, table_spool_cost, operator_count, warning_count, missing_index_count, has_hash_match, "
+         "has_merge_join, has_adaptive_join, has_table_valued_function, has_index_spool, has_table_spool, has_columnstore_scan, is_trivial, "
+         "is_forced_serial, is_parallel, is_cursor, has_scalar_function, has_table_variable, is_many_to_many, no_join_predicate, "
+         "spills_to_tempdb, no_column_statistics")
 
 
 @reg("qs08_plan_features", PL + f"SELECT {FEATS} FROM p")
