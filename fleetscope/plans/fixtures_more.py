@@ -142,7 +142,8 @@ def f5_columns(spark, sf_dir):
         dtype = F.when(F.col("p_type") == k, F.lit(v)).otherwise(dtype)
     name = F.regexp_replace("p_name", " ", "_")
     return p.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
-                    F.col("p_brand").alias("table_name"), pk.alias("column_id"),
+                    # a table holds the parts of one brand and thousand, so tables grow in number, not in width
+                    F.concat("p_brand", F.lit("_"), F.floor(pk / 1000).cast("string")).alias("table_name"), pk.alias("column_id"),
                     F.when(pk % 7 == 0, F.concat(F.lit("is_"), name)).otherwise(F.concat(name, F.lit("_"), pk.cast("string")))
                     .alias("column_name"), dtype.alias("data_type"),
                     F.when(dtype.isin("varchar", "nvarchar", "char"), F.col("p_size") * 10).otherwise(F.lit(8)).cast("long")

@@ -229,8 +229,8 @@ def q_qs16(spark, sf_dir):
 
 
 COLS_SQL = """cols AS (
-  SELECT 'srv0' AS server_name, 'db' || CAST(p_partkey % 3 AS VARCHAR) AS database_name, p_brand AS table_name,
-         p_partkey AS column_id,
+  SELECT 'srv0' AS server_name, 'db' || CAST(p_partkey % 3 AS VARCHAR) AS database_name,
+         p_brand || '_' || CAST(p_partkey // 1000 AS VARCHAR) AS table_name, p_partkey AS column_id,
          CASE WHEN p_partkey % 7 = 0 THEN 'is_' || replace(p_name, ' ', '_')
               ELSE replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) END AS column_name,
          CASE p_type WHEN 'ECONOMY' THEN 'varchar' WHEN 'STANDARD' THEN 'int' WHEN 'PROMO' THEN 'nvarchar'
