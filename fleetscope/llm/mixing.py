@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm.common import cut
 
-WORDS = r"[^\x20\x09-\x0D]+"
+#: source tables of up to so many rows (about 60 bytes each) are broadcast
+FEW_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -162,25 +163,24 @@ def mix(docs: DataFrame, size: Column, weight_of=None, id_col: str = "doc_id", s
     goal = targets(sizes, weights, sum(sizes.values()) if total is None else total, max_repeat)
     spark = docs.sparkSession
     plan = spark.createDataFrame(
-        [(s, i, int(sizes[s]), float(goal[s]), goal[s] / sizes[s] if sizes[s] else 0.0, max(1, math.ceil(per[s][1] / block)))
+        [(s, i, int(sizes[s]), float(goal[s]), goal[s] / sizes[s] if sizes[s] else 0.0, max(1, math.ceil(per[s][1] / block)),
+          min(1.0, reserve / per[s][1]))
          for i, s in enumerate(names)],
-        "_s string, src int, source_size long, target double, c double, blocks int")
-    # one row per source; joined without a broadcast hint, so a long source list is shuffled
-    base = rows.join(plan, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
+        "_s string, src int, source_size long, target double, c double, blocks int, share double")
+    # one row per source, its number is known: a long source list is shuffled
+    base = rows.join(F.broadcast(plan) if len(names) <= FEW_SOURCES else plan, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
+    u = F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
     key = F.xxhash64("_id", "size", F.lit(seed))
     base = base.select("_id", "_src", "src", "size", "source_size", "target", F.floor("c").cast("int").alias("whole"),
                        (F.col("c") - F.floor("c")).alias("pi"), key.alias("key"),
-                       F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("blocks").cast("long")).cast("int").alias("block"))
+                       F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("blocks").cast("long")).cast("int").alias("block"), (u < F.col("share")).alias("_held"))
+    marked, base = base, base.drop("_held")
     schema = base.schema
     most = max((max(1, math.ceil(n / block)) for _, n in per.values()), default=1)
-    count = {i: per[s][1] for i, s in enumerate(names)}
-    waits = spark.createDataFrame([(i, min(1.0, reserve / n)) for i, n in count.items()], "_w int, _share double")
-    u = F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
     held = None
     if most > 1:
-        marked = base.join(waits, F.col("src") == F.col("_w")).withColumn("_held", u < F.col("_share"))
-        held = marked.where("_held").select(*schema.names).withColumn("block", F.lit(0))
-        base = marked.where("NOT _held").select(*schema.names)
+        held = marked.where("_held").drop("_held").withColumn("block", F.lit(0))
+        base = marked.where("NOT _held").drop("_held")
     done, left, level = None, base, 0
     while True:
         last = most <= 1
