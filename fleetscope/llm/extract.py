@@ -1,7 +1,8 @@
 """Main text of web pages: nearest-URL page differencing on top of the page structure.
 
 Pages are ordered by host and URL path with one range exchange; neighbours of the same host are
-paired, and each page takes the neighbour with the longer common path.  Pages become lines (one a
+paired, and each page takes the neighbour with the longer common path.  A range gets the pages that
+adjoin it from the other ranges (two at most), so the text does not depend on where ranges end.  Pages become lines (one a
 block) before the exchange.  The lines of a pair are aligned by longest common subsequence and shared lines, the
 furniture that the host repeats from page to page, are deleted.
 
@@ -11,19 +12,23 @@ article or main element a shared line is only deleted if it reads like furniture
 closing punctuation, no heading), for articles rightly quote and copy each other.  A neighbour that shares
 nearly all lines is a copy of the page and proves nothing about its lines.
 
-Null or empty pages give an empty text.  A page whose host has no other page in its range keeps its
+Null or empty pages give an empty text.  A page whose host has no other page keeps its
 lines.  Null URLs form one host of their own.  Repeated rows are kept.  Extra columns are not passed on.
 """
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.llm.common import CHUNK_BYTES, cut
+
 #: Elements (fixed values of the markup language).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
@@ -198,65 +203,152 @@ def _place(url: str | None) -> tuple[str, str]:
 
 
 def _to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as lines (joined by line ends, which no line holds; compressed for the exchange) and their flags, with host and path."""
+    """Pages as lines (joined by line ends, which no line holds; compressed for the exchange) and their flags, with host, path and a digest of the lines."""
     import zstandard
 
     small = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        host, path, text, flags = [], [], [], []
+        host, path, digest, text, flags = [], [], [], [], []
         for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             place = _place(url)
             lines = lines_of(page)
+            joined = "\n".join(t for t, _, _ in lines).encode("utf-8", "replace")
             host.append(place[0])
             path.append(place[1])
-            text.append(small.compress("\n".join(t for t, _, _ in lines).encode("utf-8", "replace")))
+            digest.append(hashlib.blake2b(joined, digest_size=16).digest())
+            text.append(small.compress(joined))
             flags.append(bytes(k + 2 * h for _, k, h in lines))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(text, pa.binary()), pa.array(flags, pa.binary())],
-            ["_id", "url", "host", "path", "text", "flags"])
-
-
-def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages in order of host and path; each meets the page before and after it of the same host."""
-    import zstandard
+            [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(digest, pa.binary()), pa.array(text, pa.binary()),
+             pa.array(flags, pa.binary())], ["_id", "url", *PAGE])
 
-    whole = zstandard.ZstdDecompressor()
-    before = now = None
 
-    def done(prev, cur, nxt):
-        sides = [x for x in (prev, nxt) if x is not None and x["host"] == cur["host"]]
-        sides.sort(key=lambda x: -_common(x["path"], cur["path"]))
-        return cur["id"], cur["url"], main_text(cur["lines"], [x["lines"] for x in sides])
+PAGE = ["host", "path", "digest", "text", "flags"]
+PAGE_TYPES = "host string, path string, digest binary, text binary, flags binary"
+#: pages at the ends of a range: the first, the first with other lines than it, the last, the last with other lines than it
+FIRST, SECOND, LAST, OTHER = range(4)
 
-    def batch(rows, kind):
-        ids, urls, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["_id", "url", "text"])
 
-    rows, kind = [], None
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The at most four pages of a range that adjoining ranges may need; pages without lines do not count, and pairs are of one host."""
+    part, got = TaskContext.get().partitionId(), [None] * 4
     for b in batches:
-        kind = b.column(0).type
-        for key, url, host, path, text, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            lines = [(t, bool(f & 1), bool(f & 2)) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)] if flags else []
-            nxt = {"id": key, "url": url, "host": host, "path": path, "lines": lines}
+        for r in zip(*(b.column(c).to_pylist() for c in PAGE), strict=True):
+            if not r[4]:
+                continue
+            if got[FIRST] is None:
+                got[FIRST] = r
+            elif got[SECOND] is None and r[0] == got[FIRST][0] and r[2] != got[FIRST][2]:
+                got[SECOND] = r
+            last = got[LAST]
+            if last is None or last[0] != r[0]:
+                got[OTHER] = None
+            elif last[2] != r[2]:
+                got[OTHER] = last
+            got[LAST] = r
+    rows = [(part, slot, *r) for slot, r in enumerate(got) if r is not None]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+            pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "slot", *PAGE])
+
+
+def _carried(ends: list[tuple[int, int, str, bytes]]) -> dict[int, tuple]:
+    """Per range: the places (range, slot) of the nearest pages with other lines before its first and after its last page, of the same host."""
+    by: dict[int, dict[int, tuple[str, bytes]]] = {}
+    for part, slot, host, digest in ends:
+        by.setdefault(part, {})[slot] = host, digest
+
+    def walk(parts, near, far, other):
+        got, at, page, differs = {}, None, None, None
+        for p in parts:
+            e = by[p]
+            came = None
+            if page is not None and page[0] == e[near][0]:
+                came = at if page[1] != e[near][1] else differs
+            got[p] = came
+            # without two kinds of pages in its last host, a range of one host passes on what it got
+            differs = (p, other) if other in e else came if e[far][0] == e[near][0] else None
+            at, page = (p, far), e[far]
+        return got
+
+    before, after = walk(sorted(by), FIRST, LAST, OTHER), walk(sorted(by, reverse=True), LAST, FIRST, SECOND)
+    return {p: (before[p], after[p]) for p in by}
+
+
+def _pair(sent: dict[int, tuple]):
+    """Pages in order of host and path; each meets the nearest pages with other lines before and after it, of the same host."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor()
+        kind = None
+
+        def lines(text, flags):
+            return [(t, bool(f & 1), bool(f & 2)) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)]
+
+        def texts():
+            nonlocal kind
+            before, after = sent.get(TaskContext.get().partitionId(), (None, None))
+            held: list[tuple] = []  # ids, urls, paths and flags of pages with the lines of ``now``
+            now = None
+
+            def settle(nxt):
+                sides = [(x, lines(x[3], x[4])) for x in (before, nxt) if x is not None]
+                known: dict[tuple, str] = {}
+                for key, url, path, flags in held:
+                    near = sorted(sides, key=lambda x: -_common(x[0][1], path))
+                    which = flags, near[0][0] is before if near else None
+                    if which not in known:
+                        known[which] = main_text(lines(now[3], flags), [x for _, x in near])
+                    yield key, url, known[which]
+
+            for b in batches:
+                kind = b.column(0).type
+                for key, url, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if not r[4]:
+                        yield key, url, ""
+                        continue
+                    if now is None or now[0] != r[0] or now[2] != r[2]:
+                        if now is not None:
+                            yield from settle(r if r[0] == now[0] else None)
+                            before = (*now[:1], held[-1][2], *now[2:]) if r[0] == now[0] else None
+                        held, now = [], r
+                    held.append((key, url, r[1], r[4]))
             if now is not None:
-                rows.append(done(before, now, nxt))
-            before, now = now, nxt
+                yield from settle(after)
+
+        rows, size = [], 0
+
+        def batch():
+            ids, urls, out = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(urls, pa.string()), pa.array(out, pa.string())], ["_id", "url", "text"])
+
+        for row in texts():
+            rows.append(row)
+            size += len(row[2])
+            if size > CHUNK_BYTES or len(rows) >= 10_000:
+                yield batch()
+                rows, size = [], 0
         if rows:
-            yield batch(rows, kind)
-            rows = []
-    if now is not None:
-        yield batch([done(before, now, None)], kind)
+            yield batch()
+
+    return run
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None) -> DataFrame:
-    """Per row: id, url, text."""
+    """Per row: id, url, text.  The text does not depend on ``parts``."""
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("page"))
     kind = src.schema[0].dataType.simpleString()
-    src = src.mapInArrow(_to_lines, f"_id {kind}, url string, host string, path string, text binary, flags binary")
+    src = src.mapInArrow(_to_lines, f"_id {kind}, url string, {PAGE_TYPES}")
     parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = src.repartitionByRange(parts, "host", "path", "_id").sortWithinPartitions("host", "path", "_id")
-    out = dealt.mapInArrow(_pair, f"_id {kind}, url string, text string")
+    dealt = cut(src.repartitionByRange(parts, "host", "path", "_id").sortWithinPartitions("host", "path", "_id"))
+    ends = cut(dealt.mapInArrow(_ends, f"part int, slot int, {PAGE_TYPES}"))
+    wanted = _carried([tuple(r) for r in ends.select("part", "slot", "host", "digest").collect()])  # at most four a range
+    use = {4 * at[0] + at[1] for two in wanted.values() for at in two if at is not None}
+    rows = {(r["part"], r["slot"]): tuple(r)[2:] for r in ends.where((F.col("part") * 4 + F.col("slot")).isin(sorted(use))).collect()} if use else {}
+    sent = {p: tuple(rows.get(at) for at in two) for p, two in wanted.items()}
+    out = dealt.mapInArrow(_pair(sent), f"_id {kind}, url string, text string")
     return out.select(F.col("_id").alias(id_col), F.col("url").alias(url_col), "text")
 
 

@@ -221,6 +221,19 @@ def test_pages(spark):
     assert extract.extract(frame.limit(0)).collect() == []
 
 
+def test_pages_meet_across_ranges(spark):
+    """Neighbours in other ranges, past empty pages, copies and empty ranges, give the same text as one range."""
+    soup = "<div>Shared banner line</div><div>Own text {0}.</div><div>More of {0}.</div><div>Last of {0}.</div><div>Shared foot line</div>"
+    rows = [(i, f"http://b.org/y/{i}", PAGE.format(soup.format(i))) for i in range(2)]
+    rows += [(10 + i, f"http://c.org/{i:02}", PAGE.format(soup.format(7 if 2 <= i < 9 else i)) if i != 5 else None) for i in range(12)]
+    rows += [(30, "http://d.org/1", PAGE.format(soup.format(30)))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r["page_id"]: r["text"] for r in extract.extract(frame, parts=n).collect()} for n in (1, 60))
+    assert many == one
+    assert {k: one[k] for k in (0, 1)} == {k: f"Own text {k}.\nMore of {k}.\nLast of {k}." for k in (0, 1)}
+    assert one[14] == "Own text 7.\nMore of 7.\nLast of 7." and one[15] == "" and "Shared foot line" in one[30]
+
+
 def test_longest_common_subsequence_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(60):
