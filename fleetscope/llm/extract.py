@@ -9,8 +9,10 @@ furniture that the host repeats from page to page, are deleted.
 Structure decides where the page states it: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments (by element or by class, id or role) are no lines at all; inside an
 article or main element a shared line is only deleted if it reads like furniture (few words, no
-closing punctuation, no heading), for articles rightly quote and copy each other.  A neighbour that shares
-nearly all lines is a copy of the page and proves nothing about its lines.
+closing punctuation, no heading), for articles rightly quote and copy each other.  Pages whose lines are
+all equal are copies and prove nothing about each other: each meets the nearest pages with other lines, and
+the second of them if it shares no line with the first.  Where the first shares nearly all lines (a near copy, or
+much furniture and little text), only lines that both have are deleted; a single such neighbour decides alone.
 
 Null or empty pages give an empty text.  A page whose host has no other page keeps its
 lines.  Null URLs form one host of their own.  Repeated rows are kept.  Extra columns are not passed on.
@@ -174,13 +176,11 @@ def main_text(lines: list[tuple[str, bool, bool]], others: list[list[tuple[str,
     """Text of a page given its lines and those of its neighbours, the nearest first."""
     text = [t for t, _, _ in lines]
     stated = any(k for _, k, _ in lines)
-    drop: set[int] = set()
-    for other in others:
-        both = shared(text, [t for t, _, _ in other])
-        if len(both) > 0.8 * max(len(text), len(other)):  # a copy of the page
-            continue
-        drop = {i for i in both if not lines[i][1] or (not lines[i][2] and _furniture_like(text[i]))}
-        break
+    met = [(len(other), both) for other in others if (both := shared(text, [t for t, _, _ in other]))]
+    both = met[0][1] if met else set()
+    if len(met) > 1 and len(both) > 0.8 * max(len(text), met[0][0]):
+        both = both & met[1][1]  # nearly the same page: its own lines may be shared too, so both neighbours must have a line
+    drop = {i for i in both if not lines[i][1] or (not lines[i][2] and _furniture_like(text[i]))}
     kept = [t for i, (t, keep, _) in enumerate(lines) if i not in drop and (keep or not stated)]
     return "\n".join(kept)
 

@@ -234,6 +234,21 @@ def test_pages_meet_across_ranges(spark):
     assert one[14] == "Own text 7.\nMore of 7.\nLast of 7." and one[15] == "" and "Shared foot line" in one[30]
 
 
+def test_pages_with_much_furniture_copies_and_empty_neighbours(spark):
+    menu = "".join(f"<div>Menu entry {i}</div>" for i in range(20))
+    soup = "<html><body>" + menu + "<div>Own text {0}.</div><div>More of {0}.</div><div>Last of {0}.</div></body></html>"
+    rows = [(i, f"http://b.org/y/{i}", soup.format(i)) for i in range(3)]
+    rows += [(10 + i, f"http://c.org/{i}", soup.format(5 if i < 4 else 6)) for i in range(5)]  # four copies and another page
+    rows += [(20, "http://d.org/a/1", soup.format(20)), (21, "http://d.org/a/2", ""), (22, "http://d.org/b", soup.format(22))]
+    rows += [(30, "http://e.org/a/1", soup.format(30)), (31, "http://e.org/a/2", "<div>Nothing alike.</div>"), (29, "http://e.org/0", soup.format(29))]
+    # near copies: what the page of its own shares with one of them stays, for another page tells the menu
+    rows += [(40, "http://f.org/a", soup.format(40)), (41, "http://f.org/b", soup.format(41)), (42, "http://f.org/c", soup.format(41).replace("Last", "End"))]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = {i: i for i in (0, 1, 2, 20, 22, 30, 29, 41)} | {10: 5, 11: 5, 12: 5, 13: 5, 14: 6}
+    assert {k: got[k] for k in own} == {k: f"Own text {n}.\nMore of {n}.\nLast of {n}." for k, n in own.items()}
+    assert got[21] == "" and got[31] == "Nothing alike."
+
+
 def test_longest_common_subsequence_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(60):
