@@ -7,7 +7,9 @@ block) before the exchange.  The lines of a pair are aligned by longest common s
 furniture that the host repeats from page to page, are deleted.
 
 Structure decides where the page states it: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments (by element or by class, id or role) are no lines at all; inside an
+scripts, styles and comments (by element or by class, id or role) are no lines at all, nor is what the attributes
+hidden, aria-hidden or style (display:none) hide; a class, id or role drops no article or main element that it
+holds (one about comments or related pages only if the page has another).  Inside an
 article or main element a shared line is only deleted if it reads like furniture (few words, no
 closing punctuation, no heading), for articles rightly quote and copy each other.  Pages whose lines are
 all equal are copies and prove nothing about each other: each meets the nearest pages with other lines, and
@@ -45,25 +47,52 @@ widget toolbar pagination pager skip complementary contentinfo search""".split()
 KEEP = frozenset(("article", "main"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_UNFINISHED = re.compile(r"</?[A-Za-z]")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: Words of wrappers that rightly hold article elements of others.
+OTHERS = frozenset("comment comments reply replies disqus respond related recommended".split())
+#: Class, id, role or itemprop of an article element that is a comment.
+_COMMENT = re.compile(r"(?:(?:div|li|user|reader|child|nested)[-_]+)?(?:comment|reply)(?:[-_]+(?:body|item|content|entry|text|\d+))?", re.I)
+#: Why an element drops what it holds: stated for good, by a word that an article or main element inside overrules, by a word of OTHERS.
+STATED, WORD, OTHER_WORD = 1, 2, 3
 
 
-def _marked(name: str, attrs: str) -> bool:
+def _marked(name: str, attrs: str) -> int:
     if not attrs or attrs.isspace():
-        return False
-    if any(w in MARKS for v in _ATTR.findall(attrs) for w in _WORDS.findall(v.lower())):
-        return name not in ("html", "body", "article", "main")
-    return bool(_HIDDEN.search(attrs))
+        return 0
+    word = 0
+    for key, value in _ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'").strip()
+        if key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NO_DISPLAY.search(value):
+            return STATED
+        if name == "article" and key in ("class", "id", "role", "itemprop") and any(_COMMENT.fullmatch(v) for v in value.split()):
+            return STATED
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main"):
+            words = set(_WORDS.findall(value.lower()))
+            if words & OTHERS:
+                word = OTHER_WORD
+            elif words & MARKS:
+                word = word or WORD
+    return word
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     """Blocks outside stated furniture, in page order: (text, inside article or main, heading)."""
+    out, lost = _parse(page, (WORD,))
+    if lost and not any(k for _, k, _ in out):
+        out, _ = _parse(page, (WORD, OTHER_WORD))  # the only article stands in a wrapper with such a word
+    return out
+
+
+def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, bool, bool]], bool]:
+    """Lines, and whether an article or main element was dropped for a word; drops for reasons of ``soft`` end at an article or main element."""
     out: list[tuple[str, bool, bool]] = []
+    lost = False
     if not page:
-        return out
-    stack: list[tuple[str, bool]] = []  # open elements and whether they drop what they hold
+        return out, lost
+    stack: list[tuple[str, int]] = []  # open elements and why they drop what they hold
     dropping = inside = heading = 0
     parts: list[str] = []
 
@@ -77,7 +106,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     def pop():
         nonlocal dropping, inside, heading
         name, drops = stack.pop()
-        dropping -= drops
+        dropping -= drops > 0
         inside -= name in KEEP
         heading -= name in ("h1", "h2", "h3")
 
@@ -120,18 +149,24 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
             pos = end.end() if end else size
             continue
-        drops = name in FURNITURE or _marked(name, m[3])
+        drops = STATED if name in FURNITURE else _marked(name, m[3])
         if name == "header" and inside:
-            drops = False  # an article's own heading
+            drops = 0  # an article's own heading
+        if name in KEEP and dropping and not drops:
+            if not any(d and d not in soft for _, d in stack):
+                stack = [(n, 0) for n, _ in stack]
+                dropping = 0
+            elif not any(d == STATED for _, d in stack):
+                lost = True
         stack.append((name, drops))
-        dropping += drops
+        dropping += drops > 0
         inside += name in KEEP
         heading += name in ("h1", "h2", "h3")
     if pos < size and not dropping:
-        tail = page[pos:]
-        parts.append(tail if "<" not in tail else tail[:tail.index("<")])
+        cut_off = _UNFINISHED.search(page, pos)
+        parts.append(page[pos:cut_off.start()] if cut_off else page[pos:])
     flush()
-    return out
+    return out, lost
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:

@@ -249,6 +249,22 @@ def test_pages_with_much_furniture_copies_and_empty_neighbours(spark):
     assert got[21] == "" and got[31] == "Nothing alike."
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<body style="overflow-x:hidden"><p>Some text.</p></body>', ["Some text."]),
+    ('<html class="overflow-hidden"><body class=hidden><div class="overflow-hidden">Some text.</div></body></html>', ["Some text."]),
+    ('<p>See <a href="/hidden-gems" title="display:none">these gems</a>.</p>', ["See these gems."]),
+    ('<p hidden>a</p><p aria-hidden="true">b</p><p style="color:red; DISPLAY : none">c</p><p HIDDEN="">d</p><p aria-hidden=false>e</p>', ["e"]),
+    ('<div class="container has-sidebar"><p>lead</p><article><p>Text.</p><div class="share">s</div></article></div>', ["Text."]),
+    ('<article><p>Text.</p></article><div class="related"><article>Other</article></div><div id="comments"><article>Me too</article></div>', ["Text."]),
+    ('<div class="post comments-open"><article>Text.</article></div>', ["Text."]),
+    ('<article class="post has-comments">Text.<article class="comment">Me too</article></article><article id="div-comment-7">x</article>', ["Text."]),
+    ('<div hidden><main>x</main></div><nav class="menu"><article>y</article></nav>z', ["z"]),
+    ("5 < 6 and more", ["5 < 6 and more"]), ("<p>a</p>1 < 2 <- 3", ["a", "1 < 2 <- 3"]), ("<p>a</p>rest <b class='x", ["a", "rest"]),
+])
+def test_page_attributes_and_literal_signs(page, want):
+    assert [t for t, *_ in extract.lines_of(page)] == want
+
+
 def test_longest_common_subsequence_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(60):
