@@ -9,9 +9,9 @@ furniture that the host repeats from page to page, are deleted.
 Structure decides where the page states it: menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments (by element or by class, id or role) are no lines at all, nor is what the attributes
 hidden, aria-hidden or style (display:none) hide; a class, id or role drops no article or main element that it
-holds (one about comments or related pages only if the page has another).  Inside an
-article or main element a shared line is only deleted if it reads like furniture (few words, no
-closing punctuation, no heading), for articles rightly quote and copy each other.  Pages whose lines are
+holds (one about comments or related pages only if the page has another).  The lines inside
+article or main elements are the text of a page that has them, and none is deleted, for articles rightly
+quote and copy each other; differencing decides on the other pages.  Pages whose lines are
 all equal are copies and prove nothing about each other: each meets the nearest pages with other lines, and
 the second of them if it shares no line with the first.  Where the first shares nearly all lines (a near copy, or
 much furniture and little text), only lines that both have are deleted; a single such neighbour decides alone.
@@ -78,37 +78,36 @@ def _marked(name: str, attrs: str) -> int:
     return word
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
-    """Blocks outside stated furniture, in page order: (text, inside article or main, heading)."""
+def lines_of(page: str | None) -> list[tuple[str, bool]]:
+    """Blocks outside stated furniture, in page order: (text, inside article or main)."""
     out, lost = _parse(page, (WORD,))
-    if lost and not any(k for _, k, _ in out):
+    if lost and not any(k for _, k in out):
         out, _ = _parse(page, (WORD, OTHER_WORD))  # the only article stands in a wrapper with such a word
     return out
 
 
-def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, bool, bool]], bool]:
+def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, bool]], bool]:
     """Lines, and whether an article or main element was dropped for a word; drops for reasons of ``soft`` end at an article or main element."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool]] = []
     lost = False
     if not page:
         return out, lost
     stack: list[tuple[str, int]] = []  # open elements and why they drop what they hold
-    dropping = inside = heading = 0
+    dropping = inside = 0
     parts: list[str] = []
 
     def flush():
         if parts:
             t = " ".join(html.unescape("".join(parts)).split())
             if t:
-                out.append((t, inside > 0, heading > 0))
+                out.append((t, inside > 0))
             parts.clear()
 
     def pop():
-        nonlocal dropping, inside, heading
+        nonlocal dropping, inside
         name, drops = stack.pop()
         dropping -= drops > 0
         inside -= name in KEEP
-        heading -= name in ("h1", "h2", "h3")
 
     pos, size = 0, len(page)
     while pos < size:
@@ -161,7 +160,6 @@ def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, boo
         stack.append((name, drops))
         dropping += drops > 0
         inside += name in KEEP
-        heading += name in ("h1", "h2", "h3")
     if pos < size and not dropping:
         cut_off = _UNFINISHED.search(page, pos)
         parts.append(page[pos:cut_off.start()] if cut_off else page[pos:])
@@ -203,21 +201,16 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def _furniture_like(t: str) -> bool:
-    return len(t.split()) <= 8 and t[-1] not in ".!?…:;,\"»”)|*%$#&"
-
-
-def main_text(lines: list[tuple[str, bool, bool]], others: list[list[tuple[str, bool, bool]]]) -> str:
+def main_text(lines: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> str:
     """Text of a page given its lines and those of its neighbours, the nearest first."""
-    text = [t for t, _, _ in lines]
-    stated = any(k for _, k, _ in lines)
-    met = [(len(other), both) for other in others if (both := shared(text, [t for t, _, _ in other]))]
-    both = met[0][1] if met else set()
-    if len(met) > 1 and len(both) > 0.8 * max(len(text), met[0][0]):
-        both = both & met[1][1]  # nearly the same page: its own lines may be shared too, so both neighbours must have a line
-    drop = {i for i in both if not lines[i][1] or (not lines[i][2] and _furniture_like(text[i]))}
-    kept = [t for i, (t, keep, _) in enumerate(lines) if i not in drop and (keep or not stated)]
-    return "\n".join(kept)
+    if any(k for _, k in lines):
+        return "\n".join(t for t, k in lines if k)
+    text = [t for t, _ in lines]
+    met = [(len(other), both) for other in others if (both := shared(text, [t for t, _ in other]))]
+    drop = met[0][1] if met else set()
+    if len(met) > 1 and len(drop) > 0.8 * max(len(text), met[0][0]):
+        drop = drop & met[1][1]  # nearly the same page: its own lines may be shared too, so both neighbours must have a line
+    return "\n".join(t for i, t in enumerate(text) if i not in drop)
 
 
 def _common(a: str, b: str) -> int:
@@ -247,12 +240,12 @@ def _to_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             place = _place(url)
             lines = lines_of(page)
-            joined = "\n".join(t for t, _, _ in lines).encode("utf-8", "replace")
+            joined = "\n".join(t for t, _ in lines).encode("utf-8", "replace")
             host.append(place[0])
             path.append(place[1])
             digest.append(hashlib.blake2b(joined, digest_size=16).digest())
             text.append(small.compress(joined))
-            flags.append(bytes(k + 2 * h for _, k, h in lines))
+            flags.append(bytes(k for _, k in lines))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(digest, pa.binary()), pa.array(text, pa.binary()),
              pa.array(flags, pa.binary())], ["_id", "url", *PAGE])
@@ -319,7 +312,7 @@ def _pair(sent: dict[int, tuple]):
         kind = None
 
         def lines(text, flags):
-            return [(t, bool(f & 1), bool(f & 2)) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)]
+            return [(t, f > 0) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)]
 
         def texts():
             nonlocal kind

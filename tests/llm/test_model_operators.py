@@ -265,6 +265,13 @@ def test_page_attributes_and_literal_signs(page, want):
     assert [t for t, *_ in extract.lines_of(page)] == want
 
 
+def test_articles_keep_lines_that_neighbours_share(spark):
+    art = "<div>Menu</div><article><h1>Title {0}</h1><ul><li>2 eggs</li></ul><table><tr><th>Size<td>12<td>Yes</table><pre>x = 1</pre><div>O wind</div></article>"
+    frame = spark.createDataFrame([(i, f"http://b.org/{i}", art.format(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract.extract(frame).collect()} == {
+        i: f"Title {i}\n2 eggs\nSize\n12\nYes\nx = 1\nO wind" for i in range(3)}
+
+
 def test_longest_common_subsequence_equals_dynamic_programming():
     rng = random.Random(6)
     for _ in range(60):
