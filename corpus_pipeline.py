@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.llm import decontaminate, mixing, sharding, simhash, toxicity
@@ -22,26 +22,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Digest of id and text: tells rows with a null id, or different texts under one id, apart; rows that repeat both share it."""
+    who = F.when(F.col("doc_id").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("doc_id").cast("string")))
+    return F.unhex(F.md5(F.concat(who, F.lit("\n"), F.coalesce("text", F.lit("")))))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per SimHash component: the smallest id (one of the rows that repeat it)."""
-    found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """One row per SimHash component: the smallest id (a null id only if there is no other), then the smallest key."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    found = simhash.near_duplicates(keyed.select(who.alias("_who"), "text"), id_col="_who", shingle=3, max_bits=2)
+    keep = found.select(F.col("component_id.key").alias("_key")).distinct()
+    return keyed.dropDuplicates(["_key"]).join(keep, "_key", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark window contaminates."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    keyed = docs.withColumn("_key", row_key(docs))
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    bad = found.where("contaminated").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as the mix takes."""
-    plan = mixing.mix(docs, mixing.word_count(F.col("text")), max_repeat=3).where("copies > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    """Documents in as many copies as the mix takes; no two rows repeat id and text, the near-copy stage sees to that."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    plan = mixing.mix(keyed, mixing.word_count(F.col("text")), id_col="_key", max_repeat=3).where("copies > 0").select(
+        "_key", F.col("copies").alias("_mix_copies"))
+    out = keyed.join(plan, "_key")
     return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
