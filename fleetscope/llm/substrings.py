@@ -329,6 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = cut(live)
     del sent
     release(spark)
+    live = live.dropDuplicates(["_i", "_t"])  # rows that repeat id and text have equal values
     near = rows.join(live, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", "_text", "vals")
     sent = near.mapInArrow(_send_windows(window, anchor, buckets, buckets), SENT)
     gone = sent.repartition("bucket").sortWithinPartitions("bucket", "batch", "head").mapInArrow(_repeated_windows, REPLY)
@@ -336,6 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = cut(gone)
     del sent, near, live
     release(spark)
+    gone = gone.dropDuplicates(["_i", "_t"])
     out = rows.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t")), "left").select("_id", "_text", "vals")
     out = out.mapInArrow(_remove(window), "_id long, n_words long, n_removed long, kept string, repeats array<struct<start:int,end:int>>")
     return out.withColumnRenamed("_id", id_col)

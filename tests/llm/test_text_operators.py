@@ -48,6 +48,13 @@ def test_substrings_many_batches(odd, monkeypatch):
         [(r[0], r[1]) for r in odd_rows()], 20)
 
 
+def test_substrings_repeated_rows_that_share_a_passage(spark):
+    shared = prose(99, 60)
+    rows = [(1, prose(1, 30) + " " + shared), *[(2, shared + " " + prose(2, 40))] * 3, *[(3, shared)] * 2, (2, prose(4, 20) + " " + shared)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == brute_repeats(rows, 50)
+
+
 def test_substrings_empty_table(nothing):
     assert substrings.remove_repeats(nothing).collect() == []
 
