@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONGEST = 18
 WINDOW = 48
+#: no address is longer, so a window is widened by no more on a side (fixed value)
+WIDEST = 320
 
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"@|[(\[] ?at ?[)\]]")
@@ -97,7 +100,7 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 def windows(t: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, widened to whole words, merged, of bounded length."""
+    """Stretches around digits and at-signs, merged up to a bounded length, then widened to the next white space on both sides."""
     spots = [(m.start(), m.end()) for m in re.finditer(r"[0-9][0-9 ().+-]{6,}[0-9]|[0-9]+(?:[.,][0-9]+){2,}", t)]
     spots += [(m.start(), m.end()) for m in _AT.finditer(t)]
     out: list[tuple[int, int]] = []
@@ -107,7 +110,21 @@ def windows(t: str) -> list[tuple[int, int]]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
             out.append((s, e))
-    return out
+    return [_widened(t, s, e) for s, e in out]
+
+
+def _widened(t: str, s: int, e: int) -> tuple[int, int]:
+    low, high = max(0, s - WIDEST), min(len(t), e + WIDEST)
+    while s > low and not t[s - 1].isspace():
+        s -= 1
+    while e < high and not t[e].isspace():
+        e += 1
+    return s, e
+
+
+def around(t: str, s: int, e: int) -> tuple[str, str]:
+    """The character before a window and the two after it (a blank at the ends of the text)."""
+    return t[s - 1] if s else " ", t[e:e + 2] or " "
 
 
 N_FEATURES = 34
@@ -149,8 +166,8 @@ def span_features(s: str, left: str, right: str) -> np.ndarray:
     return f
 
 
-def candidates(t: str) -> tuple[list[int], dict[tuple[int, int], np.ndarray]]:
-    """Token bounds of a window and the features of the segments worth a look, by (first, last + 1) token."""
+def candidates(t: str, left: str = " ", right: str = " ") -> tuple[list[int], dict[tuple[int, int], np.ndarray]]:
+    """Token bounds of a window that stands between ``left`` and ``right``, and the features of the segments worth a look, by (first, last + 1) token."""
     bounds = [m.start() for m in _TOKEN.finditer(t)] + [len(t)]
     n = len(bounds) - 1
     digits = np.concatenate(([0], np.cumsum([len(_only_digits(t[bounds[i]:bounds[i + 1]])) for i in range(n)]))).tolist()
@@ -165,7 +182,7 @@ def candidates(t: str) -> tuple[list[int], dict[tuple[int, int], np.ndarray]]:
             nd = digits[j] - digits[i]
             if 7 <= nd <= 19 or ats[j] > ats[i] or (nd >= 4 and j - i >= 7):
                 s, e = bounds[i], bounds[j]
-                out[i, j] = span_features(t[s:e], t[s - 1] if s else " ", t[e:e + 2] or " ")
+                out[i, j] = span_features(t[s:e], t[s - 1] if s else left, (t[e:e + 2] + right)[:2])
     return bounds, out
 
 
@@ -205,9 +222,9 @@ def _backward(n: int, ending: dict) -> np.ndarray:
     return b
 
 
-def decode(t: str, w: np.ndarray, certain: float) -> list[tuple[int, int, int]]:
+def decode(t: str, w: np.ndarray, certain: float, left: str = " ", right: str = " ") -> list[tuple[int, int, int]]:
     """Best segmentation of a window; entities with a posterior of at least ``certain``."""
-    bounds, feats = candidates(t)
+    bounds, feats = candidates(t, left, right)
     if not feats:
         return []
     n = len(bounds) - 1
@@ -259,31 +276,37 @@ def respelled(t: str, spans: list[tuple[int, int, int]], rng: np.random.Generato
     return t[:x] + new + t[y:], [(p, q + by, z) if (p, q) == (x, y) else (p + by, q + by, z) if p >= y else (p, q, z) for p, q, z in spans]
 
 
-def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text, gold = [], []
-        for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = t or ""
-            spans = base_spans(t)
-            rng = np.random.default_rng(key & 0xFFFFFFFF)
-            for s, e in windows(t)[:8]:  # training only
-                inside = [(x - s, y - s, k) for x, y, k in spans if s <= x and y <= e]
-                text.append(t[s:e])
-                gold.append([v for g in inside for v in g])
-                other = respelled(t[s:e], inside, rng)
-                if other:
-                    text.append(other[0])
-                    gold.append([v for g in other[1] for v in g])
-        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(gold, pa.list_(pa.int32()))], ["t", "gold"])
-
-
-def train(examples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 4, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
-    """Weights [kind, feature] by stochastic gradient ascent of the log likelihood."""
+def _training_windows(per_document: int):
+    """Of each document the ``per_document`` windows of the smallest hashes, each with what stands around it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, gold, left, right = [], [], [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = t or ""
+                spans = base_spans(t)
+                rng = np.random.default_rng(key & 0xFFFFFFFF)
+                chosen = sorted(windows(t), key=lambda w, t=t, key=key: (zlib.crc32(f"{key} {w[0]} {t[w[0]:w[1]]}".encode("utf-8", "replace")), w))
+                for s, e in chosen[:per_document]:
+                    inside = [(x - s, y - s, k) for x, y, k in spans if s <= x and y <= e]
+                    for words, marks in filter(None, ((t[s:e], inside), respelled(t[s:e], inside, rng))):
+                        text.append(words)
+                        gold.append([v for g in marks for v in g])
+                        left.append(around(t, s, e)[0])
+                        right.append(around(t, s, e)[1])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(text, pa.string()), pa.array(gold, pa.list_(pa.int32())), pa.array(left, pa.string()), pa.array(right, pa.string())],
+                ["t", "gold", "before", "after"])
+
+    return run
+
+
+def train(examples: list[tuple], epochs: int = 4, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
+    """Weights [kind, feature] by stochastic gradient ascent of the log likelihood; examples are (window, spans, character before, characters after)."""
     w = np.zeros((len(KINDS), N_FEATURES))
     w[:, 0] = -2.0
     ready = []
-    for t, gold in examples:
-        bounds, feats = candidates(t)
+    for t, gold, left, right in examples:
+        bounds, feats = candidates(t, left, right)
         at = {p: i for i, p in enumerate(bounds)}
         segs = [(at.get(s), at.get(e), k) for s, e, k in gold]
         if feats and all((i, j) in feats for i, j, _ in segs):
@@ -306,16 +329,18 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], epochs: int =
     return w
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, most: int = 1500) -> np.ndarray:
-    """Weights from at most ``most`` windows of about ``sample`` documents that hold a digit or an at-sign."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, most: int = 1500,
+          per_document: int = 8) -> np.ndarray:
+    """Weights from at most ``most`` windows of about ``sample`` documents that hold a digit or an at-sign, ``per_document`` of each at most, all by hash."""
     use = docs.where(F.col(text_col).rlike("[0-9@]"))
     n = use.count()
     if not n:
         return np.zeros((len(KINDS), N_FEATURES))
     key = F.xxhash64(F.col(id_col), F.lit(7))
     picked = use.where(F.pmod(key, F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select(key.alias("key"), F.col(text_col).alias("_text"))
-    got = picked.mapInArrow(_training_windows, "t string, gold array<int>").distinct().orderBy(F.xxhash64("t"), "t").limit(most).collect()
-    return train([(r["t"], [tuple(r["gold"][i:i + 3]) for i in range(0, len(r["gold"]), 3)]) for r in got])
+    got = picked.mapInArrow(_training_windows(per_document), "t string, gold array<int>, before string, after string").distinct()
+    got = got.orderBy(F.xxhash64("t"), "t", "before", "after").limit(most).collect()
+    return train([(r["t"], [tuple(r["gold"][i:i + 3]) for i in range(0, len(r["gold"]), 3)], r["before"], r["after"]) for r in got])
 
 
 def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", certain: float = 0.9) -> DataFrame:
@@ -331,7 +356,7 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                 more = []
                 if _DIGIT.search(t) or _AT.search(t):
                     for s, e in windows(t):
-                        for x, y, k in decode(t[s:e], weights, certain):
+                        for x, y, k in decode(t[s:e], weights, certain, *around(t, s, e)):
                             x, y = x + s, y + s
                             if not any(x < q and p < y for p, q, _ in fixed) and not any(x < q and p < y for p, q, _ in more):
                                 more.append((x, y, k))

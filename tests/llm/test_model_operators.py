@@ -157,6 +157,29 @@ def test_pii_base_patterns_and_added_spans(spark, odd, nothing):
     assert pii.find(nothing, pii.learn(nothing)).collect() == []
 
 
+def test_pii_windows_hold_whole_words(spark):
+    rows = [(i, f"word {i} mail user{i}@host{i % 9}.example.com or call +49 30 12345{i:03} and pay 4111 1111 1111 1111 today", "en", "s") for i in range(150)]
+    long = "informatics.uni-heidelberg.de", "maximiliane.featherstonehaugh-cholmondeley"
+    rows += [(1000, f"write to jane (at) {long[0]} now", "en", "s"), (1001, f"write to {long[1]} (at) host3.example.com now", "en", "s")]
+    docs = make_docs(spark, rows)
+    got = {r["doc_id"]: r for r in pii.find(docs, pii.learn(docs)).collect()}
+    for i, want in ((1000, f"jane (at) {long[0]}"), (1001, f"{long[1]} (at) host3.example.com")):
+        text = dict(r[:2] for r in rows)[i]
+        assert want in [text[s["start"]:s["end"]] for s in got[i]["spans"]]
+    text = "x" * 500 + "@" + "y" * 500
+    (s, e), = pii.windows(text)
+    assert pii.around(text, s, e) == ("x", "yy") and e - s <= 2 * pii.WIDEST + pii.WINDOW + 1
+
+
+def test_pii_training_windows_come_from_the_whole_text(spark):
+    import pyarrow as pa
+    text = " ".join(f"item number{i} is user{i}@host.example.com and so on and so forth for a while until it ends here" for i in range(60))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["key", "_text"])
+    (got,) = pii._training_windows(8)(iter([batch]))
+    at = [text.index(t) for t in got.column(0).to_pylist() if t in text]
+    assert len(at) == 8 and max(at) > len(text) // 2
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((60, 24))
