@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,18 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def finite_vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix in double precision) of the non-empty lists of ``col`` without null or non-finite entries, by length."""
+    size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    odd = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
+    fine = (size > 0) & (odd[ends] == odd[ends - size])
+    for dim in np.unique(size[fine]):
+        rows = np.nonzero(fine & (size == dim))[0]
+        yield rows, flat[(ends - size)[rows][:, None] + np.arange(dim)]
+
+
 def parts_for(n_bytes: int, target: int = 64 << 20, least: int = 16) -> int:
     return max(least, math.ceil(n_bytes / target))
 

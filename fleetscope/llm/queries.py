@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fleetscope.llm import (decontaminate, embeddings, extract, langid, mixing, pii, sharding, simhash, substrings,
-                            toxicity)
+from fleetscope.llm import (bitslices, decontaminate, embeddings, extract, langid, mixing, pii, sharding, simhash, spelling,
+                            substrings, toxicity, whitening)
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_query,
@@ -16,6 +16,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_query,
     "op9_toxicity": toxicity.op9_query,
     "op10_decontaminate": decontaminate.op10_query,
+    "op11_spelling_variants": spelling.op11_query,
+    "op12_whitening": whitening.op12_query,
+    "op13_topk": bitslices.op13_query,
 }
 #: the others learn, draw or search iteratively: tests check them against brute force
-ORACLE = {"op1_substring_dedup": substrings.OP1_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+ORACLE = {
+    "op1_substring_dedup": substrings.OP1_SQL,
+    "op10_decontaminate": decontaminate.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op13_topk": bitslices.OP13_SQL,
+}
