@@ -183,16 +183,18 @@ def near_pairs(vocab: DataFrame, size: int, symbols: int | None = None, part_wor
     symbols = symbols or symbols_for(size)
     parts = max(int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_words))
     words = vocab.select("word", F.xxhash64("word").alias("number"), "n").repartition(parts, "word")
-    near = words.select("word", "number").mapInArrow(_neighbourhood(symbols), "key long, word string, number long")
-    target = words.select("word", "n").mapInArrow(_reduced(symbols), "key long, other string, other_n long")
-    # the reduced vocabulary of one partition is a small hash table; the neighbourhoods stream past it unsorted
-    met = near.repartition(parts, "key").join(target.repartition(parts, "key").hint("shuffle_hash"), "key").where(
-        F.col("word").isNull() | (F.levenshtein("word", "other", 1) == 1))
-    met = cut(met.select("word", "number", "other", "other_n"))
-    whole = met.where(F.col("word").isNotNull()).select("word", "other", "other_n")
-    long = met.where(F.col("word").isNull()).drop("word").join(
-        words.where(F.length("word") > SHORT).select("word", "number"), "number").where(F.levenshtein("word", "other", 1) == 1)
-    return whole.unionByName(long.select("word", "other", "other_n"))
+    target = words.select("word", "n").mapInArrow(_reduced(symbols), "key long, other string, other_n long").repartition(parts, "key")
+
+    def met(some: DataFrame) -> DataFrame:
+        # the reduced vocabulary of one partition is a small hash table; the neighbourhoods stream past it unsorted
+        near = some.select("word", "number").mapInArrow(_neighbourhood(symbols), "key long, word string, number long")
+        return near.repartition(parts, "key").join(target.hint("shuffle_hash"), "key")
+
+    one_edit = F.levenshtein("word", "other", 1) == 1
+    short, long = words.where(F.length("word") <= SHORT), words.where(F.length("word") > SHORT)
+    whole = met(short).where(one_edit).select("word", "other", "other_n")
+    looked_up = met(long).drop("word").join(long.select("word", "number"), "number").where(one_edit)
+    return whole.unionByName(looked_up.select("word", "other", "other_n"))
 
 
 def roots(forms: DataFrame, most: int) -> DataFrame:
