@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import datediff_boundary
+from ..session import ensure_checkpoint_dir
 from .findings import as_findings
 from .relational import row_number_in_key
 
@@ -83,18 +84,17 @@ def rpo_worst(backups: DataFrame) -> DataFrame:
         "rpo_worst_minutes", F.round(F.col("gap_seconds") / 60.0, 4))
 
 
-def with_full_segment(backups: DataFrame, *, rows_per_range: int | None = 1_000_000) -> DataFrame:
+def with_full_segment(backups: DataFrame, *, ranges: int | str | None = "ranges") -> DataFrame:
     """JN-8 as-of: attach the latest full backup at or before each row in LSN
     order (``seg_full_lsn``) by carrying the last full forward.  The carry
-    runs per ``(database, LSN range)`` with ranges sized from each database's
-    own LSN span and row count (:func:`~fleetscope.operators.relational.carry_last`),
-    so a database holding most of the history is not one task."""
+    runs per ``(database, LSN range)`` over ranges of equal depth
+    (:func:`~fleetscope.operators.relational.carry_last`), so a database holding most of the history is not one task."""
     from .relational import carry_last
 
     is_full = F.col("type") == "D"
     b = backups.withColumn("__full_lsn", F.when(is_full, F.col("last_lsn")))
     b = carry_last(b, by=DB, ts="last_lsn", tie=["backup_set_id"], value="__full_lsn", out="seg_full_lsn",
-                   bucket=rows_per_range)
+                   bucket=ranges)
     return b.drop("__full_lsn")
 
 
@@ -289,9 +289,11 @@ def restore_sequence(backups: DataFrame, stop_at) -> DataFrame:
     diff = before.filter(F.col("type") == "I").join(full, DB).filter(F.col("first_lsn") >= F.col("full_lsn")).groupBy(
         *DB).agg(F.max_by(F.struct(F.col("backup_set_id"), F.col("last_lsn")),
                           F.struct("backup_finish_date", "backup_set_id")).alias("d"))
+    # one row per database, used for the steps and to find the logs
+    ensure_checkpoint_dir(b.sparkSession)
     base = full.join(diff, DB, "left").select(
         *DB, "full_id", "full_lsn", F.col("d.backup_set_id").alias("diff_id"),
-        F.coalesce(F.col("d.last_lsn"), F.col("full_lsn")).alias("from_lsn"))
+        F.coalesce(F.col("d.last_lsn"), F.col("full_lsn")).alias("from_lsn")).checkpoint()
     logs = b.filter(F.col("type") == "L").join(base.select(*DB, "from_lsn"), DB).filter(
         F.col("first_lsn") >= F.col("from_lsn"))
     # stop at the first log that reaches stop_at
@@ -304,7 +306,7 @@ def restore_sequence(backups: DataFrame, stop_at) -> DataFrame:
                  *DB, F.col("diff_id").alias("backup_set_id"), F.lit("I").alias("type"),
                  F.col("from_lsn").alias("last_lsn")))
              .unionByName(logs.select(*DB, "backup_set_id", "type", "last_lsn")))
-    # numbered by value ranges of the log sequence number: a long chain is not sorted in one task
+    # numbered over ranges of equal depth: a long chain is not sorted in one task
     numbered = row_number_in_key(steps, by=DB, order="last_lsn", tie=["backup_set_id"])
     return numbered.withColumn("step", F.col("__rn").cast("long")).drop("__rn", "__n")
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType
 
 from ..sources.events import LOCK_KINDS, RESOURCE
 from .findings import as_findings
+from .relational import row_number_in_key
 
 EV = ["event_id", "event_ts"]
 
@@ -202,21 +203,16 @@ def special_participants(procs: DataFrame, edges: DataFrame) -> DataFrame:
                        server=None, database=None)
 
 
-def incident_report(procs: DataFrame, *, bucket: str = "hour") -> DataFrame:
+def incident_report(procs: DataFrame, *, events: DataFrame | None = None) -> DataFrame:
     """DL-13: incident number (dense rank of events by time, id) and
     participant ordinal within the incident, victim flag.
 
-    The dense rank is computed without a global window: events are ranked
-    inside their time ``bucket`` and offset by the number of events in
-    earlier buckets (a running sum over the small per-bucket count frame),
-    so no single task sorts all events."""
-    ev = procs.select(*EV).distinct().withColumn("__bk", F.date_trunc(bucket, "event_ts"))
-    per = ev.groupBy("__bk").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("offset", F.sum("n").over(
-        Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = ev.withColumn("r", F.dense_rank().over(Window.partitionBy("__bk").orderBy("event_ts", "event_id")))
-    inc = ranked.join(per, "__bk").select(
-        *EV, (F.coalesce(F.col("offset"), F.lit(0)) + F.col("r")).cast("long").alias("incident"))
+    The events are numbered over ranges of equal depth
+    (:func:`~fleetscope.operators.relational.row_number_in_key`), so no task sorts all events and a burst of
+    events inside one second is split like any other stretch.  ``events``: rows that name the same events (id and time),
+    such as the rows the processes were shredded from; they are numbered without parsing a document."""
+    ev = (procs if events is None else events).select(*EV).distinct()
+    inc = row_number_in_key(ev, by=[], order="event_ts", tie=["event_id"]).select(*EV, F.col("__rn").alias("incident"))
     w = Window.partitionBy("event_id").orderBy(F.col("is_victim").desc(), F.col("process_id"))
     p = procs.select(*EV, "process_id", "database_name", "login_name", "is_victim",
                      F.row_number().over(w).cast("long").alias("participant"))

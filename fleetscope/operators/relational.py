@@ -12,14 +12,40 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+
+def in_ranges(df: DataFrame, *, by: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """Rows dealt into ranges of equal depth, in ``(by, order)`` order: column ``__rng`` numbers the ranges, ``__salt``
+    is the last order column.
+
+    One range exchange over the key, the order columns and a row number, so a range is a stretch of rows, not of
+    values: a hot key, a burst inside one second and rows that tie are split as evenly as any others.  There are as
+    many ranges as shuffle partitions.  The dealt rows are checkpointed: what is computed from a range's rows and from
+    its summary sees the same ranges, and the input is evaluated for the exchange only."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("__salt", F.monotonically_increasing_id())
+    dealt = salted.repartitionByRange(n, *by, *order, "__salt")
+    return dealt.withColumn("__rng", F.spark_partition_id()).checkpoint()
+
+
+def _attach(rows: DataFrame, summary: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``cols`` of the summary row of each row's ``(by, __rng)``; null keys meet null keys."""
+    s = summary.select(F.col("__rng").alias("__s_rng"), *[F.col(c).alias(f"__s_{c}") for c in by], *cols)
+    on = F.col("__rng") == F.col("__s_rng")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    return rows.join(s, on, "left").drop("__s_rng", *[f"__s_{c}" for c in by])
+
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_ts: str, right_ts: str,
-              right_cols: Sequence[str], strict: bool = True, bucket: str | None = "day") -> DataFrame:
+              right_cols: Sequence[str], strict: bool = True, bucket: str | int | None = "ranges") -> DataFrame:
     """JN-8: for each left row the latest right row of the same ``by`` key with
     ``right_ts`` before (``strict``) or at ``left_ts`` -- the ``CROSS APPLY
     (TOP 1 ... ORDER BY ts DESC)`` pattern.  Both sides are unioned and one
     window per key carries the last right row forward (``last`` ignoring
-    nulls); no pairs are formed."""
+    nulls); no pairs are formed.  The windows run over ranges of equal depth (``bucket``: see :func:`carry_last`)."""
     b = list(by)
     rc = list(right_cols)
     lcols = [c for c in left.columns if c not in b]
@@ -69,54 +95,69 @@ def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str],
     current row (or strictly before it with ``exclusive``) -- ``LAST(...
     IGNORE NULLS)`` over a running frame.
 
-    With a time ``bucket`` (or, for a numeric order column, an integer target
-    of rows per range) the window is partitioned by ``(by, bucket)`` so a
-    hot key (a third of all rows) is spread over its buckets; rows with
-    nothing earlier in their bucket take the value carried out of the
-    previous non-empty buckets, computed on the small per-(key, bucket)
-    summary and attached by an equi-join."""
+    ``bucket``: ``"ranges"`` (or their number) deals the rows into ranges of equal depth
+    (:func:`in_ranges`), a time unit into calendar buckets, None keeps a key in one window.  The window then
+    runs per ``(by, range)``, so a hot key (a third of all rows) is spread over its ranges; rows with
+    nothing earlier in their range take the value carried out of the previous ranges, computed on the small
+    per-(key, range) summary and attached by an equi-join."""
     b = list(by)
     order = [F.col(ts), *[F.col(t) for t in tie]]
     frame_end = -1 if exclusive else Window.currentRow
     if bucket is None:
         w = Window.partitionBy(*b).orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    if isinstance(bucket, int):
-        # numeric order (e.g. log sequence numbers): equal-width ranges per key,
-        # sized from the key's own min/max/count so a range holds ~``bucket`` rows
-        st = df.groupBy(*b).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"), F.count(F.lit(1)).alias("__n"))
-        st = st.select(*b, "__lo", F.greatest((F.col("__hi") - F.col("__lo")).cast("double")
-                                              / F.greatest(F.ceil(F.col("__n") / F.lit(bucket)), F.lit(1)),
-                                              F.lit(1.0)).alias("__width"))
-        x = df.join(st, b, "left").withColumn(
-            "__bk", F.floor((F.col(ts) - F.col("__lo")) / F.col("__width"))).drop("__lo", "__width")
+    if isinstance(bucket, int) or bucket == "ranges":
+        x = in_ranges(df, by=b, order=[ts, *tie], ranges=bucket if isinstance(bucket, int) else None)
+        order.append(F.col("__salt"))
     else:
-        x = df.withColumn("__bk", F.date_trunc(bucket, F.col(ts)))
-    w = Window.partitionBy(*b, "__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+        x = df.withColumn("__rng", F.date_trunc(bucket, F.col(ts)))
+    w = Window.partitionBy(*b, "__rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)
+    # every (key, range) present gets a row, so ranges without a value inherit below
+    summ = x.groupBy(*b, "__rng").agg(
+        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__range_last"))
+    wb = Window.partitionBy(*b).orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*b, "__rng", F.last("__range_last", ignorenulls=True).over(wb).alias("__before"))
     x = x.withColumn("__local", F.last(value, ignorenulls=True).over(w))
-    # every (key, bucket) present gets a row, so empty buckets inherit below
-    summ = x.groupBy(*b, "__bk").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__bucket_last"))
-    wb = Window.partitionBy(*b).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*b, "__bk", F.last("__bucket_last", ignorenulls=True).over(wb).alias("__before"))
-    j = x.join(summ, [*b, "__bk"], "left")
-    # buckets without any value still need what came before them
-    return j.withColumn(out, F.coalesce(F.col("__local"), F.col("__before"))).drop("__bk", "__local", "__before")
+    j = _attach(x, summ, b, ["__before"])
+    return j.withColumn(out, F.coalesce(F.col("__local"), F.col("__before"))).drop("__rng", "__salt", "__local", "__before")
+
+
+def dyadic_cover(first: Column, past: Column, levels: int = 62) -> Column:
+    """The numbers ``first`` (included) to ``past`` (excluded) as an array of (level, node): node ``k`` of level ``l`` holds the
+    ``2**l`` numbers from ``k * 2**l`` on.  At most two nodes a level."""
+    def at(lev: Column) -> Column:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), lev)
+        lo = F.call_function("shiftright", first + one - 1, lev)
+        hi = F.call_function("shiftright", past, lev)
+        node = F.struct(lev.alias("level"), lo.alias("node"))
+        low = F.when((lo % 2 != 0) & (lo < hi), node)
+        high = F.when((hi % 2 != 0) & (lo + F.abs(lo % 2) < hi), F.struct(lev.alias("level"), (hi - 1).alias("node")))
+        return F.array(low, high)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at)), lambda x: x.isNotNull())
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, by: Sequence[str], point: str, start: str, end: str,
-               bucket: str = "day") -> DataFrame:
-    """JN-9: points inside ``[start, end)`` of an interval with the same
-    ``by`` key.  Intervals are exploded into the ``bucket`` units they
-    touch and points get their bucket, so the join is an equi-join on
-    ``(by, bucket)`` plus a range filter (no nested loop, no per-key pairs)."""
+               unit_seconds: int = 3600) -> DataFrame:
+    """JN-9: points inside ``[start, end)`` of an interval with the same ``by`` key.
+
+    Time is cut into units; an interval becomes the dyadic nodes that cover its units (at most two a level: 34 rows
+    for ten years of hours), a point its ancestors on those levels that some interval uses.  The join is an equi-join on
+    ``(by, level, node)`` plus the exact range filter.  Every point meets an interval in one node at most."""
     b = list(by)
-    iv = intervals.withColumn("__b", F.explode(F.sequence(F.date_trunc(bucket, F.col(start)),
-                                                         F.date_trunc(bucket, F.col(end)),
-                                                         F.expr(f"INTERVAL 1 {bucket.upper()}"))))
-    pt = points.withColumn("__b", F.date_trunc(bucket, F.col(point)))
-    j = pt.join(iv, [*b, "__b"]).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-    return j.drop("__b")
+
+    def unit(c: Column) -> Column:
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(unit_seconds)).cast("long")
+
+    iv = intervals.filter(F.col(start) < F.col(end)).withColumn(
+        "__n", F.explode(dyadic_cover(unit(F.col(start)), unit(F.col(end)) + 1)))
+    # the levels in use: at most 62 numbers
+    used = sorted(r[0] for r in iv.select("__n.level").distinct().collect())
+    pt = points.withColumn("__n", F.explode(F.array(*[F.struct(
+        F.lit(lev).alias("level"), F.shiftright(unit(F.col(point)), lev).alias("node")) for lev in used] or [
+            F.lit(None).cast("struct<level:int,node:bigint>")])))
+    j = pt.join(iv, [*b, "__n"]).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    return j.drop("__n")
 
 
 def dynamic_pivot(df: DataFrame, *, keys: Sequence[str], pivot: str, value: Column) -> DataFrame:
@@ -127,40 +168,37 @@ def dynamic_pivot(df: DataFrame, *, keys: Sequence[str], pivot: str, value: Colu
     return df.groupBy(*keys).pivot(pivot, vals).agg(value)
 
 
-def global_rank(df: DataFrame, *, metric: str, order: Sequence[Column], n: int) -> DataFrame:
-    """WN-2: rows of rank ``n`` or better over the whole table, ties at the cut
-    included.  ``rank() <= n`` becomes a ``WindowGroupLimit`` in every
-    partition, so the final single-partition sort sees the best rows only."""
-    w = Window.orderBy(*order)
-    return df.withColumn(f"{metric}_rank", F.rank().over(w).cast("long")).filter(F.col(f"{metric}_rank") <= n)
+def global_rank(df: DataFrame, *, metric: str, value: str, n: int, descending: bool = True) -> DataFrame:
+    """WN-2: rows of rank ``n`` or better by ``value`` over the whole table, ties at the cut included.
+
+    The best ``n`` rows hold every value of rank ``n`` or better, so they alone are ranked (a top-k, then a window over
+    ``n`` rows) and their distinct values, ``n`` at most, are sent to the rows: rows that tie never meet in one task."""
+    def sort(c: str) -> list[Column]:
+        return [F.col(c).desc() if descending else F.col(c).asc()]
+
+    top = df.select(F.col(value).alias("__v")).orderBy(*sort("__v")).limit(n)
+    ranks = top.withColumn(f"{metric}_rank", F.rank().over(Window.orderBy(*sort("__v"))).cast("long")).distinct()
+    return df.join(F.broadcast(ranks), F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def row_number_in_key(df: DataFrame, *, by: Sequence[str], order: str, tie: Sequence[str] = (),
-                      rows_per_range: int = 1_000_000) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY by ORDER BY order, tie)`` and the
-    key's row count (``__rn``, ``__n``) for a numeric ``order`` column,
-    without sorting a hot key in one task: each key's value span is cut into
-    equal ranges of about ``rows_per_range`` rows, rows are numbered inside
-    their range and offset by the row counts of the lower ranges (a running
-    sum over the small per-range counts)."""
+                      ranges: int | None = None) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY by ORDER BY order, tie)`` and the key's row count (``__rn``, ``__n``),
+    without sorting a hot key in one task: rows are numbered inside ranges of equal depth (:func:`in_ranges`) and
+    offset by the row counts of the lower ranges (a running sum over the small per-range counts)."""
     b = list(by)
-    st = df.groupBy(*b).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.count(F.lit(1)).alias("__n"))
-    st = st.select(*b, "__lo", "__n", F.greatest((F.col("__hi") - F.col("__lo")).cast("double")
-                                                 / F.greatest(F.ceil(F.col("__n") / F.lit(rows_per_range)), F.lit(1)),
-                                                 F.lit(1e-9)).alias("__w"))
-    x = df.join(st, b, "left").withColumn("__bk", F.floor((F.col(order) - F.col("__lo")) / F.col("__w")))
-    w = Window.partitionBy(*b, "__bk").orderBy(F.col(order), *[F.col(t) for t in tie])
-    x = x.withColumn("__local", F.row_number().over(w))
-    per = x.groupBy(*b, "__bk").agg(F.count(F.lit(1)).alias("__c"))
-    per = per.withColumn("__off", F.coalesce(F.sum("__c").over(
-        Window.partitionBy(*b).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    j = x.join(per.drop("__c"), [*b, "__bk"], "left")
-    return j.withColumn("__rn", (F.col("__off") + F.col("__local")).cast("long")).drop(
-        "__lo", "__w", "__bk", "__local", "__off")
+    x = in_ranges(df, by=b, order=[order, *tie], ranges=ranges)
+    w = Window.partitionBy(*b, "__rng").orderBy(F.col(order), *[F.col(t) for t in tie], F.col("__salt"))
+    key = Window.partitionBy(*b)
+    per = x.groupBy(*b, "__rng").agg(F.count(F.lit(1)).alias("__c")).select(
+        *b, "__rng", F.coalesce(F.sum("__c").over(key.orderBy("__rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__c").over(key).alias("__n"))
+    j = _attach(x.withColumn("__local", F.row_number().over(w)), per, b, ["__off", "__n"])
+    return j.withColumn("__rn", (F.col("__off") + F.col("__local")).cast("long")).drop("__rng", "__salt", "__local", "__off")
 
 
 def middle_tile_mean(df: DataFrame, *, keys: Sequence[str], value: str, order_tie: str,
-                     rows_per_range: int = 1_000_000) -> DataFrame:
+                     ranges: int | None = None) -> DataFrame:
     """WN-4: robust mean = average of the middle tile of ``ntile(3)`` per key.
 
     The tile is derived from the row number and the key's count with
@@ -168,7 +206,7 @@ def middle_tile_mean(df: DataFrame, *, keys: Sequence[str], value: str, order_ti
     number comes from :func:`row_number_in_key`, so no key is sorted whole in
     one task."""
     r = row_number_in_key(df.select(*keys, value, order_tie), by=keys, order=value, tie=[order_tie],
-                          rows_per_range=rows_per_range)
+                          ranges=ranges)
     n, rn = F.col("__n"), F.col("__rn")
     base, rem = F.floor(n / 3), n % 3
     big = rem * (base + 1)

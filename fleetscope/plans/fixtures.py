@@ -131,8 +131,8 @@ def f3_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 19 == 0).alias("is_encrypted"),
         (F.lit(100) + (k % 3) * 10).cast("int").alias("compatibility_level"),
     )
-    # ids rise with the finish time, so the row number comes from value ranges of the id: no
-    # database's history is sorted whole in one task
+    # ids rise with the finish time; numbered over ranges of equal depth, so no database's history is
+    # sorted whole in one task
     base = row_number_in_key(base, by=["server_name", "database_name"], order="backup_set_id")
     rn = F.col("__rn")
     return base.select(

@@ -228,4 +228,4 @@ SELECT f6.event_id, f6.event_ts, process_id, database_name, login_name, is_victi
        row_number() OVER (PARTITION BY f6.event_id ORDER BY is_victim DESC, process_id) AS participant, inc.incident
 FROM f6 JOIN inc ON f6.event_id = inc.event_id""")
 def q_dl13(spark, sf_dir):
-    return dl.incident_report(both(spark, sf_dir)[0])  # read twice: shredded first
+    return dl.incident_report(procs(spark, sf_dir), events=f6_events(spark, sf_dir))

@@ -88,7 +88,7 @@ def q_jn09(spark, sf_dir):
     sess = sess.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"),
                        F.col("w.end").cast("timestamp_ntz").alias("session_end"))
     return rel.range_join(ev.select("event_id", "user_id", "ts"), sess, by=["user_id"], point="ts",
-                          start="session_start", end="session_end", bucket="day")
+                          start="session_start", end="session_end")
 
 
 @reg("jn13_outer_apply_explode", ofx.with_(ofx.f5()) + """
@@ -115,7 +115,7 @@ t AS (SELECT *, rank() OVER (ORDER BY total_cpu DESC) AS cpu_rank FROM p)
 SELECT * FROM t WHERE cpu_rank <= 20""")
 def q_wn02(spark, sf_dir):
     p = fx.f4_query_stats(spark, sf_dir).groupBy("query_id", "plan_id").agg(F.sum("cpu").cast("long").alias("total_cpu"))
-    return rel.global_rank(p, metric="cpu", order=[F.col("total_cpu").desc()], n=20)
+    return rel.global_rank(p, metric="cpu", value="total_cpu", n=20)
 
 
 @reg("wn04_ntile_middle_mean", ofx.with_(ofx.f1("plain"), _CAL, "d AS (" + _DELTA_SELECT + ")") + """

@@ -60,7 +60,7 @@ def test_row_number_in_key_equals_row_number(spark):
     w = Window.partitionBy("k").orderBy("x", "id")
     want = {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
     for per_range in (3, 40, 1000):
-        got = row_number_in_key(df, by=["k"], order="x", tie=["id"], rows_per_range=per_range)
+        got = row_number_in_key(df, by=["k"], order="x", tie=["id"], ranges=per_range)
         assert {(r["id"], r["__rn"]) for r in got.select("id", "__rn").collect()} == want
 
 
@@ -119,3 +119,64 @@ def test_asof_join_matches_brute_force(spark, strict):
         cands = [rt for rk, _, rt in right if rk == k and (rt < lt if strict else rt <= lt)]
         want.add((lid, max(cands) if cands else None))
     assert got == want
+
+
+def test_ranges_split_a_burst_evenly_and_keep_null_keys(spark):
+    """All rows of a key in one second, every column equal, and a null key: ranges stay even and in order."""
+    from fleetscope.operators.relational import in_ranges
+
+    rows = [("hot", T0, 1, i % 2, 0.0) for i in range(4000)] + [(None, T0, i, i, 1.0) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    dealt = in_ranges(df, by=["k"], order=["ts", "id"], ranges=10)
+    sizes = [r["count"] for r in dealt.groupBy("__rng").count().collect()]
+    assert len(sizes) >= 9 and max(sizes) <= 2 * 450
+    got = [r["__rn"] for r in row_number_in_key(df, by=["k"], order="ts", tie=["id"], ranges=10).filter("k = 'hot'").collect()]
+    assert sorted(got) == list(range(1, 4001))
+    nulls = {(r["id"], r["__rn"], r["__n"]) for r in row_number_in_key(df, by=["k"], order="ts", tie=["id"], ranges=10).filter("k is null").collect()}
+    assert nulls == {(i, i + 1, 500) for i in range(500)}
+
+
+def test_range_helpers_read_their_rows_once(spark):
+    """After the dealt rows are written, the rest of the plan scans them and their summary only."""
+    df = spark.createDataFrame(_rows(5), SCHEMA)
+    for out in (row_number_in_key(df, by=["k"], order="x", tie=["id"]),
+                carry_last(df, by=["k"], ts="ts", tie=["id"], value="v", out="c", bucket="ranges")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == 2
+
+
+def test_dyadic_cover_is_exact_and_small(spark):
+    from fleetscope.operators.relational import dyadic_cover
+
+    rnd = random.Random(3)
+    spans = [(a, a + n) for a, n in ((rnd.randint(-500, 500), rnd.randint(0, 300)) for _ in range(300))] + [(0, 87_660), (7, 87_667)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", dyadic_cover(F.col("a"), F.col("b")).alias("c"))
+    for r in df.collect():
+        held = [x for n in r["c"] for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"])]
+        assert sorted(held) == list(range(r["a"], r["b"]))      # each number once
+        assert len(r["c"]) < 40                                  # ten years of hours too
+
+
+def test_range_join_long_short_empty_and_touching_intervals(spark):
+    from fleetscope.operators.relational import range_join
+
+    day = dt.timedelta(days=1)
+    ivs = [("a", 1, T0 - 3650 * day, T0 + 3650 * day), ("a", 2, T0, T0), ("a", 3, T0, T0 + dt.timedelta(seconds=1)),
+           ("a", 4, T0 + dt.timedelta(seconds=1), T0 + day), (None, 5, T0, T0 + day), ("a", 6, T0 + day, T0)]
+    pts = [("a", i, T0 + dt.timedelta(seconds=s)) for i, s in enumerate((-1, 0, 1, 3599, 3600, 86399, 86400))] + [(None, 9, T0)]
+    p = spark.createDataFrame(pts, "k string, pid long, t timestamp_ntz")
+    iv = spark.createDataFrame(ivs, "k string, iid long, s timestamp_ntz, e timestamp_ntz")
+    got = sorted((r.pid, r.iid) for r in range_join(p, iv, by=["k"], point="t", start="s", end="e").collect())
+    assert got == sorted((pi, ii) for pk, pi, t in pts for ik, ii, s, e in ivs if pk is not None and pk == ik and s <= t < e)
+    assert range_join(p, iv.limit(0), by=["k"], point="t", start="s", end="e").collect() == []
+
+
+def test_asof_join_with_null_and_hot_keys(spark):
+    from fleetscope.operators.relational import asof_join
+
+    left = spark.createDataFrame([("h", i, T0) for i in range(50)] + [(None, 99, T0)], "k string, lid long, lt timestamp_ntz")
+    right = spark.createDataFrame([("h", 1, T0 - dt.timedelta(hours=1)), ("h", 2, T0), (None, 3, T0 - dt.timedelta(hours=2))],
+                                  "k string, rid long, rt timestamp_ntz")
+    for bucket in (None, "day", "ranges", 7):
+        out = asof_join(left, right, by=["k"], left_ts="lt", right_ts="rt", right_cols=["rid"], bucket=bucket)
+        assert {(r.lid, r.rid) for r in out.collect()} == {(i, 1) for i in range(50)} | {(99, 3)}

@@ -181,5 +181,5 @@ def test_middle_tile_matches_ntile_for_any_range_size(spark):
     want = {(r.k, r.m, r.c) for r in ref.collect()}
     for n in (1, 2, 1000):
         got = {(r.k, r.middle_mean, r.middle_rows)
-               for r in middle_tile_mean(df, keys=["k"], value="v", order_tie="t", rows_per_range=n).collect()}
+               for r in middle_tile_mean(df, keys=["k"], value="v", order_tie="t", ranges=n).collect()}
         assert got == want

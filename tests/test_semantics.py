@@ -33,7 +33,7 @@ def test_top_k_blocks_ties_and_zero_vectors(spark):
 
 def test_rank_keeps_ties_at_the_cut(spark):
     df = spark.createDataFrame([(i, 10 if i < 3 else 5) for i in range(6)], "id int, v int")
-    got = rel.global_rank(df, metric="v", order=[F.col("v").desc()], n=4).collect()
+    got = rel.global_rank(df, metric="v", value="v", n=4).collect()
     assert sorted((r["id"], r["v_rank"]) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 4), (4, 4), (5, 4)]
 
 
