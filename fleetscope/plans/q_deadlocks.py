@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import deadlocks as dl
 from ..sources.events import parse_deadlocks, shred_events
-from ..streaming.pipelines import scratch_path
+from ..session import scratch_path
 from .fixture_f6 import f6_events
 
 QUERIES: dict = {}
@@ -87,7 +87,7 @@ def edges(spark, sf_dir):
 def both(spark, sf_dir):
     """Processes and edges from one parse: the events are shredded into a fresh
     folder under the shared checkpoint folder; nothing is kept for other queries."""
-    ev = shred_events(parsed(spark, sf_dir), scratch_path(spark, "deadlocks-parsed"))
+    ev = shred_events(parsed(spark, sf_dir), f"{scratch_path(spark, 'deadlocks')}/events")
     return dl.processes(ev), dl.lock_edges(ev)
 
 

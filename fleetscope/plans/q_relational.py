@@ -16,7 +16,7 @@ from ..operators import rules as rl
 from ..sinks.history import render_lines, report_lines
 from ..sources.events import DEADLOCK_SCHEMA, EVENT_SCHEMA, read_events
 from ..sources.tables import read_snapshots, union_sources
-from ..streaming.pipelines import scratch_path
+from ..session import scratch_path
 from . import fixtures as fx
 from . import oracle_fixtures as ofx
 from .fixture_f6 import f6_events

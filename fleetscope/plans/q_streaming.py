@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..operators import deadlocks as dl
 from ..sources.events import parse_deadlocks
 from ..streaming import pipelines as sp
-from ..streaming.deltas import stream_snapshot_delta
+from ..session import scratch_path
+from ..sinks.readmodel import Measure, ReadModel
+from ..streaming.deltas import STATE_STORE, stream_snapshot_delta
 from . import fixtures as fx
 from .fixture_f6 import f6_events
 from .q_deadlocks import F6 as F6_SQL
@@ -52,13 +54,13 @@ def q_str01(spark, sf_dir):
     snaps = fx.f1_counters(spark, sf_dir, "restart").persist()
     span = snaps.agg(F.to_date(F.min("check_ts")).alias("a"), F.to_date(F.max("check_ts")).alias("b")).first()
     group = F.floor((F.datediff(F.to_date("check_ts"), F.lit(span["a"])) + F.abs(F.xxhash64("check_ts")) % 2) / 5)
-    path = sp.scratch_path(spark, "str01") + "/in"
+    path = scratch_path(spark, "str01") + "/in"
     _stage_files(snaps, path, ((span["b"] - span["a"]).days + 1) // 5 + 1, group)
     spark.createDataFrame([(HEARTBEAT, dt.datetime(2100, 1, 1), HEARTBEAT, 0, 0, 0)], snaps.schema).write.mode("append").parquet(path)
     snaps.unpersist()
     stream = spark.readStream.schema(snaps.schema).option("maxFilesPerTrigger", 16).parquet(path)
-    out = stream_snapshot_delta(stream, ["metric"], COUNTERS, watermark="7 days")
-    res = sp.run_available(out, spark=spark, name="str01-out")
+    out = stream_snapshot_delta(stream, ["metric"], COUNTERS, watermark="7 days", bucket_minutes=24 * 60)
+    res = sp.run_available(out, spark=spark, name="str01-out", conf=STATE_STORE)
     return res.filter(F.col("server_name") != HEARTBEAT)
 
 
@@ -69,7 +71,7 @@ def _events_stream(spark, sf_dir, flush: bool = False):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     if not flush:
         return stream
-    path = sp.scratch_path(spark, "heartbeat") + "/in"
+    path = scratch_path(spark, "heartbeat") + "/in"
     beat = {"ts": dt.datetime(2100, 1, 1)}
     spark.createDataFrame([tuple(beat.get(f.name) for f in schema.fields)], schema).write.parquet(path)
     return stream.unionByName(spark.readStream.schema(schema).parquet(path))
@@ -118,7 +120,7 @@ def q_str03(spark, sf_dir):
 def q_str04(spark, sf_dir):
     # events arrive year by year, each year followed by replays of a part of it; state older than the
     # watermark leaves, and a replay that is older still is late and dropped
-    root = sp.scratch_path(spark, "str04")
+    root = scratch_path(spark, "str04")
     f6_events(spark, sf_dir).withColumn("year", F.year("event_ts")).write.partitionBy("year").parquet(f"{root}/years")
     years = spark.read.parquet(f"{root}/years")
     ev = years.drop("year")
@@ -149,4 +151,45 @@ SELECT *, CAST(ts AS DATE) AS day FROM events
 WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - INTERVAL 7 DAY""")
 def q_str06(spark, sf_dir):
     return sp.run_available(_events_stream(spark, sf_dir), spark=spark, name="str06",
-                            sink=sp.retention_sink(7, ts="ts", partition="day"))
+                            sink=sp.retention_sink(7, ts="ts", partition="day")).drop("written_by")
+
+
+MODEL = ReadModel(["event_type", "day"], [
+    Measure("events", "count"), Measure("total_cents", "sum", "cents"), Measure("first_ts", "min", "ts"), Measure("last_ts", "max", "ts"),
+    Measure("users", "distinct", "user_id")])
+
+
+def _fed_model(spark, sf_dir, name):
+    """The events in four batches of a stream; every batch is also delivered a second time."""
+    path = scratch_path(spark, name)
+    ev = fx._t(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts")).withColumn("cents", fx.cents("value"))
+    for i in range(4):
+        ev.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).write.parquet(f"{path}/in/part={i}")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in/*")
+    feed = sp.model_sink(MODEL, fold_every=2)
+
+    def twice(df, epoch, _):
+        feed(df, epoch, f"{path}/model")
+        feed(df, epoch, f"{path}/model")
+
+    q = stream.writeStream.option("checkpointLocation", f"{path}/_checkpoint").foreachBatch(
+        lambda df, epoch: twice(df, epoch, None)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return f"{path}/model"
+
+
+@reg("doc05_read_model_from_batches", """
+SELECT event_type, date_trunc('day', ts) AS day, CAST(count(*) AS BIGINT) AS events, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents,
+       min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY ALL""")
+def q_doc05_batches(spark, sf_dir):
+    return MODEL.read(spark, _fed_model(spark, sf_dir, "doc05")).drop("users")
+
+
+@reg("ag02_distinct_from_sketches", """
+SELECT event_type, CAST(count(DISTINCT user_id) AS BIGINT) AS users, TRUE AS within_three_errors FROM events GROUP BY ALL""")
+def q_ag02(spark, sf_dir):
+    # days and batches merged to the whole per type from the stored sketches, beside the exact count
+    about = MODEL.read(spark, _fed_model(spark, sf_dir, "ag02"), keys=["event_type"]).select("event_type", F.col("users").alias("about"))
+    exact = fx._t(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").cast("long").alias("users"))
+    off = F.abs(F.col("about") - F.col("users")) <= 3 * 1.04 / 2 ** 6 * F.col("users")
+    return exact.join(about, "event_type").select("event_type", "users", off.alias("within_three_errors"))

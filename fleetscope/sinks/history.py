@@ -15,29 +15,57 @@ from pyspark.sql import functions as F
 from ..schemas import FINDING_COLUMNS
 
 
-def append_history(df: DataFrame, path: str, *, partition_by: Sequence[str] = ("check_date",)) -> None:
-    """SNK-1: append rows to a history table partitioned by check date."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+#: partition column that names the writer and batch a row came with
+BATCH = "written_by"
+
+
+def _folders(spark: SparkSession, pattern: str) -> list:
+    """(file system, path) of the folders that match ``pattern``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(path)
+    return [(fs, st.getPath()) for st in found or [] if st.isDirectory()]
+
+
+def append_history(df: DataFrame, path: str, *, partition_by: Sequence[str] = ("check_date",), writer: str | None = None,
+                   batch_id: int | None = None) -> None:
+    """SNK-1: append rows to a history table partitioned by check date.
+
+    With a ``writer`` and ``batch_id`` the append happens exactly once per (writer, batch): the rows go to partitions
+    of that batch's own below the date, and whatever an earlier run of the same batch left -- whole or in part, on the same
+    dates or on others -- is removed first.  A batch that a lost driver runs again therefore stands once."""
+    if writer is None:
+        df.write.mode("append").partitionBy(*partition_by).parquet(path)
+        return
+    if batch_id is None or not writer.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("a writer is a name of letters, digits, - and _ and comes with a batch id")
+    tag = f"{writer}.{int(batch_id)}"
+    for fs, folder in _folders(df.sparkSession, "/".join([path, *["*"] * len(partition_by), f"{BATCH}={tag}"])):
+        fs.delete(folder, True)
+    df.withColumn(BATCH, F.lit(tag)).write.mode("append").partitionBy(*partition_by, BATCH).parquet(path)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history without the column that names writer and batch."""
+    return spark.read.parquet(path).drop(BATCH)
+
+
+def newest_partition(spark: SparkSession, path: str, partition: str) -> dt.date | None:
+    """Newest day partition of a table, from the folder names."""
+    days = [p.getName().split("=", 1)[1] for _, p in _folders(spark, f"{path}/{partition}=*")]
+    return max((dt.date.fromisoformat(d[:10]) for d in days if d[:1].isdigit()), default=None)
 
 
 def expire_partitions(spark: SparkSession, path: str, partition: str, newest, keep_days: int) -> list[str]:
     """SNK-2: delete day partitions older than ``keep_days`` before ``newest``
     (Hadoop FileSystem calls on partition folders; no data is rewritten)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
     cutoff = (newest if isinstance(newest, dt.date) else dt.date.fromisoformat(str(newest))) - dt.timedelta(days=keep_days)
     removed = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(f"{partition}="):
-            day = dt.date.fromisoformat(name.split("=", 1)[1][:10])
-            if day < cutoff:
-                fs.delete(st.getPath(), True)
-                removed.append(name)
+    for fs, folder in _folders(spark, f"{path}/{partition}=*"):
+        day = folder.getName().split("=", 1)[1][:10]
+        if day[:1].isdigit() and dt.date.fromisoformat(day) < cutoff:
+            fs.delete(folder, True)
+            removed.append(folder.getName())
     return removed
 
 

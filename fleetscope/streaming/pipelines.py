@@ -6,14 +6,13 @@ so each window is emitted once, when it can no longer change.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import instant_to_ntz, ntz_to_instant
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 ET = "__event_time"
 
@@ -25,24 +24,25 @@ def _with_event_time(df: DataFrame, ts: str) -> tuple[DataFrame, bool]:
     return df.withColumn(ET, F.col(ts)), False
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def run_available(stream: DataFrame, *, spark: SparkSession, name: str, output_mode: str = "append",
-                  sink: Callable | None = None) -> DataFrame:
+                  sink: Callable | None = None, conf: Mapping[str, str] | None = None) -> DataFrame:
     """Run a streaming DataFrame over everything available now into a
     parquet folder (or a ``foreachBatch`` ``sink``) and return what was
     written as a batch DataFrame.  The checkpoint makes a restart resume
-    where the lost run stopped."""
+    where the lost run stopped.  ``conf``: settings the stream is started with."""
     root = scratch_path(spark, name)
-    w = stream.writeStream.option("checkpointLocation", f"{root}/_checkpoint").outputMode(output_mode)
-    if sink is None:
-        q = w.format("parquet").option("path", f"{root}/out").trigger(availableNow=True).start()
-    else:
-        q = w.foreachBatch(lambda df, epoch: sink(df, epoch, f"{root}/out")).trigger(availableNow=True).start()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        w = stream.writeStream.option("checkpointLocation", f"{root}/_checkpoint").outputMode(output_mode)
+        if sink is None:
+            q = w.format("parquet").option("path", f"{root}/out").trigger(availableNow=True).start()
+        else:
+            q = w.foreachBatch(lambda df, epoch: sink(df, epoch, f"{root}/out")).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
@@ -85,18 +85,27 @@ def activity_sessions(events: DataFrame, *, user: str = "user_id", ts: str = "ts
                     "events")
 
 
-def retention_sink(keep_days: int, *, ts: str = "ts", partition: str = "day"):
+def retention_sink(keep_days: int, *, ts: str = "ts", partition: str = "day", writer: str = "stream"):
     """STR-6 / SNK-1 / SNK-2 as a ``foreachBatch`` sink: append the batch
-    partitioned by day, then drop whole day partitions older than
-    ``keep_days`` before the newest day seen (partition expiry, no row
-    rewrites)."""
-    from ..sinks.history import append_history, expire_partitions
+    partitioned by day, exactly once per (writer, batch id), then drop whole day partitions older than
+    ``keep_days`` before the newest day of the table (partition expiry, no row
+    rewrites).  A batch that is run again replaces what its first run left; days that have expired stay out."""
+    from ..sinks.history import append_history, expire_partitions, newest_partition
 
     def sink(df: DataFrame, epoch: int, path: str) -> None:
-        b = df.withColumn(partition, F.to_date(ts))
-        append_history(b, path, partition_by=[partition])
-        newest = b.agg(F.max(partition)).collect()[0][0]
+        append_history(df.withColumn(partition, F.to_date(ts)), path, partition_by=[partition], writer=writer, batch_id=epoch)
+        newest = newest_partition(df.sparkSession, path, partition)
         if newest is not None:
             expire_partitions(df.sparkSession, path, partition, newest, keep_days)
 
     return sink
+
+
+def model_sink(model, *, fold_every: int = 20):
+    """DOC-5 as a ``foreachBatch`` sink: keeps a :class:`~fleetscope.sinks.readmodel.ReadModel` up to date."""
+    def sink(df: DataFrame, epoch: int, path: str) -> None:
+        model.update(df, path, epoch)
+        if epoch and epoch % fold_every == 0:
+            model.fold(df.sparkSession, path)
+
+    return sink
