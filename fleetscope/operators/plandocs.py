@@ -1,10 +1,7 @@
 """Plan-document analytics (QS-3, QS-7, QS-8, QS-9, QS-10).
 
-Execution-plan XML nests arbitrarily deep (operators inside operators), so
-a fixed ``from_xml`` schema cannot describe it; features are read with the
-built-in XPath functions instead, table-driven: one ``(name, kind, path)``
-row per feature, all evaluated in one projection (map-only, JVM side).
-The default showplan namespace is matched by unprefixed names.
+All read the facts of :mod:`fleetscope.operators.plantree`, one parse of each document.  Features are table-driven:
+one ``(name, kind, argument)`` row per feature, all evaluated in one projection over the operator array.
 """
 
 from __future__ import annotations
@@ -15,27 +12,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import try_ratio
+from .plantree import plan_facts
 
-
-# Feature name, kind, XPath (or physical operator name for the
-# ``op_*`` kinds, which are answered from one shared operator list per plan).
+# Feature name, kind, argument (an operator or element name, an early-abort reason, a flag of an
+# operator, or an attribute or element as the server writes it).
 PLAN_FEATURES: list[tuple[str, str, str]] = [
     ("compile_timeout", "abort_reason", "TimeOut"),
     ("compile_memory_limit", "abort_reason", "MemoryLimitExceeded"),
-    ("implicit_conversion", "boolean", "//Warnings/PlanAffectingConvert"),
-    ("unparameterized", "boolean", "not(//ParameterList)"),
+    ("implicit_conversion", "has_element", "PlanAffectingConvert"),
+    ("unparameterized", "lacks_element", "ParameterList"),
     ("has_key_lookup", "op_exists", "Key Lookup"),
     ("has_table_scan", "op_exists", "Table Scan"),
     ("has_remote_query", "op_exists", "Remote Query"),
-    ("statement_cost", "double", "sum(//StmtSimple/@StatementSubTreeCost)"),
+    ("statement_cost", "fact", "statement_cost"),
     ("key_lookup_cost", "op_cost", "Key Lookup"),
     ("sort_cost", "op_cost", "Sort"),
     ("remote_query_cost", "op_cost", "Remote Query"),
     ("index_spool_cost", "op_cost", "Index Spool"),
     ("table_spool_cost", "op_cost", "Table Spool"),
-    ("operator_count", "op_count", ""),
-    ("warning_count", "double", "count(//Warnings)"),
-    ("missing_index_count", "double", "count(//MissingIndexGroup)"),
+    ("operator_count", "count_element", "RelOp"),
+    ("warning_count", "count_element", "Warnings"),
+    ("missing_index_count", "count_element", "MissingIndexGroup"),
     ("has_hash_match", "op_exists", "Hash Match"),
     ("has_merge_join", "op_exists", "Merge Join"),
     ("has_adaptive_join", "op_exists", "Adaptive Join"),
@@ -53,46 +50,78 @@ PLAN_FEATURES: list[tuple[str, str, str]] = [
     ("no_join_predicate", "mentions", 'NoJoinPredicate="1"'),
     ("spills_to_tempdb", "mentions", "<SpillToTempDb"),
     ("no_column_statistics", "mentions", "<ColumnsWithNoStatistics"),
+    ("busy_loops", "busy_loops", "100"),
+    ("function_join", "function_join", "Table-valued function"),
+    ("computed_column_function", "op_flags", "computed_column function_below"),
+    ("filter_function", "op_flags", "filter_function"),
+    ("is_spatial", "op_flags", "spatial"),
+    ("is_nonsargable", "nonsargable", ""),
+    ("stale_statistics", "stale_statistics", ""),
+    ("columnstore_row_mode", "row_mode", "Row"),
+    ("downlevel_estimator", "downlevel_estimator", ""),
+    ("has_row_level_security", "fact", "row_level_security"),
 ]
 
-_OPS = "__ops"
-_ABORTS = "__aborts"
 
+def _feature(kind: str, arg: str, *, as_of: Column, server_version: int, stale_days: int, stale_rows: int) -> Column:
+    facts = F.col("facts")
+    ops = facts["operators"]
+
+    def any_op(test) -> Column:
+        return F.exists(ops, test)
+
+    def joins(o: Column) -> Column:
+        return F.coalesce(F.contains(o["logical"], F.lit("Join")), F.lit(False))
 
-def _xp(xml: Column, kind: str, path: str) -> Column:
-    ops = F.col(_OPS)
-    if kind == "boolean":
-        return F.xpath_boolean(xml, F.lit(path))
-    if kind == "double":
-        return F.xpath_double(xml, F.lit(path))
+    if kind == "fact":
+        return facts[arg]
+    if kind == "has_element":
+        return facts["elements"][arg] > 0
+    if kind == "lacks_element":
+        return facts["elements"][arg] == 0
+    if kind == "count_element":
+        return facts["elements"][arg].cast("double")
     if kind == "op_exists":
-        return F.exists(ops, lambda o: o["op"] == F.lit(path))
+        return any_op(lambda o: o["op"].eqNullSafe(F.lit(arg)))
     if kind == "op_cost":
-        return F.aggregate(ops, F.lit(0.0), lambda acc, o: acc + F.when(o["op"] == F.lit(path), o["cost"])
+        return F.aggregate(ops, F.lit(0.0), lambda acc, o: acc + F.when(o["op"] == F.lit(arg), F.coalesce(o["cost"], F.lit(0.0)))
                            .otherwise(F.lit(0.0)))
-    if kind == "op_count":
-        return F.size(ops).cast("double")
-    if kind == "mentions":  # an attribute or element as the server writes it: no parse
-        return F.contains(xml, F.lit(path))
+    if kind == "mentions":  # looked up in the text before the parse
+        return F.col(f"__m_{arg}")
     if kind == "abort_reason":
-        return F.array_contains(F.col(_ABORTS), F.lit(path))
-    return F.xpath_string(xml, F.lit(path))
-
-
-def plan_features(plans: DataFrame, *, xml: str = "plan_xml",
-                  features: Sequence[tuple[str, str, str]] = PLAN_FEATURES) -> DataFrame:
-    """QS-8: one column per feature of ``features``.  Every XPath call parses
-    the document again, so all operator-level features share one operator
-    list (two XPath calls: physical operators and their costs, zipped in
-    document order; every ``RelOp`` carries both attributes) and both
-    compile-abort flags share one list of abort reasons."""
-    x = F.col(xml)
-    ops = F.arrays_zip(F.xpath(x, F.lit("//RelOp/@PhysicalOp")).alias("op"),
-                       F.transform(F.xpath(x, F.lit("//RelOp/@EstimatedTotalSubtreeCost")),
-                                   lambda c: c.cast("double")).alias("cost"))
-    aborts = F.xpath(x, F.lit("//StmtSimple/@StatementOptmEarlyAbortReason"))
-    base = plans.select("*", ops.alias(_OPS), aborts.alias(_ABORTS))
-    return base.select(*[c for c in plans.columns if c != xml], *[_xp(x, k, p).alias(n) for n, k, p in features])
+        return F.array_contains(facts["early_aborts"], F.lit(arg))
+    if kind == "busy_loops":  # executed more than a hundred times as often as rows are expected
+        return any_op(lambda o: F.coalesce(o["executions"] / float(arg) > o["rows"], F.lit(False)))
+    if kind == "function_join":  # a table-valued function and a join under one top operator
+        with_function = F.transform(F.filter(ops, lambda o: o["logical"].eqNullSafe(F.lit(arg))), lambda o: o["root"])
+        return F.arrays_overlap(with_function, F.transform(F.filter(ops, joins), lambda o: o["root"]))
+    if kind == "op_flags":
+        first, *more = arg.split()
+        return any_op(lambda o: o[first] & o[more[0]] if more else o[first])
+    if kind == "nonsargable":
+        return any_op(lambda o: o["function_on_column"] | o["leading_wildcard"] | (joins(o) & o["expression_below"]))
+    if kind == "row_mode":
+        return any_op(lambda o: o["columnstore"] & o["mode"].eqNullSafe(F.lit(arg)))
+    if kind == "downlevel_estimator":
+        return F.coalesce(facts["estimator"] < server_version * 10, F.lit(False))
+    if kind == "stale_statistics":  # none newer than the limit and many changes on average
+        stats = facts["statistics"]
+        newest = F.array_max(F.transform(stats, lambda x: F.try_to_timestamp(F.substring(F.replace(x["updated"], F.lit("T"), F.lit(" ")), 1, 19))
+                                         .cast("timestamp_ntz")))
+        changed = F.aggregate(stats, F.lit(0).cast("long"), lambda acc, x: acc + x["modified"])
+        return F.coalesce((newest <= as_of - F.make_dt_interval(F.lit(stale_days))) & (changed >= stale_rows * F.size(stats)), F.lit(False)) \
+            & facts.isNotNull()
+    raise ValueError(f"unknown feature kind {kind}")
+
+
+def plan_features(plans: DataFrame, *, xml: str = "plan_xml", as_of: str = "9999-12-31 00:00:00", server_version: int = 16,
+                  stale_days: int = 7, stale_rows: int = 100_000, features: Sequence[tuple[str, str, str]] = PLAN_FEATURES) -> DataFrame:
+    """QS-8: one column per feature of ``features``, from one parse of each document.  ``as_of`` and ``server_version`` judge the
+    age of statistics and of the cardinality estimator."""
+    texts = list(dict.fromkeys(arg for _, kind, arg in features if kind == "mentions"))
+    base = plan_facts(plans.select("*", *[F.contains(xml, F.lit(t)).alias(f"__m_{t}") for t in texts]), xml=xml)
+    how = {"as_of": F.lit(as_of).cast("timestamp_ntz"), "server_version": server_version, "stale_days": stale_days, "stale_rows": stale_rows}
+    return base.select(*[c for c in plans.columns if c != xml], *[_feature(k, a, **how).alias(n) for n, k, a in features])
 
 
 def operator_cost_flags(features: DataFrame, *, ctp: float = 50.0) -> DataFrame:
@@ -118,52 +147,31 @@ DML_OPS = ["Index Insert", "Index Update", "Index Delete", "Clustered Index Inse
 
 def dml_operator_counts(plans: DataFrame, *, xml: str = "plan_xml", key: str = "query_hash") -> DataFrame:
     """QS-7: counts of index/clustered/table insert-update-delete operators per query hash."""
-    x = F.col(xml)
-    cols = [F.xpath_double(x, F.lit(f"count(//RelOp[@PhysicalOp='{op}'])")).alias(
-        op.lower().replace(" ", "_")) for op in DML_OPS]
-    p = plans.select(key, *cols)
-    return p.groupBy(key).agg(*[F.sum(c).cast("long").alias(c) for c in p.columns if c != key])
-
-
-def _elements(x: Column, name: str) -> Column:
-    """The ``name`` elements of a document as separate well-formed documents (elements of the name do not nest)."""
-    return F.regexp_extract_all(x, F.lit(rf"(?s)<{name}\b(?:[^>\"]|\"[^\"]*\")*?(?:/>|>.*?</{name}>)"), F.lit(0))
+    p = plan_facts(plans, xml=xml, keep=[key]).select(key, F.explode_outer("facts.operators.op").alias("op"))
+    return p.groupBy(key).agg(*[F.count_if(F.col("op") == op).cast("long").alias(op.lower().replace(" ", "_")) for op in DML_OPS])
 
 
 def missing_index_suggestions(plans: DataFrame, *, xml: str = "plan_xml") -> DataFrame:
     """QS-9: missing-index requests in plans grouped by (table, equality,
     inequality, include columns): requests, average and max impact.  Every
     group of a plan is a request of its own."""
-    g = plans.filter(F.xpath_boolean(xml, F.lit("//MissingIndexGroup"))).select(
-        F.explode(_elements(F.col(xml), "MissingIndexGroup")).alias("g"))
-    x = F.col("g")
+    g = plan_facts(plans, xml=xml, keep=[]).select(F.explode_outer("facts.missing").alias("g")).filter(F.col("g").isNotNull())
 
     def cols(usage):
-        return F.array_join(F.array_sort(F.xpath(x, F.lit(f"//MissingIndex/ColumnGroup[@Usage='{usage}']/Column/@Name"))), ", ")
+        return F.array_join(F.array_sort(f"g.{usage}"), ", ").alias(f"{usage}_columns")
 
-    p = g.select(
-        F.xpath_string(x, F.lit("//MissingIndex/@Table")).alias("table_name"),
-        cols("EQUALITY").alias("equality_columns"), cols("INEQUALITY").alias("inequality_columns"),
-        cols("INCLUDE").alias("include_columns"), F.xpath_double(x, F.lit("/MissingIndexGroup/@Impact")).alias("impact"))
+    p = g.select(F.col("g.table").alias("table_name"), cols("equality"), cols("inequality"), cols("include"), "g.impact")
     return p.groupBy("table_name", "equality_columns", "inequality_columns", "include_columns").agg(
         F.count(F.lit(1)).cast("long").alias("plans"), F.round(F.avg("impact"), 4).alias("avg_impact"),
         F.max("impact").alias("max_impact"))
 
 
 def parameter_mismatches(plans: DataFrame, *, xml: str = "plan_xml", keys: Sequence[str] = ("plan_id",)) -> DataFrame:
-    """QS-10: parameters whose compiled value differs from the runtime value.
-    Each ``ColumnReference`` is read as a unit; one that lacks either value
-    (an estimated plan) compares with nothing."""
-    lists = F.array_join(_elements(F.col(xml), "ParameterList"), "")
-    refs = F.regexp_extract_all(lists, F.lit(r'<ColumnReference\b(?:[^>"]|"[^"]*")*>'), F.lit(0))
-    one = F.concat(F.regexp_replace("r", "/?>$", ""), F.lit("/>"))
-
-    def attr(name):
-        return F.when(F.xpath_boolean(one, F.lit(f"/ColumnReference/@{name}")), F.xpath_string(one, F.lit(f"/ColumnReference/@{name}")))
-
-    p = plans.select(*keys, F.explode_outer(refs).alias("r")).filter(F.col("r").isNotNull())
-    return p.select(*keys, attr("Column").alias("parameter"), attr("ParameterCompiledValue").alias("compiled_value"),
-                    attr("ParameterRuntimeValue").alias("runtime_value")).filter(F.col("compiled_value") != F.col("runtime_value"))
+    """QS-10: parameters whose compiled value differs from the runtime value; one that lacks either value (an
+    estimated plan) compares with nothing."""
+    p = plan_facts(plans, xml=xml, keep=keys).select(*keys, F.explode_outer("facts.parameters").alias("p")).filter(F.col("p").isNotNull())
+    return p.select(*keys, F.col("p.name").alias("parameter"), F.col("p.compiled").alias("compiled_value"),
+                    F.col("p.runtime").alias("runtime_value")).filter(F.col("compiled_value") != F.col("runtime_value"))
 
 
 def cost_share(features: DataFrame, op_col: str) -> Column:

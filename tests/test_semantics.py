@@ -93,3 +93,27 @@ def test_pivot_does_not_depend_on_row_order(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", 3), ("b", "y", 2)], "k string, p string, v int")
     got = rel.dynamic_pivot(df, keys=["k"], pivot="p", value=F.max("v")).orderBy("k").collect()
     assert [tuple(r) for r in got] == [("a", 3, None), ("b", None, 2)]
+
+
+def test_plan_operators_know_where_they_stand(spark):
+    """Two statements, prefixed names, flags of nested operators; broken and null documents have no facts."""
+    from fleetscope.operators.plantree import plan_facts
+
+    udf = '<p:UserDefinedFunction FunctionName="f"/>'
+    computed = '<p:ComputeScalar><p:DefinedValues><p:DefinedValue><p:ColumnReference ComputedColumn="1"/></p:DefinedValue></p:DefinedValues></p:ComputeScalar>'
+    xml = ('<p:ShowPlanXML xmlns:p="u"><p:StmtSimple StatementSubTreeCost="2"><p:RelOp PhysicalOp="A" LogicalOp="Inner Join">' + computed +
+           '<p:RelOp PhysicalOp="B"><p:RelOp PhysicalOp="C" EstimateRows="2" EstimateRewinds="300"/></p:RelOp><p:RelOp PhysicalOp="D">' + udf +
+           '</p:RelOp></p:RelOp></p:StmtSimple><p:StmtSimple StatementSubTreeCost="3"><p:RelOp PhysicalOp="E" LogicalOp="Table-valued function"/>'
+           '</p:StmtSimple></p:ShowPlanXML>')
+    df = spark.createDataFrame([(1, xml), (2, xml[:-9]), (3, None), (4, "<x/>")], "plan_id int, plan_xml string")
+    facts = {r["plan_id"]: r["facts"] for r in plan_facts(df).collect()}
+    assert [(o["op"], o["parent"], o["root"], o["function_below"]) for o in facts[1]["operators"]] == [
+        ("A", None, 0, True), ("B", 0, 0, False), ("C", 1, 0, False), ("D", 0, 0, True), ("E", None, 4, False)]
+    assert facts[2] is None and facts[3] is None and facts[4]["operators"] == []
+    got = {r["plan_id"]: r for r in pd.plan_features(df).collect()}
+    assert (got[1]["statement_cost"], got[1]["operator_count"]) == (5.0, 5.0)
+    assert got[1]["computed_column_function"] and got[1]["busy_loops"]
+    assert not got[1]["function_join"]      # the function stands in another statement than the join
+    assert got[3]["statement_cost"] is None and got[4]["operator_count"] == 0.0
+    plan = pd.plan_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "xpath" not in plan
