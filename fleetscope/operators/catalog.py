@@ -50,6 +50,29 @@ def approximate_duplicates(catalog: DataFrame) -> DataFrame:
         *TBL, "index_id", "index_name", "keys", "leading_key", "siblings", "same_keys")
 
 
+def _key_prefixes(catalog: DataFrame, *, strict: bool) -> DataFrame:
+    """One row per index and left prefix of its keys (``prefix``; ``strict``: without the whole list)."""
+    size = F.size("keys") - (1 if strict else 0)
+    lengths = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return catalog.select("*", F.explode_outer(lengths).alias("__len")).filter(F.col("__len").isNotNull()).withColumn(
+        "prefix", F.slice("keys", F.lit(1), F.col("__len"))).drop("__len")
+
+
+def prefix_duplicates(catalog: DataFrame) -> DataFrame:
+    """IX-2: indexes whose whole key list is a left prefix of a longer one on the same table, with the longest such index (the
+    smallest id of equally long ones) and their number.
+
+    The left prefixes of every index form one table with a row per distinct prefix; the key lists are looked up in it
+    by an equi-join, so no pairs of indexes are formed."""
+    c = _comparable(catalog).select(*TBL, "index_id", "index_name", "keys")
+    holder = F.struct("index_id", "index_name", "keys")
+    held = _key_prefixes(c, strict=True).groupBy(*TBL, F.col("prefix").alias("keys")).agg(
+        F.max_by(holder, F.struct(F.size("keys"), -F.col("index_id"))).alias("h"), F.count(F.lit(1)).cast("long").alias("held_by"))
+    return c.join(held, [*TBL, "keys"]).select(
+        *TBL, "index_id", "index_name", "keys", F.col("h.index_id").alias("wider_index_id"), F.col("h.index_name").alias("wider_index_name"),
+        F.col("h.keys").alias("wider_keys"), "held_by")
+
+
 def table_index_findings(catalog: DataFrame, as_of, *, many: int = 10, unused_pct: float = 5.0, wide: int = 7,
                          includes_pct: float = 3.0) -> DataFrame:
     """IX-3: per table many NC indexes, wide indexes, few includes (one
@@ -243,10 +266,12 @@ def column_ratio_findings(columns: DataFrame, *, wide_cols: int = 35, wide_bytes
 
 
 def unindexed_foreign_keys(fks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """IX-14: foreign keys whose leading column leads no index of the
-    referencing table (left anti join on table + leading column)."""
-    lead = catalog.select(*TBL, F.element_at("keys", 1).alias("fk_column")).distinct()
-    return fks.join(lead, [*TBL, "fk_column"], "left_anti")
+    """IX-14: foreign keys that no index of the referencing table supports: the key's columns, in any order, are the leading
+    columns of none (left anti join on table + set of columns, over the left prefixes of all indexes).  The columns
+    are an array ``fk_columns``, or one column's name ``fk_column``."""
+    cols = F.array_sort("fk_columns") if "fk_columns" in fks.columns else F.array("fk_column")
+    led = _key_prefixes(catalog.select(*TBL, "keys"), strict=False).select(*TBL, F.array_sort("prefix").alias("__cols")).distinct()
+    return fks.withColumn("__cols", cols).join(led, [*TBL, "__cols"], "left_anti").select(*fks.columns)
 
 
 def fragmentation_bands(frag: DataFrame, *, min_pages: int = 1000) -> DataFrame:

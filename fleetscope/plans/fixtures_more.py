@@ -159,6 +159,16 @@ def f5_fks(spark, sf_dir):
                     .alias("fk_column"))
 
 
+def f5_wide_fks(spark, sf_dir):
+    """Foreign keys of one to three columns, some in another order than the index."""
+    p = _t(spark, sf_dir, "part")
+    pk, words = F.col("p_partkey"), F.split("p_name", " ")
+    cols = (F.when(pk % 4 == 0, F.array("p_type")).when(pk % 4 == 1, F.array(words[0], F.col("p_type")))
+            .when(pk % 4 == 2, F.array(words[1], words[0], F.col("p_type"))).otherwise(F.array(words[1], F.col("p_type"))))
+    return p.select(F.lit("srv0").alias("server_name"), F.concat(F.lit("db"), (pk % 3).cast("string")).alias("database_name"),
+                    F.col("p_brand").alias("table_name"), F.concat(F.lit("fk_"), pk.cast("string")).alias("fk_name"), cols.alias("fk_columns"))
+
+
 def f5_fragmentation(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     pk = F.col("p_partkey")

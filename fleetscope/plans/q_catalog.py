@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from ..operators import catalog as ix
 from . import fixtures as fx
 from . import fixtures_more as fm
@@ -58,6 +60,20 @@ def q_ix02(spark, sf_dir):
     return ix.approximate_duplicates(fx.f5_indexes(spark, sf_dir))
 
 
+@reg("ix02_prefix_duplicates", F5 + """
+, c AS (SELECT server_name, database_name, table_name, index_id, index_name, keys[1:1 + (index_id // 3) % 3] AS keys FROM f5
+        WHERE index_type IN (1, 2) AND NOT is_hypothetical AND NOT is_disabled AND NOT is_primary_key)
+SELECT a.*, b.index_id AS wider_index_id, b.index_name AS wider_index_name, b.keys AS wider_keys,
+       count(*) OVER (PARTITION BY a.index_id) AS held_by
+FROM c a JOIN c b ON a.server_name = b.server_name AND a.database_name = b.database_name AND a.table_name = b.table_name
+  AND len(b.keys) > len(a.keys) AND b.keys[1:len(a.keys)] = a.keys
+QUALIFY row_number() OVER (PARTITION BY a.index_id ORDER BY len(b.keys) DESC, b.index_id) = 1""")
+def q_ix02p(spark, sf_dir):
+    # key lists of one to three columns
+    cut = F.slice("keys", F.lit(1), (F.floor(F.col("index_id") / 3) % 3 + 1).cast("int"))
+    return ix.prefix_duplicates(fx.f5_indexes(spark, sf_dir).withColumn("keys", cut))
+
+
 @reg("ix03_table_index_findings", F5 + f"""
 , g AS (SELECT server_name, database_name, table_name, CAST(count(*) AS BIGINT) AS nc_indexes,
                CAST(count_if(len(keys) + len(includes) >= 4) AS BIGINT) AS wide,
@@ -272,6 +288,18 @@ def q_ix14(spark, sf_dir):
     return ix.unindexed_foreign_keys(fm.f5_fks(spark, sf_dir), fx.f5_indexes(spark, sf_dir))
 
 
+@reg("ix14_unindexed_wide_foreign_keys", F5 + """
+, fk AS (SELECT 'srv0' AS server_name, 'db' || CAST(p_partkey % 3 AS VARCHAR) AS database_name, p_brand AS table_name,
+                'fk_' || CAST(p_partkey AS VARCHAR) AS fk_name, string_split(p_name, ' ') AS w, p_partkey % 4 AS m, p_type FROM part),
+f AS (SELECT server_name, database_name, table_name, fk_name,
+             CASE m WHEN 0 THEN [p_type] WHEN 1 THEN [w[1], p_type] WHEN 2 THEN [w[2], w[1], p_type] ELSE [w[2], p_type] END AS fk_columns FROM fk)
+SELECT * FROM f WHERE NOT EXISTS (
+  SELECT 1 FROM f5 WHERE f5.server_name = f.server_name AND f5.database_name = f.database_name AND f5.table_name = f.table_name
+    AND list_sort(f5.keys[1:len(f.fk_columns)]) = list_sort(f.fk_columns))""")
+def q_ix14w(spark, sf_dir):
+    return ix.unindexed_foreign_keys(fm.f5_wide_fks(spark, sf_dir), fx.f5_indexes(spark, sf_dir))
+
+
 @reg("ix16_fragmentation_bands", """
 SELECT p_brand AS table_name, p_partkey AS index_id, CAST(p_partkey % 50 AS DOUBLE) AS fragmentation_pct,
        CAST(p_size AS BIGINT) * 100 AS page_count,

@@ -143,7 +143,7 @@ def q_src06(spark, sf_dir):
     return doc.split_rows(fx._t(spark, sf_dir, "documents"), col="text", sep="\n", key=["doc_id"])
 
 
-@reg("vec01_topk_cosine", """
+VEC01_SQL = """
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 100 = 0),
 c AS (SELECT vec_id AS match_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT query_id, match_id,
@@ -151,7 +151,17 @@ d AS (SELECT query_id, match_id,
       FROM q, c)
 SELECT query_id, match_id, distance,
        row_number() OVER (PARTITION BY query_id ORDER BY distance, match_id) AS rank
-FROM d QUALIFY rank <= 5""")
+FROM d QUALIFY rank <= 5"""
+
+
+@reg("vec01_topk_in_cells", VEC01_SQL)
+def q_vec01_cells(spark, sf_dir):
+    e = fx._t(spark, sf_dir, "embeddings")
+    index = vec.build_cells(e, metric="cosine", centres=64)
+    return vec.top_k_in_cells(index, e.filter(F.col("vec_id") % 100 == 0), k=5)[0]
+
+
+@reg("vec01_topk_cosine", VEC01_SQL)
 def q_vec01(spark, sf_dir):
     e = fx._t(spark, sf_dir, "embeddings")
     return vec.top_k_search(e, e.filter(F.col("vec_id") % 100 == 0), k=5, metric="cosine")

@@ -394,7 +394,7 @@ def customer_after(spark, sf_dir):
         "c_acctbal", F.when(F.col("c_custkey") % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
 
 
-@reg("dq06_table_compare", """
+DQ06_SQL = """
 WITH a AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
                   c_mktsegment FROM customer WHERE c_custkey % 11 <> 0)
 SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey,
@@ -403,7 +403,15 @@ SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey,
 FROM customer b FULL OUTER JOIN a ON b.c_custkey = a.c_custkey
 WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR b.c_acctbal IS DISTINCT FROM a.c_acctbal
    OR b.c_name IS DISTINCT FROM a.c_name OR b.c_nationkey IS DISTINCT FROM a.c_nationkey
-   OR b.c_mktsegment IS DISTINCT FROM a.c_mktsegment""")
+   OR b.c_mktsegment IS DISTINCT FROM a.c_mktsegment"""
+
+
+@reg("dq06_compare_by_digest", DQ06_SQL)
+def q_dq06d(spark, sf_dir):
+    return dq.compare_by_digest(fx._t(spark, sf_dir, "customer"), customer_after(spark, sf_dir), key=["c_custkey"])
+
+
+@reg("dq06_table_compare", DQ06_SQL)
 def q_dq06(spark, sf_dir):
     return dq.compare_tables(fx._t(spark, sf_dir, "customer"), customer_after(spark, sf_dir), key=["c_custkey"])
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import snapshots as sd
+from ..session import scratch_path
+from ..sources.tables import read_bucketed, write_bucketed
 from . import fixtures as fx
 from . import oracle_fixtures as ofx
 
@@ -66,6 +70,16 @@ def q_sd01_restart(spark, sf_dir):
     return _deltas(spark, sf_dir, "restart")
 
 
+@_register("sd01_delta_from_bucketed_history", ofx.with_(ofx.f1("restart", "f1_all") + """,
+f1 AS (SELECT * FROM f1_all WHERE check_ts >= TIMESTAMP '2024-01-10' AND check_ts < TIMESTAMP '2024-01-20')""", _CAL) + _DELTA_SELECT)
+def q_sd01_bucketed(spark, sf_dir):
+    path = scratch_path(spark, "snapshots")
+    table = "snapshots_" + path.rsplit("-", 1)[1]
+    write_bucketed(fx.f1_counters(spark, sf_dir, "restart"), table, f"{path}/t", series=["server_name", "metric"], buckets=8)
+    window = read_bucketed(spark, table, dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20))
+    return sd.snapshot_delta(window, ["metric"], COUNTERS, bucket=None)
+
+
 @_register("sd01_snapshot_delta_gappy", _delta_sql("gappy"))
 def q_sd01_gappy(spark, sf_dir):
     return _deltas(spark, sf_dir, "gappy")
