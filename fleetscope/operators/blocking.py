@@ -61,19 +61,15 @@ def lead_blockers(sessions: DataFrame, *, min_wait_ms: int = 30000) -> DataFrame
 
 
 def reconcile_blocker(requests: DataFrame, waits: DataFrame) -> DataFrame:
-    """BLK-4: blocker id from two sources (request view ``r`` and the
-    blocked-process view ``b``, joined on session): take the request's
-    blocker unless the other source knows better."""
-    b = waits.select(S, F.col("session_id").alias("b_session_id"),
-                     F.col("blocking_session_id").alias("b_blocking_session_id"))
-    j = requests.join(b, (requests[S] == b[S]) & (requests["session_id"] == b["b_session_id"]), "left").drop(b[S])
-    r_b, s_id = F.col("blocking_session_id"), F.col("session_id")
-    bb, bs = F.col("b_blocking_session_id"), F.col("b_session_id")
-    resolved = (F.when((r_b != 0) & bs.isNull(), r_b)
-                .when((r_b != 0) & (s_id != bb), bb)
-                .when((r_b == 0) & (s_id == bs), bb)
-                .when((r_b != 0) & (s_id == bb), r_b))
-    return j.select(S, "session_id", resolved.alias("resolved_blocking_session_id"))
+    """BLK-4: blocker id from two sources, the request view and the blocked-process view.
+
+    A session that the second source lists has the blocker named there, unless that is the session itself and the request names
+    one; any other session has the request's own.  No answer where neither knows."""
+    listed = waits.select(S, "session_id", F.col("blocking_session_id").alias("__listed"))
+    own = F.nullif(F.col("blocking_session_id"), F.lit(0))
+    itself = F.col("__listed") == F.col("session_id")
+    better = F.when(~itself | own.isNull(), F.col("__listed"))
+    return requests.join(listed, [S, "session_id"], "left").select(S, "session_id", F.coalesce(better, own).alias("resolved_blocking_session_id"))
 
 
 def locks_per_session(sessions: DataFrame, locks: DataFrame, *, status: str | None = None) -> DataFrame:

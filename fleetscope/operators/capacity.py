@@ -162,9 +162,8 @@ def growth_settings(files: DataFrame) -> DataFrame:
                         growth.alias("growth_setting"), max_label.alias("max_size"), issue.alias("issue"))
 
 
-def uneven_groups(files: DataFrame, *, group: Sequence[str] = ("server_name", "database_id")) -> DataFrame:
-    """FC-1: groups of data files (pass the filegroup in ``group`` where there is
-    one) that differ in size or growth setting (``count(distinct) > 1``)."""
+def uneven_groups(files: DataFrame, *, group: Sequence[str] = ("server_name", "database_id", "data_space_id")) -> DataFrame:
+    """FC-1: filegroups whose data files differ in size or growth setting (``count(distinct) > 1``)."""
     g = files.filter(F.col("type_desc") == "ROWS").groupBy(*group).agg(F.count_distinct("size_pages").cast("long").alias("distinct_sizes"),
                                   F.count_distinct("growth", "is_percent_growth").cast("long").alias("distinct_growths"),
                                   F.count(F.lit(1)).cast("long").alias("files"))

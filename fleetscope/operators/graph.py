@@ -5,10 +5,9 @@ state with itself on ``anc = node`` and replaces ``anc`` by the ancestor's
 ancestor, so a chain of depth ``d`` resolves in ``ceil(log2 d)`` rounds --
 each round is one shuffle join of the node table, never a per-node Python
 loop.  Nodes that still do not point at a root when a round changes nothing
-sit on (or behind) a cycle and are flagged.  Lineage is cut with
-``checkpoint()`` into the session's checkpoint folder every few rounds, so
-a lost executor re-reads the last checkpoint instead of recomputing all
-rounds.
+sit on (or behind) a cycle and are flagged.  Every round's state is written
+with ``checkpoint()`` into the session's checkpoint folder and read from there, so
+a round's plan holds one join, no executor keeps a state, and a lost one costs one round.
 """
 
 from __future__ import annotations
@@ -23,8 +22,7 @@ from ..session import ensure_checkpoint_dir
 
 
 def resolve_roots(edges: DataFrame, *, node: str, parent: str, group: Sequence[str] = (),
-                  no_parent_values: Sequence = (0,), max_rounds: int | None = None,
-                  checkpoint_every: int = 4) -> DataFrame:
+                  no_parent_values: Sequence = (0,), max_rounds: int | None = None) -> DataFrame:
     """Root ancestor and depth of every node of a parent forest.
 
     ``edges`` has one row per node with its ``parent`` (NULL or one of
@@ -50,13 +48,12 @@ def resolve_roots(edges: DataFrame, *, node: str, parent: str, group: Sequence[s
     )
     # the node table's own "is root" flag, needed to know when anc is a root
     roots = allnodes.select(*g, F.col("node").alias("anc"), F.col("parent").isNull().alias("anc_is_root"))
+    ensure_checkpoint_dir(spark)
     state = state.join(roots, [*g, "anc"], "left").select(
-        *g, "node", "anc", "dist", F.coalesce("anc_is_root", F.lit(False)).alias("done")).persist()
-    unresolved = state.filter(~F.col("done")).count()
+        *g, "node", "anc", "dist", F.coalesce("anc_is_root", F.lit(False)).alias("done")).checkpoint()
+    total, unresolved = state.agg(F.count(F.lit(1)), F.count_if(~F.col("done"))).collect()[0]
     if max_rounds is None:
-        total = state.count()
         max_rounds = int(math.ceil(math.log2(max(total, 2)))) + 2
-    ensure_checkpoint_dir(spark)
     rounds = 0
     while unresolved > 0 and rounds < max_rounds:
         rounds += 1
@@ -71,10 +68,8 @@ def resolve_roots(edges: DataFrame, *, node: str, parent: str, group: Sequence[s
             *[F.col(f"a.{c}").alias(c) for c in g], F.col("a.node").alias("node"), F.col("b_anc").alias("anc"),
             (F.col("a.dist") + F.col("b_dist")).alias("dist"), F.coalesce(F.col("b_done"), F.lit(False)).alias("done"),
         ))
-        nxt = nxt.checkpoint() if rounds % checkpoint_every == 0 else nxt.persist()
-        now = nxt.filter(~F.col("done")).count()
-        state.unpersist()
-        state = nxt
+        state = nxt.checkpoint()
+        now = state.filter(~F.col("done")).count()
         if now == unresolved:
             break
         unresolved = now

@@ -227,11 +227,11 @@ def q_cap13(spark, sf_dir):
 
 
 @reg("fc01_uneven_file_groups", _LATEST + """
-SELECT server_name, database_id, CAST(count(DISTINCT size_pages) AS BIGINT) AS distinct_sizes,
+SELECT server_name, database_id, file_id % 2 + 1 AS data_space_id, CAST(count(DISTINCT size_pages) AS BIGINT) AS distinct_sizes,
        CAST(count(DISTINCT (growth, is_percent_growth)) AS BIGINT) AS distinct_growths, CAST(count(*) AS BIGINT) AS files
 FROM inv WHERE type_desc = 'ROWS' GROUP BY ALL HAVING count(DISTINCT size_pages) > 1 OR count(DISTINCT (growth, is_percent_growth)) > 1""")
 def q_fc01(spark, sf_dir):
-    return cap.uneven_groups(inventory(spark, sf_dir))
+    return cap.uneven_groups(inventory(spark, sf_dir).withColumn("data_space_id", F.col("file_id") % 2 + 1))
 
 
 @reg("fc02_multiple_logs_per_drive", _LATEST + """
