@@ -59,13 +59,10 @@ def finite_vectors(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def parts_for(n_bytes: int, target: int = 64 << 20, least: int = 16) -> int:
+    """Partitions of about ``target`` bytes."""
     return max(least, math.ceil(n_bytes / target))
 
 
-def ceil_log2(n: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, n))))
-
-
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the edges (a, b)."""
     root = np.arange(n)

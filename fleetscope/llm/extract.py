@@ -7,11 +7,14 @@ block) before the exchange.  The lines of a pair are aligned by longest common s
 furniture that the host repeats from page to page, are deleted.
 
 Structure decides where the page states it: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments (by element or by class, id or role) are no lines at all, nor is what the attributes
+scripts, styles and comments (by element, or outside articles by words of class, id or role) are no lines at all, nor is what the attributes
 hidden, aria-hidden or style (display:none) hide; a class, id or role drops no article or main element that it
 holds (one about comments or related pages only if the page has another).  The lines inside
-article or main elements are the text of a page that has them, and none is deleted, for articles rightly
-quote and copy each other; differencing decides on the other pages.  Pages whose lines are
+article or main elements are the text of a page that has them.  Inside, a class, id or role drops a block only where a
+whole name says that it holds adverts or reader comments (``ads``, ``comment-list``); blocks that other furniture words mark
+(``search-results``, ``related-work``) are lines that differencing judges: they go if a neighbour shares them.
+The unmarked lines of an article are never deleted, for articles rightly
+quote and copy each other; on pages without article or main, differencing judges all lines.  Pages whose lines are
 all equal are copies and prove nothing about each other: each meets the nearest pages with other lines, and
 the second of them if it shares no line with the first.  Where the first shares nearly all lines (a near copy, or
 much furniture and little text), only lines that both have are deleted; a single such neighbour decides alone.
@@ -26,16 +29,17 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import CHUNK_BYTES, cut
+from fleetscope.llm.common import CHUNK_BYTES, cut, parts_for
 
 #: Elements (fixed values of the markup language).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select".split())
 FURNITURE = frozenset("nav header footer aside form head button dialog menu fieldset figcaption".split()) - {"figcaption"}
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -55,8 +59,18 @@ _WORDS = re.compile(r"[a-z]+")
 OTHERS = frozenset("comment comments reply replies disqus respond related recommended".split())
 #: Class, id, role or itemprop of an article element that is a comment.
 _COMMENT = re.compile(r"(?:(?:div|li|user|reader|child|nested)[-_]+)?(?:comment|reply)(?:[-_]+(?:body|item|content|entry|text|\d+))?", re.I)
+#: Names that state adverts or reader comments also inside an article.
+_INNER = re.compile(r"(?:ad|ads|advert|adverts|advertisement|advertisements|sponsored|comments|(?:user|reader)[-_]comments?|comments?[-_](?:list|section|area|thread|form))", re.I)
 #: Why an element drops what it holds: stated for good, by a word that an article or main element inside overrules, by a word of OTHERS.
 STATED, WORD, OTHER_WORD = 1, 2, 3
+#: Where a line stands: outside, inside article or main, inside and marked by a furniture word.
+OUTSIDE, INSIDE, MARKED = 0, 1, 2
+
+
+def _inner(attrs: str) -> bool:
+    """Whether a class, id or role names adverts or reader comments."""
+    return any(_INNER.fullmatch(v) for key, value in _ATTR.findall(attrs) if key.lower() in ("class", "id", "role")
+               for v in value.strip("\"'").split())
 
 
 def _marked(name: str, attrs: str) -> int:
@@ -78,43 +92,82 @@ def _marked(name: str, attrs: str) -> int:
     return word
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """Blocks outside stated furniture, in page order: (text, inside article or main)."""
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """Blocks outside stated furniture, in page order: (text, OUTSIDE, INSIDE or MARKED)."""
     out, lost = _parse(page, (WORD,))
     if lost and not any(k for _, k in out):
         out, _ = _parse(page, (WORD, OTHER_WORD))  # the only article stands in a wrapper with such a word
     return out
 
 
-def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, bool]], bool]:
+class _Open:
+    """The open elements of a page: a stack with counts, so that no end tag searches it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, bool]] = []  # name, why it drops, era of that, marks its lines
+        self.names: dict[str, int] = {}
+        self.drops = dict.fromkeys((STATED, WORD, OTHER_WORD), 0)
+        self.era = self.inside = self.marked = 0
+
+    def push(self, name: str, drops: int, marks: bool) -> None:
+        self.stack.append((name, drops, self.era, marks))
+        self.names[name] = self.names.get(name, 0) + 1
+        if drops:
+            self.drops[drops] += 1
+        self.marked += marks
+        self.inside += name in KEEP
+
+    def pop(self) -> str:
+        name, drops, era, marks = self.stack.pop()
+        self.names[name] -= 1
+        if drops and era == self.era:
+            self.drops[drops] -= 1
+        self.marked -= marks
+        self.inside -= name in KEEP
+        return name
+
+    def forgive(self) -> None:
+        """No open element drops any longer what it holds."""
+        self.era += 1
+        self.drops = dict.fromkeys(self.drops, 0)
+
+    @property
+    def dropping(self) -> bool:
+        return any(self.drops.values())
+
+    def close_paragraph(self) -> None:
+        """A block start ends an open paragraph, with the inline elements in it."""
+        if self.names.get("p"):
+            k = len(self.stack) - 1
+            while k >= 0 and self.stack[k][0] not in BLOCKS:
+                k -= 1
+            if k >= 0 and self.stack[k][0] == "p":
+                while len(self.stack) > k:
+                    self.pop()
+
+
+def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, int]], bool]:
     """Lines, and whether an article or main element was dropped for a word; drops for reasons of ``soft`` end at an article or main element."""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     lost = False
     if not page:
         return out, lost
-    stack: list[tuple[str, int]] = []  # open elements and why they drop what they hold
-    dropping = inside = 0
+    now = _Open()
     parts: list[str] = []
 
     def flush():
         if parts:
             t = " ".join(html.unescape("".join(parts)).split())
             if t:
-                out.append((t, inside > 0))
+                out.append((t, (MARKED if now.marked else INSIDE) if now.inside else OUTSIDE))
             parts.clear()
 
-    def pop():
-        nonlocal dropping, inside
-        name, drops = stack.pop()
-        dropping -= drops > 0
-        inside -= name in KEEP
-
     pos, size = 0, len(page)
     while pos < size:
         m = _TAG.search(page, pos)
         if not m:
             break
-        if m.start() > pos and not dropping:
+        if m.start() > pos and not now.dropping:
             parts.append(page[pos:m.start()])
         pos = m.end()
         if m[2] is None:
@@ -123,23 +176,14 @@ def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, boo
         if m[1]:
             if name in BLOCKS:
                 flush()
-            if any(n == name for n, _ in stack):
-                # an end tag closes what it holds, but never reaches out of an article or furniture by mistake
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if now.names.get(name):
+                # an end tag closes what it holds
+                while now.pop() != name:
+                    pass
             continue
         if name in BLOCKS:
             flush()
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in BLOCKS:
-                # a block start ends an open paragraph, with the inline elements in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
+            now.close_paragraph()
         elif name == "br":
             parts.append(" ")
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -149,24 +193,50 @@ def _parse(page: str | None, soft: tuple[int, ...]) -> tuple[list[tuple[str, boo
             pos = end.end() if end else size
             continue
         drops = STATED if name in FURNITURE else _marked(name, m[3])
-        if name == "header" and inside:
+        marks = False
+        if name == "header" and now.inside:
             drops = 0  # an article's own heading
-        if name in KEEP and dropping and not drops:
-            if not any(d and d not in soft for _, d in stack):
-                stack = [(n, 0) for n, _ in stack]
-                dropping = 0
-            elif not any(d == STATED for _, d in stack):
+        elif now.inside and drops in (WORD, OTHER_WORD):
+            drops, marks = (STATED, False) if _inner(m[3]) else (0, True)
+        if name in KEEP and now.dropping and not drops:
+            if not any(n and why not in soft for why, n in now.drops.items()):
+                now.forgive()
+            elif not now.drops[STATED]:
                 lost = True
-        stack.append((name, drops))
-        dropping += drops > 0
-        inside += name in KEEP
-    if pos < size and not dropping:
+        now.push(name, drops, marks)
+    if pos < size and not now.dropping:
         cut_off = _UNFINISHED.search(page, pos)
         parts.append(page[pos:cut_off.start()] if cut_off else page[pos:])
     flush()
     return out, lost
 
 
+#: bits of the table of one alignment; longer lists are halved first
+TABLE_BITS = 1 << 26
+
+
+def _prefix_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each prefix of ``b``, in memory for one row."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        if x in where:
+            u = v & where[x]
+            v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer((v ^ full).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
+
+
+def _halved(a: list[str], b: list[str]) -> set[int]:
+    """Longest common subsequence of long lists: the best place of ``b`` to meet the middle of ``a``, then both halves."""
+    mid = len(a) // 2
+    k = int((_prefix_lengths(a[:mid], b) + _prefix_lengths(a[mid:][::-1], b[::-1])[::-1]).argmax())
+    return shared(a[:mid], b[:k]) | {mid + i for i in shared(a[mid:], b[k:])}
+
+
 def shared(a: list[str], b: list[str]) -> set[int]:
     """Positions of ``a`` on a longest common subsequence with ``b`` (bit-parallel)."""
     common = set(a) & set(b)
@@ -175,6 +245,8 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     at = [i for i, x in enumerate(a) if x in common]
     right = [x for x in b if x in common]
     m = len(right)
+    if len(at) > 1 and len(at) * m > TABLE_BITS:
+        return {at[i] for i in _halved([a[i] for i in at], right)}
     where: dict[str, int] = {}
     for j, x in enumerate(right):
         where[x] = where.get(x, 0) | 1 << j
@@ -201,16 +273,20 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> str:
+def main_text(lines: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> str:
     """Text of a page given its lines and those of its neighbours, the nearest first."""
-    if any(k for _, k in lines):
-        return "\n".join(t for t, k in lines if k)
-    text = [t for t, _ in lines]
-    met = [(len(other), both) for other in others if (both := shared(text, [t for t, _ in other]))]
-    drop = met[0][1] if met else set()
-    if len(met) > 1 and len(drop) > 0.8 * max(len(text), met[0][0]):
-        drop = drop & met[1][1]  # nearly the same page: its own lines may be shared too, so both neighbours must have a line
-    return "\n".join(t for i, t in enumerate(text) if i not in drop)
+    zone = [k for _, k in lines]
+    stated = any(zone)
+    judged = [i for i, k in enumerate(zone) if k == MARKED] if stated else range(len(lines))
+    drop: set[int] = set()
+    if judged:
+        text = [t for t, _ in lines]
+        met = [(len(other), both) for other in others if (both := shared(text, [t for t, _ in other]))]
+        drop = met[0][1] if met else set()
+        if len(met) > 1 and len(drop) > 0.8 * max(len(text), met[0][0]):
+            drop = drop & met[1][1]  # nearly the same page: its own lines may be shared too, so both neighbours must have a line
+        drop = drop & set(judged)
+    return "\n".join(t for i, (t, k) in enumerate(lines) if i not in drop and (k or not stated))
 
 
 def _common(a: str, b: str) -> int:
@@ -312,7 +388,7 @@ def _pair(sent: dict[int, tuple]):
         kind = None
 
         def lines(text, flags):
-            return [(t, f > 0) for t, f in zip(whole.decompress(text).decode().split("\n"), flags, strict=True)]
+            return list(zip(whole.decompress(text).decode().split("\n"), flags, strict=True))
 
         def texts():
             nonlocal kind
@@ -365,11 +441,10 @@ def _pair(sent: dict[int, tuple]):
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parts: int | None = None) -> DataFrame:
     """Per row: id, url, text.  The text does not depend on ``parts``."""
-    spark = pages.sparkSession
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"), F.col(html_col).alias("page"))
     kind = src.schema[0].dataType.simpleString()
+    parts = parts or parts_for(src.agg(F.sum(F.octet_length("page"))).first()[0] or 0)
     src = src.mapInArrow(_to_lines, f"_id {kind}, url string, {PAGE_TYPES}")
-    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = cut(src.repartitionByRange(parts, "host", "path", "_id").sortWithinPartitions("host", "path", "_id"))
     ends = cut(dealt.mapInArrow(_ends, f"part int, slot int, {PAGE_TYPES}"))
     wanted = _carried([tuple(r) for r in ends.select("part", "slot", "host", "digest").collect()])  # at most four a range

@@ -277,7 +277,7 @@ def test_pages_with_much_furniture_copies_and_empty_neighbours(spark):
     ('<html class="overflow-hidden"><body class=hidden><div class="overflow-hidden">Some text.</div></body></html>', ["Some text."]),
     ('<p>See <a href="/hidden-gems" title="display:none">these gems</a>.</p>', ["See these gems."]),
     ('<p hidden>a</p><p aria-hidden="true">b</p><p style="color:red; DISPLAY : none">c</p><p HIDDEN="">d</p><p aria-hidden=false>e</p>', ["e"]),
-    ('<div class="container has-sidebar"><p>lead</p><article><p>Text.</p><div class="share">s</div></article></div>', ["Text."]),
+    ('<div class="container has-sidebar"><p>lead</p><article><p>Text.</p><div class="ads">s</div></article></div>', ["Text."]),
     ('<article><p>Text.</p></article><div class="related"><article>Other</article></div><div id="comments"><article>Me too</article></div>', ["Text."]),
     ('<div class="post comments-open"><article>Text.</article></div>', ["Text."]),
     ('<article class="post has-comments">Text.<article class="comment">Me too</article></article><article id="div-comment-7">x</article>', ["Text."]),
@@ -288,6 +288,50 @@ def test_page_attributes_and_literal_signs(page, want):
     assert [t for t, *_ in extract.lines_of(page)] == want
 
 
+@pytest.mark.parametrize(("inner", "kept"), [
+    ('<div class="search-results">Found.</div>', True), ('<div class="notice-of-motion">Moved.</div>', True), ('<section id="related-work">Others.</section>', True),
+    ('<div class="content side">Next.</div>', True), ('<section class="reply">Answer.</section>', True), ('<div class="footer-height-calc">x</div>', True),
+    ('<math><mi>x</mi><mo>=</mo><mn>1</mn></math>', True), ('<div class="comments"><p>Me too</p></div>', False), ('<div class="ad">Buy</div>', False),
+    ('<ul class="comment-list"><li>Me too</ul>', False), ('<aside>More</aside>', False), ('<form>Send</form>', False), ('<div hidden>x</div>', False)])
+def test_blocks_inside_articles(inner, kept):
+    """A furniture word marks a block inside an article for differencing only; adverts, comments and furniture elements go."""
+    for tag in ("main", "article"):
+        lines = extract.lines_of(f"<body><{tag}><h1>Head</h1>{inner}<p>Tail</p></{tag}></body>")
+        assert [t for t, _ in lines[:1]] == ["Head"] and lines[-1] == ("Tail", extract.INSIDE)
+        assert (len(lines) == 3) == kept
+        assert (extract.main_text(lines, []).count("\n") == 2) == kept
+
+
+def test_marked_blocks_inside_articles_go_if_neighbours_share_them(spark):
+    art = '<article><h1>Title {0}</h1><p>Same words.</p><div class="share-box">Share this</div><div class="related-work">Work {0}</div></article>'
+    frame = spark.createDataFrame([(i, f"http://b.org/{i}", art.format(i)) for i in range(3)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract.extract(frame).collect()} == {i: f"Title {i}\nSame words.\nWork {i}" for i in range(3)}
+
+
+def test_broken_and_long_pages_take_linear_time():
+    import time
+
+    def took(page):
+        t = time.time()
+        extract.lines_of(page)
+        return time.time() - t
+
+    for page in ("<div>" * 40_000 + "x" + "</div></span>" * 40_000, "<b>" * 40_000 + "<p>x" * 40_000, "<div class=ad><article>x" * 20_000,
+                 "<p><i>x</b>" * 40_000):
+        assert took(page) < 5
+    rng = random.Random(1)
+    a, b = [[rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(3000)] for _ in range(2)]
+    whole = extract.shared(a, b)
+    extract.TABLE_BITS, old = 1 << 12, extract.TABLE_BITS
+    try:
+        halved = extract.shared(a, b)
+    finally:
+        extract.TABLE_BITS = old
+    assert len(halved) == len(whole)
+    it = iter(b)
+    assert all(a[i] in it for i in sorted(halved))
+
+
 def test_articles_keep_lines_that_neighbours_share(spark):
     art = "<div>Menu</div><article><h1>Title {0}</h1><ul><li>2 eggs</li></ul><table><tr><th>Size<td>12<td>Yes</table><pre>x = 1</pre><div>O wind</div></article>"
     frame = spark.createDataFrame([(i, f"http://b.org/{i}", art.format(i)) for i in range(3)], "page_id long, url string, html string")
