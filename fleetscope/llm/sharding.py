@@ -5,15 +5,17 @@ Rows are ordered by (hash of the text, hash of the id); equal texts are neighbou
 boundaries in the interval of each unsettled splitter, counts the exact bytes below each
 boundary over all partitions (partial histograms per task, summed by Spark), and narrows the
 interval.  A splitter settles when the bytes below it are within ``tolerance`` of a shard of its goal;
-if a group of equal texts is too heavy for that, the search goes on inside it by the id's hash.
-The driver sees histograms only.  Rows are then exchanged once.
+if a group of equal texts is too heavy for that, the search goes on inside it by the id's hash, and rows that are equal in
+text and id are cut by their number.  The driver sees histograms only.  Rows are then exchanged once; rows of a key that is cut by
+number (fewer such keys than shards) are numbered first, over ranges of equal depth.
 
 Law ``bytes``: the sizes of the shards are equal but for the tolerance and the size of a
 single row.  Groups of equal texts stay in one shard unless they cross a boundary and are
 heavier than the tolerance allows.
 
 Null and empty texts have size 16 (the row's overhead).  Rows that repeat an id are neighbours;
-null ids sort like a hash of null.  An empty table gives no rows.  Extra columns are passed on.
+null ids sort like a hash of null.  An empty table gives no rows.  Extra columns are passed on; input columns
+named size, shard or slot are replaced by the results.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import cut
+from fleetscope.operators.relational import row_number_in_key
 
 OVERHEAD = 16
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -109,10 +112,11 @@ def _search(rows: DataFrame, goals: list[tuple[int, float]], tol: float, totals:
     return [found[x] for x in range(len(goals))]
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float, whole: float = 0.01, probes: int = 64) -> list[tuple[int, int]]:
-    """Boundaries (k1, k2), ascending; rows (k1, k2, size).  A row belongs to the shard of the boundaries <= its key.
+def splitters(rows: DataFrame, shards: int, tolerance: float, whole: float = 0.01, probes: int = 64) -> list[tuple[int, int, int]]:
+    """Boundaries (k1, k2, number), ascending; rows (k1, k2, size).  A row belongs to the shard of the boundaries <= its key and number.
 
-    A group of one key k1 of at most ``whole`` of a shard is not cut: the boundary takes its nearer side.
+    Rows of one key (k1, k2) are numbered from 0; a number above 0 cuts such rows.  A group of one key k1 of at most ``whole`` of a
+    shard is not cut: the boundary takes its nearer side.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     if not total:
@@ -121,13 +125,13 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, whole: float = 0.0
     tol = tolerance * total / shards
     lane0 = rows.select(F.lit(0).alias("lane"), F.col("k1").alias("k"), "size")
     first = _search(lane0, [(0, g) for g in goals], tol, {0: total}, probes)
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     inner: list[int] = []
     for x, (k, below, upto, n) in enumerate(first):
         if n > 1 and upto - below > whole * total / shards:
             inner.append(x)
         # a boundary that was found has n = 0; otherwise the nearer side of the key's rows
-        out.append((k + (n > 0 and goals[x] - below > upto - goals[x]), LOW))
+        out.append((k + (n > 0 and goals[x] - below > upto - goals[x]), LOW, 0))
     if inner:
         heavy = sorted({first[x][0] for x in inner})  # at most shards - 1 keys
         lane_of = {k: i for i, k in enumerate(heavy)}
@@ -138,23 +142,32 @@ def splitters(rows: DataFrame, shards: int, tolerance: float, whole: float = 0.0
         totals = {lane_of[first[x][0]]: first[x][2] - first[x][1] for x in inner}
         want = [(lane_of[first[x][0]], goals[x] - first[x][1]) for x in inner]
         for x, (_, goal), (k2, at, most, n) in zip(inner, want, _search(inside, want, tol, totals, probes), strict=True):
-            # rows with the very same key stay together: take the nearer side
-            out[x] = (first[x][0], k2 + (n > 0 and goal - at > most - goal))
+            # rows with the very same key have one size: so many of them stay below
+            number = round((goal - at) / ((most - at) / n)) if n else 0
+            out[x] = (first[x][0], k2 + (n > 0 and number >= n), number if number < n else 0)
     return sorted(out)
 
 
-def shard_of(bounds: list[tuple[int, int]]):
-    """pandas_udf (k1, k2) -> shard."""
-    b1 = np.array([b[0] for b in bounds], np.int64)
-    b2 = np.array([b[1] for b in bounds], np.int64)
+def shard_of(bounds: list[tuple[int, int, int]]):
+    """pandas_udf (k1, k2, number) -> shard."""
+    table = np.array(bounds, np.int64).reshape(-1, 3)
 
-    def run(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        a, b = k1.to_numpy(), k2.to_numpy()
-        lo = np.searchsorted(b1, a, side="left").astype(np.int32)
-        same = np.searchsorted(b1, a, side="right")
-        for x in np.nonzero(same > lo)[0]:
-            lo[x] += int(np.searchsorted(b2[lo[x]:same[x]], b[x], side="right"))
-        return pd.Series(lo)
+    def run(*keys: pd.Series) -> pd.Series:
+        def among(lo: int, hi: int, level: int, rows: np.ndarray) -> None:
+            """Boundaries of table[lo:hi] (equal before ``level``) at or below the keys of ``rows``."""
+            own, key = table[lo:hi, level], cols[level][rows]
+            out[rows] = lo + np.searchsorted(own, key, side="left" if level < 2 else "right")
+            if level < 2:
+                for v in np.unique(own):
+                    a, b = lo + np.searchsorted(own, v, side="left"), lo + np.searchsorted(own, v, side="right")
+                    same = rows[key == v]
+                    if len(same):
+                        among(int(a), int(b), level + 1, same)
+
+        cols = [k.to_numpy() for k in keys]
+        out = np.zeros(len(cols[0]), np.int32)
+        among(0, len(table), 0, np.arange(len(out)))
+        return pd.Series(out)
 
     return F.pandas_udf(run, "int")
 
@@ -167,20 +180,26 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     keys = cut(docs.select(k1.alias("k1"), k2.alias("k2"), size.alias("size")))
     n = keys.count()
     bounds = splitters(keys, shards, tolerance, probes=probes)
-    of = shard_of(bounds)
-    # a shard is dealt over ``salts`` tasks, by the id, so that neither its rows nor copies meet in one
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    first = F.lit(0).cast("long").alias("_number")
+    out = docs.select(*kept, size.alias("size"), k1.alias("_k1"), k2.alias("_k2"), first)
+    slim = keys.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), first)
+    split = sorted({b[:2] for b in bounds if b[2]})  # fewer than shards
+    if split:
+        is_split = F.struct("_k1", "_k2").isin([F.struct(F.lit(a).alias("_k1"), F.lit(b).alias("_k2")) for a, b in split])
+        numbered = row_number_in_key(out.where(is_split).drop("_number"), by=["_k1", "_k2"], order="size")
+        numbered = numbered.withColumn("_number", F.col("__rn") - 1).drop("__rn", "__n")
+        out, slim = out.where(~is_split).unionByName(numbered), slim.where(~is_split).unionByName(numbered.select("_k1", "_k2", "_number"))
+    # a shard is dealt over ``salts`` tasks, by id and number, so that neither its rows nor copies meet in one
     salts = max(1, math.ceil(n / shards / rows_per_task))
-    put = F.struct(of("k1", "k2").alias("shard"), F.pmod("k2", F.lit(salts)).cast("int").alias("salt"))
-    counts = keys.select(put.alias("p")).select("p.*").groupBy("shard", "salt").agg(F.count("*").alias("n"))
-    before = counts.select("shard", "salt", (F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")).alias("_base"))
-    out = docs.withColumns({"size": size, "_k1": k1, "_k2": k2})
-    out = out.withColumn("_p", F.struct(of("_k1", "_k2").alias("shard"), F.pmod("_k2", F.lit(salts)).cast("int").alias("salt")))
-    out = out.withColumns({"shard": F.col("_p.shard"), "_salt": F.col("_p.salt")}).drop("_p")
-    rank = F.row_number().over(Window.partitionBy("shard", "_salt").orderBy("_k1", "_k2", id_col)) - 1
-    out = out.withColumn("_r", rank).join(
-        before.select(F.col("shard").alias("_s"), F.col("salt").alias("_t"), "_base"),
-        (F.col("shard") == F.col("_s")) & (F.col("_salt") == F.col("_t")))
-    return out.withColumn("slot", (F.col("_r") + F.col("_base")).cast("long")).drop("_k1", "_k2", "_salt", "_r", "_s", "_t", "_base")
+    put = {"shard": shard_of(bounds)("_k1", "_k2", "_number") if bounds else F.lit(0),
+           "_salt": F.pmod(F.xxhash64("_k2", "_number"), F.lit(salts)).cast("int")}
+    out, counts = out.withColumns(put), slim.withColumns(put).groupBy("shard", "_salt").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("shard").alias("_s"), F.col("_salt").alias("_t"),
+                           (F.sum("n").over(Window.partitionBy("shard").orderBy("_salt")) - F.col("n")).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_salt").orderBy("_k1", "_k2", "_number", id_col)) - 1
+    out = out.withColumn("_r", rank).join(before, (F.col("shard") == F.col("_s")) & (F.col("_salt") == F.col("_t")))
+    return out.withColumn("slot", (F.col("_r") + F.col("_base")).cast("long")).select(*kept, "size", "shard", "slot")
 
 
 def digest(docs: DataFrame) -> DataFrame:

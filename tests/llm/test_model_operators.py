@@ -64,6 +64,32 @@ def test_shards_are_even_and_gapless(spark, shards):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+@pytest.mark.parametrize("who", [None, 7])
+def test_equal_rows_are_cut_by_number(spark, who):
+    """A third of all rows are one row, with one id or none: every shard still gets its bytes, and input columns of result names are replaced."""
+    rows = [(i, prose(i, 5 + i % 40), "en", "s") for i in range(2000)] + [(who, prose(5000, 30), "en", "s")] * 1000
+    docs = make_docs(spark, rows).repartition(5)
+    assert {"size", "shard", "slot"} <= set(docs.columns)
+    got = sharding.shard(docs, shards=20, rows_per_task=40).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == set(docs.columns)
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(size) == 20
+    assert max(size.values()) - min(size.values()) <= 0.01 * sum(size.values()) / 20 + 2 * max(r["size"] for r in got)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((r[0], r[1]) for r in rows)
+
+
+def test_boundaries_compare_by_key_then_number():
+    rng = random.Random(4)
+    bounds = sorted({tuple(rng.randrange(4) for _ in range(3)) for _ in range(12)})
+    keys = [tuple(rng.randrange(5) for _ in range(3)) for _ in range(300)]
+    got = sharding.shard_of(bounds).func(*(__import__("pandas").Series([k[i] for k in keys], dtype="int64") for i in range(3)))
+    assert got.tolist() == [sum(b <= k for b in bounds) for k in keys]
+
+
 def test_shards_of_odd_rows(spark, odd, nothing, tmp_path):
     got = sharding.digest(odd).collect()
     assert len(got) == len(odd_rows())
