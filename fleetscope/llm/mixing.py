@@ -14,8 +14,9 @@ one block per source is left.  The landing phase settles its last (two) document
 whose token total is nearest.  Documents of equal probability but very different size are fine: totals
 are balanced on sizes.
 
-Null texts have size 0 and are drawn like others.  Rows that repeat an id are drawn one by one (each
-row carries its own number of copies).  An empty table gives no rows.  Null sources form one
+Null texts have size 0 and are drawn like others.  Rows of equal id, source and size are counted and numbered: each is
+drawn for itself (each row carries its own number of copies), and blocks are dealt by id, size and number, so neither null nor
+repeated ids fill one block.  An empty table gives no rows.  Null sources form one
 source, last in the order.  Extra columns are ignored.  Draws depend only on ids, sizes and sources
 (hash-seeded), so reruns agree whatever the partitioning.
 """
@@ -41,6 +42,15 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def numbered_rows(rows: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """``rows`` with a number ``_n`` that tells equal rows apart (from 0): counted, then unfolded in chunks dealt over the tasks."""
+    cols = rows.columns
+    counted = rows.groupBy(*cols).agg(F.count("*").alias("_m"))
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / chunk)))).repartition(
+        F.xxhash64(*cols, "_part"))
+    return parts.select(*cols, F.explode(F.sequence(F.col("_part") * chunk, F.least(F.col("_m"), (F.col("_part") + 1) * chunk) - 1)).alias("_n"))
+
+
 def targets(sizes: dict, weights: dict, total: float, max_repeat: float) -> dict:
     """Capped proportional shares of ``total`` (see the module text)."""
     out = {k: 0.0 for k in sizes}
@@ -155,7 +165,7 @@ def mix(docs: DataFrame, size: Column, weight_of=None, id_col: str = "doc_id", s
     The list of sources and their totals is collected: one short row per source.
     """
     weight_of = weight_of or (lambda i, _: (5, 2, 1)[i % 3])
-    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), size.cast("long").alias("size")))
+    rows = cut(numbered_rows(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), size.cast("long").alias("size"))))
     per = {r["_src"]: (r["s"], r["n"]) for r in rows.groupBy("_src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()}
     names = sorted((s for s in per if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in per)
     weights = {s: weight_of(i, s) for i, s in enumerate(names)}
@@ -169,11 +179,11 @@ def mix(docs: DataFrame, size: Column, weight_of=None, id_col: str = "doc_id", s
         "_s string, src int, source_size long, target double, c double, blocks int, share double")
     # one row per source, its number is known: a long source list is shuffled
     base = rows.join(F.broadcast(plan) if len(names) <= FEW_SOURCES else plan, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
-    u = F.pmod(F.xxhash64("_id", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
-    key = F.xxhash64("_id", "size", F.lit(seed))
+    u = F.pmod(F.xxhash64("_id", "size", "_n", F.lit(seed + 2)), F.lit(1 << 30)) / float(1 << 30)
+    key = F.xxhash64("_id", "size", "_n", F.lit(seed))
     base = base.select("_id", "_src", "src", "size", "source_size", "target", F.floor("c").cast("int").alias("whole"),
                        (F.col("c") - F.floor("c")).alias("pi"), key.alias("key"),
-                       F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.col("blocks").cast("long")).cast("int").alias("block"), (u < F.col("share")).alias("_held"))
+                       F.pmod(F.xxhash64("_id", "size", "_n", F.lit(seed + 1)), F.col("blocks").cast("long")).cast("int").alias("block"), (u < F.col("share")).alias("_held"))
     marked, base = base, base.drop("_held")
     schema = base.schema
     most = max((max(1, math.ceil(n / block)) for _, n in per.values()), default=1)

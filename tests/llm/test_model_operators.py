@@ -31,6 +31,28 @@ def test_mix_meets_targets_and_repeats(spark):
     assert math.isclose(sum(target.values()), sum(r["size"] for r in got))
 
 
+def test_mix_blocks_with_null_and_repeated_ids(spark, monkeypatch):
+    """A third of the ids null, a third one and the same: no block is much larger than the mean, targets are met, reruns agree."""
+    from pyspark.sql.types import LongType
+
+    rng = random.Random(5)
+    words = [prose(i, rng.choice([3, 20, 60, 100])) for i in range(60)]
+    rows = [([None, 7, i][i % 3], rng.choice(words), "en", "ab"[i % 2]) for i in range(6000)]
+    docs = make_docs(spark, rows).repartition(3)
+    numbered = mixing.numbered_rows(docs.select("doc_id", "source", F.length("text").alias("size")), chunk=7)
+    blocks = numbered.groupBy("source", F.pmod(F.xxhash64("doc_id", "size", "_n", F.lit(7)), F.lit(30))).count().toPandas()["count"]
+    assert numbered.count() == 6000 and blocks.max() < 2 * blocks.mean()
+    got = mixing.mix(docs, mixing.word_count(F.col("text")), block=200, reserve=40).collect()
+    again = mixing.mix(docs.repartition(5), mixing.word_count(F.col("text")), block=200, reserve=40).collect()
+    assert sorted(got, key=str) == sorted(again, key=str)
+    assert collections.Counter((r["doc_id"], r["source"]) for r in got) == collections.Counter((r[0], r[3]) for r in rows)
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 0.01 * r["target"] for r in got)
+    assert isinstance(numbered.schema["_n"].dataType, LongType)
+
+
 def test_mix_caps_and_odd_rows(odd, nothing):
     sizes = {"a": 10, "b": 1000, None: 0}
     t = mixing.targets(sizes, {"a": 5, "b": 2, None: 1}, 1010, 3)
