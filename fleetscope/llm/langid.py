@@ -3,7 +3,7 @@
 Subwords are the 2-, 3- and 4-byte grams of the lower-cased text (ASCII signs and digits
 read as spaces), hashed into ``1 << bits`` rows.  A text is the mean of its gram embeddings;
 a linear softmax on it is trained by stochastic gradient descent in numpy on a bounded sample of
-labelled documents (``sample`` in all, equally many per language, chosen by a hash of the id;
+labelled documents (``sample`` in all, equally many per language, chosen by a hash of id and text, equal rows once;
 ``grams`` grams of each).  A temperature, fitted on a part of the sample kept aside, calibrates the
 probabilities, and the rejection threshold is the lowest score whose accuracy there reaches
 ``accept``.  As the model is linear after averaging, prediction sums one table row of class scores per gram
@@ -112,9 +112,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0.0)
     for lang, n in count.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    key = F.xxhash64(F.col(id_col), F.lit(4))
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(4))
     picked = use.where(F.pmod(key, F.lit(1 << 30)) / float(1 << 30) < share).select(
-        key.alias("key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+        key.alias("key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).dropDuplicates(["key"])
     got = picked.mapInArrow(_grams_of(bits, grams), "g array<int>, lang string").toPandas()
     rows = [np.asarray(g, np.int64) for g in got["g"]]
     y = np.array([langs.index(v) for v in got["lang"]], np.int64)

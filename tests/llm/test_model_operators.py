@@ -150,10 +150,42 @@ def test_toxicity_learns_and_scores(spark, odd, nothing):
     assert none["terms"].keys() == set(toxicity.SEED_TERMS)
 
 
+def test_toxicity_learns_exceptions(spark):
+    """A term that is harmless after one word: the phrase is learned from clean documents and spared."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(i, 50).split()
+        if i % 3 == 0:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), "grumbol")
+        elif i % 24 == 1:
+            w.insert(rng.randrange(len(w)), "harbour grumbol")
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, int(i % 3 == 0)))
+    model = toxicity.learn(make_docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "harbour grumbol" in model["exceptions"]
+    probe = spark.createDataFrame([(0, "we met at the harbour grumbol today"), (1, "you grumbol you grumbol")], "doc_id long, text string")
+    low, high = (r["score"] for r in toxicity.score(probe, model).orderBy("doc_id").collect())
+    assert low < 0.5 <= high
+
+
+def test_samples_are_bounded_on_repeated_ids(spark):
+    """Labelled rows that repeat an id, with other texts or the same, do not fill the training sample."""
+    rows = [(1, prose(i, 20), "en", "s") for i in range(900)] + [(3, prose(5000, 20), "en", "s")] * 300 + [(10 + i, prose(6000 + i, 20), "en", "s") for i in range(50)]
+    docs = make_docs(spark, rows)
+    labels = spark.createDataFrame([(1, 1), (3, 0), *((10 + i, i % 2) for i in range(50))], "doc_id long, toxic int")
+    picked = toxicity._training(docs, labels, "doc_id", "text", "toxic", 100)
+    n = collections.Counter(r["y"] for r in picked.collect())
+    assert n[1] <= 200 and n[0] <= 30
+
+
 def test_toxicity_folding_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0})
     assert lex.score("such an 1d10t and іdіоt")[1] == 2
     assert lex.score("ｉｄｉｏｔ")[1] == 1
+    assert lex.score("ІDІОТ, IDIOT and Іdiоt")[1] == 3  # capitals of Cyrillic look like Latin ones
+    assert lex.phrases("the old Trash heap, an idiot") == {"old trash", "trash heap", "an idiot"}
     assert lex.score("an id!ot, tr@sh")[1] == 2 and toxicity.unleet("lo!! this$$$ 2nd 1990") == "lo!! this$$$ 2nd 1990"
     assert lex.score("put it in the trash can, trash it")[1] == 1
     assert lex.score("notidiot 4 2010 a1") [1] == 0
