@@ -20,6 +20,7 @@ PLAN_MODULES = [
     "q_relational",
     "q_rules_extra",
     "q_functions",
+    "q_health",
 ]
 
 
