@@ -322,6 +322,19 @@ def replica_lag(replicas: DataFrame, *, max_lag_seconds: int = 60, group: str =
                     .alias("status"))
 
 
+def restore_latency(secondaries: DataFrame, as_of) -> DataFrame:
+    """BK-11: minutes (boundaries) since a log-shipping secondary's last restore against its threshold."""
+    minutes = datediff_boundary("minute", F.col("last_restored_date"), F.lit(as_of))
+    return secondaries.select("secondary_server", "secondary_database", "restore_threshold_minutes", "last_restored_date",
+                              minutes.alias("minutes_since_restore"),
+                              F.when(minutes > F.col("restore_threshold_minutes"), "ALERT - Restore threshold exceeded").otherwise("OK").alias("status"))
+
+
+def unsynchronized_replicas(replicas: DataFrame, *, fine: Sequence[str] = ("SYNCHRONIZED",)) -> DataFrame:
+    """BK-11: replicas of each database whose known synchronization state is none of ``fine``."""
+    return replicas.filter(~F.col("synchronization_state").isin(list(fine)))
+
+
 def new_history_rows(incoming: DataFrame, existing: DataFrame, *, key: Sequence[str] = ("server_name",
                                                                                           "backup_set_id")) -> DataFrame:
     """BK-12 / JN-5: rows of ``incoming`` not yet in ``existing`` (left anti

@@ -140,6 +140,106 @@ def usage_rules(*, high_writes: int = 10000, read_cap: int = 10000, ratio: int =
     ]
 
 
+def heap_findings(catalog: DataFrame, *, uptime_days: float = 1.0) -> DataFrame:
+    """IX-12: heaps whose rows were deleted though few of their fetches are forwarded (rule 49), and nonclustered primary keys
+    of tables that are heaps (rule 47, a semi join on the table)."""
+    heaps = catalog.filter(F.col("index_type") == 0)
+    deletes = heaps.groupBy(*TBL).agg(F.sum("leaf_deletes").alias("leaf_deletes"), F.sum("forwarded_fetches").alias("forwarded"))
+    a = run_rules(deletes, [Rule(49, 200, "Indexes Worth Reviewing", "Heaps with Deletes",
+                                 f"leaf_deletes > 0 AND forwarded < 1000 * {uptime_days}D",
+                                 "concat(leaf_deletes, ' deletes against heap: ', table_name)", "leaf_deletes")])
+    keys = catalog.filter((F.col("index_type") == 2) & F.col("is_primary_key")).join(heaps.select(*TBL).distinct(), TBL, "left_semi")
+    b = run_rules(keys, [Rule(47, 100, "Indexes Worth Reviewing", "Heap with a Nonclustered Primary Key", "true",
+                              "concat(index_name, ' on heap ', table_name)")])
+    return a.unionByName(b)
+
+
+# Descriptive rules (IX-15) over the facts of an index, of a table's columns, of a statistic and of a resumable operation.
+DESCRIPTIVE_INDEX_RULES = [
+    Rule(34, 80, "Abnormal Design Pattern", "Filter Columns Not In Index Definition", "filter_columns_not_in_index IS NOT NULL", "filter_columns_not_in_index"),
+    Rule(124, 80, "Abnormal Design Pattern", "History Table With NonClustered Index", "is_history_table AND index_type = 2", "index_name"),
+    Rule(60, 150, "Abnormal Design Pattern", "XML Index", "index_kind = 'XML'", "index_name"),
+    Rule(61, 150, "Abnormal Design Pattern", "NC Columnstore Index", "index_kind = 'NC COLUMNSTORE'", "index_name"),
+    Rule(61, 150, "Abnormal Design Pattern", "Clustered Columnstore Index", "index_kind = 'CLUSTERED COLUMNSTORE'", "index_name"),
+    Rule(62, 150, "Abnormal Design Pattern", "Spatial Index", "index_kind = 'SPATIAL'", "index_name"),
+    Rule(63, 150, "Abnormal Design Pattern", "Compressed Index", "data_compression LIKE '%PAGE%' OR data_compression LIKE '%ROW%'", "index_name"),
+    Rule(64, 150, "Abnormal Design Pattern", "Partitioned Index", "partition_key IS NOT NULL", "concat(index_name, ' by ', partition_key)"),
+    Rule(65, 150, "Abnormal Design Pattern", "Non-Aligned Index on a Partitioned Table", "partition_key IS NULL AND table_partition_key IS NOT NULL", "index_name"),
+    Rule(73, 150, "Abnormal Design Pattern", "In-Memory OLTP", "index_kind = 'MEMORY'", "index_name"),
+    Rule(121, 200, "Specialized Indexes", "Optimized For Sequential Keys", "optimize_sequential_key", "index_name"),
+]
+DESCRIPTIVE_TABLE_RULES = [
+    Rule(69, 150, "Abnormal Design Pattern", "Column Collation Does Not Match Database Collation", "other_collation > 0",
+         "concat(table_name, ' has ', other_collation, ' column', CASE WHEN other_collation > 1 THEN 's' ELSE '' END, ' with a different collation')", "other_collation"),
+    Rule(70, 200, "Abnormal Design Pattern", "Replicated Columns", "replicated > 0",
+         "concat(table_name, ': ', replicated, ' of ', columns, ' column', CASE WHEN columns > 1 THEN 's' ELSE '' END, ' replicated')", "replicated"),
+    Rule(74, 200, "Abnormal Design Pattern", "Identity Column Using a Negative Seed or Increment Other Than 1", "odd_identities > 0", "table_name", "odd_identities"),
+    Rule(99, 100, "Forced Serialization", "Computed Column with Scalar UDF", "computed_by_function > 0", "table_name", "computed_by_function"),
+    Rule(94, 100, "Forced Serialization", "Check Constraint with Scalar UDF", "checked_by_function > 0", "table_name", "checked_by_function"),
+]
+CASCADE_RULES = [
+    Rule(71, 150, "Abnormal Design Pattern", "Cascading Updates or Deletes", "on_delete <> 'NO_ACTION' OR on_update <> 'NO_ACTION'",
+         "concat(fk_name, CASE WHEN on_delete <> 'NO_ACTION' THEN concat(' ON DELETE ', on_delete) ELSE '' END, "
+         "CASE WHEN on_update <> 'NO_ACTION' THEN concat(' ON UPDATE ', on_update) ELSE '' END)"),
+]
+
+
+def statistics_rules(usual_sampling: float | None = None) -> list[Rule]:
+    """IX-15: statistics without recompute and with a persisted sampling rate other than the usual one."""
+    odd = "persisted_sample_percent > 0.0001" + (f" AND abs({usual_sampling}D - persisted_sample_percent) > 0.1" if usual_sampling is not None else "")
+    return [
+        Rule(92, 90, "Statistics Warnings", "Statistics With NO RECOMPUTE", "no_recompute", "stats_name"),
+        Rule(125, 90, "Statistics Warnings", "Persisted Sampling Rates (Unexpected)", odd, "stats_name", "persisted_sample_percent"),
+    ]
+
+
+RESUMABLE_RULES = [
+    Rule(122, 10, "Resumable Indexing", "Resumable Index Operation Paused", "state = 1", "concat(index_name, ' at ', percent_complete, '%')", "percent_complete"),
+    Rule(123, 10, "Resumable Indexing", "Resumable Index Operation Running", "state = 0", "concat(index_name, ' at ', percent_complete, '%')", "percent_complete"),
+]
+
+
+def descriptive_findings(indexes: DataFrame | None = None, columns: DataFrame | None = None, fks: DataFrame | None = None,
+                         stats: DataFrame | None = None, resumable: DataFrame | None = None, *, usual_sampling: float | None = None) -> DataFrame:
+    """IX-15: descriptive findings over the catalog tables that are given.
+
+    A table's partition key is that of its heap or clustered index (an equi-join on the table); column rules run over
+    one row of counts per table; databases without filtered index and indexed view are found by an aggregate (rule 32)."""
+    parts = []
+    if indexes is not None:
+        base = indexes.filter(F.col("index_type").isin(0, 1)).groupBy(*TBL).agg(F.max("partition_key").alias("table_partition_key"))
+        parts.append(run_rules(indexes.join(base, TBL, "left"), DESCRIPTIVE_INDEX_RULES))
+        plain = indexes.groupBy("server_name", "database_name").agg(F.count_if((F.col("filter_definition") != "") | F.col("is_indexed_view")).alias("n"))
+        parts.append(run_rules(plain, [Rule(32, 250, "Omitted Index Features", "No Filtered Indexes or Indexed Views", "n = 0", "database_name")]))
+    if columns is not None:
+        def many(cond):
+            return F.count_if(cond).alias
+
+        g = columns.groupBy(*TBL).agg(
+            F.count(F.lit(1)).alias("columns"), many(F.col("collation_name") != F.col("database_collation"))("other_collation"),
+            many(F.col("is_replicated"))("replicated"), many((F.col("seed_value") < 0) | (F.col("increment_value") != 1))("odd_identities"),
+            many(F.col("computed_by_function"))("computed_by_function"), many(F.col("checked_by_function"))("checked_by_function"))
+        parts.append(run_rules(g, DESCRIPTIVE_TABLE_RULES))
+    if fks is not None:
+        parts.append(run_rules(fks, CASCADE_RULES))
+    if stats is not None:
+        parts.append(run_rules(stats, statistics_rules(usual_sampling)))
+    if resumable is not None:
+        parts.append(run_rules(resumable, RESUMABLE_RULES))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def grant_statements(permissions: DataFrame, principals: DataFrame, objects: DataFrame) -> DataFrame:
+    """IX-18: ``GRANT`` text of permissions granted on tables, views and procedures, by principal and object."""
+    p = permissions.filter(F.col("state_desc") == "GRANT").join(principals, F.col("grantee_principal_id") == F.col("principal_id"))
+    j = p.join(objects.filter(F.col("object_type").isin("U", "V", "P")), F.col("major_id") == F.col("object_id"))
+    text = F.concat(F.lit("GRANT "), F.col("permission_name"), F.lit(" ON [dbo].["), F.col("object_name"), F.lit("] TO ["), F.col("principal_name"), F.lit("];"))
+    return j.select(text.alias("grant_statement"), "principal_name", "object_name")
+
+
 def recency_rules(as_of: str) -> list[Rule]:
     """IX-13: recently created (7 days) / modified (2 days) relative to the
     ``as_of`` timestamp literal (never ``now()``)."""

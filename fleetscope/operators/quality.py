@@ -125,6 +125,13 @@ def inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def object_counts(objects: DataFrame, *, group: Sequence[str] = ("database_name",), type_col: str = "object_type") -> DataFrame:
+    """DQ-7: objects per database and type, with the total of the database beside them."""
+    n = objects.groupBy(*group, type_col).agg(F.count(F.lit(1)).cast("long").alias("objects"))
+    total = n.groupBy(*group).agg(F.sum("objects").cast("long").alias("total_objects"))
+    return n.join(total, list(group))
+
+
 def deprecated_references(texts: DataFrame, patterns: Sequence[str], *, text: str = "text", group: Sequence[str] = ()) -> DataFrame:
     """DQ-7: rows whose text mentions each deprecated feature (a plain
     substring), counted in one pass over the texts and turned into rows."""

@@ -410,6 +410,30 @@ def files_review(file_deltas: DataFrame, since, until, *, n: int = 5, server: st
     return file_stall_ranking(file_deltas.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) <= F.lit(until))), server=server, n=n)
 
 
+def counters_review(perf: DataFrame, since, until, *, server: str = "server_name", ts: str = "check_ts") -> DataFrame:
+    """SD-16: counters of ``[since, until]``: every sample's value, and the counter's smallest, largest and last value in the window."""
+    d = perf.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) <= F.lit(until)))
+    key = [server, "object_name", "counter_name", "instance_name"]
+    g = d.groupBy(*key).agg(F.min("cntr_value").alias("window_min"), F.max("cntr_value").alias("window_max"),
+                            F.max_by("cntr_value", ts).alias("window_last"))
+    return d.select(*key, ts, "cntr_value").join(g, key)
+
+
+def ranked_queries_review(stats: DataFrame, since, until, *, metrics: Sequence[str], key: Sequence[str], n: int = 5,
+                          server: str = "server_name", ts: str = "check_ts") -> DataFrame:
+    """SD-16: for every sort order the ``n`` largest queries of each check time in ``[since, until]`` with their rank there and
+    among all rows so chosen.  The metrics are unpivoted, so one window serves all sort orders; the overall rank sees the chosen
+    rows only."""
+    d = stats.filter((F.col(ts) >= F.lit(since)) & (F.col(ts) <= F.lit(until)))
+    long = d.select(server, ts, *key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
+        [server, ts, *key], list(metrics), "sort_order", "value")
+    order = [F.col("value").desc(), *[F.col(c) for c in key]]
+    top = long.withColumn("time_frame_rank", F.row_number().over(Window.partitionBy(server, "sort_order", ts).orderBy(*order)).cast("long"))
+    top = top.filter(F.col("time_frame_rank") <= n)
+    overall = F.row_number().over(Window.partitionBy(server, "sort_order").orderBy(F.col("value").desc(), F.col(ts), *[F.col(c) for c in key]))
+    return top.withColumn("overall_rank", overall.cast("long"))
+
+
 PERF_AVERAGE_BULK = 1073874176
 PERF_LARGE_RAW_BASE = 1073939712
 PERF_AVERAGE_FRACTION = 537003264

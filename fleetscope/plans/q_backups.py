@@ -263,6 +263,31 @@ def q_bk11(spark, sf_dir):
     return bk.replica_lag(replicas(spark, sf_dir), max_lag_seconds=86400)
 
 
+@reg("bk11_restore_latency", F3 + """
+, r AS (SELECT user_name AS secondary_server, database_name AS secondary_database, max(backup_finish_date) AS last_restored_date FROM f3 WHERE type = 'L' GROUP BY ALL),
+t AS (SELECT *, CAST(length(secondary_database) * 10000 AS BIGINT) AS restore_threshold_minutes,
+             date_diff('minute', last_restored_date, TIMESTAMP '1999-01-01') AS minutes_since_restore FROM r)
+SELECT secondary_server, secondary_database, restore_threshold_minutes, last_restored_date, minutes_since_restore,
+       CASE WHEN minutes_since_restore > restore_threshold_minutes THEN 'ALERT - Restore threshold exceeded' ELSE 'OK' END AS status FROM t""")
+def q_bk11r(spark, sf_dir):
+    r = fx.f3_backups(spark, sf_dir).filter("type = 'L'").groupBy(F.col("user_name").alias("secondary_server"), F.col("database_name").alias("secondary_database")).agg(
+        F.max("backup_finish_date").alias("last_restored_date"))
+    r = r.withColumn("restore_threshold_minutes", (F.length("secondary_database") * 10000).cast("long"))
+    return bk.restore_latency(r, dt.datetime(1999, 1, 1))
+
+
+@reg("bk11_unsynchronized_replicas", F3 + """
+, r AS (SELECT database_name, user_name AS replica, max(backup_set_id) % 5 AS s FROM f3 GROUP BY ALL)
+SELECT database_name, replica, CASE s WHEN 1 THEN 'SYNCHRONIZING' WHEN 2 THEN 'NOT SYNCHRONIZING' ELSE 'REVERTING' END AS synchronization_state
+FROM r WHERE s BETWEEN 1 AND 3""")
+def q_bk11u(spark, sf_dir):
+    s = F.max("backup_set_id") % 5
+    r = fx.f3_backups(spark, sf_dir).groupBy("database_name", F.col("user_name").alias("replica")).agg(
+        F.element_at(F.array(*[F.lit(x) for x in ("SYNCHRONIZED", "SYNCHRONIZING", "NOT SYNCHRONIZING", "REVERTING", None)]), (s + 1).cast("int"))
+        .alias("synchronization_state"))
+    return bk.unsynchronized_replicas(r)
+
+
 @reg("bk12_incremental_history_copy", F3 + """
 SELECT * FROM f3 n WHERE NOT EXISTS (SELECT 1 FROM f3 e WHERE e.backup_finish_date < TIMESTAMP '1999-01-01'
                                      AND e.server_name = n.server_name AND e.backup_set_id = n.backup_set_id)""")

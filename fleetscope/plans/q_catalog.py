@@ -336,6 +336,24 @@ def q_ix18(spark, sf_dir):
     return ix.table_ddl(fm.f5_columns(spark, sf_dir))
 
 
+@reg("ix18_grant_statements", """
+WITH p AS (SELECT o_orderkey % 200 AS obj, o_custkey % 40 AS who, (['SELECT', 'INSERT', 'EXECUTE'])[o_orderkey % 3 + 1] AS perm, o_orderkey % 5 AS st FROM orders)
+SELECT 'GRANT ' || perm || ' ON [dbo].[obj' || obj || '] TO [user' || who || '];' AS grant_statement, 'user' || who AS principal_name, 'obj' || obj AS object_name
+FROM p WHERE st > 0 AND obj % 4 <> 3 AND who < 35""")
+def q_ix18g(spark, sf_dir):
+    o = fx._t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    permissions = o.select((k % 200).alias("major_id"), (F.col("o_custkey") % 40).alias("grantee_principal_id"),
+                           F.element_at(F.array(F.lit("SELECT"), F.lit("INSERT"), F.lit("EXECUTE")), (k % 3 + 1).cast("int")).alias("permission_name"),
+                           F.when(k % 5 == 0, "DENY").otherwise("GRANT").alias("state_desc"))
+    objects = o.select((k % 200).alias("object_id")).distinct().select(
+        "object_id", F.concat(F.lit("obj"), F.col("object_id").cast("string")).alias("object_name"),
+        F.element_at(F.array(*[F.lit(x) for x in ("U", "V", "P", "SQ")]), (F.col("object_id") % 4 + 1).cast("int")).alias("object_type"))
+    principals = o.select((F.col("o_custkey") % 40).alias("principal_id")).distinct().filter("principal_id < 35").select(
+        "principal_id", F.concat(F.lit("user"), F.col("principal_id").cast("string")).alias("principal_name"))
+    return ix.grant_statements(permissions, principals, objects)
+
+
 @reg("ix19_filter_candidate_columns", "WITH " + COLS_SQL + """
 SELECT * FROM cols WHERE lower(column_name) LIKE 'is%' OR lower(column_name) LIKE '%archive%'
    OR lower(column_name) LIKE '%active%' OR lower(column_name) LIKE '%flag%'""")

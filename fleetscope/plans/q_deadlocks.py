@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import deadlocks as dl
 from ..sources.events import parse_deadlocks, shred_events
 from ..session import scratch_path
+from . import fixtures as fx
 from .fixture_f6 import f6_events
 
 QUERIES: dict = {}
@@ -128,6 +131,20 @@ def q_dl05(spark, sf_dir):
     return dl.label_objects(edges(spark, sf_dir))
 
 
+@reg("dl05_objects_by_partition_id", F6 + """
+, e AS (SELECT *, event_id % 1000 AS hobt_id, event_id % 3 = 0 AS unnamed FROM edges)
+SELECT event_id, event_ts, lock_kind, index_name, db_id, resource_mode, owner_id, owner_mode, waiter_id, waiter_mode, hobt_id,
+       CASE WHEN NOT unnamed THEN object_name WHEN hobt_id < 900 AND (db_id + hobt_id) % 2 = 0 THEN 'dbo.tbl' || hobt_id END AS object_name FROM e""")
+def q_dl05p(spark, sf_dir):
+    e = edges(spark, sf_dir).withColumn("hobt_id", F.col("event_id") % 1000).withColumn(
+        "object_name", F.when(F.col("event_id") % 3 != 0, F.col("object_name")))
+    # the catalog of the databases that occur: a partition id of each database stands for a table, some ids are unknown
+    ids = fx._t(spark, sf_dir, "orders").select((F.col("o_orderkey") % 900).alias("partition_id")).distinct()
+    catalog = ids.withColumn("db_id", F.explode(F.sequence(F.lit(0), F.lit(60)))).filter((F.col("db_id") + F.col("partition_id")) % 2 == 0).select(
+        "db_id", "partition_id", F.lit("dbo").alias("schema_name"), F.concat(F.lit("tbl"), F.col("partition_id").cast("string")).alias("table_name"))
+    return dl.label_by_partition(e, catalog)
+
+
 @reg("dl06_deadlocks_by_database", F6 + """
 SELECT database_name, CAST(count(DISTINCT event_id) AS BIGINT) AS deadlocks FROM f6 GROUP BY ALL""")
 def q_dl06a(spark, sf_dir):

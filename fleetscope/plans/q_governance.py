@@ -436,6 +436,17 @@ def q_dq07(spark, sf_dir):
     return dq.inventory({t: fx._t(spark, sf_dir, t) for t in INV_TABLES})
 
 
+@reg("dq07_object_counts", """
+WITH o AS (SELECT 'db' || p_partkey % 7 AS database_name, (['U', 'V', 'P', 'FN', 'TR'])[p_size % 5 + 1] AS object_type FROM part)
+SELECT database_name, object_type, count(*) AS objects, CAST(sum(count(*)) OVER (PARTITION BY database_name) AS BIGINT) AS total_objects
+FROM o GROUP BY database_name, object_type""")
+def q_dq07c(spark, sf_dir):
+    kinds = F.array(*[F.lit(x) for x in ("U", "V", "P", "FN", "TR")])
+    objects = fx._t(spark, sf_dir, "part").select(F.concat(F.lit("db"), (F.col("p_partkey") % 7).cast("string")).alias("database_name"),
+                                                  F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int")).alias("object_type"))
+    return dq.object_counts(objects)
+
+
 @reg("dq07_deprecated_references", """
 SELECT source, feature, CAST(count(*) AS BIGINT) AS reference_count
 FROM documents, (VALUES ('password='), ('token ='), ('Licensed under'), ('Public License')) f(feature)

@@ -147,6 +147,31 @@ def q_sd16c(spark, sf_dir):
 
 
 
+@reg("sd16_counters_review", ofx.with_(ofx.f1_perfmon()) + """
+, w AS (SELECT * FROM f1p WHERE check_ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12')
+SELECT server_name, object_name, counter_name, instance_name, check_ts, cntr_value, min(cntr_value) OVER g AS window_min, max(cntr_value) OVER g AS window_max,
+       last_value(cntr_value) OVER (PARTITION BY server_name, object_name, counter_name, instance_name ORDER BY check_ts
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS window_last
+FROM w WINDOW g AS (PARTITION BY server_name, object_name, counter_name, instance_name)""")
+def q_sd16d(spark, sf_dir):
+    return sd.counters_review(fx.f1_perfmon(spark, sf_dir), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12))
+
+
+@reg("sd16_ranked_queries_review", ofx.with_(ofx.f4_query_stats()) + """
+, w AS (SELECT 'srv' || query_id % 3 AS server_name, interval_ts AS check_ts, query_id, plan_id, cpu, reads, duration FROM f4
+        WHERE interval_ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30'),
+u AS (SELECT server_name, check_ts, query_id, plan_id, 'cpu' AS sort_order, CAST(cpu AS DOUBLE) AS value FROM w
+      UNION ALL SELECT server_name, check_ts, query_id, plan_id, 'reads', reads FROM w
+      UNION ALL SELECT server_name, check_ts, query_id, plan_id, 'duration', duration FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY server_name, sort_order, check_ts ORDER BY value DESC, query_id, plan_id) AS time_frame_rank
+      FROM u QUALIFY time_frame_rank <= 5)
+SELECT *, row_number() OVER (PARTITION BY server_name, sort_order ORDER BY value DESC, check_ts, query_id, plan_id) AS overall_rank FROM r""")
+def q_sd16e(spark, sf_dir):
+    q = fx.f4_query_stats(spark, sf_dir).withColumn("server_name", F.concat(F.lit("srv"), (F.col("query_id") % 3).cast("string"))).withColumnRenamed(
+        "interval_ts", "check_ts")
+    return sd.ranked_queries_review(q, dt.datetime(1995, 1, 1), dt.datetime(1996, 6, 30), metrics=["cpu", "reads", "duration"], key=["query_id", "plan_id"])
+
+
 @reg("sd10_ratio_alert", D_PLAIN + """
 , g AS (SELECT server_name, check_ts, sum(CASE WHEN metric = 'click' THEN cum_value_delta END) AS num,
                sum(CASE WHEN metric = 'view' THEN cum_value_delta END) AS den, max(elapsed_seconds) AS secs

@@ -81,3 +81,19 @@ def test_rules_over_groups(spark):
               {**GOOD_ALERT, "server_name": "u", "has_notification": None, "message_id": 824, "severity": 25}]
     got = {(r["server_name"], r["check_id"]) for r in run_rules(health.agent_facts(frame(spark, alerts)), health.AGENT_RULES, database=None).collect()}
     assert got == {("s", 96), ("s", 61), ("u", 30)}
+
+
+def test_every_descriptive_rule_fires_on_the_catalog(spark):
+    import __spark_entry__ as entry
+
+    got = {r["check_id"] for r in entry.queries()["ix15_descriptive_catalog_rules"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {32, 34, 60, 61, 62, 63, 64, 65, 69, 70, 71, 73, 74, 92, 94, 99, 121, 122, 123, 124, 125}
+
+
+def test_lock_edges_take_names_from_the_catalog(spark):
+    from fleetscope.operators.deadlocks import label_by_partition
+
+    edges = spark.createDataFrame([(1, 5, 10, "db.dbo.t"), (2, 5, 10, None), (3, 6, 10, None), (4, 5, 11, None)], "event_id int, db_id int, hobt_id long, object_name string")
+    catalog = spark.createDataFrame([(5, 10, "dbo", "orders"), (6, 99, "dbo", "x")], "db_id int, partition_id long, schema_name string, table_name string")
+    got = {r["event_id"]: r["object_name"] for r in label_by_partition(edges, catalog).collect()}
+    assert got == {1: "db.dbo.t", 2: "dbo.orders", 3: None, 4: None}
