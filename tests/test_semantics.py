@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetscope.operators import backups as bk
@@ -89,6 +91,19 @@ def test_wait_categories(spark):
     assert [tuple(r) for r in got] == [("Lock", False), ("Compilation", False), ("User Wait", True), ("Other", False), ("Other", False)]
 
 
+@pytest.mark.parametrize(("category", "names"), [
+    ("Full Text Search", "FT_RESTART_CRAWL FT_IFTSHC_MUTEX MSSEARCH PWAIT_RESOURCE_SEMAPHORE_FT_PARALLEL_QUERY_SYNC"),
+    ("Idle", "SLEEP_DBSTARTUP SLEEP_TASK SQLTRACE_WAIT_ENTRIES SQLTRACE_BUFFER_FLUSH XE_TIMER_EVENT FT_IFTS_SCHEDULER_IDLE_WAIT LOGMGR_QUEUE SOS_WORK_DISPATCHER"),
+    ("Replication", "HADR_SYNC_COMMIT PARALLEL_REDO_FLOW_CONTROL PWAIT_HADRSIM PWAIT_HADR_JOIN REPL_CACHE_ACCESS REPLICA_WRITES DPT_ENTRY_LOCK FCB_REPLICA_READ"),
+    ("Transaction", "DTC DTCNEW_TM MSQL_XACT_MUTEX TRAN_MARKLATCH_EX TRANSACTION_MUTEX XACTLOCKINFO"), ("Tracing", "SQLTRACE_SHUTDOWN TRACEWRITE QUERY_TRACEOUT"),
+    ("Tran Log IO", "CHKPT LOGMGR LOGMGR_FLUSH LOGBUFFER WRITELOG LOG_RATE_GOVERNOR"), ("Log Rate Governor", "HADR_THROTTLE_LOG_RATE_GOVERNOR"),
+    ("Parallelism", "CXPACKET CXCONSUMER EXCHANGE"), ("Other", "DIRTY_PAGE_POLL QDS_SHUTDOWN_QUEUE CXSYNC_PORT"), ("Mirroring", "DBMIRROR_SEND DBMIRRORING_CMD"),
+    ("User Wait", "BROKER_RECEIVE_WAITFOR WAITFOR WAIT_FOR_RESULTS"), ("Service Broker", "BROKER_TRANSMITTER BROKER_INIT"), ("SQL CLR", "CLR_CRST SQLCLR_ASSEMBLY")])
+def test_waits_of_each_category(spark, category, names):
+    df = spark.createDataFrame([(n,) for n in names.split()], "w string")
+    assert {r[0] for r in df.select(wait_category(F.col("w"))).collect()} == {category}
+
+
 def test_pivot_does_not_depend_on_row_order(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", 3), ("b", "y", 2)], "k string, p string, v int")
     got = rel.dynamic_pivot(df, keys=["k"], pivot="p", value=F.max("v")).orderBy("k").collect()
