@@ -7,7 +7,7 @@ separators, what stands left and right), and bounded-entity dynamic programming
 kinds jointly.  Decoded segments that overlap no base span and whose posterior reaches
 ``certain`` are added, e.g. numbers without the plus sign or addresses spelled with "(at)".
 
-The CRF is trained on a bounded sample of documents (``sample``, by a hash of the id): base spans are
+The CRF is trained on a bounded sample of documents (``sample``, by a hash of id and text, equal rows once): base spans are
 the labels, and copies of the windows with respelled spans (plus sign dropped, at-sign spelled out,
 other separators) carry the same labels.
 
@@ -16,7 +16,7 @@ Null texts count as empty.  Rows are judged one by one; extra columns are not pa
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import math
 import re
 import zlib
@@ -37,9 +37,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONGEST = 18
-WINDOW = 48
-#: no address is longer, so a window is widened by no more on a side (fixed value)
-WIDEST = 320
+#: characters of a window around a spot; a window widened to white space grows by at most ``WIDEST`` on a side (no address is
+#: longer).  Both are parameters of ``learn`` and ``find`` and bound added spans only; base spans are found in the whole text.
+WINDOW, WIDEST = 48, 320
 
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"@|[(\[] ?at ?[)\]]")
@@ -99,22 +99,22 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 # --- windows, tokens and whole-span features ---------------------------------------------
 
 
-def windows(t: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, merged up to a bounded length, then widened to the next white space on both sides."""
+def windows(t: str, window: int = WINDOW, widest: int = WIDEST) -> list[tuple[int, int]]:
+    """Stretches around digits and at-signs, merged up to four windows, then widened to the next white space on both sides."""
     spots = [(m.start(), m.end()) for m in re.finditer(r"[0-9][0-9 ().+-]{6,}[0-9]|[0-9]+(?:[.,][0-9]+){2,}", t)]
     spots += [(m.start(), m.end()) for m in _AT.finditer(t)]
     out: list[tuple[int, int]] = []
     for s, e in sorted(spots):
-        s, e = max(0, s - WINDOW // 2), min(len(t), e + WINDOW // 2)
-        if out and s <= out[-1][1] and e - out[-1][0] <= 4 * WINDOW:
+        s, e = max(0, s - window // 2), min(len(t), e + window // 2)
+        if out and s <= out[-1][1] and e - out[-1][0] <= 4 * window:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
             out.append((s, e))
-    return [_widened(t, s, e) for s, e in out]
+    return [_widened(t, s, e, widest) for s, e in out]
 
 
-def _widened(t: str, s: int, e: int) -> tuple[int, int]:
-    low, high = max(0, s - WIDEST), min(len(t), e + WIDEST)
+def _widened(t: str, s: int, e: int, widest: int) -> tuple[int, int]:
+    low, high = max(0, s - widest), min(len(t), e + widest)
     while s > low and not t[s - 1].isspace():
         s -= 1
     while e < high and not t[e].isspace():
@@ -276,7 +276,7 @@ def respelled(t: str, spans: list[tuple[int, int, int]], rng: np.random.Generato
     return t[:x] + new + t[y:], [(p, q + by, z) if (p, q) == (x, y) else (p + by, q + by, z) if p >= y else (p, q, z) for p, q, z in spans]
 
 
-def _training_windows(per_document: int):
+def _training_windows(per_document: int, window: int = WINDOW, widest: int = WIDEST):
     """Of each document the ``per_document`` windows of the smallest hashes, each with what stands around it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,7 +285,7 @@ def _training_windows(per_document: int):
                 t = t or ""
                 spans = base_spans(t)
                 rng = np.random.default_rng(key & 0xFFFFFFFF)
-                chosen = sorted(windows(t), key=lambda w, t=t, key=key: (zlib.crc32(f"{key} {w[0]} {t[w[0]:w[1]]}".encode("utf-8", "replace")), w))
+                chosen = sorted(windows(t, window, widest), key=lambda w, t=t, key=key: (zlib.crc32(f"{key} {w[0]} {t[w[0]:w[1]]}".encode("utf-8", "replace")), w))
                 for s, e in chosen[:per_document]:
                     inside = [(x - s, y - s, k) for x, y, k in spans if s <= x and y <= e]
                     for words, marks in filter(None, ((t[s:e], inside), respelled(t[s:e], inside, rng))):
@@ -330,20 +330,58 @@ def train(examples: list[tuple], epochs: int = 4, rate: float = 0.3, ridge: floa
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, most: int = 1500,
-          per_document: int = 8) -> np.ndarray:
+          per_document: int = 8, window: int = WINDOW, widest: int = WIDEST) -> np.ndarray:
     """Weights from at most ``most`` windows of about ``sample`` documents that hold a digit or an at-sign, ``per_document`` of each at most, all by hash."""
     use = docs.where(F.col(text_col).rlike("[0-9@]"))
     n = use.count()
     if not n:
         return np.zeros((len(KINDS), N_FEATURES))
-    key = F.xxhash64(F.col(id_col), F.lit(7))
-    picked = use.where(F.pmod(key, F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select(key.alias("key"), F.col(text_col).alias("_text"))
-    got = picked.mapInArrow(_training_windows(per_document), "t string, gold array<int>, before string, after string").distinct()
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7))
+    picked = use.where(F.pmod(key, F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample / n)).select(key.alias("key"), F.col(text_col).alias("_text")).dropDuplicates(["key"])
+    got = picked.mapInArrow(_training_windows(per_document, window, widest), "t string, gold array<int>, before string, after string").distinct()
     got = got.orderBy(F.xxhash64("t"), "t", "before", "after").limit(most).collect()
     return train([(r["t"], [tuple(r["gold"][i:i + 3]) for i in range(0, len(r["gold"]), 3)], r["before"], r["after"]) for r in got])
 
 
-def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", certain: float = 0.9) -> DataFrame:
+class Taken:
+    """Stretches of a text that spans take, merged and in order; looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e, _ in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, s: int, e: int) -> bool:
+        k = bisect.bisect_left(self.starts, e)
+        return k == 0 or self.ends[k - 1] <= s
+
+    def take(self, s: int, e: int) -> None:
+        k = bisect.bisect_left(self.starts, s)
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+
+
+def added_spans(t: str, fixed: list[tuple[int, int, int]], weights: np.ndarray, certain: float, window: int = WINDOW,
+                widest: int = WIDEST) -> list[tuple[int, int, int]]:
+    """Decoded spans of a text that overlap no base span and none decoded before."""
+    out: list[tuple[int, int, int]] = []
+    if _DIGIT.search(t) or _AT.search(t):
+        taken = Taken(fixed)
+        for s, e in windows(t, window, widest):
+            for x, y, k in decode(t[s:e], weights, certain, *around(t, s, e)):
+                if taken.free(x + s, y + s):
+                    taken.take(x + s, y + s)
+                    out.append((x + s, y + s, k))
+    return out
+
+
+def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", certain: float = 0.9,
+         window: int = WINDOW, widest: int = WIDEST) -> DataFrame:
     """Per row: id, base and spans, each an array of (kind, start, end) by start, then kind (code points, end exclusive)."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -353,13 +391,7 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
             for t in b.column(1).to_pylist():
                 t = t or ""
                 fixed = base_spans(t)
-                more = []
-                if _DIGIT.search(t) or _AT.search(t):
-                    for s, e in windows(t):
-                        for x, y, k in decode(t[s:e], weights, certain, *around(t, s, e)):
-                            x, y = x + s, y + s
-                            if not any(x < q and p < y for p, q, _ in fixed) and not any(x < q and p < y for p, q, _ in more):
-                                more.append((x, y, k))
+                more = added_spans(t, fixed, weights, certain, window, widest)
                 base.append(fixed)
                 every.append(sorted(fixed + more, key=lambda v: (v[0], v[2])))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -260,6 +260,80 @@ def test_pii_training_windows_come_from_the_whole_text(spark):
     assert len(at) == 8 and max(at) > len(text) // 2
 
 
+def held_out_spans(texts, weights, certain=0.9, seed=3):
+    """Per kind: spans of the texts respelled, of them found exactly; and decoded spans that touch no span at all (false ones)."""
+    rng = np.random.default_rng(seed)
+    asked, hit, false = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        spans = pii.base_spans(t)
+        new = pii.respelled(t, spans, rng)
+        if new is None:
+            continue
+        words, marks = new
+        fixed = pii.base_spans(words)
+        gold = {m for m in marks if not any(m[0] < q and p < m[1] for p, q, _ in fixed)}
+        got = pii.added_spans(words, fixed, weights, certain)
+        for s, e, k in gold:
+            asked[pii.KINDS[k]] += 1
+            hit[pii.KINDS[k]] += (s, e, k) in got
+        for s, e, k in got:
+            false[pii.KINDS[k]] += (s, e, k) not in gold
+    return asked, hit, false
+
+
+def _personal_texts(n, seed):
+    rng = random.Random(seed)
+
+    def card():
+        d = [rng.randrange(10) for _ in range(15)]
+        return next(c for c in (" ".join("".join(map(str, [*d, x]))[i:i + 4] for i in range(0, 16, 4)) for x in range(10)) if pii.luhn(c.replace(" ", "")))
+
+    out = []
+    for i in range(n):
+        w = prose(seed * 1000 + i, 40).split()
+        for one in (f"jo{rng.randrange(99)}@mail{rng.randrange(9)}.example.org", ".".join(str(rng.randrange(256)) for _ in range(4)), card(),
+                    f"+{rng.randrange(1, 99)} {rng.randrange(100, 999)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}"):
+            w.insert(rng.randrange(len(w)), one)
+        out.append(" ".join(w))
+    return out
+
+
+def test_pii_added_spans_on_held_out_respellings(spark):
+    train = spark.createDataFrame(list(enumerate(_personal_texts(300, 1))), "doc_id long, text string")
+    asked, hit, false = held_out_spans(_personal_texts(200, 2), pii.learn(train))
+    assert sum(asked.values()) > 100
+    assert sum(hit.values()) >= 0.7 * sum(asked.values())              # recall of respelled spans
+    assert sum(hit.values()) >= 0.8 * (sum(hit.values()) + sum(false.values()))   # precision
+
+
+def test_pii_base_patterns_of_numbers_against_plain_rules():
+    """Cards and phones against the patterns tried from every start, on random digit soup."""
+    import re as r
+
+    rng = random.Random(9)
+    for _ in range(400):
+        t = "".join(rng.choice("0123456789" * 3 + " --+.()x") for _ in range(rng.randrange(80)))
+        cards = [(m.start(), m.end()) for m in r.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := r.sub(r"[^0-9]", "", m[0])) <= 19 and pii.luhn(d)]
+        phones = [(m.start(), m.end()) for m in r.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(r.sub(r"[^0-9]", "", m[0])) <= 15]
+        got = pii.base_spans(t)
+        assert [(s, e) for s, e, k in got if k == 2] == cards and [(s, e) for s, e, k in got if k == 3] == phones
+
+
+def test_pii_overlaps_are_found_by_bisection():
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [(a, a + rng.randrange(1, 9), 0) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        taken, held = pii.Taken(spans), list(spans)
+        for _ in range(20):
+            s = rng.randrange(70)
+            e = s + rng.randrange(1, 9)
+            free = not any(s < q and p < e for p, q, _ in held)
+            assert taken.free(s, e) == free
+            if free:
+                taken.take(s, e)
+                held.append((s, e, 0))
+
+
 def test_embedding_links_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.standard_normal((60, 24))
