@@ -507,6 +507,24 @@ def test_longest_common_subsequence_equals_dynamic_programming():
         assert all(a[i] in it for i in got)
 
 
+def test_pipeline_with_clashing_names_and_empty_tables(spark, tmp_path, odd):
+    """Documents that carry the helper columns' names keep them; an empty table gives no rows."""
+    clash = ["_key", "_toxicity", "_mix_copies", "_mix_copy", "_id", "contaminated", "component_id"]
+    docs = odd.withColumns({c: F.lit("x") for c in clash})
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("b1", prose(77, 20))], "item_id string, text string")
+    for name, frame in (("labels", labels), ("benchmark", bench)):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(*clash).distinct().collect()} == {("x",) * len(clash)}
+    assert corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count() == out.count() > 0
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     docs = make_docs(spark, odd_rows())
     docs.write.parquet(str(tmp_path / "documents.parquet"))
