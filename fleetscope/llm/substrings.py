@@ -10,7 +10,7 @@ hash (64 bits, plus the bucket that a second hash deals them to), and a window i
 with a smaller id has it.  Runs of marked windows are maximal repeats; their words go.
 
 Nothing is expanded into pairs: a passage that very many documents share is one hash, sent once per
-document.  Buckets hold about ``bucket_words`` hashes whatever the size of the corpus.
+document however often the document repeats it; the documents find its places again by the hash.  Buckets hold about ``bucket_words`` hashes whatever the size of the corpus.
 
 Words are runs of characters other than ASCII white space.  Null or empty texts have no words.
 Rows with a null id are kept whole and remove nothing.  Rows that repeat an id are the same
@@ -95,15 +95,13 @@ class _Batch:
         self.clear()
 
     def clear(self):
-        self.keys, self.bucket, self.vals, self.ords, self.more, self.n = [], [], [], [], [], 0
+        self.keys, self.bucket, self.vals, self.ords, self.n = [], [], [], [], 0
 
-    def add(self, key: tuple[int, int], bucket: np.ndarray, vals: np.ndarray, more: np.ndarray | None = None):
+    def add(self, key: tuple[int, int], bucket: np.ndarray, vals: np.ndarray):
         self.ords.append(np.full(len(vals), len(self.keys), np.uint16))
         self.keys.append(key)
         self.bucket.append(bucket)
         self.vals.append(vals)
-        if self.extra:
-            self.more.append(more)
         self.n += len(vals)
 
     def full(self) -> bool:
@@ -116,7 +114,6 @@ class _Batch:
 
         keys = np.array(self.keys, np.int64)
         bucket, vals, ords = np.concatenate(self.bucket), np.concatenate(self.vals), np.concatenate(self.ords)
-        more = np.concatenate(self.more) if self.extra else None
         batch = xxhash.xxh3_64_intdigest(_pack(keys) + _pack(vals[:1024])) >> 1  # the same if a task runs again
         order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -125,7 +122,7 @@ class _Batch:
             at = order[edges[b]:edges[b + 1]]
             used, short = np.unique(ords[at], return_inverse=True)
             out.append((int(b), batch, False, _pack(keys[used, 0]) if self.extra else b"", _pack(ords[at]), _pack(vals[at]),
-                        (_pack(more[at]) + _pack(short.astype(np.uint16))) if self.extra else b""))
+                        _pack(short.astype(np.uint16)) if self.extra else b""))
         out.append((batch % self.buckets, batch, True, _pack(keys), b"", b"", b""))
         yield pa.RecordBatch.from_pylist([dict(zip(SENT_NAMES, r, strict=True)) for r in out], pa.schema([
             ("bucket", pa.int32()), ("batch", pa.int64()), ("head", pa.bool_()), ("ids", pa.binary()), ("ords", pa.binary()),
@@ -145,7 +142,9 @@ def _send_anchors(window: int, anchor: int, buckets: int):
                 h = roll.windows(roll.words(words), anchor)
                 vals = ((h >> np.uint64(33)) << np.uint64(1)).astype(np.uint32)
                 vals[::anchor] |= 1
-                held.add((key, th), ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32), vals)
+                # a hash that a document repeats is sent once (twice if only some of its windows are blocks)
+                once = np.unique(((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)) << np.uint64(32) | vals)
+                held.add((key, th), (once >> np.uint64(32)).astype(np.int32), (once & np.uint64(0xFFFFFFFF)).astype(np.uint32))
                 if held.full():
                     yield from held.rows()
         yield from held.rows()
@@ -228,7 +227,7 @@ def _per_document(kind: str):
 
 
 def _send_windows(window: int, anchor: int, buckets: int, anchor_buckets: int):
-    """Windows of ``window`` words around live anchors: hash, position, document."""
+    """Windows of ``window`` words around live anchors: hash and document, a hash once for each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, held = Rolling(), _Batch(buckets, True)
         for b in batches:
@@ -246,9 +245,9 @@ def _send_windows(window: int, anchor: int, buckets: int, anchor_buckets: int):
                 at = np.nonzero(np.cumsum(mark)[:n] > 0)[0]
                 if not len(at):
                     continue
-                code = roll.windows(words, window)[at]
-                deal = roll.windows(words, window, 1)[at]
-                held.add((key, th), (deal % np.uint64(buckets)).astype(np.int32), code, at.astype(np.int32))
+                code, first = np.unique(roll.windows(words, window)[at], return_index=True)
+                deal = roll.windows(words, window, 1)[at[first]]
+                held.add((key, th), (deal % np.uint64(buckets)).astype(np.int32), code)
                 if held.full():
                     yield from held.rows()
         yield from held.rows()
@@ -267,8 +266,7 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             continue
         size = np.array([len(r["ords"]) // 2 for r in rows])
         code = np.concatenate([np.frombuffer(r["vals"], np.uint64) for r in rows])
-        place = np.concatenate([np.frombuffer(r["extra"][:4 * n], np.int32) for r, n in zip(rows, size.tolist(), strict=True)])
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["extra"][4 * n:], np.uint16)] for r, n in zip(rows, size.tolist(), strict=True)])
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["extra"], np.uint16)] for r in rows])
         order = np.argsort(code, kind="stable")
         c = code[order]
         start = np.concatenate(([0], np.nonzero(c[1:] != c[:-1])[0] + 1))
@@ -280,24 +278,25 @@ def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
             take = later[a:b]
             if take.any():
-                out.append((r["batch"], False, b"", _pack(np.frombuffer(r["ords"], np.uint16)[take]), _pack(place[a:b][take])))
+                out.append((r["batch"], False, b"", _pack(np.frombuffer(r["ords"], np.uint16)[take]), _pack(code[a:b][take])))
         if out:
             yield _reply(out)
 
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll = Rolling()
         for b in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, repeated in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = split_words(text)
                 n_words.append(len(words))
-                if not starts:
+                if not repeated:
                     n_removed.append(0)
                     kept.append(b" ".join(words).decode())
                     spans.append([])
                     continue
-                at = np.frombuffer(starts, np.int32)
+                at = np.nonzero(np.isin(roll.windows(roll.words(words), window), np.frombuffer(repeated, np.uint64)))[0]
                 mark = np.zeros(len(words) + 1, np.int32)
                 mark[at] += 1
                 mark[at + window] -= 1
@@ -333,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = rows.join(live, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", "_text", "vals")
     sent = near.mapInArrow(_send_windows(window, anchor, buckets, buckets), SENT)
     gone = sent.repartition("bucket").sortWithinPartitions("bucket", "batch", "head").mapInArrow(_repeated_windows, REPLY)
-    gone = gone.repartition("batch").sortWithinPartitions("batch").mapInArrow(_per_document("int32"), "_i long, _t long, vals binary")
+    gone = gone.repartition("batch").sortWithinPartitions("batch").mapInArrow(_per_document("uint64"), "_i long, _t long, vals binary")
     gone = cut(gone)
     del sent, near, live
     release(spark)

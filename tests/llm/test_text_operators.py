@@ -55,6 +55,18 @@ def test_substrings_repeated_rows_that_share_a_passage(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == brute_repeats(rows, 50)
 
 
+def test_substrings_of_one_repeated_word(spark):
+    """One word repeated through long texts: every document sends the word's windows once, and the result is exact."""
+    rows = [(i, "na " * n) for i, n in enumerate((49, 50, 70_000, 90_000, 51))] + [(9, prose(1, 60) + " na" * 60_000 + " " + prose(2, 60))]
+    sent = list(substrings._send_anchors(50, 25, 64)(iter([__import__("pyarrow").RecordBatch.from_pydict(
+        {"_id": [2], "_th": [7], "_text": [rows[2][1]]})])))
+    assert sum(len(v) for b in sent for v in b.column(b.schema.get_field_index("vals")).to_pylist()) <= 2 * 4
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {0: (49, 0), 1: (50, 0), 2: (70_000, 70_000), 3: (90_000, 90_000), 4: (51, 51), 9: (60_120, 60_000)}
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in got} == want
+    assert {r["doc_id"]: [tuple(s) for s in r["repeats"]] for r in got}[9] == [(60, 60_060)]
+
+
 def test_substrings_empty_table(nothing):
     assert substrings.remove_repeats(nothing).collect() == []
 
