@@ -122,7 +122,7 @@ def carry_last(df: DataFrame, *, by: Sequence[str], ts: str, tie: Sequence[str],
     return j.withColumn(out, F.coalesce(F.col("__local"), F.col("__before"))).drop("__rng", "__salt", "__local", "__before")
 
 
-def dyadic_cover(first: Column, past: Column, levels: int = 62) -> Column:
+def dyadic_cover(first: Column, past: Column) -> Column:
     """The numbers ``first`` (included) to ``past`` (excluded) as an array of (level, node): node ``k`` of level ``l`` holds the
     ``2**l`` numbers from ``k * 2**l`` on.  At most two nodes a level."""
     def at(lev: Column) -> Column:
@@ -134,7 +134,9 @@ def dyadic_cover(first: Column, past: Column, levels: int = 62) -> Column:
         high = F.when((hi % 2 != 0) & (lo + F.abs(lo % 2) < hi), F.struct(lev.alias("level"), (hi - 1).alias("node")))
         return F.array(low, high)
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at)), lambda x: x.isNotNull())
+    # no node is larger than the interval (one level more, as logarithms are rounded)
+    top = F.floor(F.log2(F.greatest(past - first, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), at)), lambda x: x.isNotNull())
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, by: Sequence[str], point: str, start: str, end: str,

@@ -150,6 +150,7 @@ def test_dyadic_cover_is_exact_and_small(spark):
 
     rnd = random.Random(3)
     spans = [(a, a + n) for a, n in ((rnd.randint(-500, 500), rnd.randint(0, 300)) for _ in range(300))] + [(0, 87_660), (7, 87_667)]
+    spans += [(a, a + n) for k in range(17) for n in ((1 << k) - 1, 1 << k, (1 << k) + 1) for a in (0, 1 << k, 3)]
     df = spark.createDataFrame(spans, "a long, b long").select("a", "b", dyadic_cover(F.col("a"), F.col("b")).alias("c"))
     for r in df.collect():
         held = [x for n in r["c"] for x in range(n["node"] << n["level"], (n["node"] + 1) << n["level"])]
