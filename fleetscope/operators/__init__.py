@@ -6,7 +6,9 @@ blocking    BLK-*     blocked sessions, chains (graph.resolve_roots), skew
 graph       pointer jumping over parent edges, one-hop traversal
 deadlocks   DL-*      shredding deadlock documents and the reports on them
 querystats  QS-*, SD-12  query-store statistics, flags, regressions
-plandocs    QS-3/7/8/9/10  plan-document features via XPath
+plantree    one parse of a plan document into a flat operator array
+plandocs    QS-3/7/8/9/10  plan-document features over that array
+health      RL-1      health rules of databases, files, servers and the agent
 catalog     IX-*      index / statistics / column catalog rules
 backups     BK-*      throughput, RPO/RTO, recovery points, rules, restore plans
 rules       RL-*      single-scan rule engine, skip lists, summaries
