@@ -264,3 +264,23 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
     from fleetscope.llm.common import table
 
     return link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+#: all pairs of the table, so for small tables only
+OP5_SQL = """
+WITH RECURSIVE
+f AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+         embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+  FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM f WHERE fine),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT f.vec_id, coalesce(n.n, 0) AS n_links, least(f.vec_id, coalesce(c.low, f.vec_id)) AS component_id, coalesce(c.low, f.vec_id) >= f.vec_id AS kept
+FROM f LEFT JOIN n ON n.a = f.vec_id LEFT JOIN c ON c.a = f.vec_id
+"""

@@ -23,6 +23,7 @@ QUERIES = {
 #: the others learn, draw or search iteratively: tests check them against brute force
 ORACLE = {
     "op1_substring_dedup": substrings.OP1_SQL,
+    "op5_embedding_dedup": embeddings.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
     "op13_topk": bitslices.OP13_SQL,
