@@ -46,7 +46,8 @@ DATABASE_RULES = [
     Rule(263, 200, "Performance", "Query Store Effectively Disabled", "query_store_desired <> 0 AND query_store_actual <> 2", "database_name"),
     Rule(264, 200, "Performance", "Undesired Query Store State", "query_store_desired <> 0 AND query_store_actual <> query_store_desired", "database_name"),
     Rule(265, 200, "Performance", "Query Store Unusually Configured", "query_store_desired <> 0 AND query_store_capture <> 'AUTO'", "query_store_capture"),
-    Rule(257, 50, "Performance", "Recovery Interval Not Optimal", f"target_recovery_seconds <> 60 AND database_name NOT IN {SYSTEM_DATABASES}",
+    Rule(257, 50, "Performance", "Recovery Interval Not Optimal",
+         f"target_recovery_seconds <> 60 AND database_name NOT IN {SYSTEM_DATABASES} AND NOT is_read_only AND NOT is_in_standby",
          "database_name", "target_recovery_seconds"),
     Rule(133, 210, "Non-Default Database Config", "Read Committed Snapshot Isolation Enabled", "is_read_committed_snapshot_on", "database_name"),
 ]
@@ -86,10 +87,11 @@ SERVER_RULES = [
     Rule(70, 200, "Informational", "@@Servername not set", "configured_name IS NULL", "server_name"),
     Rule(97, 100, "Performance", "Unusual SQL Server Edition",
          "NOT edition RLIKE 'Standard|Enterprise|Data Center|Developer|Business Intelligence'", "edition"),
-    Rule(100, 170, "Reliability", "Remote Admin Connections Disabled", "NOT remote_admin_connections AND is_clustered", "server_name"),
+    Rule(100, 170, "Reliability", "Remote DAC Disabled", "NOT remote_admin_connections", "server_name"),
     Rule(101, 10, "Performance", "CPU Schedulers Offline", "offline_schedulers > 0", "server_name", "offline_schedulers"),
     Rule(110, 10, "Performance", "Memory Nodes Offline", "offline_memory_nodes > 0", "server_name", "offline_memory_nodes"),
-    Rule(116, 200, "Informational", "Backup Compression Default Off", "NOT backup_compression_default", "server_name"),
+    Rule(116, 200, "Informational", "Backup Compression Default Off",
+         "NOT backup_compression_default AND uncompressed_full_backups > 0", "server_name", "uncompressed_full_backups"),
     Rule(126, 5, "Reliability", "Priority Boost Enabled", "priority_boost", "server_name"),
     Rule(154, 10, "Performance", "32-bit SQL Server Installed", "edition NOT LIKE '%64%'", "edition"),
     Rule(165, 50, "Performance", "Too Much Free Memory",
@@ -97,7 +99,8 @@ SERVER_RULES = [
     Rule(167, 250, "Server Info", "Agent is Currently Offline", "agent_status <> 'Running'", "agent_status"),
     Rule(173, 200, "Licensing", "Non-Production License", "edition LIKE '%Developer%'", "edition"),
     Rule(174, 200, "Performance", "Buffer Pool Extensions Enabled", "buffer_pool_extension", "server_name"),
-    Rule(188, 200, "Performance", "Default Parallelism Settings", "cost_threshold = 5 AND max_dop = 0 AND cpu_count > 8", "server_name", "cpu_count"),
+    Rule(188, 200, "Performance", "Default Parallelism Settings", "cost_threshold = 5", "'cost threshold for parallelism'", "cost_threshold"),
+    Rule(188, 200, "Performance", "Default Parallelism Settings", "max_dop = 0 AND (numa_nodes > 1 OR cpu_count > 8)", "'max degree of parallelism'", "max_dop"),
     Rule(190, 200, "Performance", "Non-Dynamic Memory", "min_server_memory_mb = max_server_memory_mb", "server_name", "min_server_memory_mb"),
     Rule(192, 50, "Performance", "Instant File Initialization Not Enabled", "NOT instant_file_initialization", "server_name"),
     Rule(193, 250, "Server Info", "Instant File Initialization Enabled", "instant_file_initialization", "server_name"),
@@ -111,7 +114,8 @@ SERVER_RULES = [
 
 #: facts of a server's agent (:func:`agent_facts`)
 AGENT_RULES = [
-    Rule(30, 200, "Monitoring", "Not All Alerts Configured", "alerts_enabled_silent > 0", "server_name", "alerts_enabled_silent"),
+    Rule(30, 200, "Monitoring", "Not All Alerts Configured", "severe_alerts < 7", "server_name", "severe_alerts"),
+    Rule(59, 200, "Monitoring", "Alerts Configured without Follow Up", "alerts_enabled_silent > 0", "server_name", "alerts_enabled_silent"),
     Rule(96, 200, "Monitoring", "No Alerts for Corruption", "corruption_alerts = 0", "server_name"),
     Rule(61, 200, "Monitoring", "No Alerts for Sev 19-25", "severe_alerts = 0", "server_name"),
 ]
@@ -122,6 +126,31 @@ ALERT_RULES = [
     Rule(219, 200, "Monitoring", "Alerts Without Event Descriptions", "enabled AND include_event_description = 0", "alert_name"),
 ]
 
+#: facts of an agent job: owner, whom it notifies (operator numbers, 0 none), its schedule, and whether a step shrinks files
+JOB_RULES = [
+    Rule(6, 230, "Security", "Jobs Owned By Users", "enabled AND owner_name <> usual_owner", "concat('Job ', job_name, ' is owned by ', owner_name)"),
+    Rule(57, 230, "Security", "SQL Agent Job Runs at Startup", "schedule_enabled AND schedule_freq_type = 64", "job_name"),
+    Rule(79, 100, "Performance", "Shrink Database Job", "step_command LIKE '%SHRINKDATABASE%' OR step_command LIKE '%SHRINKFILE%'", "job_name"),
+    Rule(94, 200, "Monitoring", "Agent Jobs Without Failure Emails",
+         "enabled AND notify_email_operator = 0 AND notify_page_operator = 0 AND notify_netsend_operator = 0 AND category <> 'Report Server'", "job_name"),
+]
+
+#: facts of a login
+LOGIN_RULES = [
+    Rule(4, 230, "Security", "Sysadmins",
+         r"is_sysadmin AND login_name NOT IN ('sa', 'l_certSignSmDetach') AND NOT denied AND NOT startswith(login_name, 'NT SERVICE\\')", "login_name"),
+    Rule(5, 230, "Security", "Security Admins", "is_securityadmin AND login_name <> 'sa' AND NOT denied", "login_name"),
+    Rule(104, 230, "Security", "Control Server Permissions", "has_control_server AND NOT denied", "login_name"),
+]
+
+#: facts of a user table or procedure in a system database
+SYSTEM_OBJECT_RULES = [
+    Rule(27, 200, "Informational", "Tables in the Master Database", "object_type = 'U' AND database_name = 'master' AND NOT is_ms_shipped", "object_name"),
+    Rule(28, 200, "Informational", "Tables in the MSDB Database", "object_type = 'U' AND database_name = 'msdb' AND NOT is_ms_shipped", "object_name"),
+    Rule(29, 200, "Informational", "Tables in the Model Database", "object_type = 'U' AND database_name = 'model' AND NOT is_ms_shipped", "object_name"),
+    Rule(7, 230, "Security", "Stored Procedure Runs at Startup", "object_type = 'P' AND database_name = 'master' AND runs_at_startup", "object_name"),
+]
+
 
 def file_groups(files: DataFrame, *, keys: Sequence[str] = ("server_name", "database_name")) -> DataFrame:
     """Per database: pages of data, largest log and data file, smallest data file, number of data files, whether it is a snapshot."""
@@ -141,7 +170,8 @@ def agent_facts(alerts: DataFrame) -> DataFrame:
 
 
 def health_findings(*, databases: DataFrame | None = None, files: DataFrame | None = None, servers: DataFrame | None = None,
-                    alerts: DataFrame | None = None) -> DataFrame:
+                    alerts: DataFrame | None = None, jobs: DataFrame | None = None, logins: DataFrame | None = None,
+                    system_objects: DataFrame | None = None) -> DataFrame:
     """RL-1: findings of all health rules over the fact tables that are given."""
     parts = []
     if databases is not None:
@@ -152,6 +182,11 @@ def health_findings(*, databases: DataFrame | None = None, files: DataFrame | No
         parts.append(run_rules(servers, SERVER_RULES, database=None))
     if alerts is not None:
         parts += [run_rules(alerts, ALERT_RULES, database=None), run_rules(agent_facts(alerts), AGENT_RULES, database=None)]
+    for facts, rules in ((jobs, JOB_RULES), (logins, LOGIN_RULES)):
+        if facts is not None:
+            parts.append(run_rules(facts, rules, database=None))
+    if system_objects is not None:
+        parts.append(run_rules(system_objects, SYSTEM_OBJECT_RULES))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

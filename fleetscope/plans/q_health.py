@@ -44,6 +44,7 @@ def databases(spark, sf_dir):
         F.lit("Latin1_CI").alias("tempdb_collation"), F.when(every(71), k).alias("source_database_id"), every(73).alias("is_change_tracking_on"),
         (k % 3).alias("query_store_desired"), (k % 4 % 3).alias("query_store_actual"), (~every(5)).alias("query_store_waits"),
         F.when(every(8), "ALL").otherwise("AUTO").alias("query_store_capture"), ((k % 4) * 60).alias("target_recovery_seconds"),
+        every(83).alias("is_read_only"), every(89).alias("is_in_standby"),
         every(79).alias("is_read_committed_snapshot_on"))
 
 
@@ -71,7 +72,7 @@ def servers(spark, sf_dir):
         ((k % 5 + 1) * 1048576).alias("physical_memory_kb"), ((k % 9) * 1024).alias("max_server_memory_mb"), ((k % 20) * 100000).alias("available_memory_kb"),
         every(3).alias("is_clustered"), F.when(~every(11), F.concat(F.lit("srv"), k.cast("string"))).alias("configured_name"), every(2).alias("remote_admin_connections"),
         F.when(every(13), 2).otherwise(0).alias("offline_schedulers"), F.when(every(14), 1).otherwise(0).alias("offline_memory_nodes"),
-        (~every(4)).alias("backup_compression_default"), every(15).alias("priority_boost"), ((k % 3) * 15000000000).alias("total_memory_kb"),
+        (~every(4)).alias("backup_compression_default"), (k % 3).alias("uncompressed_full_backups"), (k % 3).alias("numa_nodes"), every(15).alias("priority_boost"), ((k % 3) * 15000000000).alias("total_memory_kb"),
         ((k % 5) * 3000000000).alias("free_memory_kb"), F.when(every(8), "Stopped").otherwise("Running").alias("agent_status"), every(16).alias("buffer_pool_extension"),
         F.when(every(5), 50).otherwise(5).alias("cost_threshold"), (k % 2).alias("max_dop"), (k % 32).alias("cpu_count"), ((k % 6) * 1024).alias("min_server_memory_mb"),
         every(6).alias("instant_file_initialization"), F.when(every(9), "Balanced").otherwise("High performance").alias("power_plan"),
@@ -124,7 +125,7 @@ SYS = "k % 50 IN (1, 2, 3, 4)"
     (263, 200, "Performance", "Query Store Effectively Disabled", "k % 3 > 0 AND k % 4 <> 2", "db", "NULL"),
     (264, 200, "Performance", "Undesired Query Store State", "k % 3 > 0 AND k % 3 <> (CASE k % 4 WHEN 3 THEN 0 ELSE k % 4 END)", "db", "NULL"),
     (265, 200, "Performance", "Query Store Unusually Configured", "k % 3 > 0 AND k % 8 = 0", "'ALL'", "NULL"),
-    (257, 50, "Performance", "Recovery Interval Not Optimal", f"k % 4 <> 1 AND NOT {SYS}", "db", "(k % 4) * 60"),
+    (257, 50, "Performance", "Recovery Interval Not Optimal", f"k % 4 <> 1 AND NOT {SYS} AND k % 83 > 0 AND k % 89 > 0", "db", "(k % 4) * 60"),
     (133, 210, "Non-Default Database Config", "Read Committed Snapshot Isolation Enabled", "k % 79 = 0", "db", "NULL")))
 def q_databases(spark, sf_dir):
     return run_rules(databases(spark, sf_dir), health.DATABASE_RULES)
@@ -171,17 +172,18 @@ _EDITION = ("(['Standard Edition (64-bit)', 'Enterprise Edition (64-bit)', 'Deve
     (53, 200, "Informational", "Cluster Node", "k % 3 = 0", "srv", "NULL"),
     (70, 200, "Informational", "@@Servername not set", "k % 11 = 0", "srv", "NULL"),
     (97, 100, "Performance", "Unusual SQL Server Edition", "k % 6 = 3", "ed", "NULL"),
-    (100, 170, "Reliability", "Remote Admin Connections Disabled", "k % 6 = 3", "srv", "NULL"),
+    (100, 170, "Reliability", "Remote DAC Disabled", "k % 2 = 1", "srv", "NULL"),
     (101, 10, "Performance", "CPU Schedulers Offline", "k % 13 = 0", "srv", "2"),
     (110, 10, "Performance", "Memory Nodes Offline", "k % 14 = 0", "srv", "1"),
-    (116, 200, "Informational", "Backup Compression Default Off", "k % 4 = 0", "srv", "NULL"),
+    (116, 200, "Informational", "Backup Compression Default Off", "k % 4 = 0 AND k % 3 > 0", "srv", "k % 3"),
     (126, 5, "Reliability", "Priority Boost Enabled", "k % 15 = 0", "srv", "NULL"),
     (154, 10, "Performance", "32-bit SQL Server Installed", "k % 6 = 5", "ed", "NULL"),
     (165, 50, "Performance", "Too Much Free Memory", "k % 3 = 2 AND k % 5 >= 3 AND k % 6 NOT IN (0, 5)", "srv", "(k % 5) * 3000000000"),
     (167, 250, "Server Info", "Agent is Currently Offline", "k % 8 = 0", "'Stopped'", "NULL"),
     (173, 200, "Licensing", "Non-Production License", "k % 6 = 2", "ed", "NULL"),
     (174, 200, "Performance", "Buffer Pool Extensions Enabled", "k % 16 = 0", "srv", "NULL"),
-    (188, 200, "Performance", "Default Parallelism Settings", "k % 5 <> 0 AND k % 2 = 0 AND k % 32 > 8", "srv", "k % 32"),
+    (188, 200, "Performance", "Default Parallelism Settings", "k % 5 <> 0", "'cost threshold for parallelism'", "5"),
+    (188, 200, "Performance", "Default Parallelism Settings", "k % 2 = 0 AND (k % 3 = 2 OR k % 32 > 8)", "'max degree of parallelism'", "0"),
     (190, 200, "Performance", "Non-Dynamic Memory", "k % 6 = k % 9", "srv", "(k % 6) * 1024"),
     (192, 50, "Performance", "Instant File Initialization Not Enabled", "k % 6 <> 0", "srv", "NULL"),
     (193, 250, "Server Info", "Instant File Initialization Enabled", "k % 6 = 0", "srv", "NULL"),
@@ -202,8 +204,51 @@ g AS (SELECT n, count(*) FILTER (k % 5 <> 0 AND (k % 3 = 0 OR k % 2 = 0) AND k %
            (98, 200, "Monitoring", "Alerts Disabled", "k % 5 = 0", "'alert' || k", "NULL"),
            (219, 200, "Monitoring", "Alerts Without Event Descriptions", "k % 5 <> 0 AND k % 7 = 0", "'alert' || k", "NULL")) + "\nUNION ALL " + _sql(
     "g", "CAST(NULL AS VARCHAR)",
-    (30, 200, "Monitoring", "Not All Alerts Configured", "silent > 0", "'srv' || n", "silent"),
+    (30, 200, "Monitoring", "Not All Alerts Configured", "severe < 7", "'srv' || n", "severe"),
+    (59, 200, "Monitoring", "Alerts Configured without Follow Up", "silent > 0", "'srv' || n", "silent"),
     (96, 200, "Monitoring", "No Alerts for Corruption", "damage = 0", "'srv' || n", "NULL"),
     (61, 200, "Monitoring", "No Alerts for Sev 19-25", "severe = 0", "'srv' || n", "NULL")))
 def q_agent(spark, sf_dir):
     return health.health_findings(alerts=alerts(spark, sf_dir))
+
+
+@reg("rl01_job_login_object_health", r"""WITH j AS (SELECT o_orderkey AS k, 'srv' || o_custkey % 40 AS srv FROM orders),
+l AS (SELECT c_custkey AS k, 'srv' || c_nationkey AS srv, CASE c_custkey % 10 WHEN 0 THEN 'sa' WHEN 1 THEN 'NT SERVICE\x' ELSE 'login' || c_custkey END AS login FROM customer),
+o AS (SELECT p_partkey AS k, 'srv' || p_partkey % 9 AS srv, (['master', 'msdb', 'model', 'app'])[p_partkey % 4 + 1] AS db, 'obj' || p_partkey AS obj FROM part)
+""" + _sql("j", "CAST(NULL AS VARCHAR)",
+           (6, 230, "Security", "Jobs Owned By Users", "k % 3 > 0 AND k % 7 = 0", "'Job job' || k || ' is owned by bob'", "NULL"),
+           (57, 230, "Security", "SQL Agent Job Runs at Startup", "k % 2 = 0 AND k % 11 = 0", "'job' || k", "NULL"),
+           (79, 100, "Performance", "Shrink Database Job", "k % 13 IN (0, 1)", "'job' || k", "NULL"),
+           (94, 200, "Monitoring", "Agent Jobs Without Failure Emails", "k % 3 > 0 AND k % 5 = 0 AND k % 17 > 0", "'job' || k", "NULL"), server="srv")
+     + "\nUNION ALL " + _sql("l", "CAST(NULL AS VARCHAR)",
+                             (4, 230, "Security", "Sysadmins", "k % 4 = 0 AND k % 10 > 1 AND k % 6 > 0", "login", "NULL"),
+                             (5, 230, "Security", "Security Admins", "k % 5 = 1 AND k % 10 > 0 AND k % 6 > 0", "login", "NULL"),
+                             (104, 230, "Security", "Control Server Permissions", "k % 19 = 0 AND k % 6 > 0", "login", "NULL"), server="srv")
+     + "\nUNION ALL " + _sql("o", "db",
+                             (27, 200, "Informational", "Tables in the Master Database", "k % 3 > 0 AND db = 'master' AND k % 5 > 0", "obj", "NULL"),
+                             (28, 200, "Informational", "Tables in the MSDB Database", "k % 3 > 0 AND db = 'msdb' AND k % 5 > 0", "obj", "NULL"),
+                             (29, 200, "Informational", "Tables in the Model Database", "k % 3 > 0 AND db = 'model' AND k % 5 > 0", "obj", "NULL"),
+                             (7, 230, "Security", "Stored Procedure Runs at Startup", "k % 3 = 0 AND db = 'master' AND k % 8 = 0", "obj", "NULL"), server="srv"))
+def q_jobs(spark, sf_dir):
+    k = F.col("k")
+
+    def name(prefix):
+        return F.concat(F.lit(prefix), k.cast("string"))
+
+    def either(m, yes, no):
+        return F.when(k % m == 0, yes).otherwise(no)
+
+    jobs = fx._t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("srv"), (F.col("o_custkey") % 40).cast("string")).alias("server_name")).select(
+        "server_name", name("job").alias("job_name"), (k % 3 > 0).alias("enabled"), either(7, "bob", "sa").alias("owner_name"), F.lit("sa").alias("usual_owner"),
+        (k % 2 == 0).alias("schedule_enabled"), either(11, 64, 4).alias("schedule_freq_type"),
+        F.when(k % 13 == 0, "DBCC SHRINKFILE(1)").when(k % 13 == 1, "DBCC SHRINKDATABASE(db)").otherwise("BACKUP").alias("step_command"),
+        either(5, 0, 3).alias("notify_email_operator"), F.lit(0).alias("notify_page_operator"), F.lit(0).alias("notify_netsend_operator"),
+        either(17, "Report Server", "Maintenance").alias("category"))
+    logins = fx._t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("srv"), F.col("c_nationkey").cast("string")).alias("server_name")).select(
+        "server_name", F.when(k % 10 == 0, "sa").when(k % 10 == 1, "NT SERVICE\\x").otherwise(name("login")).alias("login_name"), (k % 4 == 0).alias("is_sysadmin"),
+        (k % 5 == 1).alias("is_securityadmin"), (k % 19 == 0).alias("has_control_server"), (k % 6 == 0).alias("denied"))
+    dbs = F.element_at(F.array(*[F.lit(x) for x in ("master", "msdb", "model", "app")]), (k % 4 + 1).cast("int"))
+    objects = fx._t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(
+        F.concat(F.lit("srv"), (k % 9).cast("string")).alias("server_name"), dbs.alias("database_name"), name("obj").alias("object_name"),
+        either(3, "P", "U").alias("object_type"), (k % 5 == 0).alias("is_ms_shipped"), (k % 8 == 0).alias("runs_at_startup"))
+    return health.health_findings(jobs=jobs, logins=logins, system_objects=objects)
