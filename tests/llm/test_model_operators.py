@@ -546,12 +546,12 @@ def test_pipeline_keeps_one_row_per_component_whatever_its_id(spark, tmp_path):
     rows += [(3, prose(910, 300), "en", "a"), (5, prose(910, 300), "en", "a"), (5, prose(911, 70), "en", "a"), (5, prose(912, 70), "en", "a")]
     rows += [(6, prose(902, 80), "en", "a"), (9, prose(913, 50), "en", "a"), (9, prose(913, 50), "en", "a")]
     spark.createDataFrame([(1, prose(950, 90))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    kept = corpus_pipeline.drop_near_copies(spark, make_docs(spark, rows).repartition(3), str(tmp_path)).localCheckpoint()
+    kept = corpus_pipeline.drop_near_copies(spark, make_docs(spark, rows).repartition(3), str(tmp_path)).checkpoint()
     want = [(None, 900), (None, 901), (None, 903), (None, 950), (3, 910), (5, 911), (5, 912), (6, 902), (9, 913)]
     seed_of = {r[1]: s for s in range(900, 951) for r in [(0, prose(s, {950: 90, 910: 300, 911: 70, 912: 70, 913: 50}.get(s, 80)))]}
     seeds = lambda df: sorted(((r["doc_id"], seed_of[r["text"]]) for r in df.collect()), key=str)
     assert seeds(kept) == sorted(want, key=str)
-    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path)).localCheckpoint()
+    clean = corpus_pipeline.drop_contaminated(spark, kept, str(tmp_path)).checkpoint()
     want.remove((None, 950))
     assert seeds(clean) == sorted(want, key=str)
     assert seeds(corpus_pipeline.mix_sources(spark, clean, str(tmp_path))) == sorted(want, key=str)  # one source: each once
