@@ -297,16 +297,24 @@ def lock_hot_objects(catalog: DataFrame, *, min_wait_ms: int = 300000, long_avg_
 IDENTITY_RANGE = {"tinyint": (255, 0, 255.0), "smallint": (32768, -32768, 32768.0), "int": (2147483647, -2147483647, 2147483647.0)}
 
 
-def key_exhaustion(identities: DataFrame, *, max_remaining_pct: float = 30.0) -> DataFrame:
+def key_exhaustion(identities: DataFrame, *, max_remaining_pct: float = 30.0, judge_wide: bool = False) -> DataFrame:
     """IX-9: share of the positive (or, for a negative increment, negative)
     range of the type left after the next value; a column without a last value
-    stands at its seed.  Types beyond the table are not judged."""
+    stands at its seed.  The reference judges tinyint, smallint and int; ``judge_wide`` adds bigint, and decimal and
+    numeric by their ``precision`` (in double precision: shares, not single values, matter there).  Other types are not judged."""
     nxt = F.coalesce(F.col("last_value"), F.col("seed_value")).cast("double") + F.col("increment_value")
     up = F.col("increment_value") >= 0
+
+    def share(top, bottom, span):
+        return F.when(up, top - nxt).otherwise(F.abs(bottom - nxt)) / span * 100.0
+
     left = F.lit(None).cast("double")
     for name, (top, bottom, span) in IDENTITY_RANGE.items():
-        share = F.when(up, top - nxt).otherwise(F.abs(bottom - nxt)) / span * 100.0
-        left = F.when(F.col("type_name") == name, share).otherwise(left)
+        left = F.when(F.col("type_name") == name, share(top, bottom, span)).otherwise(left)
+    if judge_wide:
+        left = F.when(F.col("type_name") == "bigint", share(F.lit(2.0 ** 63), F.lit(-(2.0 ** 63)), F.lit(2.0 ** 63))).otherwise(left)
+        most = F.pow(F.lit(10.0), F.col("precision").cast("double"))
+        left = F.when(F.col("type_name").isin("decimal", "numeric"), share(most, -most, most)).otherwise(left)
     out = identities.withColumn("pct_remaining", F.round(left, 1))
     return out.filter(F.col("pct_remaining") <= max_remaining_pct)
 

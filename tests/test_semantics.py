@@ -71,6 +71,15 @@ def test_identity_range(spark):
     assert [r["type_name"] for r in ix.key_exhaustion(df).collect()].count("int") == 1
 
 
+def test_wide_identity_types_on_request(spark):
+    rows = [("bigint", 1, 9_000_000_000_000_000_000, 1, 19), ("bigint", -1, -4_611_686_018_427_387_904, -1, 19), ("decimal", 1, 950, 1, 3),
+            ("numeric", 1, 10, 1, 9), ("float", 1, 5, 1, 5)]
+    df = spark.createDataFrame(rows, "type_name string, seed_value long, last_value long, increment_value long, precision int")
+    got = {(r["type_name"], r["increment_value"]): r["pct_remaining"] for r in ix.key_exhaustion(df, max_remaining_pct=99, judge_wide=True).collect()}
+    assert got == {("bigint", 1): 2.4, ("bigint", -1): 50.0, ("decimal", 1): 4.9}
+    assert ix.key_exhaustion(df, max_remaining_pct=1000).collect() == []
+
+
 def test_backups_in_one_second_share_their_predecessor(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("s", "d", 1, t), ("s", "d", 2, t + dt.timedelta(hours=1)), ("s", "d", 3, t + dt.timedelta(hours=1))]
