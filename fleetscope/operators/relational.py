@@ -19,13 +19,15 @@ def in_ranges(df: DataFrame, *, by: Sequence[str], order: Sequence[str], ranges:
     """Rows dealt into ranges of equal depth, in ``(by, order)`` order: column ``__rng`` numbers the ranges, ``__salt``
     is the last order column.
 
-    One range exchange over the key, the order columns and a row number, so a range is a stretch of rows, not of
-    values: a hot key, a burst inside one second and rows that tie are split as evenly as any others.  There are as
+    One range exchange over the key, the order columns, a hash of the row and its number, so a range is a stretch of rows, not of
+    values: a hot key, a burst inside one second and rows that tie are split as evenly as any others, and rows that tie stand in the
+    order of their hash whatever the partitioning (only rows equal in every column are told apart by number).  There are as
     many ranges as shuffle partitions.  The dealt rows are checkpointed: what is computed from a range's rows and from
     its summary sees the same ranges, and the input is evaluated for the exchange only."""
     ensure_checkpoint_dir(df.sparkSession)
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("__salt", F.monotonically_increasing_id())
+    content = [c for c, t in df.dtypes if "map<" not in t]
+    salted = df.withColumn("__salt", F.struct(F.xxhash64(*content).alias("row"), F.monotonically_increasing_id().alias("number")))
     dealt = salted.repartitionByRange(n, *by, *order, "__salt")
     return dealt.withColumn("__rng", F.spark_partition_id()).checkpoint()
 
