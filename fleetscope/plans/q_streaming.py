@@ -132,7 +132,8 @@ def q_str04(spark, sf_dir):
         one.filter(F.col("event_id") % 3 == 0).write.mode("append").options(**small).parquet(f"{root}/in")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
     uniq = sp.dedup_events(stream, watermark="366 days")
-    out = dl.processes(parse_deadlocks(uniq, schema=dl.document_schema(process=[c for c in dl.PROCESS_FIELDS if c != "frames"])))
+    columns = [c for c in dl.PROCESS_FIELDS if c != "frames"]
+    out = dl.processes(parse_deadlocks(uniq, schema=dl.document_schema(process=columns)), columns)
     return sp.run_available(out, spark=spark, name="str04-out")
 
 
