@@ -107,6 +107,21 @@ def test_lines_are_dealt_over_partitions_of_bounded_size(spark, sf_dir, monkeypa
     assert {name: rows(qd.QUERIES[name](spark, sf_dir)) for name in whole} == whole
 
 
+@pytest.mark.parametrize("name", ["dl11_wait_by_database", "dl08_login_app_host", "dl10_proc_counts", "dl06_deadlocks_by_database",
+                                  "dl10_agent_job_counts", "dl06_deadlocks_by_object", "dl02_frames", "dl05_object_labels"])
+def test_events_stay_where_their_lines_were_dealt_to(spark, sf_dir, monkeypatch, name):
+    want = sorted(map(repr, qd.QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(f6, "LINES_EACH", 2)
+    n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 2)
+    df = qd.QUERIES[name](spark, sf_dir)
+    moved = exchanges(df)
+    lines, groups = ([x for x in moved if ("REPARTITION_BY_NUM" in x) == dealt] for dealt in (True, False))
+    assert len(lines) == 2 and all(f", {n})" in x for x in lines)
+    # distinct events are counted there too: only the counts of a report's groups are exchanged
+    assert not any("event_id" in x for x in groups) and len(groups) == (name not in ("dl02_frames", "dl05_object_labels"))
+    assert want and sorted(map(repr, df.collect())) == want
+
+
 def test_edges_stay_where_they_are_for_a_small_catalog(spark):
     edges = spark.createDataFrame([(1, 1, 7, None), (2, 1, 8, None), (3, 1, 7, "a.b"), (4, None, 7, None)],
                                   "event_id long, db_id long, hobt_id long, object_name string")
