@@ -63,3 +63,35 @@ def test_deadlock_reports_read_their_documents_plainly(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1 and plan.count("render(") == 1 and "executionStack>" not in plan
     want = dl.label_objects(qd.edges(spark, str(tmp_path)))
     assert sorted(map(repr, df.collect())) == sorted(map(repr, want.collect())) and not want.isEmpty()
+
+
+PROCESS = ["process_id", "spid", "wait_time_ms", "is_victim"]
+
+
+@pytest.mark.parametrize("name, module", [("src02_xml_event_files", "q_relational"), ("str04_deadlock_stream_dedup", "q_streaming")])
+def test_documents_of_files_and_streams_are_rendered_once_and_read_plainly(spark, tmp_path, monkeypatch, name, module):
+    import importlib
+
+    from fleetscope.sources import events
+
+    at = dt.datetime(1998, 3, 4)
+    lines = [(k, k * 7 + j, j, j + 1, float(j + 1), 100.5, 0.0, 0.0, "R", "O", at) for k in range(1, 9) for j in range(2 + k % 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k * 3, at + dt.timedelta(days=200 * k)) for k in range(1, 9)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    plans = importlib.import_module(f"fleetscope.plans.{module}")
+    calls = {"documents": 0, "read": 0}
+
+    def spy(key, f):
+        def g(*args, **kw):
+            calls[key] += 1
+            return f(*args, **kw)
+        return g
+
+    monkeypatch.setattr(plans, "f6_documents", spy("documents", plans.f6_documents))
+    monkeypatch.setattr(events, "read_plain", spy("read", events.read_plain))
+    got = plans.QUERIES[name](spark, str(tmp_path)).select(PROCESS)
+    want = dl.processes(parse_deadlocks(f6_events(spark, str(tmp_path)))).select(PROCESS)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == len(lines)
+    assert calls == {"documents": 1, "read": 2 if name.startswith("src02") else 1}
